@@ -2,7 +2,8 @@
 
 Groups are equal texts. Each group is placed, largest first, in the shard whose residual
 capacity vector (bytes, tokens, rows) has the highest dot product with the group's own
-vector. Groups are dealt by hash to packing tasks of about ``groups_per_task``; each task
+vector; the smallest groups, a tenth of the bytes, go by residual bytes alone, so that the
+law holds. Groups are dealt by hash to packing tasks of about ``groups_per_task``; each task
 packs its groups against its own share of every shard's capacity, so the sum over tasks is
 balanced when each task is, and no task or driver sees all groups. The law that holds is
 ``bytes``: shard sizes are near equal. A group stays whole unless it is larger than a whole
@@ -31,6 +32,8 @@ from orbweave.llm._io import cut, text_key
 
 #: A group with over 1 / MANY of all rows (and over LEAST rows) has its rows dealt to pieces.
 MANY, LEAST = 2000, 5000
+#: The smallest groups, with this share of all bytes, go by the law's own dimension, which closes what joint packing left open.
+CLOSING = 0.1
 
 
 def _pack(shards: int):
@@ -51,8 +54,10 @@ def _pack(shards: int):
         residual = np.full((shards, 3), 1 / shards)
         turn = np.roll(np.arange(shards), -(task % shards))
         place = np.zeros(len(at), np.int32)
-        for k in np.lexsort((g2[at], g1[at], -size[:, 0])):
-            j = int(np.argmax(residual @ v[k]))
+        by_size = np.lexsort((g2[at], g1[at], -size[:, 0]))
+        closing = np.cumsum(v[by_size, 0]) > 1 - CLOSING
+        for k, close in zip(by_size, closing, strict=True):
+            j = int(np.argmax(residual[:, 0] if close else np.maximum(residual, 0) @ v[k]))
             residual[j] -= v[k]
             place[k] = turn[j]
         shard = np.repeat(place, np.diff(np.append(at, len(order))))
