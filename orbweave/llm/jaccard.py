@@ -167,7 +167,7 @@ def _rows(n: int, has: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([(has[c] if isinstance(has[c], pa.Array) else pa.array(has[c], t)).cast(t) if c in has else pa.nulls(n, t) for c, t in _TYPES.items()], list(_TYPES))
 
 
-def _meet(bands: Bands):
+def _meet(bands: Bands, few_at_most: int):
     """Pairs of the sets that share an uncommon signature of a bucket; (signature, set) of common ones."""
 
     def one(blobs: list) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def _meet(bands: Bands):
         sig, sid, size = sig[new], sid[new], size[new]
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         m = np.repeat(np.diff(np.append(begin, len(sig))), np.diff(np.append(begin, len(sig))))
-        hot = m > FEW
+        hot = m > few_at_most
         sig_hot, sid_hot, m_hot = sig[hot], sid[hot], m[hot]
         for k in range(0, len(sig_hot), 100_000):
             part = slice(k, k + 100_000)
@@ -199,7 +199,7 @@ def _meet(bands: Bands):
         few = (m > 1) & ~hot
         sig, sid, size = sig[few], sid[few], size[few]
         a, b = [], []
-        for d in range(1, FEW):
+        for d in range(1, few_at_most):
             if d >= len(sig):
                 break
             near = sig[d:] == sig[:-d]
@@ -248,18 +248,18 @@ def _shingled(width: int):
 def _compare(key: tuple, one: pa.Table, others: pa.Table) -> pa.Table:
     a = np.frombuffer(one["grams"][0].as_py(), np.uint64) if len(one) else np.zeros(0, np.uint64)
     both = []
-    for raw in others["grams"]:
+    for raw in others["held"]:
         b = np.frombuffer(raw.as_buffer(), np.uint64)
         at = np.minimum(np.searchsorted(a, b), max(len(a) - 1, 0))
         both.append(int((a[at] == b).sum()) if len(a) else 0)
-    n = [len(x.as_buffer()) // 8 for x in others["grams"]]
+    n = [len(x.as_buffer()) // 8 for x in others["held"]]
     return pa.table({"a": others["a"], "b": others["b"], "both": pa.array(both, pa.int64()), "either": pa.array([len(a) + k - c for k, c in zip(n, both, strict=True)], pa.int64())})
 
 
 class Join:
     """One run of the join over docs (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, num: int = 3, den: int = 4, width: int = 5) -> None:
+    def __init__(self, docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, few: int = FEW) -> None:
         self.bands, self.width = Bands(num, den), width
         k1, k2 = text_key()
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"))
@@ -267,7 +267,7 @@ class Join:
         signed = cut(self.docs.mapInArrow(_sign(self.bands, width, buckets), _ROWS))
         self.rows = signed.where("bucket IS NULL").select("doc_id", "k1", "k2", "n", "sid", "low", "keep", "keep_low")
         blobs = signed.where("bucket IS NOT NULL").select("bucket", "sigs", "at", "sids", "sizes")
-        met = cut(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(self.bands), "a long, b long, m long, hot boolean"))
+        met = cut(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(self.bands, few), "a long, b long, m long, hot boolean"))
         few = met.where("NOT hot").select("a", "b").distinct()
         common = self._needed(met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("sid"), "m"))
         hubs = common.groupBy("sig").agg(F.max_by("sid", F.struct("freq", "sid")).alias("hub"))
@@ -305,8 +305,8 @@ class Join:
         docs = self.docs.withColumnRenamed("doc_id", "own")
         texts = docs.join(source, (docs.k1 == source.k1) & (docs.k2 == source.k2) & docs.own.eqNullSafe(source.doc_id)).select("sid", "text")
         grams = cut(texts.mapInArrow(_shingled(self.width), "sid long, grams binary").dropDuplicates(["sid"]))
-        sent = pairs.join(grams.withColumnRenamed("sid", "b"), "b").select("a", "b", "grams")
-        return cut(grams.groupBy(F.col("sid").alias("k")).cogroup(sent.groupBy(F.col("a").alias("k"))).applyInArrow(_compare, "a long, b long, both long, either long"))
+        sent = pairs.join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("held")), "b").select("a", "b", "held")
+        return cut(grams.groupBy("sid").cogroup(sent.groupBy("a")).applyInArrow(_compare, "a long, b long, both long, either long"))
 
     def _rest(self, common: DataFrame, hubs: DataFrame, first: DataFrame, held: DataFrame) -> DataFrame | None:
         """Pairs left open by the hubs: in one signature's sets, in different components, not provably apart."""
