@@ -16,6 +16,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Parts words at anything but ASCII letters, digits and non-ASCII bytes.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 BASE = 0x9E3779B97F4A7C15 | 1
 BLOCK = 1 << 18  # bytes handled at once; a longer document is a block of its own
 
@@ -66,13 +69,13 @@ def blocks(data: np.ndarray, off: np.ndarray, size: int = BLOCK) -> Iterator[tup
         lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, parting: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end, hash) of every word of a block; starts and ends are byte places in it."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
-    space = SPACE[data]
+    space = parting[data]
     first = np.zeros(n + 1, bool)
     first[off] = True
     start = ~space
