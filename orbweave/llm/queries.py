@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, decontaminate, jaccard, oracles, secrets, sharding, topk
+from orbweave.llm import bpe, decontaminate, jaccard, oracles, quality, secrets, sharding, topk
 from orbweave.llm._io import table
 
 
@@ -31,6 +31,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.pack(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.report(quality.score(docs, table(spark, sf_dir, "labels"), sample=20_000))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), num=3, den=4, width=5)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op10_byte_bpe": op10_byte_bpe,
