@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, decontaminate, jaccard, oracles, quality, secrets, sharding, topk
+from orbweave.llm import bpe, counts, decontaminate, jaccard, oracles, quality, secrets, sharding, topk
 from orbweave.llm._io import table
 
 
@@ -36,6 +36,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.score(docs, table(spark, sf_dir, "labels"), sample=20_000))
 
 
+#: The edits of op6: every secret and every e-mail address gives way to a mark.
+EMAIL = secrets.Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")
+MARKS = {r.kind: "[SECRET]" for r in secrets.RULES} | {"email": "[EMAIL]"}
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    docs = counts.redactions(table(spark, sf_dir, "documents").select("doc_id", "text"), (*secrets.RULES, EMAIL), MARKS)
+    return counts.count(docs, path, pattern).select("doc_id", "n_tokens", "n_edits", "n_passed", "n_tokens_edited", "n_reencoded")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), num=3, den=4, width=5)
 
@@ -54,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
+    "op6_token_counts": op6_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op10_byte_bpe": op10_byte_bpe,
