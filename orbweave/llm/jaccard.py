@@ -43,7 +43,8 @@ from orbweave.llm.components import components
 FEW = 24
 FLUSH = 1_500_000  # signatures that a task holds before it sends them on
 
-_ROWS = "doc_id long, k1 long, k2 long, n int, sid long, low int, keep int, keep_low int, bucket int, sigs binary, at binary, sids binary, sizes binary"
+_ROWS = "doc_id long, k1 long, k2 long, n int, sid long, keep int, keep_low int"
+_BLOBS = "bucket int, band int, sigs binary, at binary, sids binary, sizes binary"
 
 
 def sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ class Bands:
 
     def spare(self, band: np.ndarray) -> np.ndarray:
         """x: common signatures that a set may leave out."""
-        return (1 << band) // 5 + 1
+        return (1 << band) // 8 + 1
 
     def below(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
         """Whether a partner may be in the band below."""
@@ -111,69 +112,85 @@ class Bands:
         return sig[stay], doc[stay], keep
 
 
-def _sign(bands: Bands, width: int, buckets: int):
+def _signed(bands: Bands, width: int, batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(sizes, names, [(signature, document, kept) for the own band and the one below]) block by block."""
+    data, off = tx.utf8(batch.column("text"))
+    for _, _, d, o in tx.blocks(data, off):
+        doc, _, _, w = tx.words(d, o)
+        h, at = sets(*tx.shingles(w, tx.word_counts(doc, len(o) - 1), width))
+        n = np.diff(at)
+        band = bands.of(n)
+        below = bands.below(n, band) & (n > 0)
+        yield n, names(h, at), [bands.signatures(h, at, b, use) for b, use in ((band, n > 0), (np.maximum(band - 1, 0), below))]
+
+
+def _describe(bands: Bands, width: int):
+    """A row for each row of docs: its set's size and name, and how many signatures it has in its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(n, name, own[2], low[2]) for n, name, (own, low) in _signed(bands, width, batch)]
+            n, name, keep, low = (np.concatenate([x[k] for x in got]) if got else np.zeros(0, np.int64) for k in range(4))
+            cols = [pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(keep.astype(np.int32)), pa.array(low.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *cols], ["doc_id", "k1", "k2", "n", "sid", "keep", "keep_low"])
+
+    return run
+
+
+def _send(bands: Bands, width: int, buckets: int):
+    """Signatures in a blob for each bucket and band: 5 bytes of hash each and the place of the set in the blob's own list.
+
+    Within a bucket and band 40 bits tell signatures apart; two that collide only make a pair that is compared in vain.
+    """
+
     def blobs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sig, sid, size = (np.concatenate([x[k] for x in held]) for k in range(3))
-        bucket = ((sig >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64)
+        bucket = (((sig >> np.uint64(6)) & np.uint64(0x3FFFF)) % np.uint64(buckets)).astype(np.int64) << 6 | (sig & np.uint64(63)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sig, sid, size = sig[order], sid[order], size[order]
-        begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = {c: [] for c in ("bucket", "sigs", "at", "sids", "sizes")}
-        for b in np.flatnonzero(np.diff(begin)):
-            lo, hi = begin[b], begin[b + 1]
+        sig, sid, size, bucket = sig[order] >> np.uint64(24), sid[order], size[order], bucket[order]
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        out: dict[str, list] = {c: [] for c in ("bucket", "band", "sigs", "at", "sids", "sizes")}
+        for lo, hi in zip(begin, [*begin[1:], len(sig)], strict=True):
             own, first, at = np.unique(sid[lo:hi], return_index=True, return_inverse=True)
-            out["bucket"].append(b)
-            for c, x in (("sigs", sig[lo:hi]), ("at", at.astype(np.uint32)), ("sids", own), ("sizes", size[lo:hi][first].astype(np.int32))):
-                out[c].append(x.tobytes())
-        rows = len(out["bucket"])
-        return _rows(rows, out)
+            out["bucket"].append(int(bucket[lo] >> 6))
+            out["band"].append(int(bucket[lo] & 63))
+            out["sigs"].append(sig[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            out["at"].append(at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes())
+            out["sids"].append(own.tobytes())
+            out["sizes"].append(size[lo:hi][first].astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out[c], pa.int32() if c in ("bucket", "band") else pa.binary()) for c in out], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         n_held = 0
         for batch in batches:
-            data, off = tx.utf8(batch.column("text"))
-            size, sid, low, keep, keep_low = ([] for _ in range(5))
-            for _, _, d, o in tx.blocks(data, off):
-                doc, _, _, w = tx.words(d, o)
-                h, at = sets(*tx.shingles(w, tx.word_counts(doc, len(o) - 1), width))
-                n, name = np.diff(at), names(h, at)
-                band = bands.of(n)
-                below = bands.below(n, band) & (n > 0)
-                ks = []
-                for b, use in ((band, n > 0), (np.maximum(band - 1, 0), below)):
-                    sig, own, k = bands.signatures(h, at, b, use)
+            for n, name, both in _signed(bands, width, batch):
+                for sig, own, _ in both:
                     held.append((sig, name[own], n[own]))
                     n_held += len(sig)
-                    ks.append(k)
-                for to, x in ((size, n), (sid, name), (low, below), (keep, ks[0]), (keep_low, ks[1])):
-                    to.append(x)
                 if n_held > FLUSH:
                     yield blobs(held)
                     held, n_held = [], 0
-            join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-            own = {"doc_id": batch.column("doc_id"), "k1": batch.column("k1"), "k2": batch.column("k2"), "n": join(size, np.int32), "sid": pa.array(np.concatenate(sid).view(np.int64) if sid else np.zeros(0, np.int64)), "low": join(low, np.int32), "keep": join(keep, np.int32), "keep_low": join(keep_low, np.int32)}
-            yield _rows(len(batch), own)
         if n_held:
             yield blobs(held)
 
     return run
 
 
-_TYPES = {"doc_id": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "n": pa.int32(), "sid": pa.int64(), "low": pa.int32(), "keep": pa.int32(), "keep_low": pa.int32(), "bucket": pa.int32(), "sigs": pa.binary(), "at": pa.binary(), "sids": pa.binary(), "sizes": pa.binary()}
-
-
-def _rows(n: int, has: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([(has[c] if isinstance(has[c], pa.Array) else pa.array(has[c], t)).cast(t) if c in has else pa.nulls(n, t) for c, t in _TYPES.items()], list(_TYPES))
+def _open(raw: tuple[bytes, bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A blob's signatures, names and sizes of sets, one for each entry."""
+    n = len(raw[0]) // 5
+    sig = np.zeros((n, 8), np.uint8)
+    sig[:, :5] = np.frombuffer(raw[0], np.uint8).reshape(n, 5)
+    at = np.frombuffer(raw[1], np.uint16 if len(raw[1]) == 2 * n else np.uint32)
+    return sig.view(np.uint64)[:, 0], np.frombuffer(raw[2], np.uint64)[at], np.frombuffer(raw[3], np.int32)[at]
 
 
 def _meet(bands: Bands, few_at_most: int):
     """Pairs of the sets that share an uncommon signature of a bucket; (signature, set) of common ones."""
 
-    def one(blobs: list) -> Iterator[pa.RecordBatch]:
-        sig = np.concatenate([x[0] for x in blobs])
-        sid = np.concatenate([x[2][x[1]] for x in blobs])
-        size = np.concatenate([x[3][x[1]] for x in blobs])
+    def one(now: tuple[int, int], blobs: list) -> Iterator[pa.RecordBatch]:
+        sig, sid, size = (np.concatenate([x[k] for x in blobs]) for k in range(3))
         order = np.argsort(sig, kind="stable")
         # only signatures with two rows or more
         s = sig[order]
@@ -192,7 +209,8 @@ def _meet(bands: Bands, few_at_most: int):
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         m = np.repeat(np.diff(np.append(begin, len(sig))), np.diff(np.append(begin, len(sig))))
         hot = m > few_at_most
-        sig_hot, sid_hot, m_hot = sig[hot], sid[hot], m[hot]
+        sig_hot = sig[hot] << np.uint64(20) | np.uint64(now[0] << 6 | now[1])
+        sid_hot, m_hot = sid[hot], m[hot]
         for k in range(0, len(sig_hot), 100_000):
             part = slice(k, k + 100_000)
             yield _pair_rows(sig_hot[part].view(np.int64), sid_hot[part].view(np.int64), m_hot[part], True)
@@ -215,14 +233,14 @@ def _meet(bands: Bands, few_at_most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for b, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "at", "sids", "sizes")), strict=True):
-                if b != now and held:
-                    yield from one(held)
+            for bucket, band, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sigs", "at", "sids", "sizes")), strict=True):
+                if (bucket, band) != now and held:
+                    yield from one(now, held)
                     held = []
-                now = b
-                held.append([np.frombuffer(x, k) for x, k in zip(raw, (np.uint64, np.uint32, np.uint64, np.int32), strict=True)])
+                now = bucket, band
+                held.append(_open(raw))
         if held:
-            yield from one(held)
+            yield from one(now, held)
 
     return run
 
@@ -264,10 +282,9 @@ class Join:
         k1, k2 = text_key()
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"))
         buckets = min(parts(docs.sparkSession, 8), 4096)
-        signed = cut(self.docs.mapInArrow(_sign(self.bands, width, buckets), _ROWS))
-        self.rows = signed.where("bucket IS NULL").select("doc_id", "k1", "k2", "n", "sid", "low", "keep", "keep_low")
-        blobs = signed.where("bucket IS NOT NULL").select("bucket", "sigs", "at", "sids", "sizes")
-        met = cut(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(self.bands, few), "a long, b long, m long, hot boolean"))
+        self.rows = cut(self.docs.mapInArrow(_describe(self.bands, width), _ROWS))
+        blobs = self.docs.select("text").mapInArrow(_send(self.bands, width, buckets), _BLOBS)
+        met = cut(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "band").mapInArrow(_meet(self.bands, few), "a long, b long, m long, hot boolean"))
         few = met.where("NOT hot").select("a", "b").distinct()
         common = self._needed(met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("sid"), "m"))
         hubs = common.groupBy("sig").agg(F.max_by("sid", F.struct("freq", "sid")).alias("hub"))
@@ -288,7 +305,7 @@ class Join:
     def _needed(self, hot: DataFrame) -> DataFrame:
         """(sig, sid, freq, n) that sets with too few uncommon signatures still need."""
         b = self.bands
-        sizes = self.rows.where("n > 0").groupBy("sid").agg(*(F.max(c).alias(c) for c in ("n", "low", "keep", "keep_low")))
+        sizes = self.rows.where("n > 0").groupBy("sid").agg(*(F.max(c).alias(c) for c in ("n", "keep", "keep_low")))
         hot = hot.withColumn("band", F.col("sig").bitwiseAND(63))
         count = hot.groupBy("sid", "band").agg(F.count("*").alias("freq"))
         own = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
@@ -304,7 +321,7 @@ class Join:
         source = self.rows.join(need, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2", "doc_id")).alias("x")).select("sid", "x.*")
         docs = self.docs.withColumnRenamed("doc_id", "own")
         texts = docs.join(source, (docs.k1 == source.k1) & (docs.k2 == source.k2) & docs.own.eqNullSafe(source.doc_id)).select("sid", "text")
-        grams = cut(texts.mapInArrow(_shingled(self.width), "sid long, grams binary").dropDuplicates(["sid"]))
+        grams = cut(texts.mapInArrow(_shingled(self.width), "sid long, grams binary"))
         sent = pairs.join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("held")), "b").select("a", "b", "held")
         return cut(grams.groupBy("sid").cogroup(sent.groupBy("a")).applyInArrow(_compare, "a long, b long, both long, either long"))
 
