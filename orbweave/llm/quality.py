@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbweave.llm import _text as tx
-from orbweave.llm._io import cut
 
 DIM, BUCKETS, SHAPES, SLICES = 32, 1 << 14, 1 << 10, 32
 REACH = 2  # neighbours on either side
@@ -229,8 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "
     vectors = word_vectors(docs, text)
     known = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(known), key).orderBy(F.xxhash64(key, text), key).limit(sample)
-    got = cut(rows.select("quality", text)).mapInArrow(_pool(spark.sparkContext.broadcast(vectors), text), "quality int, vector binary").collect()
+    rows = docs.select(key, text).join(F.broadcast(known), key).select("quality", text)
+    own = rows.mapInArrow(_pool(spark.sparkContext.broadcast(vectors), text), "quality int, vector binary")
+    got = own.orderBy(F.xxhash64("vector")).limit(sample).collect()
     x = np.array([np.frombuffer(bytes(r.vector), np.float32) for r in got], np.float64)
     y = np.array([r.quality for r in got], np.float64)
     return vectors, fit(x, y) if len(set(y)) == 2 else None
