@@ -41,10 +41,11 @@ from orbweave.llm._io import cut, parts, text_key
 from orbweave.llm.components import components
 
 FEW = 24
+BLOCK = 512  # sets of a block in which a family is compared
 FLUSH = 1_500_000  # signatures that a task holds before it sends them on
 
 _ROWS = "doc_id long, k1 long, k2 long, n int, sid long, keep int, keep_low int"
-_BLOBS = "bucket int, band int, sigs binary, at binary, sids binary, sizes binary"
+_BLOBS = "bucket int, band int, sigs binary, at binary, sids binary, sizes binary, slacks binary"
 
 
 def sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ class Bands:
 
     def spare(self, band: np.ndarray) -> np.ndarray:
         """x: common signatures that a set may leave out."""
-        return (1 << band) // 8 + 1
+        return (1 << band) // 6 + 1
 
     def below(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
         """Whether a partner may be in the band below."""
@@ -143,13 +144,13 @@ def _send(bands: Bands, width: int, buckets: int):
     Within a bucket and band 40 bits tell signatures apart; two that collide only make a pair that is compared in vain.
     """
 
-    def blobs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sig, sid, size = (np.concatenate([x[k] for x in held]) for k in range(3))
+    def blobs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        sig, sid, size, slack = (np.concatenate([x[k] for x in held]) for k in range(4))
         bucket = (((sig >> np.uint64(6)) & np.uint64(0x3FFFF)) % np.uint64(buckets)).astype(np.int64) << 6 | (sig & np.uint64(63)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sig, sid, size, bucket = sig[order] >> np.uint64(24), sid[order], size[order], bucket[order]
+        sig, sid, size, slack, bucket = sig[order] >> np.uint64(24), sid[order], size[order], slack[order], bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        out: dict[str, list] = {c: [] for c in ("bucket", "band", "sigs", "at", "sids", "sizes")}
+        out: dict[str, list] = {c: [] for c in ("bucket", "band", "sigs", "at", "sids", "sizes", "slacks")}
         for lo, hi in zip(begin, [*begin[1:], len(sig)], strict=True):
             own, first, at = np.unique(sid[lo:hi], return_index=True, return_inverse=True)
             out["bucket"].append(int(bucket[lo] >> 6))
@@ -158,6 +159,7 @@ def _send(bands: Bands, width: int, buckets: int):
             out["at"].append(at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes())
             out["sids"].append(own.tobytes())
             out["sizes"].append(size[lo:hi][first].astype(np.int32).tobytes())
+            out["slacks"].append(slack[lo:hi][first].astype(np.int32).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out[c], pa.int32() if c in ("bucket", "band") else pa.binary()) for c in out], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +167,8 @@ def _send(bands: Bands, width: int, buckets: int):
         n_held = 0
         for batch in batches:
             for n, name, both in _signed(bands, width, batch):
-                for sig, own, _ in both:
-                    held.append((sig, name[own], n[own]))
+                for sig, own, keep in both:
+                    held.append((sig, name[own], n[own], (keep - bands.ham(n))[own]))
                     n_held += len(sig)
                 if n_held > FLUSH:
                     yield blobs(held)
@@ -177,63 +179,60 @@ def _send(bands: Bands, width: int, buckets: int):
     return run
 
 
-def _open(raw: tuple[bytes, bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A blob's signatures, names and sizes of sets, one for each entry."""
+def _open(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """A blob's signatures, and names, sizes and slacks of their sets."""
     n = len(raw[0]) // 5
     sig = np.zeros((n, 8), np.uint8)
     sig[:, :5] = np.frombuffer(raw[0], np.uint8).reshape(n, 5)
     at = np.frombuffer(raw[1], np.uint16 if len(raw[1]) == 2 * n else np.uint32)
-    return sig.view(np.uint64)[:, 0], np.frombuffer(raw[2], np.uint64)[at], np.frombuffer(raw[3], np.int32)[at]
+    return sig.view(np.uint64)[:, 0], np.frombuffer(raw[2], np.uint64)[at], np.frombuffer(raw[3], np.int32)[at], np.frombuffer(raw[4], np.int32)[at]
 
 
 def _meet(bands: Bands, few_at_most: int):
-    """Pairs of the sets that share an uncommon signature of a bucket; (signature, set) of common ones."""
+    """Pairs of the sets that share uncommon signatures of a bucket and how many; (signature, set) of common ones."""
 
     def one(now: tuple[int, int], blobs: list) -> Iterator[pa.RecordBatch]:
-        sig, sid, size = (np.concatenate([x[k] for x in blobs]) for k in range(3))
+        sig, sid, size, slack = (np.concatenate([x[k] for x in blobs]) for k in range(4))
         order = np.argsort(sig, kind="stable")
-        # only signatures with two rows or more
         s = sig[order]
-        same = np.zeros(len(s), bool)
+        same = np.zeros(len(s), bool)  # only signatures with two rows or more
         same[1:] = s[1:] == s[:-1]
         same[:-1] |= s[1:] == s[:-1]
         order = order[same]
-        sig, sid, size = sig[order], sid[order], size[order]
-        order = np.lexsort((sid, sig))
-        sig, sid, size = sig[order], sid[order], size[order]
-        if not len(sig):
-            return
+        order = order[np.lexsort((sid[order], sig[order]))]
+        sig, sid, size, slack = sig[order], sid[order], size[order], slack[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-        sig, sid, size = sig[new], sid[new], size[new]
+        sig, sid, size, slack = sig[new], sid[new], size[new], slack[new]
+        if not len(sig):
+            return
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        m = np.repeat(np.diff(np.append(begin, len(sig))), np.diff(np.append(begin, len(sig))))
+        m = np.diff(np.append(begin, len(sig)))
+        m = np.repeat(m, m)
         hot = m > few_at_most
-        sig_hot = sig[hot] << np.uint64(20) | np.uint64(now[0] << 6 | now[1])
-        sid_hot, m_hot = sid[hot], m[hot]
-        for k in range(0, len(sig_hot), 100_000):
+        name = (sig[hot] << np.uint64(20) | np.uint64(now[0] << 6 | now[1])).view(np.int64)
+        for k in range(0, len(name), 100_000):
             part = slice(k, k + 100_000)
-            yield _pair_rows(sig_hot[part].view(np.int64), sid_hot[part].view(np.int64), m_hot[part], True)
+            yield _pair_rows(name[part], np.ascontiguousarray(sid[hot][part]).view(np.int64), m[hot][part], now[1], 0, True)
         few = (m > 1) & ~hot
-        sig, sid, size = sig[few], sid[few], size[few]
-        a, b = [], []
-        for d in range(1, few_at_most):
-            if d >= len(sig):
-                break
-            near = sig[d:] == sig[:-d]
-            near &= np.minimum(size[d:], size[:-d]).astype(np.int64) * bands.den >= np.maximum(size[d:], size[:-d]).astype(np.int64) * bands.num
+        sig, sid, size, slack = sig[few], sid[few], size[few].astype(np.int64), slack[few]
+        found = []
+        for d in range(1, min(few_at_most, len(sig))):
+            near = (sig[d:] == sig[:-d]) & (np.minimum(size[d:], size[:-d]) * bands.den >= np.maximum(size[d:], size[:-d]) * bands.num)
             if (at := np.flatnonzero(near)).size:
-                a.append(sid[at])
-                b.append(sid[at + d])
-        if a:
-            pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1)
-            pairs = np.unique(pairs, axis=0)
-            yield _pair_rows(pairs[:, 0].view(np.int64) if pairs.flags.f_contiguous else np.ascontiguousarray(pairs[:, 0]).view(np.int64), np.ascontiguousarray(pairs[:, 1]).view(np.int64), np.zeros(len(pairs), np.int64), False)
+                found.append((sid[at], sid[at + d], np.minimum(slack[at], slack[at + d])))
+        if found:
+            a, b, need = (np.concatenate([x[k] for x in found]) for k in range(3))
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            shared = np.diff(np.append(first, len(a)))
+            yield _pair_rows(a[first].view(np.int64), b[first].view(np.int64), shared, now[1], need[first], False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for bucket, band, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sigs", "at", "sids", "sizes")), strict=True):
+            for bucket, band, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sigs", "at", "sids", "sizes", "slacks")), strict=True):
                 if (bucket, band) != now and held:
                     yield from one(now, held)
                     held = []
@@ -245,8 +244,9 @@ def _meet(bands: Bands, few_at_most: int):
     return run
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, m: np.ndarray, hot: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "m": pa.array(m.astype(np.int64)), "hot": pa.array(np.full(len(a), hot))})
+def _pair_rows(a: np.ndarray, b: np.ndarray, m: np.ndarray, band: int, need, hot: bool) -> pa.RecordBatch:
+    full = lambda x: np.broadcast_to(np.asarray(x), len(a))
+    return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "m": pa.array(m.astype(np.int64)), "band": pa.array(full(band).astype(np.int32)), "need": pa.array(full(need).astype(np.int32)), "hot": pa.array(full(hot))})
 
 
 def _shingled(width: int):
@@ -274,6 +274,33 @@ def _compare(key: tuple, one: pa.Table, others: pa.Table) -> pa.Table:
     return pa.table({"a": others["a"], "b": others["b"], "both": pa.array(both, pa.int64()), "either": pa.array([len(a) + k - c for k, c in zip(n, both, strict=True)], pa.int64())})
 
 
+def _confront(num: int, den: int):
+    """Links between the sets of two blocks of a family that are in different components, by whole incidence counts."""
+
+    def run(key: tuple, own: pa.Table, all_: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(own) and len(all_):
+            sets_ = [[np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]] for t in (own, all_)]
+            flat = [np.concatenate(x) for x in sets_]
+            both = np.intersect1d(*flat)
+            size = [np.array([len(x) for x in y]) for y in sets_]
+            grid = []
+            for x, n in zip(flat, size, strict=True):
+                at = np.minimum(np.searchsorted(both, x), max(len(both) - 1, 0))
+                has = (both[at] == x) if len(both) else np.zeros(len(x), bool)
+                m = np.zeros((len(n), len(both)), np.float32)
+                m[np.repeat(np.arange(len(n)), n)[has], at[has]] = 1
+                grid.append(m)
+            shared = (grid[0] @ grid[1].T).astype(np.int64)
+            link = shared * den >= (size[0][:, None] + size[1][None, :] - shared) * num
+            link &= own["component"].to_numpy()[:, None] != all_["component"].to_numpy()[None, :]
+            i, j = np.nonzero(link)
+            a, b = own["sid"].to_numpy()[i], all_["sid"].to_numpy()[j]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 class Join:
     """One run of the join over docs (doc_id, text)."""
 
@@ -281,70 +308,72 @@ class Join:
         self.bands, self.width = Bands(num, den), width
         k1, k2 = text_key()
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"))
-        buckets = min(parts(docs.sparkSession, 8), 4096)
+        buckets = min(parts(docs.sparkSession, 8), 1 << 14)
         self.rows = cut(self.docs.mapInArrow(_describe(self.bands, width), _ROWS))
         blobs = self.docs.select("text").mapInArrow(_send(self.bands, width, buckets), _BLOBS)
-        met = cut(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "band").mapInArrow(_meet(self.bands, few), "a long, b long, m long, hot boolean"))
-        few = met.where("NOT hot").select("a", "b").distinct()
-        common = self._needed(met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("sid"), "m"))
-        hubs = common.groupBy("sig").agg(F.max_by("sid", F.struct("freq", "sid")).alias("hub"))
-        near = common.join(hubs, "sig").where("sid <> hub")
-        first = self._measure(few.unionAll(near.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))).distinct())
-        self.links = self._linked(first)
-        held = components(self.links)
-        more = self._rest(common, hubs, first, held)
+        met = cut(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "band").mapInArrow(_meet(self.bands, few), "a long, b long, m long, band int, need int, hot boolean"))
+        hot = met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("sid"), "m", "band")
+        common = hot.groupBy("sid", "band").agg(F.count("*").alias("freq"))
+        needed = self._needed(hot, common)
+        hubs = needed.groupBy("sig").agg(F.max_by("sid", F.struct("freq", "sid")).alias("hub"))
+        near = cut(needed.join(hubs, "sig").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct())
+        pairs = cut(self._pairs(met.where("NOT hot"), common).unionAll(near).distinct())
+        members = needed.select("sid").distinct()
+        self.grams = self._grams(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).unionAll(members).distinct())
+        links = cut(self._measure(pairs))
+        self.components = components(links)
+        more = self._rest(members, near)
         if more is not None:
-            again = self._measure(more)
-            self.links = self.links.unionAll(self._linked(again))
-            held = components(self.links)
-        self.components = held
+            self.components = components(links.unionAll(more))
 
-    def _linked(self, measured: DataFrame) -> DataFrame:
-        return measured.where(F.col("both") * self.bands.den >= F.col("either") * self.bands.num).select("a", "b")
+    def _pairs(self, few: DataFrame, common: DataFrame) -> DataFrame:
+        """Pairs that share as many signatures as links of their sizes must: uncommon ones, and common ones at most as many as each set has."""
+        pairs = few.groupBy("a", "b", "band").agg(F.sum("m").alias("shared"), F.max("need").alias("need"))
+        for c in ("a", "b"):
+            pairs = pairs.join(common.select(F.col("sid").alias(c), "band", F.col("freq").alias(f"hot_{c}")), [c, "band"], "left")
+        hot = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+        return pairs.where(F.col("shared") + hot >= F.col("need")).select("a", "b")
 
-    def _needed(self, hot: DataFrame) -> DataFrame:
+    def _needed(self, hot: DataFrame, common: DataFrame) -> DataFrame:
         """(sig, sid, freq, n) that sets with too few uncommon signatures still need."""
         b = self.bands
         sizes = self.rows.where("n > 0").groupBy("sid").agg(*(F.max(c).alias(c) for c in ("n", "keep", "keep_low")))
-        hot = hot.withColumn("band", F.col("sig").bitwiseAND(63))
-        count = hot.groupBy("sid", "band").agg(F.count("*").alias("freq"))
         own = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-        deficit = count.join(sizes, "sid").withColumn("deficit", F.floor(F.col("n") * (b.den - b.num) / b.num) + 1 - (F.when(F.col("band") == own, F.col("keep")).otherwise(F.col("keep_low")) - F.col("freq")))
+        deficit = common.join(sizes, "sid").withColumn("deficit", F.floor(F.col("n") * (b.den - b.num) / b.num) + 1 - (F.when(F.col("band") == own, F.col("keep")).otherwise(F.col("keep_low")) - F.col("freq")))
         deficit = deficit.where("deficit > 0").select("sid", "band", "deficit", "freq", "n")
         rank = F.row_number().over(Window.partitionBy("sid", "band").orderBy("m", "sig"))
         return cut(hot.join(deficit, ["sid", "band"]).withColumn("rank", rank).where("rank <= deficit").select("sig", "sid", "freq", "n"))
 
-    def _measure(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the sizes of the intersection and union of their sets."""
-        pairs = cut(pairs)
-        need = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    def _grams(self, need: DataFrame) -> DataFrame:
+        """(sid, grams): the shingle hashes of the sets asked for, read from one text of each."""
         source = self.rows.join(need, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2", "doc_id")).alias("x")).select("sid", "x.*")
         docs = self.docs.withColumnRenamed("doc_id", "own")
         texts = docs.join(source, (docs.k1 == source.k1) & (docs.k2 == source.k2) & docs.own.eqNullSafe(source.doc_id)).select("sid", "text")
-        grams = cut(texts.mapInArrow(_shingled(self.width), "sid long, grams binary"))
-        sent = pairs.join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("held")), "b").select("a", "b", "held")
-        return cut(grams.groupBy("sid").cogroup(sent.groupBy("a")).applyInArrow(_compare, "a long, b long, both long, either long"))
+        return cut(texts.mapInArrow(_shingled(self.width), "sid long, grams binary"))
 
-    def _rest(self, common: DataFrame, hubs: DataFrame, first: DataFrame, held: DataFrame) -> DataFrame | None:
-        """Pairs left open by the hubs: in one signature's sets, in different components, not provably apart."""
-        b = self.bands
-        far = 1 - F.col("both") / F.col("either")
-        c = common.join(held.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        c = c.join(hubs, "sig")
-        c = c.join(first.select(F.col("a").alias("sid"), F.col("b").alias("hub"), far.alias("d1")), ["sid", "hub"], "left")
-        c = c.join(first.select(F.col("b").alias("sid"), F.col("a").alias("hub"), far.alias("d2")), ["sid", "hub"], "left")
-        c = cut(c.select("sig", "sid", "n", "component", F.coalesce("d1", "d2", F.lit(0.0)).alias("d"), (F.col("sid") == F.col("hub")).alias("is_hub")))
-        home = c.where("is_hub").select("sig", F.col("component").alias("home"))
-        c = c.join(home, "sig")
-        u = c.where("component <> home").select("sig", F.col("sid").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("d").alias("ud"))
-        if u.isEmpty():
+    def _measure(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough."""
+        sent = pairs.join(self.grams.select(F.col("sid").alias("b"), F.col("grams").alias("held")), "b").select("a", "b", "held")
+        got = self.grams.groupBy("sid").cogroup(sent.groupBy("a")).applyInArrow(_compare, "a long, b long, both long, either long")
+        return got.where(F.col("both") * self.bands.den >= F.col("either") * self.bands.num).select("a", "b")
+
+    def _rest(self, members: DataFrame, near: DataFrame) -> DataFrame | None:
+        """Links of sets with common signatures that the hubs left in another component than their family's largest."""
+        part = lambda df, name: df.select(F.col("id").alias("sid"), F.col("component").alias(name))
+        c = members.join(part(self.components, "component"), "sid", "left").join(part(components(near), "family"), "sid", "left")
+        c = cut(c.select("sid", F.coalesce("component", "sid").alias("component"), F.coalesce("family", "sid").alias("family")))
+        home = c.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.sum("k").alias("all"), F.max("k").alias("most"))
+        home = home.where("all > most").select("family", "home", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("own_blocks"))
+        c = c.join(home, "family").join(self.grams.dropDuplicates(["sid"]), "sid")
+        c = cut(c.select("*", (F.col("component") != F.col("home")).alias("apart")))
+        if c.where("apart").isEmpty():
             return None
-        x = c.join(u, "sig").where(
-            (F.col("component") != F.col("uc")) & ~F.col("is_hub") & (F.abs(F.col("d") - F.col("ud")) <= (b.den - b.num) / b.den + 1e-9)
-            & (F.least("n", "un") * b.den >= F.greatest("n", "un") * b.num)
-        )
-        pairs = x.select(F.least("sid", "u").alias("a"), F.greatest("sid", "u").alias("b")).distinct()
-        return pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("sid")), F.col(n)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = c.where("apart").select("family", "sid", "component", "grams", deal(1, "own_blocks").alias("own"), spread("blocks").alias("block"))
+        every = c.select("family", "sid", "component", "grams", deal(2, "blocks").alias("block"), spread("own_blocks").alias("own"))
+        keys = ("family", "own", "block")
+        return cut(own.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(_confront(self.bands.num, self.bands.den), "a long, b long"))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row, by the smallest doc_id of the component."""
