@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, counts, decontaminate, jaccard, mixing, oracles, quality, secrets, sharding, topk
+from orbweave.llm import bpe, counts, decontaminate, jaccard, mixing, oracles, quality, secrets, sharding, suffixes, topk
 from orbweave.llm._io import table
 
 
@@ -36,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.score(docs, table(spark, sf_dir, "labels"), sample=20_000))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove(table(spark, sf_dir, "documents"), span=400))
+
+
 #: The edits of op6: every secret and every e-mail address gives way to a mark.
 EMAIL = secrets.Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")
 MARKS = {r.kind: "[SECRET]" for r in secrets.RULES} | {"email": "[EMAIL]"}
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
