@@ -1,15 +1,84 @@
-"""Corpus preparation in five stages."""
+"""Corpus preparation: five stages, each an operator of orbweave.llm on all that its predecessor kept.
+
+quality      documents that the classifier rejects go (score below 0.5)
+near_copies  of each group linked by 5-word shingle Jaccard similarity of 0.75 or more, the row with the smallest doc_id stays
+benchmark    documents that hold a benchmark item, or a window of its size with similarity of 0.75 or more, go
+secrets      every span that a secret rule finds gives way to a mark; n_chars follows the text
+encode       the texts' byte-level BPE ids, counted and digested, and decoded again
+
+All but the last return the columns of documents. Stages are written and read again
+between, so none depends on another's lineage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orbweave.llm import bpe, decontaminate, jaccard, secrets
+from orbweave.llm import quality as classifier
+from orbweave.llm._io import cut, table
+from orbweave.llm.queries import tokenizer
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a score of 0.5 or more; learns from at most 20,000 labelled rows that are not held out."""
+    scored = classifier.score(docs, table(spark, sf_dir, "labels"), sample=20_000)
+    return scored.where("score >= 0.5").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component: the one whose doc_id is the component's; of rows that repeat an id and its text, one.
+
+    Rows with an empty set or a null doc_id are in no component and stay.
+    """
+    classes = jaccard.classes(docs.select("doc_id", "text"))
+    gone = classes.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    twice = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    again = kept.join(twice, "doc_id").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in their texts replaced by a mark."""
+    clean = secrets.redact(secrets.scan(docs), mark="[SECRET]")
+    if "n_chars" in clean.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    path, pattern = tokenizer()
+    return bpe.digests(bpe.encode_decode(docs.select("doc_id", "text"), path, pattern))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark),
+    ("secrets", secret_marks),
+    ("encode", encode),
+]
 
-STAGES: list = []
+#: The first stage is a trained classifier, which SQL cannot express; tests/llm compare the others with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        df = f(spark, df, sf_dir)
-    return df
+    """The stages on documents, each written to the shared folder and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs
