@@ -35,22 +35,22 @@ from pyspark.sql import functions as F
 from orbweave.llm import _text as tx
 from orbweave.llm._io import cut, parts
 
-ORDERS = (1, 2, 3, 5)  # and the word so far
-SLOTS = 1 << 18
+ORDERS = (2, 3, 4, 6)  # and the word so far
+SLOTS = 1 << 20
 INPUTS = len(ORDERS) + 1
-STEP = 256
+STEP = 64
 FLOCK = 6 << 20
-RATE = 0.6
+RATE = 3.0
 END = np.uint64(0x8BADF00D15C0FFEE)
-SLICES = 40
+SLICES = 48
 #: Fixed order of bytes by frequency in prose: the code's only prior.
-COMMON = " etaoinsrhldcumfpgwybvk,.\nTASIHBCDEWPMNORLGFU'-0123456789xqjz\"()!?:;/@=_*#$%&|<>"
+COMMON = " enthairos\xc3dulc.gb,fwpmvykTASIEHNR\nDLOCBWPMGFUVJKqxzj'-0123456789!?:;()/@=_*#$%&|<>\""
 
 
 def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code for weights 1 / (rank + 2): length, first step, and each step's node and bit."""
-    rank = {c: k for k, c in enumerate([*COMMON.encode(), 0xC3, *range(0xA0, 0xC0)])}
-    heap = [(1 / (rank.get(b, 250) + 2), b, (b,)) for b in range(256)]
+    """A Huffman code for weights (rank + 2) ** -1.4: length, first step, and each step's node and bit."""
+    rank = {c: k for k, c in reversed([*enumerate([*COMMON.encode("latin-1"), 0xA9, 0xB3, 0xA8, 0xB1, 0xA4, 0xBC, *range(0xA0, 0xC0)])])}
+    heap = [(1 / (rank.get(b, 250) + 2) ** 1.4, b, (b,)) for b in range(256)]
     heapq.heapify(heap)
     steps: list[list[tuple[int, int]]] = [[] for _ in range(256)]
     node = 0
@@ -67,80 +67,100 @@ def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 LENGTH, FIRST, NODE, BIT = _code()
-_NODE_MIX = tx.mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_NODE_SLOT = (tx.mix(NODE.astype(np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
 _GATE = np.zeros(257, np.int64)
 _GATE[[0x20, *range(0x09, 0x0E), 256]] = 1
 _GATE[0x80:256] = 2
 
 
-def decisions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of a block: each decision's byte place, its bit, its slot in each input's table, and each byte's gate."""
+def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each byte of a block: a hash of every input's context, and the gate."""
     n = len(data)
-    place = np.repeat(np.arange(n), LENGTH[data])
-    begin = np.cumsum(LENGTH[data]) - LENGTH[data]
-    step = FIRST[data[place]] + np.arange(len(place)) - begin[place]
-    node, bit = NODE[step], BIT[step]
     doc_at = np.repeat(off[:-1], np.diff(off))
-    since = np.arange(n) - doc_at
-    wide = data.astype(np.uint64) + np.uint64(1)
+    at = np.arange(n)
+    since = at - doc_at
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(wide * tx._power("up", n)[:n], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tx._power("up", n)[:n], out=total[1:])
     down = tx._power("down", n + 1)
-    at = np.arange(n)
-    slots = []
-    mixed = _NODE_MIX[node]
+    hashes = []
     for k, order in enumerate((*ORDERS, 0)):
         if order:
             lo = at - np.minimum(order, since)
         else:
             word = np.where(tx.SPACE[data], at + 1, 0)
             lo = np.maximum(np.concatenate([[0], np.maximum.accumulate(word)[:-1]]), doc_at)
-        h = tx.mix((total[at] - total[lo]) * down[lo] + np.uint64(k * 0x9E37 + 1))
-        slots.append(((h[place] ^ mixed) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64))
-    before = np.where(since > 0, np.concatenate([[0], data[:-1]]) if n else 0, 256)
-    return place, bit, slots, _GATE[before]
+        h = ((total[:-1] - total[lo]) * down[lo] + np.uint64(k * 0x9E37 + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32))
+    return hashes, _GATE[np.where(since > 0, np.concatenate([[0], data[:-1]]), 256)]
+
+
+def decisions(data: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """How many decisions each byte takes; each decision's bit, and its slot in each input's table."""
+    n = LENGTH[data]
+    step = np.repeat(FIRST[data] - (np.cumsum(n) - n), n)
+    step += np.arange(len(step))
+    node = _NODE_SLOT[step]
+    slots = []
+    for h in hashes:
+        s = np.repeat(h, n)
+        s += node
+        s &= np.uint32(SLOTS - 1)
+        slots.append(s)
+    return n, BIT[step], slots
 
 
 def _learn_table(table: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
-    _, bit, slots, _ = decisions(data, off)
+    _, bit, slots = decisions(data, contexts(data, off)[0])
     for k, s in enumerate(slots):
-        table[k] += np.bincount(s * 2 + bit, minlength=2 * SLOTS)
+        table[k] += np.bincount(s * np.uint32(2) + bit, minlength=2 * SLOTS).astype(np.int32)
 
 
 def stretched(table: np.ndarray) -> np.ndarray:
     """ln of the odds of answer 1 in every slot, from the counts of both."""
-    c = table.reshape(INPUTS, SLOTS, 2).astype(np.float64) + 0.3
-    return np.log(c[:, :, 1] / c[:, :, 0]).astype(np.float32)
+    c = table.reshape(INPUTS, SLOTS, 2).astype(np.float32) + np.float32(0.05)
+    return np.log(c[:, :, 1] / c[:, :, 0])
 
 
 def costs(model: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The cost in nats of each document of a block."""
+    """The cost in nats of each document of a block.
+
+    All documents of the block move on by STEP bytes at once, each with weights of its own.
+    """
     n = len(off) - 1
     out = np.zeros(n)
     if not len(data):
         return out
-    place, bit, slots, gate = decisions(data, off)
-    x = np.stack([model[k][s] for k, s in enumerate(slots)], 1)
-    np.clip(x, -8, 8, out=x)
-    sign = bit.astype(np.float32) * 2 - 1
+    hashes, gate = contexts(data, off)
     size = np.diff(off)
-    doc_of = np.repeat(np.arange(n), size)
-    step = ((np.arange(len(data)) - np.repeat(off[:-1], size)) // STEP)[place]
-    order = np.argsort(step, kind="stable")
-    x, sign, step = x[order], sign[order], step[order]
-    own = doc_of[place[order]]
-    cell = own * 3 + gate[place[order]]
+    own = np.repeat(np.arange(n), size)
+    step = (np.arange(len(data)) - np.repeat(off[:-1], size)) // STEP
+    cell = own * 3 + gate
+    order = np.argsort(step * (3 * n) + cell, kind="stable")
+    step, cell = step[order], cell[order]
+    length, bit, slots = decisions(data[order], [h[order] for h in hashes])
+    x = np.empty((INPUTS, len(bit)), np.float32)
+    for k, s in enumerate(slots):
+        np.clip(model[k].take(s), -8, 8, out=x[k])
+    x *= bit.astype(np.float32) * 2 - 1  # towards the right answer
+    at = np.concatenate([[0], np.cumsum(length)])
+    edge = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (cell[1:] != cell[:-1])]))
+    begin, cells = at[edge], cell[edge]
+    counts = np.diff(np.append(begin, len(bit)))
+    turn = np.flatnonzero(np.concatenate([[True], step[edge][1:] != step[edge][:-1]]))
     weights = np.full((3 * n, INPUTS), 1.2 / INPUTS, np.float32)
-    edges = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
-    for lo, hi in zip(edges, [*edges[1:], len(step)], strict=True):
-        part, s, c = x[lo:hi], sign[lo:hi], cell[lo:hi]
-        z = np.einsum("ij,ij->i", part, weights[c]) * s
-        out += np.bincount(own[lo:hi], np.logaddexp(0, -z), n)
-        err = s / (1 + np.exp(z))
-        count = np.maximum(np.bincount(c, minlength=3 * n), 1)
-        for k in range(INPUTS):
-            weights[:, k] += RATE * (np.bincount(c, err * part[:, k], 3 * n) / count / 8).astype(np.float32)
-    return out
+    cost = np.zeros(3 * n)
+    for lo, hi in zip(turn, [*turn[1:], len(edge)], strict=True):
+        a, b = begin[lo], begin[hi - 1] + counts[hi - 1]
+        c, k, first = cells[lo:hi], counts[lo:hi], begin[lo:hi] - begin[lo]
+        part = x[:, a:b]
+        z = np.zeros(b - a, np.float32)
+        for i in range(INPUTS):
+            z += part[i] * np.repeat(weights[c, i], k)
+        e = np.exp(-z)
+        cost[c] += np.add.reduceat(np.log1p(e), first)
+        e /= 1 + e
+        weights[c] += (RATE / 8) * (np.add.reduceat(part * e, first, 1) / k).T
+    return cost.reshape(n, 3).sum(1)
 
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +187,7 @@ def _learn(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(np.full(len(has), flock, np.int64)), cut_(word, np.uint64), cut_(count, np.int32)], ["bucket", "flock", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((INPUTS, 2 * SLOTS), np.int64)
+        table = np.zeros((INPUTS, 2 * SLOTS), np.int32)
         now, held, any_row = None, [], False
         for batch in batches:
             any_row = any_row or len(batch) > 0
