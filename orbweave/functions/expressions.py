@@ -23,6 +23,11 @@ def fields(expression: str) -> str:
     return re.sub(r"!([^!]+)!", lambda m: f"`{m[1]}`", expression)
 
 
+def micros(c: Column | str) -> Column:
+    """Microseconds since the epoch of a timestamp with or without a time zone (the session's counts for the latter)."""
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle metres."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)

@@ -150,7 +150,8 @@ def skyline(df: DataFrame, key: str, maximise: list[str], minimise: list[str], s
     goals = [F.col(c).alias(c) for c in maximise] + [(-F.col(c)).alias(c) for c in minimise]
     names = [*maximise, *minimise]
     points = df.select(key, *goals).dropna()
-    strong = points.orderBy(F.desc(reduce(lambda a, b: a + b, (F.percent_rank().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(c)) for c in names))), key).limit(sample)
+    rank = reduce(lambda a, b: a + b, (F.percent_rank().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(c)) for c in names))
+    strong = points.withColumn("_r", rank).orderBy(F.desc("_r"), key).limit(sample).drop("_r")
 
     def beaten(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.select(*(F.col(c).alias(f"r_{c}") for c in names))

@@ -7,9 +7,11 @@ and bounds decide how often a shape is entered, so no side is broadcast or cross
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.sources.io import materialized
+
 
 def tessellate(bounds: tuple[float, float, float, float], size: float, df: DataFrame) -> DataFrame:
     """Square cells over bounds: zone_id, minx, miny, maxx, maxy; df only lends its session."""
@@ -68,8 +70,9 @@ def within_distance(target: DataFrame, reference: DataFrame, distance: float, mo
 def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Each left row with all its nearest right rows (ties kept) and the distance.
 
-    Cells of doubling size: a row is done when its best candidate in the 3 by 3 cells around it is
-    no further than a cell; the few that are left look in cells of twice the size.
+    Cells of growing size: a row is done when its best candidate in the 3 by 3 cells around it is
+    no further than a cell; the rows that are left look in cells of four times the size. Each round is
+    written to the shared folder, so that no round is computed again.
     """
     from functools import reduce
 
@@ -82,14 +85,16 @@ def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "
         cells = r.withColumn("_c", around)
         last = size > reach
         d = F.hypot(F.col(x) - F.col(f"r_{x}"), F.col(y) - F.col(f"r_{y}"))
-        met = todo.join(cells, (F.floor(F.col(x) / size) == F.col("_c.i")) & (F.floor(F.col(y) / size) == F.col("_c.j"))).withColumn("distance", d).drop("_c")
-        best = met.withColumn("_b", F.min("distance").over(Window.partitionBy(key))).where("distance = _b")
-        best = best if last else best.where(F.col("_b") <= size)
-        found.append(best.drop("_b"))
+        held = (F.floor(F.col(x) / size) == F.col("_c.i")) & (F.floor(F.col(y) / size) == F.col("_c.j"))
+        # Candidates are reduced to each row's least distance, then only pairs at that distance are made: none is sorted.
+        least = todo.join(cells, held).groupBy(key).agg(F.min(d).alias("distance"))
+        least = least if last else least.where(F.col("distance") <= size)
+        best = materialized(todo.join(least, key).join(cells, held & (d == F.col("distance"))).drop("_c"))
+        found.append(best)
         if last:
             return reduce(DataFrame.unionByName, found)
-        todo = todo.join(best.select(key).distinct(), key, "left_anti")
-        size *= 8
+        todo = materialized(todo.join(best.select(key).distinct(), key, "left_anti"))
+        size *= 4
 
 
 def accessibility(d: Column, threshold: float) -> Column:

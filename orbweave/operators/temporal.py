@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.expressions import bearing, haversine
+from orbweave.functions.expressions import bearing, haversine, micros
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
@@ -21,10 +21,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value:
 
 def event_pairs(left: DataFrame, right: DataFrame, time: str, key: str, window_s: int) -> DataFrame:
     """Each left event with its nearest right event within the window: buckets of the window's length, each right event in three."""
-    bucket = F.floor(F.unix_micros(F.col(time)) / (window_s * 1_000_000))
+    bucket = F.floor(micros(F.col(time)) / (window_s * 1_000_000))
     a = left.select(F.col(key).alias("left_id"), F.col(time).alias("_t"), bucket.alias("_b"))
     b = right.select(F.col(key).alias("right_id"), F.col(time).alias("_u"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b"))
-    gap = F.abs(F.unix_micros("_t") - F.unix_micros("_u")) / 1e6
+    gap = F.abs(micros("_t") - micros("_u")) / 1e6
     met = a.join(b, "_b").withColumn("gap_s", gap).where(F.col("gap_s") <= window_s)
     return met.groupBy("left_id").agg(F.min(F.struct("gap_s", "right_id")).alias("m")).select("left_id", "m.right_id", "m.gap_s")
 
@@ -32,7 +32,7 @@ def event_pairs(left: DataFrame, right: DataFrame, time: str, key: str, window_s
 def gaps(df: DataFrame, keys: list[str], time: str, times: float = 10.0) -> DataFrame:
     """Per key: nulls, repeated times, and steps longer than ``times`` the median step."""
     w = Window.partitionBy(*keys).orderBy(time)
-    step = (F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))) / 1e6
+    step = (micros(time) - micros(F.lag(time).over(w))) / 1e6
     s = df.where(F.col(time).isNotNull()).withColumn("step", step)
     median = s.groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("median_s"), F.count_if(F.col("step") == 0).alias("repeats"))
     wide = s.join(median, keys).groupBy(*keys).agg(F.first("median_s").alias("median_s"), F.first("repeats").alias("repeats"), F.count_if(F.col("step") > times * F.col("median_s")).alias("n_gaps"))
@@ -48,7 +48,7 @@ def trajectories(df: DataFrame, device: str, time: str, lat: str, lng: str) -> D
 
 
 def nearest_in_time(df: DataFrame, keys: list[str], time: str, at: str, value: str) -> DataFrame:
-    gap = F.abs(F.unix_micros(F.col(time)) - F.unix_micros(F.lit(at).cast("timestamp")))
+    gap = F.abs(micros(F.col(time)) - micros(F.lit(at).cast("timestamp")))
     return df.groupBy(*keys).agg(F.min_by(value, F.struct(gap, F.col(time))).alias(value))
 
 
@@ -59,5 +59,5 @@ def interpolate(df: DataFrame, keys: list[str], time: str, at: str, value: str)
         F.max(F.when(t <= u, t)).alias("t0"), F.max_by(F.when(t <= u, F.col(value)), F.when(t <= u, t)).alias("v0"),
         F.min(F.when(t >= u, t)).alias("t1"), F.min_by(F.when(t >= u, F.col(value)), F.when(t >= u, t)).alias("v1"),
     )
-    part = F.try_divide((F.unix_micros(u) - F.unix_micros("t0")).cast("double"), (F.unix_micros("t1") - F.unix_micros("t0")).cast("double"))
+    part = F.try_divide((micros(u) - micros("t0")).cast("double"), (micros("t1") - micros("t0")).cast("double"))
     return g.select(*keys, F.coalesce(F.col("v0") + (F.col("v1") - F.col("v0")) * F.coalesce(part, F.lit(0.0)), "v0", "v1").alias(value))

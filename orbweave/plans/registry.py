@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from orbweave.plans import analysis, places, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {**tables.FOUND.queries, **places.FOUND.queries, **analysis.FOUND.queries}
+ORACLES: dict[str, str] = {**tables.FOUND.oracles, **places.FOUND.oracles, **analysis.FOUND.oracles}
+FLAGSHIP = "d05_summarize_within"

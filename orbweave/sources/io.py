@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,18 @@ def with_point(df: DataFrame) -> DataFrame:
     return df.withColumn("geometry", F.struct(F.col(pair[0]).cast("double").alias("x"), F.col(pair[1]).cast("double").alias("y")).alias("geometry", metadata={"crs": crs} if crs else {}))
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """df written once to the folder that the cluster shares (spark.checkpoint.dir) and read again, for plans that use it in rounds."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    out = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def load(spark: SparkSession, uri: str, schema: str | None = None) -> DataFrame:
     """A table name without extension, or a file or folder of parquet, orc, csv, json lines, geojson or text."""
     kind = PurePosixPath(uri).suffix.lower().lstrip(".")
