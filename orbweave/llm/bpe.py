@@ -19,6 +19,7 @@ other columns of the input are kept unless they clash with ``ids``, ``n_tokens``
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -210,11 +211,23 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(_coded(held, pattern, text, rows), schema)
 
 
+#: The coder that a Python worker keeps for the tasks that follow: one vocabulary and pattern, with at most CACHE pieces.
+_KEPT: dict[tuple[str, str], TextCoder] = {}
+
+
+def _coder(raw: bytes, pattern: str) -> TextCoder:
+    key = hashlib.sha256(raw).hexdigest(), pattern
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = TextCoder(raw, pattern)
+    return _KEPT[key]
+
+
 def _coded(held, pattern: str, text: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            coder = coder or TextCoder(held.value, pattern)
+            coder = coder or _coder(held.value, pattern)
             for at in range(0, len(batch), rows):
                 part = batch.slice(at, rows)
                 ids, raw = coder([t or "" for t in part.column(text).to_pylist()])
