@@ -1,19 +1,21 @@
-"""Language-model scoring: online logistic mixing of hashed-context bit predictors.
+"""Language-model scoring: online logistic mixing of bit predictors, one for each context.
 
 A byte is a walk down a fixed binary code (shorter for bytes that are frequent in prose), so
 a text is a row of binary decisions. Each of ORDERS' contexts (the last bytes, or the word
-so far) predicts every decision from how often both answers followed a hash of context and
-code node in the training texts of the corpus. A logistic mixer combines the stretched
+so far) predicts every decision from how often both answers followed the context and the
+code's node in the training texts of the corpus. A logistic mixer combines the stretched
 predictions with weights that a gate picks (the kind of the byte before) and that are
-refined along each text: every STEP bytes the gradient of the coding cost moves the
-document's own weights. The sum of costs is the text's log probability, total bits over its
-bytes the bits per byte.
-
-Counts come from all training documents: tasks add up their own tables, slices of which meet
-by key; the model has one size whatever the corpus (the broadcast is that table). Word counts
-for the base score have no bound, so they are never broadcast: documents are dealt by hash to
-flocks of about FLOCK bytes, each flock asks a word's bucket for its count, and the answers
-return to the flock. No row of words per document is ever made.
+refined along each text: after every byte the gradient of its coding cost moves the
+document's own weights, which begin alike in every text. The sum of costs is the text's log
+probability, total bits over its bytes the bits per byte.
+
+What is learned grows with the corpus and is never broadcast. Input tasks part their
+documents into flocks of about FLOCK bytes. A flock sends its distinct words, and its
+distinct pairs of a context (a 55-bit hash) and a byte, with their counts in training texts,
+to buckets by hash; a bucket adds them up and answers each flock's words with counts and
+each flock's pairs with the prediction at every node of the byte's walk, in SCALE steps. The
+answers meet the flock's texts again. Buckets grow in number with the corpus, so no task
+holds more of the model than its share.
 
 Defined cases: null text counts as empty; an empty text has no bytes, score 0 and only the
 end token; repeated rows are documents each; a null doc_id is in training (its remainder is
@@ -24,11 +26,13 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
+from itertools import islice
+from math import exp
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +40,16 @@ from orbweave.llm import _text as tx
 from orbweave.llm._io import cut, parts
 
 ORDERS = (2, 3, 4, 6)  # and the word so far
-SLOTS = 1 << 20
 INPUTS = len(ORDERS) + 1
-STEP = 64
-FLOCK = 6 << 20
-RATE = 3.0
+FLOCK = 10 << 20
+BUCKET = 16 << 20  # bytes of the corpus for each bucket
+BATCH = 1 << 19  # bytes of the documents that move on together
+PART = 1 << 15  # bytes of a batch whose predictions are looked up together
+ALONE = 4  # documents of a batch that move on one by one
+HELD = 1_500_000  # pairs that a flock holds before it counts them
+RATE = 0.006
+SCALE = 8 / 127
 END = np.uint64(0x8BADF00D15C0FFEE)
-SLICES = 48
 #: Fixed order of bytes by frequency in prose: the code's only prior.
 COMMON = " enthairos\xc3dulc.gb,fwpmvykTASIEHNR\nDLOCBWPMGFUVJKqxzj'-0123456789!?:;()/@=_*#$%&|<>\""
 
@@ -66,15 +73,28 @@ def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return length, np.cumsum(length) - length, np.array([x[0] for x in flat]), np.array([x[1] for x in flat], np.uint8)
 
 
-LENGTH, FIRST, NODE, BIT = _code()
-_NODE_SLOT = (tx.mix(NODE.astype(np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
+def _leaves() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each byte's place in the code's order of leaves; of each leaf its walk's length, and the leaves below every node of it."""
+    length, first, _, bit = _code()
+    walks = sorted((bit[first[b] : first[b] + length[b]].tolist(), b) for b in range(256))
+    leaf = np.zeros(256, np.uint64)
+    leaf[[b for _, b in walks]] = np.arange(256)
+    lo, hi = np.zeros((256, length.max() + 1), np.uint64), np.zeros((256, length.max() + 1), np.uint64)
+    for k, (walk, _) in enumerate(walks):
+        for j in range(len(walk) + 1):
+            same = [i for i, (other, _) in enumerate(walks) if other[:j] == walk[:j]]
+            lo[k, j], hi[k, j] = same[0], same[-1] + 1
+    return leaf, np.array([len(w) for w, _ in walks]), lo, hi
+
+
+LEAF, WALK, BELOW, ABOVE = _leaves()
 _GATE = np.zeros(257, np.int64)
 _GATE[[0x20, *range(0x09, 0x0E), 256]] = 1
 _GATE[0x80:256] = 2
 
 
 def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each byte of a block: a hash of every input's context, and the gate."""
+    """Of each byte of a block: every input's context and the byte's leaf as one number, and the gate."""
     n = len(data)
     doc_at = np.repeat(off[:-1], np.diff(off))
     at = np.arange(n)
@@ -82,7 +102,8 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.nd
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tx._power("up", n)[:n], out=total[1:])
     down = tx._power("down", n + 1)
-    hashes = []
+    leaf = LEAF[data]
+    pairs = []
     for k, order in enumerate((*ORDERS, 0)):
         if order:
             lo = at - np.minimum(order, since)
@@ -90,77 +111,183 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.nd
             word = np.where(tx.SPACE[data], at + 1, 0)
             lo = np.maximum(np.concatenate([[0], np.maximum.accumulate(word)[:-1]]), doc_at)
         h = ((total[:-1] - total[lo]) * down[lo] + np.uint64(k * 0x9E37 + 1)) * np.uint64(0xD6E8FEB86659FD93)
-        hashes.append(((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32))
-    return hashes, _GATE[np.where(since > 0, np.concatenate([[0], data[:-1]]), 256)]
-
-
-def decisions(data: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """How many decisions each byte takes; each decision's bit, and its slot in each input's table."""
-    n = LENGTH[data]
-    step = np.repeat(FIRST[data] - (np.cumsum(n) - n), n)
-    step += np.arange(len(step))
-    node = _NODE_SLOT[step]
-    slots = []
-    for h in hashes:
-        s = np.repeat(h, n)
-        s += node
-        s &= np.uint32(SLOTS - 1)
-        slots.append(s)
-    return n, BIT[step], slots
-
-
-def _learn_table(table: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
-    _, bit, slots = decisions(data, contexts(data, off)[0])
-    for k, s in enumerate(slots):
-        table[k] += np.bincount(s * np.uint32(2) + bit, minlength=2 * SLOTS).astype(np.int32)
-
-
-def stretched(table: np.ndarray) -> np.ndarray:
-    """ln of the odds of answer 1 in every slot, from the counts of both."""
-    c = table.reshape(INPUTS, SLOTS, 2).astype(np.float32) + np.float32(0.05)
-    return np.log(c[:, :, 1] / c[:, :, 0])
-
-
-def costs(model: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The cost in nats of each document of a block.
-
-    All documents of the block move on by STEP bytes at once, each with weights of its own.
-    """
-    n = len(off) - 1
-    out = np.zeros(n)
-    if not len(data):
-        return out
-    hashes, gate = contexts(data, off)
-    size = np.diff(off)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        pairs.append((h ^ (h >> np.uint64(29))) >> np.uint64(9) << np.uint64(8) | leaf)
+    return pairs, _GATE[np.where(since > 0, np.concatenate([[0], data[:-1]]), 256)]
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def distinct(data: np.ndarray, off: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of context and byte of some documents, in order, and their counts in training texts."""
+    held: list[np.ndarray] = []
+    pairs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def count() -> None:
+        x = np.concatenate(held)
+        x.sort()
+        first = _runs(x >> np.uint64(1))
+        pairs.append(x[first] >> np.uint64(1))
+        counts.append(np.add.reduceat((x & np.uint64(1)).astype(np.int64), first))
+        held.clear()
+
+    def merge() -> None:
+        x, c = np.concatenate(pairs), np.concatenate(counts)
+        order = np.argsort(x)
+        x, c = x[order], c[order]
+        first = _runs(x)
+        pairs[:], counts[:] = [x[first]], [np.add.reduceat(c, first)]
+
+    for lo, hi, d, o in tx.blocks(data, off):
+        if len(d):
+            own = np.repeat(train[lo:hi], np.diff(o)).astype(np.uint64)
+            held += [x << np.uint64(1) | own for x in contexts(d, o)[0]]
+            if sum(map(len, held)) >= HELD:
+                count()
+                if sum(map(len, pairs)) > 3 * HELD:
+                    merge()
+    if held:
+        count()
+    if len(pairs) > 1:
+        merge()
+    return pairs[0], counts[0]
+
+
+def predictions(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each of all pairs of some contexts (distinct, in order): ln of the odds of the byte's own answer at each node of its walk, in SCALE steps."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    leaf = (pairs & np.uint64(255)).astype(np.int64)
+    base = pairs >> np.uint64(8) << np.uint64(8)
+    length = WALK[leaf]
+    at = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.int8)
+    of = lambda which, j: total[np.searchsorted(pairs, base[which] + ABOVE[leaf[which], j])] - total[np.searchsorted(pairs, base[which] + BELOW[leaf[which], j])]
+    which = np.arange(len(pairs))
+    all_ = of(which, 0)
+    for j in range(int(length.max(initial=0))):
+        right = of(which, j + 1)
+        x = np.log((right + 0.05) / (all_ - right + 0.05))
+        out[at[which] + j] = np.rint(np.clip(x, -8, 8) / SCALE)
+        more = length[which] > j + 1
+        which, all_ = which[more], right[more]
+    return out
+
+
+class Table:
+    """Where the predictions of a pair begin, by a directory of leading bits."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        length = WALK[(pairs & np.uint64(255)).astype(np.int64)]
+        begin = np.cumsum(length) - length
+        self.shift = np.uint64(64 - max(8, len(pairs).bit_length()))
+        mixed = self._mixed(pairs)
+        order = np.argsort(mixed)
+        self.mixed, self.begin = mixed[order], begin[order]
+        self.start = np.searchsorted(self.mixed, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+
+    @staticmethod
+    def _mixed(pairs: np.ndarray) -> np.ndarray:
+        return pairs * np.uint64(0x9E3779B97F4A7C15)
+
+    def __call__(self, pairs: np.ndarray) -> np.ndarray:
+        mixed = self._mixed(pairs)
+        at = self.start[mixed >> self.shift]
+        miss = np.flatnonzero(self.mixed[at] != mixed)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.mixed[at[miss]] != mixed[miss]]
+        return self.begin[at]
+
+
+def _alone(place: np.ndarray, length: np.ndarray, at: np.ndarray, cell: np.ndarray, x: np.ndarray, weights: np.ndarray, z: np.ndarray, step: float) -> None:
+    """What _costs' steps do, for the rest of one document, whose bytes are at the given places: a few numbers at a time are quicker without numpy."""
+    for lo in range(0, len(place), PART):
+        here = place[lo : lo + PART]
+        n = length[here]
+        index = np.repeat(at[here] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows = zip(*x[:, index].tolist())
+        cells = cell[here]
+        own = {c: weights[:, c].tolist() for c in np.unique(cells).tolist()}
+        got = []
+        for c, m in zip(cells.tolist(), n.tolist()):
+            w = own[c]
+            u0, u1, u2, u3, u4 = v0, v1, v2, v3, v4 = w
+            for q0, q1, q2, q3, q4 in islice(rows, m):
+                y = v0 * q0 + v1 * q1 + v2 * q2 + v3 * q3 + v4 * q4
+                got.append(y)
+                g = step / (1 + exp(min(y, 80.0)))
+                u0 += g * q0
+                u1 += g * q1
+                u2 += g * q2
+                u3 += g * q3
+                u4 += g * q4
+            w[:] = u0, u1, u2, u3, u4
+        z[index] = got
+        for c, w in own.items():
+            weights[:, c] = w
+
+
+def _costs(table: Table, known: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The cost in nats of each document of a batch, the longest first; all move on by a byte at once, each with weights of its own."""
+    n, size = len(off) - 1, np.diff(off)
+    pairs, gate = contexts(data, off)
     own = np.repeat(np.arange(n), size)
-    step = (np.arange(len(data)) - np.repeat(off[:-1], size)) // STEP
-    cell = own * 3 + gate
-    order = np.argsort(step * (3 * n) + cell, kind="stable")
-    step, cell = step[order], cell[order]
-    length, bit, slots = decisions(data[order], [h[order] for h in hashes])
-    x = np.empty((INPUTS, len(bit)), np.float32)
-    for k, s in enumerate(slots):
-        np.clip(model[k].take(s), -8, 8, out=x[k])
-    x *= bit.astype(np.float32) * 2 - 1  # towards the right answer
+    active = n - np.cumsum(np.bincount(size, minlength=size[0] + 1))[: size[0]]  # documents with a byte at each step
+    start = np.concatenate([[0], np.cumsum(active)])
+    place = start[np.arange(len(data)) - np.repeat(off[:-1], size)] + own
+    length, cell = np.empty(len(data), np.int64), np.empty(len(data), np.int64)
+    length[place], cell[place] = WALK[LEAF[data].astype(np.int64)], own * 3 + gate
     at = np.concatenate([[0], np.cumsum(length)])
-    edge = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (cell[1:] != cell[:-1])]))
-    begin, cells = at[edge], cell[edge]
-    counts = np.diff(np.append(begin, len(bit)))
-    turn = np.flatnonzero(np.concatenate([[True], step[edge][1:] != step[edge][:-1]]))
-    weights = np.full((3 * n, INPUTS), 1.2 / INPUTS, np.float32)
-    cost = np.zeros(3 * n)
-    for lo, hi in zip(turn, [*turn[1:], len(edge)], strict=True):
-        a, b = begin[lo], begin[hi - 1] + counts[hi - 1]
-        c, k, first = cells[lo:hi], counts[lo:hi], begin[lo:hi] - begin[lo]
-        part = x[:, a:b]
-        z = np.zeros(b - a, np.float32)
-        for i in range(INPUTS):
-            z += part[i] * np.repeat(weights[c, i], k)
-        e = np.exp(-z)
-        cost[c] += np.add.reduceat(np.log1p(e), first)
-        e /= 1 + e
-        weights[c] += (RATE / 8) * (np.add.reduceat(part * e, first, 1) / k).T
-    return cost.reshape(n, 3).sum(1)
+    x = np.empty((INPUTS, at[-1]), np.int8)
+    begin = np.empty(len(data), np.int64)
+    for k, p in enumerate(pairs):
+        for lo in range(0, len(data), PART):
+            begin[place[lo : lo + PART]] = table(p[lo : lo + PART])
+        for lo in range(0, len(data), PART):
+            a, b = at[lo], at[min(lo + PART, len(data))]
+            index = np.repeat(begin[lo : lo + PART] - at[lo : min(lo + PART, len(data))] + a, length[lo : lo + PART])
+            index += np.arange(b - a)
+            known.take(index, out=x[k, a:b], mode="clip")
+    weights = np.full((INPUTS, 3 * n), 1.2 / INPUTS * SCALE, np.float32)
+    z = np.empty(at[-1], np.float32)
+    step = np.float32(RATE * SCALE * SCALE)
+    edges, ends = start.tolist(), at[start].tolist()
+    with np.errstate(over="ignore"):
+        for t, (s, e, a, b) in enumerate(zip(edges, edges[1:], ends, ends[1:])):
+            if e - s <= ALONE:
+                for k in range(e - s):
+                    _alone(start[t : size[k]] + k, length, at, cell, x, weights, z, float(step))
+                break
+            c = cell[s:e]
+            w = weights.take(c, 1)
+            part = x[:, a:b].astype(np.float32)
+            got = np.einsum("ij,ij->j", w.repeat(length[s:e], 1), part, out=z[a:b])
+            part *= step / (1 + np.exp(got))
+            w += np.add.reduceat(part, at[s:e] - a, 1)
+            weights[:, c] = w
+    cost = np.zeros(n)
+    for lo in range(0, len(data), PART):
+        part = slice(lo, lo + PART)
+        a, b = at[lo], at[min(lo + PART, len(data))]
+        cost += np.bincount(cell[part] // 3, np.add.reduceat(np.log1p(np.exp(-np.maximum(z[a:b], -80))) - np.minimum(z[a:b] + 80, 0), at[lo : min(lo + PART, len(data))] - a), n)
+    return cost
+
+
+def costs(pairs: np.ndarray, known: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The cost in nats of each document, from the predictions of all its pairs of context and byte."""
+    size = np.diff(off)
+    out = np.zeros(len(size))
+    if not len(data):
+        return out
+    table = Table(pairs)
+    order = np.argsort(-size, kind="stable")[: int((size > 0).sum())]
+    batch = np.cumsum(size[order]) // BATCH
+    for docs in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+        o = np.concatenate([[0], np.cumsum(size[docs])])
+        out[docs] = _costs(table, known, np.concatenate([data[off[k] : off[k + 1]] for k in docs]), o)
+    return out
 
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,88 +299,119 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], h[order]
 
 
+_LEARNED = "bucket int, flock long, words binary, counts binary, pairs binary, seen binary, docs binary"
+_ANSWERS = "bucket int, flock long, words binary, counts binary, known binary, distinct long, tokens long"
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the like bytes of all together."""
+    return np.array([len(x)], np.int64).tobytes() + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    n, width = int(np.frombuffer(raw[:8], np.int64)[0]), np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw[8:], n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).reshape(-1)
+
+
+def _packed_docs(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
 def _learn(buckets: int):
-    """From documents sorted by flock: each flock's distinct words by bucket with their training counts; the task's tables."""
-
-    def ask(flock: int, held: list) -> pa.RecordBatch:
-        h, k = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        word, at = np.unique(h, return_inverse=True)
-        count = np.bincount(at, k).astype(np.int64)
-        bucket = (word % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        has = np.flatnonzero(np.diff(edges))
-        cut_ = lambda x, kind: pa.array([x[order][edges[b] : edges[b + 1]].astype(kind).tobytes() for b in has], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(np.full(len(has), flock, np.int64)), cut_(word, np.uint64), cut_(count, np.int32)], ["bucket", "flock", "words", "counts"])
+    """Flocks of a task's documents: their texts, and their distinct words and pairs by bucket with training counts."""
+
+    def ask(flock: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {c: [] for c in ("bucket", "words", "counts", "pairs", "seen", "docs")}
+
+        def row(bucket: int, **cols: bytes) -> None:
+            for c in rows:
+                rows[c].append(bucket if c == "bucket" else cols.get(c))
+
+        docs = pa.Table.from_batches(batches)
+        row(-1, docs=_packed_docs(batches))
+        train = docs["train"].to_numpy()
+        data, off = tx.utf8(docs["text"])
+        held = []
+        for lo, hi, d, o in tx.blocks(data, off):
+            doc, h = _tokens(d, o)
+            word, at = np.unique(h, return_inverse=True)
+            held.append((word, np.bincount(at, train[lo:hi][doc])))
+        word, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([x[1] for x in held])).astype(np.int32)
+        pairs, seen = distinct(data, off, train)
+        edge = lambda b: np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+        # Buckets are ranges of the hashes, so both are in order of buckets already.
+        words_at, pairs_at = edge(_bucket(word, buckets, 32)), edge(_bucket(pairs, buckets, 31))
+        for b in range(buckets):
+            w, p = slice(words_at[b], words_at[b + 1]), slice(pairs_at[b], pairs_at[b + 1])
+            if w.start < w.stop or p.start < p.stop:
+                row(b, words=word[w].tobytes(), counts=count[w].tobytes(), pairs=_pack(np.diff(pairs[p], prepend=np.uint64(0))), seen=_pack(seen[p].astype(np.int32)))
+        cols = [pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["bucket"]), flock)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "pairs", "seen", "docs"))]
+        yield pa.RecordBatch.from_arrays(cols, ["bucket", "flock", "words", "counts", "pairs", "seen", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((INPUTS, 2 * SLOTS), np.int32)
-        now, held, any_row = None, [], False
+        flock, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            any_row = any_row or len(batch) > 0
-            flocks, train = batch.column("flock").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(flocks)) + 1), len(batch)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if flocks[a] != now and held:
-                    yield ask(now, held)
-                    held = []
-                now = int(flocks[a])
-                data, off = tx.utf8(batch.column("text").slice(a, b - a))
-                for lo, hi, d, o in tx.blocks(data, off):
-                    own = train[a + lo : a + hi]
-                    doc, h = _tokens(d, o)
-                    held.append((h, own[doc].astype(np.float64)))
-                    if own.any():
-                        size = np.diff(o)[own]
-                        pick = np.repeat(own, np.diff(o))
-                        _learn_table(table, d[pick], np.concatenate([[0], np.cumsum(size)]))
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
+                own = pa.compute.sum(pa.compute.binary_length(part.column("text"))).as_py() or 0
+                if held and size + own > 1.2 * FLOCK:
+                    yield from ask(flock, held)
+                    flock, held, size = flock + 1, [], 0
+                held.append(part)
+                size += own
         if held:
-            yield ask(now, held)
-        if any_row:
-            flat = table.reshape(-1)
-            step = len(flat) // SLICES
-            raw = [zlib.compress(flat[k * step : (k + 1) * step].astype(np.int32).tobytes(), 1) for k in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(SLICES, -1, np.int32)), pa.array(np.arange(SLICES, dtype=np.int64)), pa.array(raw, pa.binary()), pa.nulls(SLICES, pa.binary())], ["bucket", "flock", "words", "counts"])
+            yield from ask(flock, held)
 
     return run
 
 
+def _bucket(h: np.ndarray, buckets: int, shift: int) -> np.ndarray:
+    return ((h >> np.uint64(shift)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _answer(key: tuple, rows: pa.Table) -> pa.Table:
-    """A bucket's counts for each flock that asked; distinct training words and training tokens in the bucket."""
+    """A bucket's counts and predictions for each flock that asked; distinct training words and training tokens in the bucket."""
     asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["words"]]
     own = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows["counts"]]).astype(np.int64)
     word, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, own).astype(np.int64)
-    got, begin = [], 0
-    for x in asked:
+    pairs = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in rows["pairs"]]
+    pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
+    seen = np.bincount(pair_at, np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["seen"]]), len(pair)).astype(np.int64)
+    odds = predictions(pair, seen)
+    length = WALK[(pair & np.uint64(255)).astype(np.int64)]
+    odds_at = np.cumsum(length) - length
+    got, known, begin, pair_begin = [], [], 0, 0
+    for x, p in zip(asked, pairs, strict=True):
         got.append(total[at[begin : begin + len(x)]].tobytes())
         begin += len(x)
+        of = pair_at[pair_begin : pair_begin + len(p)]
+        pair_begin += len(p)
+        n = length[of]
+        known.append(_pack(odds[np.repeat(odds_at[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())]))
     n = len(asked)
     first = np.zeros(n, np.int64)
     return pa.table({
-        "flock": rows["flock"], "words": rows["words"], "counts": pa.array(got, pa.binary()),
+        "bucket": rows["bucket"], "flock": rows["flock"], "words": rows["words"], "counts": pa.array(got, pa.binary()), "known": pa.array(known, pa.binary()),
         "distinct": pa.array(np.append((total > 0).sum(), first)[:n].astype(np.int64)), "tokens": pa.array(np.append(total.sum(), first)[:n].astype(np.int64)),
     })
 
 
-def _added(key: tuple, rows: pa.Table) -> pa.Table:
-    total = None
-    for raw in rows["words"]:
-        x = np.frombuffer(zlib.decompress(raw.as_buffer()), np.int32).astype(np.int64)
-        total = x if total is None else total + x
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "raw": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def _scored(held, tokens: int, distinct: int):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        word = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers["words"]] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in answers["counts"]] or [np.zeros(0, np.int64)])
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        n_tokens, n_known, base, cost = (np.zeros(len(docs)) for _ in range(4))
-        below = tokens + 0.1 * (distinct + 1)
+def _scored(tokens: int, distinct_words: int):
+    def run(key: tuple, flock: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in flock["docs"])
+        answers = answers.sort_by("bucket")
+        word = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers["words"]])
+        count = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in answers["counts"]])
+        known = np.concatenate([_unpack(x.as_py(), np.int8) for x in answers["known"]])
+        n_tokens, n_known, base = (np.zeros(len(docs)) for _ in range(3))
+        below = tokens + 0.1 * (distinct_words + 1)
         data, off = tx.utf8(docs["text"])
         for lo, hi, d, o in tx.blocks(data, off):
             doc, h = _tokens(d, o)
@@ -261,7 +419,7 @@ def _scored(held, tokens: int, distinct: int):
             n_tokens[lo:hi] = np.bincount(doc, minlength=hi - lo)
             n_known[lo:hi] = np.bincount(doc, c > 0, hi - lo)
             base[lo:hi] = np.bincount(doc, np.log10((c + 0.1) / below), hi - lo)
-            cost[lo:hi] = costs(held.value, d, o)
+        cost = costs(distinct(data, off, np.zeros(len(docs), bool))[0], known, data, off)
         size = np.diff(off)
         none = np.full(len(docs), tokens == 0)
         bits = np.divide(cost, np.log(2) * size, out=np.zeros(len(docs)), where=size > 0)
@@ -278,20 +436,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     import pyarrow.compute  # noqa: F401
 
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
-    flocks = max(1, -(-(size[0] or 0) // FLOCK), -(-size[1] // 50_000))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     train = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 != 0, F.lit(True))
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), train.alias("train"), F.pmod(F.xxhash64(key, text), F.lit(flocks)).alias("flock"))
-    tasks = min(flocks, parts(spark, 6))
-    buckets = min(parts(spark, 8), 4096)
-    learned = cut(d.repartition(tasks, "flock").sortWithinPartitions("flock").mapInArrow(_learn(buckets), "bucket int, flock long, words binary, counts binary"))
-    answers = cut(learned.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer, "flock long, words binary, counts binary, distinct long, tokens long"))
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
+    tasks = max(1, -(-size // FLOCK))
+    given = d.rdd.getNumPartitions()  # a task may part its documents into several flocks; texts are dealt anew only where tasks would be few
+    d = d.coalesce(tasks) if given >= tasks else d.repartition(tasks) if given < parts(spark, 8) // 8 else d
+    buckets = max(parts(spark, 8), -(-size // BUCKET))
+    learned = cut(d.mapInArrow(_learn(buckets), _LEARNED))
+    answers = cut(learned.where("bucket >= 0").drop("docs").groupBy("bucket").applyInArrow(_answer, _ANSWERS))
     total = answers.agg(F.sum("distinct"), F.sum("tokens")).first()
-    table = np.zeros(INPUTS * 2 * SLOTS, np.int64)
-    step = len(table) // SLICES
-    for r in learned.where("bucket < 0").groupBy("flock").applyInArrow(_added, "slice long, raw binary").toLocalIterator():
-        table[r.slice * step : (r.slice + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.raw)), np.int64)
-    held = spark.sparkContext.broadcast(stretched(table))
-    back = answers.select("flock", "words", "counts")
+    texts, back = learned.where("bucket < 0").select("flock", "docs"), answers.select("bucket", "flock", "words", "counts", "known")
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return d.groupBy("flock").cogroup(back.groupBy("flock")).applyInArrow(_scored(held, total[1] or 0, total[0] or 0), schema)
+    return texts.groupBy("flock").cogroup(back.groupBy("flock")).applyInArrow(_scored(total[1] or 0, total[0] or 0), schema)

@@ -203,6 +203,57 @@ def test_lm_base_score(spark):
     assert mixing.score(d.limit(0)).count() == 0
 
 
+def brute_lm(rows):
+    """Scores from a dict of counts for every context and node, weights moved after every byte."""
+    length, first, node, bit = mixing._code()
+    walk = {b: [(int(node[k]), int(bit[k])) for k in range(first[b], first[b] + length[b])] for b in range(256)}
+    space = {0x20, *range(0x09, 0x0E)}
+
+    def seen_at(t, p):
+        begin = max((k + 1 for k in range(p) if t[k] in space), default=0)
+        return [*((o, t[max(0, p - o) : p]) for o in mixing.ORDERS), (0, t[begin:p])]
+
+    count = Counter()
+    for r in rows:
+        t = (r.text or "").encode()
+        if zlib.crc32(str(r.doc_id).encode()) % 10:
+            count.update((c, n, b) for p in range(len(t)) for c in seen_at(t, p) for n, b in walk[t[p]])
+    out = {}
+    for r in rows:
+        t, cost = (r.text or "").encode(), 0.0
+        weights = {g: [1.2 / mixing.INPUTS] * mixing.INPUTS for g in range(3)}
+        for p in range(len(t)):
+            w = weights[1 if not p or t[p - 1] in space else 2 if t[p - 1] >= 0x80 else 0]
+            move = [0.0] * mixing.INPUTS
+            for n, b in walk[t[p]]:
+                odds = [math.log((count[c, n, b] + 0.05) / (count[c, n, 1 - b] + 0.05)) for c in seen_at(t, p)]
+                odds = [round(max(-8, min(8, x)) / mixing.SCALE) * mixing.SCALE for x in odds]
+                z = sum(map(float.__mul__, w, odds))
+                cost += math.log1p(math.exp(-z))
+                move = [m + mixing.RATE * x / (1 + math.exp(z)) for m, x in zip(move, odds)]
+            w[:] = map(float.__add__, w, move)
+        out[r.doc_id] = -cost / math.log(10)
+    return out
+
+
+def test_lm_counts_every_context(spark):
+    d = docs(spark, [*ODD[:5], *ODD[6:], "short", *(words(k, 60) for k in range(24)), words(3, 60)])
+    want = brute_lm(d.collect())
+    got = {r.doc_id: r.score for r in mixing.score(d.repartition(3)).collect()}
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_lm_model_grows():
+    """Two million pairs of context and byte are all told apart: what followed one says nothing of another."""
+    import numpy as np
+
+    pairs = np.sort(np.random.default_rng(1).choice(1 << 40, 2_000_000, replace=False).astype(np.uint64)) << np.uint64(8) | np.uint64(7)
+    known = mixing.predictions(pairs, np.ones(len(pairs), np.int64))
+    assert len(known) == len(pairs) * mixing.WALK[7] and set(known.tolist()) == {round(math.log(1.05 / 0.05) / mixing.SCALE)}
+    some = pairs[::-3]
+    assert (mixing.Table(pairs)(some) == np.arange(len(pairs))[::-3] * mixing.WALK[7]).all()
+
+
 def test_lm_beats_a_uniform_code(spark):
     got = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out AND bits_per_byte IS NOT NULL").agg(F.avg("bits_per_byte")).first()[0]
     assert got < 4
