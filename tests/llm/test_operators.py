@@ -309,6 +309,17 @@ def test_decontamination(spark):
     assert decontaminate.find(d.select("doc_id", "text"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_passages_cut_off_at_the_threshold(spark):
+    """All differing words at one end, similarity just 0.75 or more; fingerprints of these are 32 to 35 bits apart."""
+    seeds = [14, 75, 252, 266, 318, 513, 1093, 1135]
+    bench = spark.createDataFrame([(k, words(f"cut{k}", 60)) for k in seeds], "item_id long, text string")
+    d = docs(spark, [" ".join(words(f"cut{k}", 60).split()[:52]) + " " + words(f"else{k}", 8) for k in seeds])
+    want = brute_leaks(d.collect(), bench.collect())
+    assert len(want) == len(seeds)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(d.select("doc_id", "text"), bench).collect()} == want
+    assert decontaminate.clean(d, bench).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
