@@ -10,8 +10,9 @@ set also enumerates for the band below where that may hold a smaller partner, so
 linked pair meets in a band (n2 = 1 second-level partitions: five-word shingles are
 selective enough for single ranges, and larger subsets only add signatures).
 
-Equal sets are one set from the start. Tasks send their signatures in blobs, one for each
-bucket. A signature that at most FEW sets share gives all its pairs; a set may leave out up
+Equal sets are one set from the start: a task sends a set's signatures once, however many
+texts have it, in blobs, one for each bucket, where copies from other tasks are dropped as they
+come in. A signature that at most FEW sets share gives all its pairs; a set may leave out up
 to x signatures that more share. Sets of which more are common (large groups of near
 copies) meet, for just the ham + 1 - (uncommon) rarest of their common signatures, a hub of
 each signature first; only where the links with the hubs leave a signature's sets in
@@ -165,9 +166,15 @@ def _send(bands: Bands, width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         n_held = 0
+        sent = np.zeros(0, np.uint64)  # names of the task's sets so far
         for batch in batches:
             for n, name, both in _signed(bands, width, batch):
+                new = np.zeros(len(name), bool)
+                new[np.unique(name, return_index=True)[1]] = True
+                new &= ~np.isin(name, sent)
+                sent = np.concatenate([sent, name[new]])
                 for sig, own, keep in both:
+                    sig, own = sig[new[own]], own[new[own]]
                     held.append((sig, name[own], n[own], (keep - bands.ham(n))[own]))
                     n_held += len(sig)
                 if n_held > FLUSH:
@@ -188,6 +195,16 @@ def _open(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     return sig.view(np.uint64)[:, 0], np.frombuffer(raw[2], np.uint64)[at], np.frombuffer(raw[3], np.int32)[at], np.frombuffer(raw[4], np.int32)[at]
 
 
+def _together(blobs: list) -> list:
+    """The same sets and signatures as one blob, copies dropped."""
+    sig, sid, size, slack = (np.concatenate([x[k] for x in blobs]) for k in range(4))
+    order = np.lexsort((sid, sig))
+    new = np.ones(len(order), bool)
+    new[1:] = (sig[order][1:] != sig[order][:-1]) | (sid[order][1:] != sid[order][:-1])
+    order = order[new]
+    return [(sig[order], sid[order], size[order], slack[order])]
+
+
 def _meet(bands: Bands, few_at_most: int):
     """Pairs of the sets that share uncommon signatures of a bucket and how many; (signature, set) of common ones."""
 
@@ -231,13 +248,19 @@ def _meet(bands: Bands, few_at_most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
+        n_held, limit = 0, FLUSH
         for batch in batches:
             for bucket, band, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sigs", "at", "sids", "sizes", "slacks")), strict=True):
                 if (bucket, band) != now and held:
                     yield from one(now, held)
-                    held = []
+                    held, n_held, limit = [], 0, FLUSH
                 now = bucket, band
                 held.append(_open(raw))
+                n_held += len(held[-1][0])
+                if n_held > limit:
+                    held = _together(held)
+                    n_held = len(held[0][0])
+                    limit = max(FLUSH, 2 * n_held)
         if held:
             yield from one(now, held)
 
@@ -301,6 +324,22 @@ def _confront(num: int, den: int):
     return run
 
 
+def _heavy(pairs: DataFrame) -> DataFrame:
+    """(sid, blocks) of the sets with over BLOCK pairs."""
+    ends = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid")))
+    return ends.groupBy("sid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+
+
+def _dealt(pairs: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(a, b, block): the pairs with the set of more pairs first, its partners dealt to blocks of about BLOCK, so that no task holds a family."""
+    for c in ("a", "b"):
+        pairs = pairs.join(heavy.select(F.col("sid").alias(c), F.col("blocks").alias(f"blocks_{c}")), c, "left")
+    pairs = pairs.select("a", "b", *(F.coalesce(f"blocks_{c}", F.lit(1)).alias(f"blocks_{c}") for c in ("a", "b")))
+    pick = lambda x, y: F.when(F.col("blocks_b") > F.col("blocks_a"), F.col(y)).otherwise(F.col(x))
+    turned = pairs.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.greatest("blocks_a", "blocks_b").alias("blocks"))
+    return turned.select("a", "b", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
+
+
 class Join:
     """One run of the join over docs (doc_id, text)."""
 
@@ -353,8 +392,10 @@ class Join:
 
     def _measure(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough."""
-        sent = pairs.join(self.grams.select(F.col("sid").alias("b"), F.col("grams").alias("held")), "b").select("a", "b", "held")
-        got = self.grams.groupBy("sid").cogroup(sent.groupBy("a")).applyInArrow(_compare, "a long, b long, both long, either long")
+        heavy = cut(_heavy(pairs))
+        sent = _dealt(pairs, heavy).join(self.grams.select(F.col("sid").alias("b"), F.col("grams").alias("held")), "b").select("a", "b", "block", "held")
+        own = self.grams.join(heavy, "sid", "left").select("sid", "grams", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+        got = own.groupBy("sid", "block").cogroup(sent.groupBy("a", "block")).applyInArrow(_compare, "a long, b long, both long, either long")
         return got.where(F.col("both") * self.bands.den >= F.col("either") * self.bands.num).select("a", "b")
 
     def _rest(self, members: DataFrame, near: DataFrame) -> DataFrame | None:

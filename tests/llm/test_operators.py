@@ -69,6 +69,27 @@ def test_jaccard_join(spark, few):
     assert jaccard.classes(d.limit(0)).count() == 0
 
 
+def test_jaccard_deals_a_hub_to_blocks(spark):
+    pairs = spark.range(5000).select(F.lit(-1).cast("long").alias("a"), F.col("id").alias("b"))
+    pairs = pairs.unionAll(spark.range(3000).select((F.col("id") + 10_000).alias("a"), F.lit(50_000).cast("long").alias("b")))
+    dealt = jaccard._dealt(pairs, jaccard._heavy(pairs))
+    got = {(r.a, r.b) for r in dealt.collect()}
+    assert got == {(-1, k) for k in range(5000)} | {(50_000, k + 10_000) for k in range(3000)} and dealt.count() == 8000
+    for c in (["a", "block"], ["b"]):
+        assert dealt.groupBy(*c).count().agg(F.max("count")).first()[0] <= 1.5 * jaccard.BLOCK
+
+
+def test_jaccard_sends_equal_sets_once():
+    import pyarrow as pa
+
+    def sent(texts):
+        batches = [pa.RecordBatch.from_pydict({"text": texts[k : k + 100]}) for k in range(0, len(texts), 100)]
+        return sum(len(x) // 5 for b in jaccard._send(jaccard.Bands(3, 4), 5, 8)(iter(batches)) for x in b.column("sigs").to_pylist())
+
+    one, two = words("one", 80), words("two", 90)
+    assert sent([one, two] * 200) == sent([one, two]) > 0
+
+
 def test_jaccard_on_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, jaccard.classes(d).collect())) == brute_classes(d.collect())
