@@ -2,9 +2,16 @@
 
 Each task gathers the distinct pre-tokens of its texts. Their bytes become
 token-position rows; a recursive query joins neighbouring rows to the merge table,
-contracts every word's leftmost pair of minimum rank and stops at the fixpoint.
-Ordered aggregation turns the rows of a word back into ids and, through the
-vocabulary, into bytes. Texts are then put together from their words' results.
+contracts every word's leftmost pair of minimum rank and stops at the fixpoint. A word that
+is a vocabulary entry is one finished row from the start, as the tiktoken library takes it.
+Ordered aggregation turns the rows of every word back into ids and, through a join with the
+vocabulary, into the bytes that the ids stand for: all decoded bytes come from ids. Texts are
+then put together from their words' results by Arrow's list functions.
+
+A round of the recursion makes one merge of each word and rewrites its rows, so its work for
+one word grows with the square of the length. Words over LONG bytes, which would not end,
+are merged in the same order (leftmost pair of minimum rank) by a heap over a linked list;
+they decode as all others do.
 
 Work for a text is linear in its words; texts never leave their partition, so there
 is no shuffle and no key that could be hot. The vocabulary travels as one broadcast
@@ -20,43 +27,49 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_VOCABULARY = 64 << 20
-#: Rows that one recursive query may make before its state is read back and sown again.
-QUERY_ROWS = 4_000_000
-#: Distinct text pieces whose results a task keeps.
-CACHE = 700_000
-
-_ENCODE = """
+#: Rows that one recursive query may make.
+QUERY_ROWS = 6_000_000
+#: Bytes of a word that the recursion takes.
+LONG = 1024
+#: Distinct text pieces whose results a worker keeps in each of two generations.
+CACHE = 400_000
+#: Bytes of texts that are put together at once.
+SLICE = 8 << 20
+
+#: A pair to merge is one number: its rank, then its place.
+_CODE = """
 WITH RECURSIVE step AS (
-  SELECT 0 AS it, s.w, s.pos, s.tok, s.nxt, m.tok * 1048576 + s.pos AS cand
+  SELECT 0 AS it, s.w, s.pos, s.tok, s.nxt, m.tok * 1099511627776 + s.pos AS cand
   FROM seed s LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + s.nxt
   UNION ALL
-  SELECT s.it + 1, s.w, s.pos, s.tok, s.nxt, m.tok * 1048576 + s.pos
+  SELECT s.it + 1, s.w, s.pos, s.tok, s.nxt, m.tok * 1099511627776 + s.pos
   FROM (
     SELECT s.it, s.w,
-      CASE WHEN s.pos > b.best % 1048576 THEN s.pos - 1 ELSE s.pos END AS pos,
-      CASE WHEN s.pos = b.best % 1048576 THEN (b.best // 1048576)::INT ELSE s.tok END AS tok,
-      CASE WHEN s.pos = b.best % 1048576 - 1 THEN (b.best // 1048576)::INT
-           WHEN s.pos = b.best % 1048576 THEN b.after ELSE s.nxt END AS nxt
+      CASE WHEN s.pos > b.at THEN s.pos - 1 ELSE s.pos END AS pos,
+      CASE WHEN s.pos = b.at THEN b.made ELSE s.tok END AS tok,
+      CASE WHEN s.pos = b.at - 1 THEN b.made WHEN s.pos = b.at THEN b.after ELSE s.nxt END AS nxt
     FROM step s JOIN (
-      SELECT x.w, x.best, y.nxt AS after
-      FROM (SELECT w, min(cand) AS best FROM step GROUP BY w HAVING min(cand) IS NOT NULL) x
-      JOIN step y ON y.w = x.w AND y.pos = x.best % 1048576 + 1) b ON b.w = s.w
-    WHERE s.pos <> b.best % 1048576 + 1 AND s.it < {rounds}) s
-  LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + s.nxt)
-SELECT w, pos, tok, nxt, cand FROM step SEMI JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it)
-"""
-_GATHER = """
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS bytes
-FROM done JOIN vocabulary v ON v.id = done.tok GROUP BY w
+      SELECT x.w, x.at, x.made, y.nxt AS after
+      FROM (SELECT w, (min(cand) % 1099511627776)::INT AS at, (min(cand) // 1099511627776)::INT AS made FROM step GROUP BY w HAVING min(cand) IS NOT NULL) x
+      JOIN step y ON y.w = x.w AND y.pos = x.at + 1) b ON b.w = s.w
+    WHERE s.pos <> b.at + 1) s
+  LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + s.nxt),
+done AS (
+  SELECT w, pos, tok FROM step SEMI JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it)
+  UNION ALL SELECT w, pos, tok FROM finished)
+SELECT w, string_agg(v.name, ' ' ORDER BY pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes, count(*) AS n
+FROM done JOIN vocabulary v ON v.id = done.tok GROUP BY w ORDER BY w
 """
 
 
@@ -65,6 +78,31 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word by merging its leftmost pair of minimum rank until none is left: a heap of pairs over a linked list."""
+    n = len(word)
+    part = [word[k : k + 1] for k in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, k, part[k], part[k + 1]) for k in range(n - 1) if (r := ranks.get(part[k] + part[k + 1])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n + 1)
+    while heap:
+        _, k, left, right = heapq.heappop(heap)
+        nxt = after[k]
+        if gone[k] or nxt >= n or part[k] != left or part[nxt] != right:
+            continue  # one of the two has been merged since
+        part[k] = left + right
+        gone[nxt] = 1
+        after[k] = far = after[nxt]
+        if far < n:
+            before[far] = k
+            if (r := ranks.get(part[k] + part[far])) is not None:
+                heapq.heappush(heap, (r, k, part[k], part[far]))
+        if (b := before[k]) >= 0 and (r := ranks.get(part[b] + part[k])) is not None:
+            heapq.heappush(heap, (r, b, part[b], part[k]))
+    return [ranks[part[k]] for k in range(n) if not gone[k]]
+
+
 class WordCoder:
     """Encodes and decodes pre-tokens in an in-memory DuckDB database of one task."""
 
@@ -83,52 +121,70 @@ class WordCoder:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = pa.table({"pair": pa.array(pairs, pa.int64()), "tok": pa.array(made, pa.int64())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
-        rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
+        rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "name": [str(r) for r in self.ranks.values()], "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
 
-    def _sow(self, words: list[bytes]) -> pa.Table:
-        size = np.array([len(w) for w in words])
-        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+    def _rows(self, words: list[bytes]) -> tuple[pa.Table, pa.Table]:
+        """Token-position rows of the words: those still to be merged, and finished ones."""
+        entry = [self.ranks.get(w) if len(w) <= LONG else None for w in words]
+        long_ = {k: merge_long(w, self.ranks) for k, w in enumerate(words) if len(w) > LONG}
+        todo = np.array([k for k, r in enumerate(entry) if r is None and k not in long_], np.int32)
+        size = np.array([len(words[k]) for k in todo], np.int64)
+        tok = self.byte[np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)]
         end = np.cumsum(size)
         last = np.zeros(len(tok), bool)
         last[end - 1] = True
-        return pa.table({
-            "w": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), size)),
-            "pos": pa.array((np.arange(len(tok)) - np.repeat(end - size, size)).astype(np.int32)),
-            "tok": pa.array(tok),
-            "nxt": pa.array(np.append(tok[1:], np.int32(0)), mask=last),
+        seed = pa.table({
+            "w": pa.array(np.repeat(todo, size)), "pos": pa.array((np.arange(len(tok)) - np.repeat(end - size, size)).astype(np.int32)),
+            "tok": pa.array(tok), "nxt": pa.array(np.append(tok[1:], np.int32(0))[: len(tok)], mask=last),
         })
+        whole = [k for k, r in enumerate(entry) if r is not None]
+        w = np.concatenate([np.array(whole, np.int32), *(np.full(len(x), k, np.int32) for k, x in long_.items())])
+        pos = np.concatenate([np.zeros(len(whole), np.int32), *(np.arange(len(x), dtype=np.int32) for x in long_.values())])
+        made = np.concatenate([np.array([entry[k] for k in whole], np.int32), *(np.array(x, np.int32) for x in long_.values())])
+        return seed, pa.table({"w": w, "pos": pos, "tok": made})
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[list[str], list[bytes], list[int]]]:
+        """Of each word, batch by batch: its ids as decimals joined by a space, the bytes they decode to, and their number."""
+        lo, rows = 0, 0
+        for k in range(len(words) + 1):
+            cost = 0 if k == len(words) else len(words[k]) * (len(words[k]) if len(words[k]) <= LONG else 1) // 2 + 1
+            if lo < k and (k == len(words) or rows + cost > QUERY_ROWS):
+                seed, finished = self._rows(words[lo:k])  # noqa: F841
+                got = self.db.sql(_CODE).to_arrow_table()
+                if len(got) != k - lo:
+                    raise RuntimeError("words without ids")  # no vocabulary lacks single bytes
+                yield got["ids"].to_pylist(), got["bytes"].to_pylist(), got["n"].to_pylist()
+                lo, rows = k, 0
+            rows += cost
 
-    def _batch(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        n = sum(map(len, words))
-        rounds = max(8, QUERY_ROWS // n)
-        seed, found = self._sow(words), []
-        while True:
-            state = self.db.sql(_ENCODE.format(rounds=rounds)).to_arrow_table()
-            open_words = np.unique(state["w"].filter(state["cand"].is_valid()).to_numpy()) if state["cand"].null_count < len(state) else np.zeros(0, np.int32)
-            going = np.isin(state["w"].to_numpy(), open_words)
-            found.append(state.filter(pa.array(~going)))
-            if not len(open_words):
-                break
-            seed = state.filter(pa.array(going)).select(["w", "pos", "tok", "nxt"])
-        done = pa.concat_tables(found)  # noqa: F841
-        out: list[tuple[str, bytes]] = [("", b"")] * len(words)
-        got = self.db.sql(_GATHER).to_arrow_table()
-        for w, ids, raw in zip(*(got[c].to_pylist() for c in ("w", "ids", "bytes")), strict=True):
-            out[w] = ids, bytes.fromhex(raw)
-        return out
 
-    def encode(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """Of each word: its ids as decimals joined by a space, and the bytes they decode to."""
-        out, batch, rows = [], [], 0
-        for w in words:
-            cost = len(w) * min(len(w), 64) // 2 + 1
-            if batch and rows + cost > QUERY_ROWS // 2:
-                out += self._batch(batch)
-                batch, rows = [], 0
-            batch.append(w)
-            rows += cost
-        return out + (self._batch(batch) if batch else [])
+def _joined(values: pa.Array, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Runs of a string or binary array as one value each."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[edges])), values.buffers()[2] if len(values) else pa.py_buffer(b"")])
+
+
+class _Results:
+    """Ids, bytes and number of ids of pieces, each kind in a list of its own."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids: list[str] = []
+        self.raw: list[bytes] = []
+        self.n: list[int] = []
+
+    def add(self, piece: str, ids: str, raw: bytes, n: int) -> None:
+        self.at[piece] = len(self.n)
+        self.ids.append(ids)
+        self.raw.append(raw)
+        self.n.append(n)
+
+    def extend(self, pieces: list[str], ids: list[str], raw: list[bytes], n: list[int]) -> None:
+        self.at.update(zip(pieces, range(len(self.n), len(self.n) + len(n)), strict=True))
+        self.ids += ids
+        self.raw += raw
+        self.n += n
 
 
 class TextCoder:
@@ -136,65 +192,86 @@ class TextCoder:
 
     A piece is what lies between single spaces. Pre-tokens never cross from one piece into
     the next, the space goes with the piece after it, unless white space meets white space;
-    such texts are matched as a whole.
+    such texts are matched as a whole, and their pre-tokens are their pieces.
     """
 
     def __init__(self, raw: bytes, pattern: str) -> None:
         import regex
 
         self.find, self.coder = regex.compile(pattern).findall, WordCoder(raw)
-        #: Ids and bytes of pieces: first in a text, or after a space.
-        self.first: tuple[dict[str, str], dict[str, bytes]] = {"": ""}, {"": b""}
-        self.later: tuple[dict[str, str], dict[str, bytes]] = {}, {}
-
-    def _learn(self, first: set[str], later: set[str], whole: dict[int, list[str]]) -> tuple[dict[str, str], dict[str, bytes]]:
-        find = self.find
-        cut = [({p: find(p) for p in first}, self.first), ({p: find(" " + p) for p in later}, self.later)]
-        words: set[str] = set()
-        for ws in (*cut[0][0].values(), *cut[1][0].values(), *whole.values()):
-            words.update(ws)
-        ids, raws, todo = {}, {w: w.encode() for w in words}, []
-        for w, raw in raws.items():
-            if (rank := self.coder.ranks.get(raw)) is None:
-                todo.append(w)
-            else:
-                ids[w] = str(rank)
-        for w, (got, raw) in zip(todo, self.coder.encode([raws[w] for w in todo]), strict=True):
-            ids[w], raws[w] = got, raw
-        for pieces, (to_ids, to_raw) in cut:
-            for p, ws in pieces.items():
-                if len(ws) == 1:
-                    to_ids[p], to_raw[p] = ids[ws[0]], raws[ws[0]]
-                else:
-                    to_ids[p], to_raw[p] = " ".join([ids[w] for w in ws]), b"".join([raws[w] for w in ws])
-        return ids, raws
-
-    def __call__(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
-        if len(self.later[0]) > CACHE:
-            for x in (*self.first, *self.later):
-                x.clear()
-            self.first[0][""], self.first[1][""] = "", b""
-        pieces = [t.split(" ") for t in texts]
-        first = {p[0] for p in pieces} - self.first[0].keys()
-        later: set[str] = set()
+        #: Pieces and words met last, and those before them: where their results lie in the lists.
+        self.young, self.old = _Results(), _Results()
+
+    def _known(self, pieces: list[str], parted: bool) -> tuple[list[str], list[bytes], list[int]]:
+        """The results of distinct pieces; pieces that are single pre-tokens (not parted) are not matched again."""
+        young, old = self.young, self.old
+        here, before = young.at, old.at
+        new = []
         for p in pieces:
-            later.update(p[1:])
-        odd = {p for p in later if not p or p[0].isspace()}
-        whole = {k: self.find(texts[k]) for k, p in enumerate(pieces) if not odd.isdisjoint(p[1:])} if odd else {}
-        known, raws = self._learn(first, later - self.later[0].keys() - odd, whole)
-        ids, raw = [], []
-        for k, p in enumerate(pieces):
-            if k in whole:
-                ids.append(" ".join([known[w] for w in whole[k]]))
-                raw.append(b"".join([raws[w] for w in whole[k]]))
-                continue
-            start, rest = p[0], p[1:]
-            ids.append(" ".join([*([self.first[0][start]] if start else []), *map(self.later[0].__getitem__, rest)]))
-            raw.append(b"".join([self.first[1][start], *map(self.later[1].__getitem__, rest)]))
-        return ids, raw
-
-
-def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", rows: int = 1000) -> DataFrame:
+            if p not in here:
+                if (k := before.get(p)) is None:
+                    new.append(p)
+                else:
+                    young.add(p, old.ids[k], old.raw[k], old.n[k])
+        if new:
+            cut = [self.find(p) for p in new] if parted else [[p] for p in new]
+            words = list({w for ws in cut for w in ws} - here.keys())
+            at = 0
+            for ids, raw, n in self.coder.encode([w.encode() for w in words]):
+                young.extend(words[at : at + len(n)], ids, raw, n)
+                at += len(n)
+            for p, ws in zip(new, cut, strict=True):
+                if len(ws) != 1:
+                    own = [here[w] for w in ws]
+                    young.add(p, " ".join([young.ids[k] for k in own]), b"".join([young.raw[k] for k in own]), sum([young.n[k] for k in own]))
+        own = [here[p] for p in pieces]
+        out = [young.ids[k] for k in own], [young.raw[k] for k in own], [young.n[k] for k in own]
+        if len(here) > CACHE:
+            self.old, self.young = young, _Results()
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Ids, decoded bytes and number of ids of each text."""
+        cut = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
+        edges = cut.offsets.to_numpy().astype(np.int64)
+        flat = cut.flatten().dictionary_encode()
+        names, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        edges = edges - edges[0]
+        n = len(edges) - 1
+        first = np.zeros(len(code), bool)
+        first[edges[:-1]] = True
+        blank = np.array([not p or p[0].isspace() for p in names], bool)
+        odd = np.logical_or.reduceat(blank[code] & ~first, edges[:-1]) if n else np.zeros(0, bool)
+        # Pieces after a space come with it; a text's first piece may be empty and then counts for nothing.
+        empty = np.array([not p for p in names], bool)
+        use = ~(np.repeat(odd, np.diff(edges)) | (first & empty[code]))
+        key = code * 2 + first
+        there = np.zeros(2 * len(names), bool)
+        there[key[use]] = True
+        there = np.flatnonzero(there)
+        ids, raw, n_ids = self._known([names[k >> 1] if k & 1 else " " + names[k >> 1] for k in there.tolist()], True)
+        place = np.zeros(2 * len(names), np.int64)
+        place[there] = np.arange(len(there))
+        count = np.add.reduceat(use, edges[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
+        order = place[key[use]]
+        if odd.any():
+            whole = [self.find(texts[k].as_py()) for k in np.flatnonzero(odd)]
+            distinct = list(dict.fromkeys(w for ws in whole for w in ws))
+            at = {w: len(ids) + k for k, w in enumerate(distinct)}
+            for have, more in zip((ids, raw, n_ids), self._known(distinct, False), strict=True):
+                have += more
+            starts = np.cumsum(count) - count
+            order = np.insert(order, np.repeat(starts[odd], [len(ws) for ws in whole]), [at[w] for ws in whole for w in ws])
+            count[odd] = [len(ws) for ws in whole]
+        edges = np.concatenate([[0], np.cumsum(count)])
+        taken = pa.array(order)
+        listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.string()).take(taken))
+        decoded = _joined(pa.array(raw, pa.large_binary()).take(taken), edges, pa.large_binary()).cast(pa.binary())
+        total = np.concatenate([[0], np.cumsum(np.array(n_ids, np.int64)[order])])
+        return pc.binary_join(listed, " "), decoded, pa.array(np.diff(total[edges]))
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """The rows of docs with ``n_tokens`` long, ``ids`` string (decimals joined by one space) and ``decoded`` binary.
 
     vocabulary: a .tiktoken file of ranks, read on the driver; pattern: the pre-token
@@ -208,7 +285,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     held = docs.sparkSession.sparkContext.broadcast(raw)
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())])
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(_coded(held, pattern, text, rows), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(_coded(held, pattern, text), schema)
 
 
 #: The coder that a Python worker keeps for the tasks that follow: one vocabulary and pattern, with at most CACHE pieces.
@@ -223,16 +300,23 @@ def _coder(raw: bytes, pattern: str) -> TextCoder:
     return _KEPT[key]
 
 
-def _coded(held, pattern: str, text: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about SLICE bytes of text together."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(size, dtype=np.int64) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    yield from ((a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
+def _coded(held, pattern: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
             coder = coder or _coder(held.value, pattern)
-            for at in range(0, len(batch), rows):
-                part = batch.slice(at, rows)
-                ids, raw = coder([t or "" for t in part.column(text).to_pylist()])
-                new = [pa.array([s.count(" ") + 1 if s else 0 for s in ids], pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "n_tokens", "ids", "decoded"])
+            for at, n in _slices(batch.column(text)):
+                part = batch.slice(at, n)
+                ids, raw, count = coder(part.column(text))
+                yield pa.RecordBatch.from_arrays([*part.columns, count, ids, raw], [*part.schema.names, "n_tokens", "ids", "decoded"])
 
     return run
 

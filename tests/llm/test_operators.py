@@ -191,6 +191,37 @@ def test_bpe_against_tiktoken(spark):
         assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and bytes(r.decoded) == text[r.doc_id].encode()
 
 
+def test_bpe_of_long_words_and_clashing_names(spark):
+    import random
+
+    import tiktoken
+
+    path, pattern = queries.tokenizer()
+    enc = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=bpe.read_ranks(open(path, "rb").read()), special_tokens={})
+    letters = random.Random(7)
+    long_ = ["".join(letters.choice("abcdeé") for _ in range(n)) for n in (1000, bpe.LONG + 1, 40_000)]
+    texts = [*long_, "ab" * 100_000, "!" * 5000, "a" * bpe.LONG, f" {long_[1]}  {long_[1]} ", "two  blanks", " lead", "trail ", " \n ", "\u00a0x \u00a0y"]
+    d = spark.createDataFrame([(k, t, b"raw", k, "old") for k, t in enumerate(texts)], "doc_id long, text string, decoded binary, n_tokens int, extra string")
+    got = bpe.encode_decode(d, path, pattern)
+    assert got.columns == ["doc_id", "text", "extra", "n_tokens", "ids", "decoded"]
+    for r in got.collect():
+        ids = enc.encode_ordinary(r.text)
+        assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and bytes(r.decoded) == r.text.encode()
+
+
+def test_bpe_forgets_pieces_by_generations(monkeypatch):
+    import pyarrow as pa
+
+    path, pattern = queries.tokenizer()
+    coder = bpe.TextCoder(open(path, "rb").read(), pattern)
+    texts = pa.array([words(k, 40) for k in range(60)])
+    want = [x.to_pylist() for x in coder(texts)]
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    small_ = bpe.TextCoder(open(path, "rb").read(), pattern)
+    got = [[x.to_pylist() for x in small_(texts.slice(k, 1))] for k in range(60)]
+    assert [[g[c][0] for g in got] for c in range(3)] == want
+
+
 def test_token_counts_follow_edits(spark):
     import tiktoken
 
