@@ -1,34 +1,33 @@
-"""Language-model scoring: online logistic mixing of bit predictors, one for each context.
-
-A byte is a walk down a fixed binary code (shorter for bytes that are frequent in prose), so
-a text is a row of binary decisions. Each of ORDERS' contexts (the last bytes, or the word
-so far) predicts every decision from how often both answers followed the context and the
-code's node in the training texts of the corpus. A logistic mixer combines the stretched
-predictions with weights that a gate picks (the kind of the byte before) and that are
-refined along each text: after every byte the gradient of its coding cost moves the
-document's own weights, which begin alike in every text. The sum of costs is the text's log
-probability, total bits over its bytes the bits per byte.
-
-What is learned grows with the corpus and is never broadcast. Input tasks part their
-documents into flocks of about FLOCK bytes. A flock sends its distinct words, and its
-distinct pairs of a context (a 55-bit hash) and a byte, with their counts in training texts,
-to buckets by hash; a bucket adds them up and answers each flock's words with counts and
-each flock's pairs with the prediction at every node of the byte's walk, in SCALE steps. The
-answers meet the flock's texts again. Buckets grow in number with the corpus, so no task
-holds more of the model than its share.
-
-Defined cases: null text counts as empty; an empty text has no bytes, score 0 and only the
-end token; repeated rows are documents each; a null doc_id is in training (its remainder is
-taken as 1); with no training documents counts are 0 and the base score is null; an empty
-table gives an empty result; other columns are ignored.
+"""Language-model scoring: online logistic mixing of bit predictors, one for each hashed context.
+
+A text is its bytes and an end mark. A byte is a walk down a binary code that depends on the
+byte before it (built from how often bytes follow one another in the corpus, so that frequent
+bytes take few steps), which makes a text a row of binary decisions. Each context, ORDERS
+bytes before the byte and the letters of the word so far, predicts every decision from how often both
+answers followed it in the training texts of the corpus. A logistic mixer combines the
+stretched predictions with weights that a gate picks (which of the long contexts the
+corpus knows) and that are refined along the text: after every decision the gradient of its
+coding cost moves the text's own weights. Weights begin alike in every text, and anew after
+STRETCH bytes of it, so that a long text is many rows of numpy's arrays and not one loop. The
+sum of costs is the text's log probability: over all texts of any length they add up to one.
+
+What is learned grows with the corpus and none of it is broadcast but the code (256 trees).
+Input tasks part their documents into flocks of about FLOCK bytes. A flock sends its distinct
+words, and its distinct pairs of a context (a 47-bit hash) and a byte, with their counts in
+training texts, to buckets by hash; a bucket adds them up and answers each flock's words with
+counts and each flock's pairs with the prediction at every node of the byte's walk, in SCALE
+steps. The answers meet the flock's texts again. Buckets grow in number with the corpus, so
+no task holds more of the model than its share.
+
+Defined cases: null text counts as empty; an empty text is its end mark; words and contexts
+longer than WORD bytes begin anew after them; repeated rows are documents each; a null doc_id
+is in training (its remainder is taken as 1); with no training documents counts are 0 and the
+base score is null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from itertools import islice
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -39,268 +38,359 @@ from pyspark.sql import functions as F
 from orbweave.llm import _text as tx
 from orbweave.llm._io import cut, parts
 
-ORDERS = (2, 3, 4, 6)  # and the word so far
+ORDERS = (2, 3, 5)  # and the word so far
 INPUTS = len(ORDERS) + 1
-FLOCK = 10 << 20
+FLOCK = 16 << 20
 BUCKET = 16 << 20  # bytes of the corpus for each bucket
-BATCH = 1 << 19  # bytes of the documents that move on together
-PART = 1 << 15  # bytes of a batch whose predictions are looked up together
-ALONE = 4  # documents of a batch that move on one by one
-HELD = 1_500_000  # pairs that a flock holds before it counts them
+STRETCH = 4096
+WORD = 64  # bytes of a word that a context holds
+BATCH = 4 << 20  # bytes of the stretches that move on together
+PART = 1 << 16  # bytes of a batch whose predictions are looked up together
+HELD = 2_000_000  # pairs that a flock holds before it counts them
 RATE = 0.006
+START = 0.3
 SCALE = 8 / 127
-END = np.uint64(0x8BADF00D15C0FFEE)
-#: Fixed order of bytes by frequency in prose: the code's only prior.
-COMMON = " enthairos\xc3dulc.gb,fwpmvykTASIEHNR\nDLOCBWPMGFUVJKqxzj'-0123456789!?:;()/@=_*#$%&|<>\""
-
-
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code for weights (rank + 2) ** -1.4: length, first step, and each step's node and bit."""
-    rank = {c: k for k, c in reversed([*enumerate([*COMMON.encode("latin-1"), 0xA9, 0xB3, 0xA8, 0xB1, 0xA4, 0xBC, *range(0xA0, 0xC0)])])}
-    heap = [(1 / (rank.get(b, 250) + 2) ** 1.4, b, (b,)) for b in range(256)]
-    heapq.heapify(heap)
-    steps: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    node = 0
-    while len(heap) > 1:
-        (u, _, left), (v, _, right) = heapq.heappop(heap), heapq.heappop(heap)
-        for bit, side in enumerate((left, right)):
-            for b in side:
-                steps[b].append((node, bit))
-        heapq.heappush(heap, (u + v, 256 + node, left + right))
-        node += 1
-    length = np.array([len(s) for s in steps])
-    flat = [x for s in steps for x in reversed(s)]
-    return length, np.cumsum(length) - length, np.array([x[0] for x in flat]), np.array([x[1] for x in flat], np.uint8)
-
-
-def _leaves() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each byte's place in the code's order of leaves; of each leaf its walk's length, and the leaves below every node of it."""
-    length, first, _, bit = _code()
-    walks = sorted((bit[first[b] : first[b] + length[b]].tolist(), b) for b in range(256))
-    leaf = np.zeros(256, np.uint64)
-    leaf[[b for _, b in walks]] = np.arange(256)
-    lo, hi = np.zeros((256, length.max() + 1), np.uint64), np.zeros((256, length.max() + 1), np.uint64)
-    for k, (walk, _) in enumerate(walks):
-        for j in range(len(walk) + 1):
-            same = [i for i, (other, _) in enumerate(walks) if other[:j] == walk[:j]]
-            lo[k, j], hi[k, j] = same[0], same[-1] + 1
-    return leaf, np.array([len(w) for w, _ in walks]), lo, hi
-
-
-LEAF, WALK, BELOW, ABOVE = _leaves()
-_GATE = np.zeros(257, np.int64)
-_GATE[[0x20, *range(0x09, 0x0E), 256]] = 1
-_GATE[0x80:256] = 2
-
-
-def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each byte of a block: every input's context and the byte's leaf as one number, and the gate."""
-    n = len(data)
-    doc_at = np.repeat(off[:-1], np.diff(off))
-    at = np.arange(n)
-    since = at - doc_at
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tx._power("up", n)[:n], out=total[1:])
-    down = tx._power("down", n + 1)
-    leaf = LEAF[data]
-    pairs = []
-    for k, order in enumerate((*ORDERS, 0)):
-        if order:
-            lo = at - np.minimum(order, since)
-        else:
-            word = np.where(tx.SPACE[data], at + 1, 0)
-            lo = np.maximum(np.concatenate([[0], np.maximum.accumulate(word)[:-1]]), doc_at)
-        h = ((total[:-1] - total[lo]) * down[lo] + np.uint64(k * 0x9E37 + 1)) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        pairs.append((h ^ (h >> np.uint64(29))) >> np.uint64(9) << np.uint64(8) | leaf)
-    return pairs, _GATE[np.where(since > 0, np.concatenate([[0], data[:-1]]), 256)]
+END = 0xFF  # no byte of UTF-8
+REACH = max(ORDERS)
+
+
+class Code:
+    """For every byte before, a tree over the 256 bytes by halving their counts, the frequent ones first.
+
+    A leaf is a number below 65536: the byte before, and the byte's place in its tree; the
+    leaves below a node of a walk are those from ``below`` to ``above``.
+    """
+
+    def __init__(self, follows: np.ndarray) -> None:
+        c = follows.reshape(256, 256) + 2.0**-10
+        c += c.sum(1, keepdims=True) / 2**16
+        order = np.argsort(-c, axis=1, kind="stable")
+        total = np.concatenate([[0.0], np.cumsum(np.take_along_axis(c, order, 1))])
+        me = np.arange(65536)
+        lo = me & ~255
+        hi = lo + 256
+        below, above, self.steps = [lo], [hi], np.zeros(65536, np.int64)
+        while len(open_ := np.flatnonzero(hi - lo > 1)):
+            lo, hi = lo.copy(), hi.copy()
+            a, b = lo[open_], hi[open_]
+            middle = (total[a] + total[b]) / 2
+            s = np.searchsorted(total, middle)
+            s -= middle - total[s - 1] < total[s] - middle
+            s = np.clip(s, a + 1, b - 1)
+            right = me[open_] >= s
+            lo[open_], hi[open_] = np.where(right, s, a), np.where(right, b, s)
+            self.steps[open_] += 1
+            below.append(lo)
+            above.append(hi)
+        self.below, self.above = np.array(below, np.uint64), np.array(above, np.uint64)
+        self.leaf = np.zeros(65536, np.int64)
+        self.leaf[(me & ~255) + order.reshape(-1)] = me
+        #: Steps of the walk to a byte after another, both as one number.
+        self.walk = self.steps[self.leaf]
+
+
+def stream(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bytes of documents, an end mark after each."""
+    out = np.full(len(data) + len(off) - 1, END, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(off) - 1), np.diff(off))] = data
+    return out
+
+
+class Contexts:
+    """Contexts along a stream, block by block: each byte with the REACH bytes before it, pairs of words of REACH letters or more, and words' hashes."""
+
+    def __init__(self) -> None:
+        self.tail = np.full(REACH, END, np.uint8)
+        self.word = np.zeros(0, np.uint8)  # the bytes of the word that the last block left open
+
+    def __call__(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(last bytes with the byte itself lowest, places of bytes after long words so far, their pairs, places of words' ends, words' hashes) of the block."""
+        n = len(block)
+        near = np.concatenate([self.tail, block])
+        wide = near.astype(np.uint64)
+        last = wide[REACH:].copy()
+        for k in range(1, REACH + 1):
+            last |= wide[REACH - k : REACH - k + n] << np.uint64(8 * k)
+        ends = np.flatnonzero(near == END)
+        for k in range(1, REACH):  # what lies before an end mark is another document
+            at = ends + k - REACH
+            at = at[(at >= 0) & (at < n)]
+            last[at] |= np.uint64((1 << 8 * (REACH + 1)) - (1 << 8 * (k + 1)))
+        own, known = np.concatenate([self.word, block]), len(self.word)
+        gap = tx.SPACE[own] | (own == END)
+        places = np.arange(len(own))
+        begin = np.zeros(len(own), np.int64)
+        np.maximum.accumulate(np.where(gap, places + 1, 0)[:-1], out=begin[1:])
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((tx.LOWER[own].astype(np.uint64) + np.uint64(1)) * tx._power("up", len(own))[: len(own)], out=total[1:])
+        down = tx._power("down", len(own) + 1)
+        since = places - begin
+        ended = np.flatnonzero(gap & (since > 0))
+        words = tx.mix((total[ended] - total[begin[ended]]) * down[begin[ended]])
+        at = np.flatnonzero(since >= REACH)
+        at = at[np.searchsorted(at, known) :]
+        lo = begin[at]
+        if (far := since[at] >= WORD).any():
+            lo[far] += since[at][far] // WORD * WORD
+        pairs = _hashed((total[at] - total[lo]) * down[lo], 0) | (last[at - known] & np.uint64(0xFFFF))
+        self.tail = near[-REACH:]
+        self.word = own[begin[-1] if not gap[-1] else len(own) :]
+        return last, at - known, pairs, ended - known, words
+
+
+def _hashed(h: np.ndarray, kind: int) -> np.ndarray:
+    """47 bits of a context's hash, above 16 bits for a byte and the one before."""
+    h = (h + np.uint64(kind * 0x9E37 + 1)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(17) << np.uint64(16)
+
+
+def _order(last: np.ndarray, k: int) -> np.ndarray:
+    return last & np.uint64((1 << 8 * (k + 1)) - 1)
+
+
+def _order_pairs(last: np.ndarray, k: int) -> np.ndarray:
+    return _hashed(_order(last, k) >> np.uint64(8), k) | (last & np.uint64(0xFFFF))
+
+
+def _short_words(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which last bytes follow a word so far of fewer than REACH letters, and the pairs of that word and the byte."""
+    held, short = np.zeros(len(last), np.uint64), np.zeros(len(last), bool)
+    for k in range(1, REACH + 1):
+        b = (last >> np.uint64(8 * k) & np.uint64(0xFF)).astype(np.uint8)
+        short |= tx.SPACE[b] | (b == END)
+        held |= np.where(short, np.uint64(0), tx.LOWER[b].astype(np.uint64) << np.uint64(8 * k))
+    at = np.flatnonzero(short)
+    return at, _hashed(held[at] >> np.uint64(8), 1) | (last[at] & np.uint64(0xFFFF))
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
 
+class Counter:
+    """Distinct numbers below 2^63, and how many of them were marked."""
 
-def distinct(data: np.ndarray, off: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of context and byte of some documents, in order, and their counts in training texts."""
-    held: list[np.ndarray] = []
-    pairs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.n = 0
+        self.keys, self.counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
-    def count() -> None:
-        x = np.concatenate(held)
+    def add(self, x: np.ndarray, marked: np.ndarray) -> None:
+        self.held.append(x << np.uint64(1) | marked)
+        self.n += len(x)
+        if self.n >= HELD:
+            self._count()
+
+    def _count(self) -> None:
+        x = np.concatenate(self.held)
         x.sort()
         first = _runs(x >> np.uint64(1))
-        pairs.append(x[first] >> np.uint64(1))
-        counts.append(np.add.reduceat((x & np.uint64(1)).astype(np.int64), first))
-        held.clear()
-
-    def merge() -> None:
-        x, c = np.concatenate(pairs), np.concatenate(counts)
-        order = np.argsort(x)
+        self.keys.append(x[first] >> np.uint64(1))
+        self.counts.append(np.add.reduceat((x & np.uint64(1)).astype(np.int64), first))
+        self.held, self.n = [], 0
+        if sum(map(len, self.keys)) > 2 * max(HELD, len(self.keys[0])):
+            self._merge()
+
+    def _merge(self) -> None:
+        x, c = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(x, kind="stable")
         x, c = x[order], c[order]
         first = _runs(x)
-        pairs[:], counts[:] = [x[first]], [np.add.reduceat(c, first)]
-
-    for lo, hi, d, o in tx.blocks(data, off):
-        if len(d):
-            own = np.repeat(train[lo:hi], np.diff(o)).astype(np.uint64)
-            held += [x << np.uint64(1) | own for x in contexts(d, o)[0]]
-            if sum(map(len, held)) >= HELD:
-                count()
-                if sum(map(len, pairs)) > 3 * HELD:
-                    merge()
-    if held:
-        count()
-    if len(pairs) > 1:
-        merge()
-    return pairs[0], counts[0]
-
-
-def predictions(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each of all pairs of some contexts (distinct, in order): ln of the odds of the byte's own answer at each node of its walk, in SCALE steps."""
-    total = np.concatenate([[0], np.cumsum(counts)])
-    leaf = (pairs & np.uint64(255)).astype(np.int64)
-    base = pairs >> np.uint64(8) << np.uint64(8)
-    length = WALK[leaf]
-    at = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.int8)
-    of = lambda which, j: total[np.searchsorted(pairs, base[which] + ABOVE[leaf[which], j])] - total[np.searchsorted(pairs, base[which] + BELOW[leaf[which], j])]
-    which = np.arange(len(pairs))
-    all_ = of(which, 0)
-    for j in range(int(length.max(initial=0))):
-        right = of(which, j + 1)
-        x = np.log((right + 0.05) / (all_ - right + 0.05))
-        out[at[which] + j] = np.rint(np.clip(x, -8, 8) / SCALE)
-        more = length[which] > j + 1
+        self.keys, self.counts = [x[first]], [np.add.reduceat(c, first)]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.n:
+            self._count()
+        if len(self.keys) > 1:
+            self._merge()
+        return self.keys[0], self.counts[0]
+
+
+class Asked:
+    """A flock's distinct pairs, in order, from its distinct last bytes and pairs of long words; ``at``: of each distinct value of each input where its pair lies."""
+
+    def __init__(self, last: np.ndarray, long_words: np.ndarray) -> None:
+        self.short, words = _short_words(last)
+        each = [*(_order_pairs(last, k) for k in ORDERS), words, long_words]
+        self.pairs, at = np.unique(np.concatenate(each), return_inverse=True)
+        self.at = np.split(at, np.cumsum([len(x) for x in each])[:-1])
+
+    def sums(self, n_last: np.ndarray, n_long: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.pairs), np.int64)
+        for where, n in zip(self.at, (*[n_last] * len(ORDERS), n_last[self.short], n_long), strict=True):
+            out += np.bincount(where, n, len(out)).astype(np.int64)
+        return out
+
+
+def predictions(code: Code, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of all pairs of some contexts (distinct, in any order): ln of the odds of the byte's own answer at each step of its walk, in SCALE steps, and where they begin."""
+    leaf = code.leaf[(pairs & np.uint64(0xFFFF)).astype(np.int64)]
+    key = pairs >> np.uint64(16) << np.uint64(16) | leaf.astype(np.uint64)
+    order = np.argsort(key)
+    sorted_ = key[order]
+    total = np.concatenate([[0], np.cumsum(counts[order])])
+    base = key >> np.uint64(16) << np.uint64(16)
+    steps = code.steps[leaf]
+    at = np.cumsum(steps) - steps
+    out = np.zeros(int(steps.sum()), np.int8)
+    seen = lambda which, j: total[np.searchsorted(sorted_, base[which] + code.above[j, leaf[which]])] - total[np.searchsorted(sorted_, base[which] + code.below[j, leaf[which]])]
+    which = order[np.flatnonzero(steps[order] > 0)]
+    all_ = seen(which, 0)
+    for j in range(int(steps.max(initial=0))):
+        right = seen(which, j + 1)
+        out[at[which] + j] = np.rint(np.clip(np.log((right + 0.05) / (all_ - right + 0.05)), -8, 8) / SCALE)
+        more = steps[which] > j + 1
         which, all_ = which[more], right[more]
-    return out
+    return out, at
 
 
 class Table:
-    """Where the predictions of a pair begin, by a directory of leading bits."""
+    """The place of a number among distinct ones: a directory of leading bits leads to the other bits and the place as one number."""
 
-    def __init__(self, pairs: np.ndarray) -> None:
-        length = WALK[(pairs & np.uint64(255)).astype(np.int64)]
-        begin = np.cumsum(length) - length
-        self.shift = np.uint64(64 - max(8, len(pairs).bit_length()))
-        mixed = self._mixed(pairs)
+    def __init__(self, keys: np.ndarray) -> None:
+        n = max(len(keys), 1)
+        bits = max(8, n.bit_length() + 1)
+        self.shift, self.up, self.low = np.uint64(64 - bits), np.uint64(bits), np.uint64(n.bit_length())
+        mixed = self._mixed(keys)
         order = np.argsort(mixed)
-        self.mixed, self.begin = mixed[order], begin[order]
-        self.start = np.searchsorted(self.mixed, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+        self.held = mixed[order] << self.up >> self.low << self.low | order.astype(np.uint64)
+        self.start = np.minimum(np.searchsorted(mixed[order], np.arange(1 << bits, dtype=np.uint64) << self.shift), n - 1).astype(np.int32)
+        self.mask = np.uint64((1 << n.bit_length()) - 1)
 
     @staticmethod
-    def _mixed(pairs: np.ndarray) -> np.ndarray:
-        return pairs * np.uint64(0x9E3779B97F4A7C15)
+    def _mixed(keys: np.ndarray) -> np.ndarray:
+        return keys * np.uint64(0x9E3779B97F4A7C15)
 
-    def __call__(self, pairs: np.ndarray) -> np.ndarray:
-        mixed = self._mixed(pairs)
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        mixed = self._mixed(keys)
         at = self.start[mixed >> self.shift]
-        miss = np.flatnonzero(self.mixed[at] != mixed)
+        mixed <<= self.up
+        got = self.held[at]
+        miss = np.flatnonzero((got ^ mixed) > self.mask)
         while len(miss):
             at[miss] += 1
-            miss = miss[self.mixed[at[miss]] != mixed[miss]]
-        return self.begin[at]
-
-
-def _alone(place: np.ndarray, length: np.ndarray, at: np.ndarray, cell: np.ndarray, x: np.ndarray, weights: np.ndarray, z: np.ndarray, step: float) -> None:
-    """What _costs' steps do, for the rest of one document, whose bytes are at the given places: a few numbers at a time are quicker without numpy."""
-    for lo in range(0, len(place), PART):
-        here = place[lo : lo + PART]
-        n = length[here]
-        index = np.repeat(at[here] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        rows = zip(*x[:, index].tolist())
-        cells = cell[here]
-        own = {c: weights[:, c].tolist() for c in np.unique(cells).tolist()}
-        got = []
-        for c, m in zip(cells.tolist(), n.tolist()):
-            w = own[c]
-            u0, u1, u2, u3, u4 = v0, v1, v2, v3, v4 = w
-            for q0, q1, q2, q3, q4 in islice(rows, m):
-                y = v0 * q0 + v1 * q1 + v2 * q2 + v3 * q3 + v4 * q4
-                got.append(y)
-                g = step / (1 + exp(min(y, 80.0)))
-                u0 += g * q0
-                u1 += g * q1
-                u2 += g * q2
-                u3 += g * q3
-                u4 += g * q4
-            w[:] = u0, u1, u2, u3, u4
-        z[index] = got
-        for c, w in own.items():
-            weights[:, c] = w
-
-
-def _costs(table: Table, known: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The cost in nats of each document of a batch, the longest first; all move on by a byte at once, each with weights of its own."""
-    n, size = len(off) - 1, np.diff(off)
-    pairs, gate = contexts(data, off)
-    own = np.repeat(np.arange(n), size)
-    active = n - np.cumsum(np.bincount(size, minlength=size[0] + 1))[: size[0]]  # documents with a byte at each step
-    start = np.concatenate([[0], np.cumsum(active)])
-    place = start[np.arange(len(data)) - np.repeat(off[:-1], size)] + own
-    length, cell = np.empty(len(data), np.int64), np.empty(len(data), np.int64)
-    length[place], cell[place] = WALK[LEAF[data].astype(np.int64)], own * 3 + gate
-    at = np.concatenate([[0], np.cumsum(length)])
-    x = np.empty((INPUTS, at[-1]), np.int8)
-    begin = np.empty(len(data), np.int64)
-    for k, p in enumerate(pairs):
-        for lo in range(0, len(data), PART):
-            begin[place[lo : lo + PART]] = table(p[lo : lo + PART])
-        for lo in range(0, len(data), PART):
-            a, b = at[lo], at[min(lo + PART, len(data))]
-            index = np.repeat(begin[lo : lo + PART] - at[lo : min(lo + PART, len(data))] + a, length[lo : lo + PART])
-            index += np.arange(b - a)
-            known.take(index, out=x[k, a:b], mode="clip")
-    weights = np.full((INPUTS, 3 * n), 1.2 / INPUTS * SCALE, np.float32)
+            got[miss] = again = self.held[at[miss]]
+            miss = miss[(again ^ mixed[miss]) > self.mask]
+        return (got & self.mask).astype(np.int64)
+
+
+def stretches(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of documents begin in their stream, and the documents they belong to."""
+    size = np.diff(off) + 1
+    n = -(-size // STRETCH)
+    doc = np.repeat(np.arange(len(size)), n)
+    return (np.cumsum(size) - size)[doc] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRETCH, doc
+
+
+def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The cost in nats of each stretch of a batch; all move on by a decision at once, each with weights of its own.
+
+    begin: for each input where each byte's predictions begin in ``known``; steps: of each byte's walk; start: of each stretch.
+    """
+    at = np.concatenate([[0], np.cumsum(steps)])
+    x = np.empty((at[-1], INPUTS), np.int8)
+    gate = np.empty(at[-1], np.int8)
+    for lo in range(0, len(steps), PART):
+        hi = min(lo + PART, len(steps))
+        a, z = at[lo], at[hi]
+        of = np.repeat(np.arange(hi - lo, dtype=np.int32), steps[lo:hi])
+        place = np.arange(a, z, dtype=np.int32)
+        for k, b in enumerate(begin):
+            x[a:z, k] = known.take((b[lo:hi] - at[lo:hi].astype(np.int32)).take(of) + place, mode="clip")
+        first = np.minimum(at[lo:hi], len(x) - 1)
+        gate[a:z] = ((x[first, INPUTS - 2] != 0) * 2 + (x[first, INPUTS - 1] != 0)).astype(np.int8).take(of)
+    lo = at[start]
+    size = np.diff(np.append(lo, at[-1]))
+    by = np.argsort(-size, kind="stable")
+    size, lo = size[by], lo[by].astype(np.int32)
+    n = len(size)
+    active = n - np.cumsum(np.bincount(size, minlength=size[0] + 1))[: size[0]]  # stretches with a decision at each step
+    edges = np.concatenate([[0], np.cumsum(active)]).tolist()
+    order = np.empty(at[-1], np.int32)
+    for t, (a, b) in enumerate(zip(edges, edges[1:])):
+        np.add(lo[: b - a], t, out=order[a:b])
+    rows = x.view(np.int32).reshape(-1).take(order).view(np.int8).reshape(-1, INPUTS)
+    gate = gate.take(order)
+    del x
+    four = np.arange(n, dtype=np.int64) * 4
+    weights = np.full((4 * n, INPUTS), START * SCALE, np.float32)
+    whole = weights.view(np.complex128).reshape(-1)  # a row of weights as one item
     z = np.empty(at[-1], np.float32)
-    step = np.float32(RATE * SCALE * SCALE)
-    edges, ends = start.tolist(), at[start].tolist()
+    rate, one = np.float32(RATE * SCALE * SCALE), np.ones(INPUTS, np.float32)
+    buffer = np.empty((n, INPUTS), np.float32)
     with np.errstate(over="ignore"):
-        for t, (s, e, a, b) in enumerate(zip(edges, edges[1:], ends, ends[1:])):
-            if e - s <= ALONE:
-                for k in range(e - s):
-                    _alone(start[t : size[k]] + k, length, at, cell, x, weights, z, float(step))
-                break
-            c = cell[s:e]
-            w = weights.take(c, 1)
-            part = x[:, a:b].astype(np.float32)
-            got = np.einsum("ij,ij->j", w.repeat(length[s:e], 1), part, out=z[a:b])
-            part *= step / (1 + np.exp(got))
-            w += np.add.reduceat(part, at[s:e] - a, 1)
-            weights[:, c] = w
-    cost = np.zeros(n)
-    for lo in range(0, len(data), PART):
-        part = slice(lo, lo + PART)
-        a, b = at[lo], at[min(lo + PART, len(data))]
-        cost += np.bincount(cell[part] // 3, np.add.reduceat(np.log1p(np.exp(-np.maximum(z[a:b], -80))) - np.minimum(z[a:b] + 80, 0), at[lo : min(lo + PART, len(data))] - a), n)
-    return cost
-
-
-def costs(pairs: np.ndarray, known: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The cost in nats of each document, from the predictions of all its pairs of context and byte."""
-    size = np.diff(off)
-    out = np.zeros(len(size))
-    if not len(data):
+        for low in range(0, len(edges) - 1, 32):
+            these = edges[low : low + 33]
+            given = rows[these[0] : these[-1]].astype(np.float32)
+            for s, e in zip(these, these[1:]):
+                cell = four[: e - s] + gate[s:e]
+                item = whole.take(cell)
+                w, v = item.view(np.float32).reshape(-1, INPUTS), given[s - these[0] : e - these[0]]
+                got = np.multiply(w, v, out=buffer[: e - s]).dot(one, out=z[s:e])
+                pull = np.exp(got)
+                pull += 1
+                np.divide(rate, pull, out=pull)
+                v *= pull[:, None]
+                w += v
+                whole[cell] = item
+    out = np.zeros(n)
+    for low in range(0, len(edges) - 1, 256):
+        these = edges[low : low + 257]
+        part = z[these[0] : these[-1]]
+        held = np.maximum(part, -80)
+        cost = np.log(1 + np.exp(-held)) + (held - part)
+        out += np.bincount(order[these[0] : these[-1]] * 0 + np.concatenate([np.arange(b - a, dtype=np.int32) for a, b in zip(these, these[1:])]), cost, n)
+    back = np.empty(n)
+    back[by] = out
+    return back
+
+
+class Begin:
+    """Where the predictions of bytes begin, by their last bytes and long words."""
+
+    def __init__(self, asked: Asked, code: Code, last: np.ndarray, long_words: np.ndarray) -> None:
+        steps = code.walk[(asked.pairs & np.uint64(0xFFFF)).astype(np.int64)]
+        begin = (np.cumsum(steps) - steps).astype(np.int32)
+        self.last, self.words = Table(last), Table(long_words)
+        self.of_last = [begin[x] for x in asked.at[:-2]]
+        short = np.zeros(len(last), np.int32)
+        short[asked.short] = begin[asked.at[-2]]
+        self.of_last.append(short)
+        self.of_words = begin[asked.at[-1]]
+
+    def __call__(self, last: np.ndarray, at: np.ndarray, long_words: np.ndarray) -> list[np.ndarray]:
+        which = self.last(last)
+        out = [x[which] for x in self.of_last]
+        if len(at):
+            out[-1][at] = self.of_words[self.words(long_words)]
         return out
-    table = Table(pairs)
-    order = np.argsort(-size, kind="stable")[: int((size > 0).sum())]
-    batch = np.cumsum(size[order]) // BATCH
-    for docs in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
-        o = np.concatenate([[0], np.cumsum(size[docs])])
-        out[docs] = _costs(table, known, np.concatenate([data[off[k] : off[k + 1]] for k in docs]), o)
-    return out
 
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words' documents and hashes, with an end token after each document's words."""
-    doc, _, _, h = tx.words(data, off)
-    n = len(off) - 1
-    doc, h = np.concatenate([doc, np.arange(n)]), np.concatenate([h, np.full(n, END)])
-    order = np.argsort(doc, kind="stable")
-    return doc[order], h[order]
+def costs(known: np.ndarray, begin_of: Begin, code: Code, text: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The cost in nats of each document of a stream, whose offsets without end marks are off."""
+    start, doc = stretches(off)
+    group = start // BATCH
+    out = np.zeros(len(off) - 1)
+    see = Contexts()
+    for batch in np.split(np.arange(len(start)), np.flatnonzero(np.diff(group)) + 1):
+        if not len(batch):
+            continue
+        lo, hi = start[batch[0]], start[batch[-1] + 1] if batch[-1] + 1 < len(start) else len(text)
+        begin = [np.empty(hi - lo, np.int32) for _ in range(INPUTS)]
+        steps = np.empty(hi - lo, np.int64)
+        for a in range(lo, hi, PART):
+            last, at, words, _, _ = see(text[a : min(a + PART, hi)])
+            here = slice(a - lo, a - lo + len(last))
+            for to, x in zip(begin, begin_of(last, at, words), strict=True):
+                to[here] = x
+            steps[here] = code.walk[(last & np.uint64(0xFFFF)).astype(np.int64)]
+        out += np.bincount(doc[batch], _costs(known, begin, steps, start[batch] - lo), len(out))
+    return out
 
 
 _LEARNED = "bucket int, flock long, words binary, counts binary, pairs binary, seen binary, docs binary"
-_ANSWERS = "bucket int, flock long, words binary, counts binary, known binary, distinct long, tokens long"
+_ANSWERS = "bucket int, flock long, counts binary, known binary, distinct long, tokens long"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -314,6 +404,10 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).reshape(-1)
 
 
+def _rising(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
+
 def _packed_docs(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -322,6 +416,31 @@ def _packed_docs(batches: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+class Gathered:
+    """What a stream holds: distinct last bytes, pairs of long words and words, each with its count in training documents; and all words by document."""
+
+    def __init__(self, text: np.ndarray, train: np.ndarray) -> None:
+        lasts, pairs, words = Counter(), Counter(), Counter()
+        see, doc = Contexts(), 0
+        train = np.append(train, False).astype(np.uint64)
+        docs, every = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo in range(0, len(text), tx.BLOCK):
+            block = text[lo : lo + tx.BLOCK]
+            last, at, pair, ended, word = see(block)
+            ends = np.flatnonzero(block == END)
+            own = np.repeat(np.arange(doc, doc + len(ends) + 1), np.diff(np.concatenate([[-1], ends, [len(block) - 1]])))
+            doc += len(ends)
+            marked = train[own]
+            lasts.add(last, marked)
+            pairs.add(pair, marked[at])
+            word >>= np.uint64(1)
+            words.add(word, marked[ended])
+            docs.append(own[ended])
+            every.append(word)
+        self.last, self.pairs, self.words = lasts.result(), pairs.result(), words.result()
+        self.of_doc, self.every = np.concatenate(docs), np.concatenate(every)
+
+
 def _learn(buckets: int):
     """Flocks of a task's documents: their texts, and their distinct words and pairs by bucket with training counts."""
 
@@ -335,22 +454,19 @@ def _learn(buckets: int):
         docs = pa.Table.from_batches(batches)
         row(-1, docs=_packed_docs(batches))
         train = docs["train"].to_numpy()
-        data, off = tx.utf8(docs["text"])
-        held = []
-        for lo, hi, d, o in tx.blocks(data, off):
-            doc, h = _tokens(d, o)
-            word, at = np.unique(h, return_inverse=True)
-            held.append((word, np.bincount(at, train[lo:hi][doc])))
-        word, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        count = np.bincount(at, np.concatenate([x[1] for x in held])).astype(np.int32)
-        pairs, seen = distinct(data, off, train)
+        found = Gathered(stream(*tx.utf8(docs["text"])), train)
+        (last, n_last), (long_words, n_long), (word, n_word) = found.last, found.pairs, found.words
+        follows = np.bincount((last & np.uint64(0xFFFF)).astype(np.int64), n_last, 65536).astype(np.int64)
+        row(-2, counts=_pack(follows), seen=np.array([train.sum()], np.int64).tobytes())
+        asked = Asked(last, long_words)
+        pairs, seen = asked.pairs, asked.sums(n_last, n_long)
         edge = lambda b: np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
         # Buckets are ranges of the hashes, so both are in order of buckets already.
-        words_at, pairs_at = edge(_bucket(word, buckets, 32)), edge(_bucket(pairs, buckets, 31))
+        words_at, pairs_at = edge(_bucket(word, buckets)), edge(_bucket(pairs, buckets))
         for b in range(buckets):
             w, p = slice(words_at[b], words_at[b + 1]), slice(pairs_at[b], pairs_at[b + 1])
             if w.start < w.stop or p.start < p.stop:
-                row(b, words=word[w].tobytes(), counts=count[w].tobytes(), pairs=_pack(np.diff(pairs[p], prepend=np.uint64(0))), seen=_pack(seen[p].astype(np.int32)))
+                row(b, words=_rising(word[w]), counts=_pack(n_word[w].astype(np.int32)), pairs=_rising(pairs[p]), seen=_pack(seen[p].astype(np.int32)))
         cols = [pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["bucket"]), flock)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "pairs", "seen", "docs"))]
         yield pa.RecordBatch.from_arrays(cols, ["bucket", "flock", "words", "counts", "pairs", "seen", "docs"])
 
@@ -371,61 +487,92 @@ def _learn(buckets: int):
     return run
 
 
-def _bucket(h: np.ndarray, buckets: int, shift: int) -> np.ndarray:
-    return ((h >> np.uint64(shift)) * np.uint64(buckets)) >> np.uint64(32)
-
-
-def _answer(key: tuple, rows: pa.Table) -> pa.Table:
-    """A bucket's counts and predictions for each flock that asked; distinct training words and training tokens in the bucket."""
-    asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["words"]]
-    own = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows["counts"]]).astype(np.int64)
-    word, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, own).astype(np.int64)
-    pairs = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in rows["pairs"]]
-    pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
-    seen = np.bincount(pair_at, np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["seen"]]), len(pair)).astype(np.int64)
-    odds = predictions(pair, seen)
-    length = WALK[(pair & np.uint64(255)).astype(np.int64)]
-    odds_at = np.cumsum(length) - length
-    got, known, begin, pair_begin = [], [], 0, 0
-    for x, p in zip(asked, pairs, strict=True):
-        got.append(total[at[begin : begin + len(x)]].tobytes())
-        begin += len(x)
-        of = pair_at[pair_begin : pair_begin + len(p)]
-        pair_begin += len(p)
-        n = length[of]
-        known.append(_pack(odds[np.repeat(odds_at[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())]))
-    n = len(asked)
-    first = np.zeros(n, np.int64)
-    return pa.table({
-        "bucket": rows["bucket"], "flock": rows["flock"], "words": rows["words"], "counts": pa.array(got, pa.binary()), "known": pa.array(known, pa.binary()),
-        "distinct": pa.array(np.append((total > 0).sum(), first)[:n].astype(np.int64)), "tokens": pa.array(np.append(total.sum(), first)[:n].astype(np.int64)),
-    })
-
-
-def _scored(tokens: int, distinct_words: int):
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By the leading 32 of 63 bits."""
+    return ((h >> np.uint64(31)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often bytes followed others, and the training documents (place -1), in a task's flocks."""
+    total, docs = np.zeros(65536, np.int64), 0
+    for batch in batches:
+        for x, n in zip(batch.column("counts"), batch.column("seen"), strict=True):
+            total += _unpack(x.as_py(), np.int64)
+            docs += int(np.frombuffer(n.as_buffer(), np.int64)[0])
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], docs))], ["place", "n"])
+
+
+def _answer(held):
+    """A bucket's counts and predictions for each flock that asked; distinct training words and their occurrences in the bucket."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        code = _code(held)
+        asked = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in rows["words"]]
+        own = np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["counts"]]).astype(np.int64)
+        word, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(at, own, len(word)).astype(np.int64)
+        pairs = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in rows["pairs"]]
+        pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
+        seen = np.bincount(pair_at, np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["seen"]]), len(pair)).astype(np.int64)
+        odds, odds_at = predictions(code, pair, seen)
+        steps = code.walk[(pair & np.uint64(0xFFFF)).astype(np.int64)]
+        got, known, begin, pair_begin = [], [], 0, 0
+        for x, p in zip(asked, pairs, strict=True):
+            got.append(_pack(total[at[begin : begin + len(x)]]))
+            begin += len(x)
+            of = pair_at[pair_begin : pair_begin + len(p)]
+            pair_begin += len(p)
+            n = steps[of]
+            known.append(_pack(odds[np.repeat(odds_at[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())]))
+        n = len(asked)
+        first = np.zeros(n, np.int64)
+        return pa.table({
+            "bucket": rows["bucket"], "flock": rows["flock"], "counts": pa.array(got, pa.binary()), "known": pa.array(known, pa.binary()),
+            "distinct": pa.array(np.append((total > 0).sum(), first)[:n].astype(np.int64)), "tokens": pa.array(np.append(total.sum(), first)[:n].astype(np.int64)),
+        })
+
+    return run
+
+
+#: The code that a Python worker keeps for the tasks that follow.
+_KEPT: dict[int, Code] = {}
+
+
+def _code(held) -> Code:
+    if held.id not in _KEPT if hasattr(held, "id") else True:
+        _KEPT.clear()
+        _KEPT[getattr(held, "id", -1)] = Code(held.value)
+    return _KEPT[getattr(held, "id", -1)]
+
+
+def _scored(held, tokens: int, distinct_words: int, train_docs: int):
     def run(key: tuple, flock: pa.Table, answers: pa.Table) -> pa.Table:
+        code = _code(held)
         docs = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in flock["docs"])
         answers = answers.sort_by("bucket")
-        word = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers["words"]])
-        count = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in answers["counts"]])
-        known = np.concatenate([_unpack(x.as_py(), np.int8) for x in answers["known"]])
-        n_tokens, n_known, base = (np.zeros(len(docs)) for _ in range(3))
-        below = tokens + 0.1 * (distinct_words + 1)
         data, off = tx.utf8(docs["text"])
-        for lo, hi, d, o in tx.blocks(data, off):
-            doc, h = _tokens(d, o)
-            c = count[np.searchsorted(word, h)]
-            n_tokens[lo:hi] = np.bincount(doc, minlength=hi - lo)
-            n_known[lo:hi] = np.bincount(doc, c > 0, hi - lo)
-            base[lo:hi] = np.bincount(doc, np.log10((c + 0.1) / below), hi - lo)
-        cost = costs(distinct(data, off, np.zeros(len(docs), bool))[0], known, data, off)
+        text = stream(data, off)
+        n_docs = len(docs)
+        found = Gathered(text, np.zeros(n_docs, bool))
+        last, long_words, word = found.last[0], found.pairs[0], found.words[0]
+        count = np.concatenate([_unpack(x.as_py(), np.int64) for x in answers["counts"]])
+        below = tokens + 0.1 * (distinct_words + 1)
+        n_tokens = 1 + np.bincount(found.of_doc, minlength=n_docs)
+        n_known, base = np.full(n_docs, float(train_docs > 0)), np.full(n_docs, np.log10((train_docs + 0.1) / below))
+        if len(word):
+            c = count[np.searchsorted(word, found.every)]
+            n_known += np.bincount(found.of_doc, c > 0, n_docs)
+            base += np.bincount(found.of_doc, np.log10((c + 0.1) / below), n_docs)
+        del found, data
+        known = np.concatenate([_unpack(x.as_py(), np.int8) for x in answers["known"]])
+        cost = costs(known, Begin(Asked(last, long_words), code, last, long_words), code, text, off)
         size = np.diff(off)
-        none = np.full(len(docs), tokens == 0)
-        bits = np.divide(cost, np.log(2) * size, out=np.zeros(len(docs)), where=size > 0)
+        none = np.full(n_docs, tokens == 0)
+        bits = np.divide(cost, np.log(2) * size, out=np.zeros(n_docs), where=size > 0)
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": pa.compute.invert(docs["train"].combine_chunks()), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(docs), tokens)), "base_score": pa.array(base, mask=none), "score": pa.array(-cost / np.log(10)), "bits_per_byte": pa.array(bits, mask=size == 0),
+            "train_tokens": pa.array(np.full(n_docs, tokens)), "base_score": pa.array(base, mask=none), "score": pa.array(-cost / np.log(10)), "bits_per_byte": pa.array(bits, mask=size == 0),
         })
 
     return run
@@ -444,8 +591,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     d = d.coalesce(tasks) if given >= tasks else d.repartition(tasks) if given < parts(spark, 8) // 8 else d
     buckets = max(parts(spark, 8), -(-size // BUCKET))
     learned = cut(d.mapInArrow(_learn(buckets), _LEARNED))
-    answers = cut(learned.where("bucket >= 0").drop("docs").groupBy("bucket").applyInArrow(_answer, _ANSWERS))
+    follows = np.zeros(65536, np.int64)
+    train_docs = 0
+    for r in learned.where("bucket = -2").select("counts", "seen").mapInArrow(_sums, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most 65,537 rows
+        if r.place < 0:
+            train_docs = r.n
+        else:
+            follows[r.place] = r.n
+    held = spark.sparkContext.broadcast(follows)
+    answers = cut(learned.where("bucket >= 0").drop("docs").groupBy("bucket").applyInArrow(_answer(held), _ANSWERS))
     total = answers.agg(F.sum("distinct"), F.sum("tokens")).first()
-    texts, back = learned.where("bucket < 0").select("flock", "docs"), answers.select("bucket", "flock", "words", "counts", "known")
+    texts, back = learned.where("bucket = -1").select("flock", "docs"), answers.select("bucket", "flock", "counts", "known")
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("flock").cogroup(back.groupBy("flock")).applyInArrow(_scored(total[1] or 0, total[0] or 0), schema)
+    tokens, distinct_words = (total[1] or 0) + train_docs, (total[0] or 0) + (train_docs > 0)
+    return texts.groupBy("flock").cogroup(back.groupBy("flock")).applyInArrow(_scored(held, tokens, distinct_words, train_docs), schema)

@@ -256,54 +256,99 @@ def test_lm_base_score(spark):
 
 
 def brute_lm(rows):
-    """Scores from a dict of counts for every context and node, weights moved after every byte."""
-    length, first, node, bit = mixing._code()
-    walk = {b: [(int(node[k]), int(bit[k])) for k in range(first[b], first[b] + length[b])] for b in range(256)}
+    """Scores from a dict of counts for every context and node, weights moved after every decision."""
+    import numpy as np
+
     space = {0x20, *range(0x09, 0x0E)}
 
+    def symbols(t):
+        return [*(t or "").encode(), mixing.END]
+
     def seen_at(t, p):
+        back = [mixing.END] * mixing.REACH + t[:p]
         begin = max((k + 1 for k in range(p) if t[k] in space), default=0)
-        return [*((o, t[max(0, p - o) : p]) for o in mixing.ORDERS), (0, t[begin:p])]
+        long_ = p - begin >= mixing.REACH
+        begin += (p - begin) // mixing.WORD * mixing.WORD
+        lower = [b + 32 if 65 <= b <= 90 else b for b in t[begin:p]]
+        return [*((o, *back[-o:]) for o in mixing.ORDERS), ("word", long_, *lower, back[-1])]
+
+    training = [symbols(r.text) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10]
+    follows = np.zeros((256, 256), np.int64)
+    for t in training:
+        for x, y in itertools.pairwise([mixing.END, *t]):
+            follows[x, y] += 1
+    code = mixing.Code(follows.reshape(-1))
+
+    def walk(before, byte):
+        leaf = int(code.leaf[before << 8 | byte])
+        for j in range(int(code.steps[leaf])):
+            below = tuple(int(x) for x in (code.below[j, leaf], code.above[j, leaf]))
+            yield below, tuple(int(x) for x in (code.below[j + 1, leaf], code.above[j + 1, leaf]))
 
     count = Counter()
-    for r in rows:
-        t = (r.text or "").encode()
-        if zlib.crc32(str(r.doc_id).encode()) % 10:
-            count.update((c, n, b) for p in range(len(t)) for c in seen_at(t, p) for n, b in walk[t[p]])
+    for t in training:
+        for p, b in enumerate(t):
+            before = t[p - 1] if p else mixing.END
+            count.update((c, node) for c in seen_at(t, p) for node in [(before << 8, (before << 8) + 256), *(x for _, x in walk(before, b))])
     out = {}
     for r in rows:
-        t, cost = (r.text or "").encode(), 0.0
-        weights = {g: [1.2 / mixing.INPUTS] * mixing.INPUTS for g in range(3)}
-        for p in range(len(t)):
-            w = weights[1 if not p or t[p - 1] in space else 2 if t[p - 1] >= 0x80 else 0]
-            move = [0.0] * mixing.INPUTS
-            for n, b in walk[t[p]]:
-                odds = [math.log((count[c, n, b] + 0.05) / (count[c, n, 1 - b] + 0.05)) for c in seen_at(t, p)]
+        t, cost = symbols(r.text), 0.0
+        for p, b in enumerate(t):
+            if p % mixing.STRETCH == 0:
+                weights = {g: [mixing.START] * mixing.INPUTS for g in range(4)}
+            gate = None
+            for node, inner in walk(t[p - 1] if p else mixing.END, b):
+                odds = [math.log((count[c, inner] + 0.05) / (count[c, node] - count[c, inner] + 0.05)) for c in seen_at(t, p)]
                 odds = [round(max(-8, min(8, x)) / mixing.SCALE) * mixing.SCALE for x in odds]
+                gate = (odds[-2] != 0) * 2 + (odds[-1] != 0) if gate is None else gate
+                w = weights[gate]
                 z = sum(map(float.__mul__, w, odds))
                 cost += math.log1p(math.exp(-z))
-                move = [m + mixing.RATE * x / (1 + math.exp(z)) for m, x in zip(move, odds)]
-            w[:] = map(float.__add__, w, move)
+                w[:] = [v + mixing.RATE * x / (1 + math.exp(z)) for v, x in zip(w, odds)]
         out[r.doc_id] = -cost / math.log(10)
     return out
 
 
-def test_lm_counts_every_context(spark):
-    d = docs(spark, [*ODD[:5], *ODD[6:], "short", *(words(k, 60) for k in range(24)), words(3, 60)])
+def test_lm_against_a_slow_mixer(spark, monkeypatch):
+    d = docs(spark, [*ODD[:5], *ODD[6:], "short", "end ", *(words(k, 60) for k in range(24)), words(3, 60), words(4, 700), "x" * 200 + "y" * 70, "A b\u00e9 A B\u00c9"])
     want = brute_lm(d.collect())
     got = {r.doc_id: r.score for r in mixing.score(d.repartition(3)).collect()}
     assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
+    # Blocks, batches and flocks of any size give the same scores.
+    monkeypatch.setattr(mixing.tx, "BLOCK", 100)
+    monkeypatch.setattr(mixing, "PART", 70)
+    monkeypatch.setattr(mixing, "HELD", 500)
+    import numpy as np
+
+    data, off = mixing.tx.utf8(__import__("pyarrow").array([r.text for r in d.collect()]))
+    text = mixing.stream(data, off)
+    found = mixing.Gathered(text, np.array([zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in d.collect()]))
+    (last, n_last), (long_words, n_long) = found.last, found.pairs
+    asked = mixing.Asked(last, long_words)
+    code = mixing.Code(np.bincount((last & np.uint64(0xFFFF)).astype(np.int64), n_last, 65536).astype(np.int64))
+    known, _ = mixing.predictions(code, asked.pairs, asked.sums(n_last, n_long))
+    cost = mixing.costs(known, mixing.Begin(asked, code, last, long_words), code, text, off)
+    assert (-cost / np.log(10)).tolist() == pytest.approx([want[r.doc_id] for r in d.collect()], rel=1e-3, abs=1e-3)
+
+
+def test_lm_code_is_a_whole_tree():
+    import numpy as np
+
+    follows = np.random.default_rng(3).zipf(1.5, 65536).astype(np.int64) * (np.arange(65536) % 5 > 0)
+    code = mixing.Code(follows)
+    assert (2.0 ** -code.steps.reshape(256, 256)).sum(1) == pytest.approx(np.ones(256))
+    assert sorted(code.leaf) == list(range(65536)) and (code.leaf >> 8 == np.arange(65536) >> 8).all()
 
 
 def test_lm_model_grows():
     """Two million pairs of context and byte are all told apart: what followed one says nothing of another."""
     import numpy as np
 
-    pairs = np.sort(np.random.default_rng(1).choice(1 << 40, 2_000_000, replace=False).astype(np.uint64)) << np.uint64(8) | np.uint64(7)
-    known = mixing.predictions(pairs, np.ones(len(pairs), np.int64))
-    assert len(known) == len(pairs) * mixing.WALK[7] and set(known.tolist()) == {round(math.log(1.05 / 0.05) / mixing.SCALE)}
-    some = pairs[::-3]
-    assert (mixing.Table(pairs)(some) == np.arange(len(pairs))[::-3] * mixing.WALK[7]).all()
+    code = mixing.Code(np.zeros(65536, np.int64))
+    pairs = np.sort(np.random.default_rng(1).choice(1 << 40, 2_000_000, replace=False).astype(np.uint64)) << np.uint64(16) | np.uint64(0x6107)
+    known, at = mixing.predictions(code, pairs, np.ones(len(pairs), np.int64))
+    assert len(known) == len(pairs) * code.walk[0x6107] and set(known.tolist()) == {round(math.log(1.05 / 0.05) / mixing.SCALE)}
+    assert (mixing.Table(pairs)(pairs[::-3]) == np.arange(len(pairs))[::-3]).all()
 
 
 def test_lm_beats_a_uniform_code(spark):
