@@ -21,12 +21,22 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def written(df: DataFrame, by: tuple[str, ...] = ()) -> str:
+    """df computed once and written to a new folder of the shared one, in a folder for each value of ``by``: its path."""
+    out = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(out)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder: lineage ends there, and lost executors don't matter."""
-    spark = df.sparkSession
-    out = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that written() made and that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_key(col: str = "text") -> list[Column]:

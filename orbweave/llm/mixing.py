@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm import _text as tx
-from orbweave.llm._io import cut, parts
+from orbweave.llm._io import discard, parts, written
 
 ORDERS = (2, 3, 5)  # and the word so far
 INPUTS = len(ORDERS) + 1
@@ -44,7 +44,7 @@ FLOCK = 16 << 20
 BUCKET = 16 << 20  # bytes of the corpus for each bucket
 STRETCH = 4096
 WORD = 64  # bytes of a word that a context holds
-BATCH = 4 << 20  # bytes of the stretches that move on together
+BATCH = 3 << 20  # bytes of the stretches that move on together
 PART = 1 << 16  # bytes of a batch whose predictions are looked up together
 HELD = 2_000_000  # pairs that a flock holds before it counts them
 RATE = 0.006
@@ -288,7 +288,7 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
 
     begin: for each input where each byte's predictions begin in ``known``; steps: of each byte's walk; start: of each stretch.
     """
-    at = np.concatenate([[0], np.cumsum(steps)])
+    at = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
     x = np.empty((at[-1], INPUTS), np.int8)
     gate = np.empty(at[-1], np.int8)
     for lo in range(0, len(steps), PART):
@@ -312,7 +312,8 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
         np.add(lo[: b - a], t, out=order[a:b])
     rows = x.view(np.int32).reshape(-1).take(order).view(np.int8).reshape(-1, INPUTS)
     gate = gate.take(order)
-    del x
+    del x, order
+    begin.clear()
     four = np.arange(n, dtype=np.int64) * 4
     weights = np.full((4 * n, INPUTS), START * SCALE, np.float32)
     whole = weights.view(np.complex128).reshape(-1)  # a row of weights as one item
@@ -340,7 +341,7 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
         part = z[these[0] : these[-1]]
         held = np.maximum(part, -80)
         cost = np.log(1 + np.exp(-held)) + (held - part)
-        out += np.bincount(order[these[0] : these[-1]] * 0 + np.concatenate([np.arange(b - a, dtype=np.int32) for a, b in zip(these, these[1:])]), cost, n)
+        out += np.bincount(np.concatenate([np.arange(b - a, dtype=np.int32) for a, b in zip(these, these[1:])]), cost, n)
     back = np.empty(n)
     back[by] = out
     return back
@@ -378,7 +379,7 @@ def costs(known: np.ndarray, begin_of: Begin, code: Code, text: np.ndarray, off:
             continue
         lo, hi = start[batch[0]], start[batch[-1] + 1] if batch[-1] + 1 < len(start) else len(text)
         begin = [np.empty(hi - lo, np.int32) for _ in range(INPUTS)]
-        steps = np.empty(hi - lo, np.int64)
+        steps = np.empty(hi - lo, np.int32)
         for a in range(lo, hi, PART):
             last, at, words, _, _ = see(text[a : min(a + PART, hi)])
             here = slice(a - lo, a - lo + len(last))
@@ -389,7 +390,8 @@ def costs(known: np.ndarray, begin_of: Begin, code: Code, text: np.ndarray, off:
     return out
 
 
-_LEARNED = "bucket int, flock long, words binary, counts binary, pairs binary, seen binary, docs binary"
+_LEARNED = "kind int, bucket int, flock long, words binary, counts binary, pairs binary, seen binary, docs binary"
+TEXTS, ASKS, SUMS = 0, 1, 2
 _ANSWERS = "bucket int, flock long, counts binary, known binary, distinct long, tokens long"
 
 
@@ -445,19 +447,19 @@ def _learn(buckets: int):
     """Flocks of a task's documents: their texts, and their distinct words and pairs by bucket with training counts."""
 
     def ask(flock: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = {c: [] for c in ("bucket", "words", "counts", "pairs", "seen", "docs")}
+        rows = {c: [] for c in ("kind", "bucket", "words", "counts", "pairs", "seen", "docs")}
 
-        def row(bucket: int, **cols: bytes) -> None:
-            for c in rows:
-                rows[c].append(bucket if c == "bucket" else cols.get(c))
+        def row(kind: int, bucket: int = 0, **cols: bytes) -> None:
+            for c, x in rows.items():
+                x.append({"kind": kind, "bucket": bucket}.get(c, cols.get(c)))
 
         docs = pa.Table.from_batches(batches)
-        row(-1, docs=_packed_docs(batches))
+        row(TEXTS, docs=_packed_docs(batches))
         train = docs["train"].to_numpy()
         found = Gathered(stream(*tx.utf8(docs["text"])), train)
         (last, n_last), (long_words, n_long), (word, n_word) = found.last, found.pairs, found.words
         follows = np.bincount((last & np.uint64(0xFFFF)).astype(np.int64), n_last, 65536).astype(np.int64)
-        row(-2, counts=_pack(follows), seen=np.array([train.sum()], np.int64).tobytes())
+        row(SUMS, counts=_pack(follows), seen=np.array([train.sum()], np.int64).tobytes())
         asked = Asked(last, long_words)
         pairs, seen = asked.pairs, asked.sums(n_last, n_long)
         edge = lambda b: np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
@@ -466,9 +468,9 @@ def _learn(buckets: int):
         for b in range(buckets):
             w, p = slice(words_at[b], words_at[b + 1]), slice(pairs_at[b], pairs_at[b + 1])
             if w.start < w.stop or p.start < p.stop:
-                row(b, words=_rising(word[w]), counts=_pack(n_word[w].astype(np.int32)), pairs=_rising(pairs[p]), seen=_pack(seen[p].astype(np.int32)))
-        cols = [pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["bucket"]), flock)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "pairs", "seen", "docs"))]
-        yield pa.RecordBatch.from_arrays(cols, ["bucket", "flock", "words", "counts", "pairs", "seen", "docs"])
+                row(ASKS, b, words=_rising(word[w]), counts=_pack(n_word[w].astype(np.int32)), pairs=_rising(pairs[p]), seen=_pack(seen[p].astype(np.int32)))
+        cols = [pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["kind"]), flock)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "pairs", "seen", "docs"))]
+        yield pa.RecordBatch.from_arrays(cols, ["kind", "bucket", "flock", "words", "counts", "pairs", "seen", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flock, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -507,7 +509,7 @@ def _answer(held):
     """A bucket's counts and predictions for each flock that asked; distinct training words and their occurrences in the bucket."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        code = _code(held)
+        code = Code(held.value)
         asked = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in rows["words"]]
         own = np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["counts"]]).astype(np.int64)
         word, at = np.unique(np.concatenate(asked), return_inverse=True)
@@ -535,20 +537,9 @@ def _answer(held):
     return run
 
 
-#: The code that a Python worker keeps for the tasks that follow.
-_KEPT: dict[int, Code] = {}
-
-
-def _code(held) -> Code:
-    if held.id not in _KEPT if hasattr(held, "id") else True:
-        _KEPT.clear()
-        _KEPT[getattr(held, "id", -1)] = Code(held.value)
-    return _KEPT[getattr(held, "id", -1)]
-
-
 def _scored(held, tokens: int, distinct_words: int, train_docs: int):
     def run(key: tuple, flock: pa.Table, answers: pa.Table) -> pa.Table:
-        code = _code(held)
+        code = Code(held.value)
         docs = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in flock["docs"])
         answers = answers.sort_by("bucket")
         data, off = tx.utf8(docs["text"])
@@ -584,24 +575,30 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     train = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 != 0, F.lit(True))
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
     tasks = max(1, -(-size // FLOCK))
     given = d.rdd.getNumPartitions()  # a task may part its documents into several flocks; texts are dealt anew only where tasks would be few
     d = d.coalesce(tasks) if given >= tasks else d.repartition(tasks) if given < parts(spark, 8) // 8 else d
     buckets = max(parts(spark, 8), -(-size // BUCKET))
-    learned = cut(d.mapInArrow(_learn(buckets), _LEARNED))
+    learned = written(d.mapInArrow(_learn(buckets), _LEARNED), by=("kind",))  # texts and requests in folders of their own
+    read = lambda kind: spark.read.schema(_LEARNED).option("basePath", learned).parquet(f"{learned}/kind={kind}")
+    if size == 0 and d.isEmpty():
+        return spark.createDataFrame([], schema)
     follows = np.zeros(65536, np.int64)
     train_docs = 0
-    for r in learned.where("bucket = -2").select("counts", "seen").mapInArrow(_sums, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most 65,537 rows
+    for r in read(SUMS).select("counts", "seen").mapInArrow(_sums, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most 65,537 rows
         if r.place < 0:
             train_docs = r.n
         else:
             follows[r.place] = r.n
     held = spark.sparkContext.broadcast(follows)
-    answers = cut(learned.where("bucket >= 0").drop("docs").groupBy("bucket").applyInArrow(_answer(held), _ANSWERS))
+    asked = read(ASKS).select("bucket", "flock", "words", "counts", "pairs", "seen")
+    answered = written(asked.groupBy("bucket").applyInArrow(_answer(held), _ANSWERS))
+    discard(spark, f"{learned}/kind={ASKS}")
+    answers = spark.read.schema(_ANSWERS).parquet(answered)
     total = answers.agg(F.sum("distinct"), F.sum("tokens")).first()
-    texts, back = learned.where("bucket = -1").select("flock", "docs"), answers.select("bucket", "flock", "counts", "known")
-    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    texts, back = read(TEXTS).select("flock", "docs"), answers.select("bucket", "flock", "counts", "known")
     tokens, distinct_words = (total[1] or 0) + train_docs, (total[0] or 0) + (train_docs > 0)
     return texts.groupBy("flock").cogroup(back.groupBy("flock")).applyInArrow(_scored(held, tokens, distinct_words, train_docs), schema)
