@@ -44,9 +44,9 @@ FLOCK = 16 << 20
 BUCKET = 16 << 20  # bytes of the corpus for each bucket
 STRETCH = 4096
 WORD = 64  # bytes of a word that a context holds
-BATCH = 3 << 20  # bytes of the stretches that move on together
+BATCH = 2 << 20  # bytes of the stretches that move on together
 PART = 1 << 16  # bytes of a batch whose predictions are looked up together
-HELD = 2_000_000  # pairs that a flock holds before it counts them
+HELD = 1_000_000  # pairs that a flock holds before it counts them
 RATE = 0.006
 START = 0.3
 SCALE = 8 / 127
@@ -91,9 +91,8 @@ class Code:
 
 def stream(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The bytes of documents, an end mark after each."""
-    out = np.full(len(data) + len(off) - 1, END, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(len(off) - 1), np.diff(off))] = data
-    return out
+    end, edges = np.array([END], np.uint8), off.tolist()
+    return np.concatenate([np.zeros(0, np.uint8), *(x for a, b in zip(edges, edges[1:]) for x in (data[a:b], end))])
 
 
 class Contexts:
@@ -235,13 +234,16 @@ def predictions(code: Code, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.n
     at = np.cumsum(steps) - steps
     out = np.zeros(int(steps.sum()), np.int8)
     seen = lambda which, j: total[np.searchsorted(sorted_, base[which] + code.above[j, leaf[which]])] - total[np.searchsorted(sorted_, base[which] + code.below[j, leaf[which]])]
-    which = order[np.flatnonzero(steps[order] > 0)]
-    all_ = seen(which, 0)
-    for j in range(int(steps.max(initial=0))):
-        right = seen(which, j + 1)
-        out[at[which] + j] = np.rint(np.clip(np.log((right + 0.05) / (all_ - right + 0.05)), -8, 8) / SCALE)
-        more = steps[which] > j + 1
-        which, all_ = which[more], right[more]
+    for lo in range(0, len(order), HELD // 8):
+        which = order[lo : lo + HELD // 8]
+        which = which[steps[which] > 0]
+        all_, j = seen(which, 0), 0
+        while len(which):
+            right = seen(which, j + 1)
+            out[at[which] + j] = np.rint(np.clip(np.log((right + 0.05) / (all_ - right + 0.05)), -8, 8) / SCALE)
+            j += 1
+            more = steps[which] > j
+            which, all_ = which[more], right[more]
     return out, at
 
 
