@@ -13,7 +13,7 @@ sum of costs is the text's log probability: over all texts of any length they ad
 
 What is learned grows with the corpus and none of it is broadcast but the code (256 trees).
 Input tasks part their documents into flocks of about FLOCK bytes. A flock sends its distinct
-words, and its distinct pairs of a context (a 47-bit hash) and a byte, with their counts in
+words, and its distinct pairs of a context (a 44-bit hash) and a byte, with their counts in
 training texts, to buckets by hash; a bucket adds them up and answers each flock's words with
 counts and each flock's pairs with the prediction at every node of the byte's walk, in SCALE
 steps. The answers meet the flock's texts again. Buckets grow in number with the corpus, so
@@ -40,13 +40,13 @@ from orbweave.llm._io import discard, parts, written
 
 ORDERS = (2, 3, 5)  # and the word so far
 INPUTS = len(ORDERS) + 1
-FLOCK = 16 << 20
+FLOCK = 12 << 20
 BUCKET = 16 << 20  # bytes of the corpus for each bucket
 STRETCH = 4096
 WORD = 64  # bytes of a word that a context holds
-BATCH = 2 << 20  # bytes of the stretches that move on together
+BATCH = 3 << 19  # bytes of the stretches that move on together
 PART = 1 << 16  # bytes of a batch whose predictions are looked up together
-HELD = 1_000_000  # pairs that a flock holds before it counts them
+HELD = 500_000  # pairs that a flock holds before it counts them
 RATE = 0.006
 START = 0.3
 SCALE = 8 / 127
@@ -138,10 +138,10 @@ class Contexts:
 
 
 def _hashed(h: np.ndarray, kind: int) -> np.ndarray:
-    """47 bits of a context's hash, above 16 bits for a byte and the one before."""
+    """44 bits of a context's hash, above 16 bits for a byte and the one before."""
     h = (h + np.uint64(kind * 0x9E37 + 1)) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))) >> np.uint64(17) << np.uint64(16)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(20) << np.uint64(16)
 
 
 def _order(last: np.ndarray, k: int) -> np.ndarray:
@@ -173,7 +173,7 @@ class Counter:
     def __init__(self) -> None:
         self.held: list[np.ndarray] = []
         self.n = 0
-        self.keys, self.counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        self.keys, self.counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
 
     def add(self, x: np.ndarray, marked: np.ndarray) -> None:
         self.held.append(x << np.uint64(1) | marked)
@@ -186,9 +186,9 @@ class Counter:
         x.sort()
         first = _runs(x >> np.uint64(1))
         self.keys.append(x[first] >> np.uint64(1))
-        self.counts.append(np.add.reduceat((x & np.uint64(1)).astype(np.int64), first))
+        self.counts.append(np.add.reduceat((x & np.uint64(1)).astype(np.int32), first))
         self.held, self.n = [], 0
-        if sum(map(len, self.keys)) > 2 * max(HELD, len(self.keys[0])):
+        if sum(map(len, self.keys)) > max(2 * HELD, 3 * len(self.keys[0]) // 2):
             self._merge()
 
     def _merge(self) -> None:
@@ -234,8 +234,8 @@ def predictions(code: Code, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.n
     at = np.cumsum(steps) - steps
     out = np.zeros(int(steps.sum()), np.int8)
     seen = lambda which, j: total[np.searchsorted(sorted_, base[which] + code.above[j, leaf[which]])] - total[np.searchsorted(sorted_, base[which] + code.below[j, leaf[which]])]
-    for lo in range(0, len(order), HELD // 8):
-        which = order[lo : lo + HELD // 8]
+    for lo in range(0, len(order), PART * 4):
+        which = order[lo : lo + PART * 4]
         which = which[steps[which] > 0]
         all_, j = seen(which, 0), 0
         while len(which):
@@ -399,7 +399,7 @@ _ANSWERS = "bucket int, flock long, counts binary, known binary, distinct long,
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes, the like bytes of all together."""
-    return np.array([len(x)], np.int64).tobytes() + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), "zstd", asbytes=True)
+    return np.array([len(x)], np.int64).tobytes() + pa.Codec("zstd", 3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), asbytes=True)
 
 
 def _unpack(raw: bytes, kind: type) -> np.ndarray:
@@ -412,9 +412,24 @@ def _rising(x: np.ndarray) -> bytes:
     return _pack(np.diff(x, prepend=np.uint64(0)))
 
 
+def _pack_pairs(x: np.ndarray) -> bytes:
+    """Pairs in order as four columns: the contexts' steps, the bytes before, how many pairs each has, and their bytes."""
+    group = x >> np.uint64(8)
+    first = _runs(group)
+    cols = [_rising(group[first] >> np.uint64(8)), _pack((group[first] & np.uint64(255)).astype(np.uint8)), _pack(np.diff(np.append(first, len(x))).astype(np.uint16)), _pack((x & np.uint64(255)).astype(np.uint8))]
+    return np.array([len(c) for c in cols], np.int64).tobytes() + b"".join(cols)
+
+
+def _unpack_pairs(raw: bytes) -> np.ndarray:
+    at = 32 + np.cumsum(np.append(0, np.frombuffer(raw[:32], np.int64)))
+    cols = [_unpack(raw[a:b], t) for a, b, t in zip(at, at[1:], (np.uint64, np.uint8, np.uint16, np.uint8))]
+    group = np.cumsum(cols[0]) << np.uint64(8) | cols[1]
+    return np.repeat(group, cols[2]) << np.uint64(8) | cols[3]
+
+
 def _packed_docs(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         for b in batches:
             out.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -466,11 +481,11 @@ def _learn(buckets: int):
         pairs, seen = asked.pairs, asked.sums(n_last, n_long)
         edge = lambda b: np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
         # Buckets are ranges of the hashes, so both are in order of buckets already.
-        words_at, pairs_at = edge(_bucket(word, buckets)), edge(_bucket(pairs, buckets))
+        words_at, pairs_at = edge(_bucket(word, 63, buckets)), edge(_bucket(pairs, 60, buckets))
         for b in range(buckets):
             w, p = slice(words_at[b], words_at[b + 1]), slice(pairs_at[b], pairs_at[b + 1])
             if w.start < w.stop or p.start < p.stop:
-                row(ASKS, b, words=_rising(word[w]), counts=_pack(n_word[w].astype(np.int32)), pairs=_rising(pairs[p]), seen=_pack(seen[p].astype(np.int32)))
+                row(ASKS, b, words=_rising(word[w]), counts=_pack(n_word[w].astype(np.int32)), pairs=_pack_pairs(pairs[p]), seen=_pack(seen[p].astype(np.int32)))
         cols = [pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["kind"]), flock)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "pairs", "seen", "docs"))]
         yield pa.RecordBatch.from_arrays(cols, ["kind", "bucket", "flock", "words", "counts", "pairs", "seen", "docs"])
 
@@ -491,9 +506,9 @@ def _learn(buckets: int):
     return run
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """By the leading 32 of 63 bits."""
-    return ((h >> np.uint64(31)) * np.uint64(buckets)) >> np.uint64(32)
+def _bucket(h: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """By the leading 32 of so many bits."""
+    return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,7 +531,7 @@ def _answer(held):
         own = np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["counts"]]).astype(np.int64)
         word, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, own, len(word)).astype(np.int64)
-        pairs = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in rows["pairs"]]
+        pairs = [_unpack_pairs(x.as_py()) for x in rows["pairs"]]
         pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
         seen = np.bincount(pair_at, np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["seen"]]), len(pair)).astype(np.int64)
         odds, odds_at = predictions(code, pair, seen)
