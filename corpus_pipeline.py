@@ -14,33 +14,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import bpe, decontaminate, jaccard, secrets
 from orbweave.llm import quality as classifier
-from orbweave.llm._io import cut, table
+from orbweave.llm._io import cut, fresh, table, text_key
 from orbweave.llm.queries import tokenizer
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score of 0.5 or more; learns from at most 20,000 labelled rows that are not held out."""
-    scored = classifier.score(docs, table(spark, sf_dir, "labels"), sample=20_000)
-    return scored.where("score >= 0.5").select(*docs.columns)
+    (to,) = fresh(docs, "score")
+    scored = classifier.score(docs, table(spark, sf_dir, "labels"), sample=20_000, to=to)
+    return scored.where(F.col(to) >= 0.5).select(*_all(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the one whose doc_id is the component's; of rows that repeat an id and its text, one.
+    """One row of each component: the one with the smallest doc_id, null ids last; of rows that repeat an id and its text, one.
 
-    Rows with an empty set or a null doc_id are in no component and stay.
+    Rows are told apart by id and text, so other texts under a repeated id stay. Texts without words are in no
+    component: of them only rows that repeat both id and text go.
     """
-    classes = jaccard.classes(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
-    twice = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = kept.join(twice, "doc_id").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    own = fresh(docs, "k1", "k2")
+    keyed = docs.select("*", *(k.alias(c) for k, c in zip(text_key(), own, strict=True)))
+    names = ["doc_id", *own]
+    gone = jaccard.copies(docs.select("doc_id", "text")).toDF("gone_id", "gone_k1", "gone_k2")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(own[0]) == F.col("gone_k1")) & (F.col(own[1]) == F.col("gone_k2"))
+    kept = cut(keyed.join(gone, same, "left_anti"))
+    twice = cut(kept.groupBy(*names).count().where("count > 1").select(*(F.col(c).alias(f"gone_{k}") for c, k in zip(names, ("id", "k1", "k2"), strict=True))))
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(names))
+    return kept.select(*_all(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +62,7 @@ def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     clean = secrets.redact(secrets.scan(docs), mark="[SECRET]")
     if "n_chars" in clean.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean.select(*_all(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

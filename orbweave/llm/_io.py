@@ -17,6 +17,8 @@ def scratch(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return root.rstrip("/")
 
@@ -44,5 +46,16 @@ def text_key(col: str = "text") -> list[Column]:
     return [F.xxhash64(F.lit(1), F.col(col), F.col(col).isNull()), F.xxhash64(F.lit(2), F.col(col), F.col(col).isNull())]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

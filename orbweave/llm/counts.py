@@ -151,9 +151,10 @@ def _counted(held, pattern: str, text: str, edits: str):
                     n = sum(counter.counts(counter.find(t)))
                     out.append((n, 0, 0, n, 0, t))
                     continue
+                changes = [c for c in changes if c]
                 tree, done, shift, passed = Tree(t, counter), 0, 0, 0
                 n = tree.tokens()
-                for c in sorted((c for c in changes if c), key=lambda c: (c["start"], c["end"])):
+                for c in sorted(changes, key=lambda c: (c["start"], c["end"])):
                     start, end = max(0, min(c["start"], len(t))), max(0, min(c["end"], len(t)))
                     if start < done or end < start:
                         passed += 1

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orbweave.llm import _text as tx
 
@@ -53,7 +54,7 @@ class Index:
         doc, _, _, h = tx.words(data, off, tx.NOT_ALNUM)
         at = tx.word_counts(doc, len(texts))
         keep = [k for k in range(len(texts)) if at[k + 1] > at[k]]
-        self.ids = np.array([ids[k] for k in keep], np.int64)
+        self.ids = [ids[k] for k in keep]
         self.words = [h[at[k] : at[k + 1]] for k in keep]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.grams = [self._grams(w, min(width, len(w))) for w in self.words]
@@ -130,7 +131,7 @@ class Index:
 
 def _items(benchmark: DataFrame, key: str, text: str) -> Iterator[Index]:
     ids, texts, size = [], [], 0
-    for r in benchmark.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).toLocalIterator():
+    for r in benchmark.select(key, text).where(F.col(text).isNotNull()).toLocalIterator():
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(r[1]) > BLOCK_BYTES):
             yield Index(ids, texts)
             ids, texts, size = [], [], 0
@@ -142,7 +143,7 @@ def _items(benchmark: DataFrame, key: str, text: str) -> Iterator[Index]:
         yield index
 
 
-def _hits(held, text: str):
+def _hits(held, text: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in batches:
@@ -150,7 +151,7 @@ def _hits(held, text: str):
             got = [(lo + d, *x) for lo, _, b, o in tx.blocks(data, off) for d, *x in index.search(b, o)]
             if got:
                 row, item, count, start, alike = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(index.ids[list(item)]), pa.array(count, pa.int64()), pa.array(start, pa.int64()), pa.array(alike, pa.float64())], ["key", "item_id", "n_windows", "start", "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([index.ids[k] for k in item], kind), pa.array(count, pa.int64()), pa.array(start, pa.int64()), pa.array(alike, pa.float64())], ["key", "item_id", "n_windows", "start", "similarity"])
 
     return run
 
@@ -169,8 +170,9 @@ def _kept(held, text: str):
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """key, item_id, n_windows, start (in words) and similarity of the best window, for every item that a row holds."""
     spark = docs.sparkSession
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, item_id long, n_windows long, start long, similarity double"
-    found = [docs.select(key, text).mapInArrow(_hits(spark.sparkContext.broadcast(x), text), schema.replace(key, "key", 1)).withColumnRenamed("key", key) for x in _items(benchmark, item, text)]
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, n_windows long, start long, similarity double"
+    kind = to_arrow_type(benchmark.schema[item].dataType)
+    found = [docs.select(key, text).mapInArrow(_hits(spark.sparkContext.broadcast(x), text, kind), schema.replace(key, "key", 1)).withColumnRenamed("key", key) for x in _items(benchmark, item, text)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 

@@ -43,6 +43,7 @@ from orbweave.llm.components import components
 
 FEW = 24
 BLOCK = 512  # sets of a block in which a family is compared
+COLUMNS = 1 << 15  # shared shingles of two blocks that are counted at once
 FLUSH = 1_500_000  # signatures that a task holds before it sends them on
 
 _ROWS = "doc_id long, k1 long, k2 long, n int, sid long, keep int, keep_low int"
@@ -307,14 +308,19 @@ def _confront(num: int, den: int):
             flat = [np.concatenate(x) for x in sets_]
             both = np.intersect1d(*flat)
             size = [np.array([len(x) for x in y]) for y in sets_]
-            grid = []
-            for x, n in zip(flat, size, strict=True):
-                at = np.minimum(np.searchsorted(both, x), max(len(both) - 1, 0))
-                has = (both[at] == x) if len(both) else np.zeros(len(x), bool)
-                m = np.zeros((len(n), len(both)), np.float32)
-                m[np.repeat(np.arange(len(n)), n)[has], at[has]] = 1
-                grid.append(m)
-            shared = (grid[0] @ grid[1].T).astype(np.int64)
+            at = [np.searchsorted(both, x) for x in flat]
+            has = [np.append(both, np.uint64(0))[k] == x for k, x in zip(at, flat, strict=True)]
+            has = [h & (k < len(both)) for h, k in zip(has, at, strict=True)]
+            row = [np.repeat(np.arange(len(n)), n) for n in size]
+            shared = np.zeros((len(size[0]), len(size[1])), np.int64)
+            for lo in range(0, len(both), COLUMNS):  # shared shingles at once
+                grid = []
+                for k, h, r, n in zip(at, has, row, size, strict=True):
+                    here = h & (k >= lo) & (k < lo + COLUMNS)
+                    m = np.zeros((len(n), min(COLUMNS, len(both) - lo)), np.float32)
+                    m[r[here], k[here] - lo] = 1
+                    grid.append(m)
+                shared += (grid[0] @ grid[1].T).astype(np.int64)
             link = shared * den >= (size[0][:, None] + size[1][None, :] - shared) * num
             link &= own["component"].to_numpy()[:, None] != all_["component"].to_numpy()[None, :]
             i, j = np.nonzero(link)
@@ -418,13 +424,27 @@ class Join:
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row, by the smallest doc_id of the component."""
-        rows = self.rows.select("doc_id", "n", "sid").join(self.components.select(F.col("id").alias("sid"), "component"), "sid", "left")
-        rows = rows.withColumn("class", F.coalesce("component", "sid"))
+        rows = self._grouped()
         least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         rows = rows.join(least, "class", "left")
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
+    def copies(self) -> DataFrame:
+        """(doc_id, k1, k2) of every id and text (by its key) but one of each group: the smallest id stays, null ids last."""
+        rows = self._grouped("k1", "k2").where("n > 0").select("class", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("x")).distinct()
+        first = rows.groupBy("class").agg(F.min("x").alias("first"))
+        return rows.join(first, "class").where("NOT x <=> first").select("x.doc_id", "x.k1", "x.k2")
+
+    def _grouped(self, *more: str) -> DataFrame:
+        rows = self.rows.select("doc_id", "n", "sid", *more).join(self.components.select(F.col("id").alias("sid"), "component"), "sid", "left")
+        return rows.withColumn("class", F.coalesce("component", "sid"))
+
 
 def classes(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id. See the module's notes."""
     return Join(docs, num, den, width).classes()
+
+
+def copies(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5) -> DataFrame:
+    """The ids and text keys (doc_id, k1, k2 of ``text_key``) of all but one of each linked group."""
+    return Join(docs, num, den, width).copies()

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from orbweave.llm import _text as tx
 
 DIM, BUCKETS, SHAPES, SLICES = 32, 1 << 14, 1 << 10, 32
+PARTS = 512  # groups of tasks whose tables are added first
 REACH = 2  # neighbours on either side
 GATHER = 400_000  # words whose neighbours are counted at once
 
@@ -105,7 +107,7 @@ def _sums(text: str):
         step = len(total) // SLICES
         for k in range(SLICES):
             raw = zlib.compress(total[k * step : (k + 1) * step].astype(np.int64).tobytes(), 1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "raw": pa.array([raw], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "part": pa.array([TaskContext.get().partitionId() % PARTS], pa.int32()), "raw": pa.array([raw], pa.binary())})
 
     return run
 
@@ -115,17 +117,21 @@ def _added(key: tuple, rows: pa.Table) -> pa.Table:
     for raw in rows["raw"]:
         x = np.frombuffer(zlib.decompress(raw.as_buffer()), np.int64)
         total = x.copy() if total is None else total + x
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the word buckets and the shapes: index plus unit context vector, learned from all documents."""
-    rows = docs.select(text).mapInArrow(_sums(text), "slice int, raw binary").groupBy("slice").applyInArrow(_added, "slice int, raw binary").collect()
+    # Tasks' tables meet by slice and part of the tasks first, so that no group holds a slice of all tasks.
+    rows = docs.select(text).mapInArrow(_sums(text), "slice int, part int, raw binary")
+    for keys in (["slice", "part"], ["slice"]):
+        rows = rows.groupBy(*keys).applyInArrow(_added, "slice int, raw binary")
+    rows = rows.collect()
     total = np.zeros((BUCKETS + SHAPES, DIM), np.float32)
     flat = total.reshape(-1)
     step = len(flat) // SLICES
     for r in rows:
-        flat[r.slice * step : (r.slice + 1) * step] = np.frombuffer(bytes(r.raw), np.int64)
+        flat[r.slice * step : (r.slice + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.raw)), np.int64)
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     place, sign = _index(np.arange(BUCKETS + SHAPES, dtype=np.uint64))
     for k in range(2):
@@ -205,14 +211,14 @@ def _pool(held, text: str):
     return run
 
 
-def _score(held, text: str):
+def _score(held, text: str, to: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = held.value
         for batch in batches:
             data, off = tx.utf8(batch.column(text))
             x = [pooled(d, o, vectors) for _, _, d, o in tx.blocks(data, off)]
             score = (net.score(np.concatenate(x)) if net else np.full(len(batch), 0.5)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64))], [*batch.schema.names, to])
 
     return run
 
@@ -236,12 +242,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "
     return vectors, fit(x, y) if len(set(y)) == 2 else None
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with ``score``: the calibrated probability of quality 1."""
+def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", text: str = "text", to: str = "score") -> DataFrame:
+    """The rows of docs, all columns, with ``to`` (in place of a column of that name): the calibrated probability of quality 1."""
     model = train(docs, labels, sample, key, text)
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), text), schema)
+    docs = docs.drop(to)
+    schema = T.StructType([*docs.schema, T.StructField(to, T.DoubleType())])
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), text, to), schema)
 
 
 def report(scored: DataFrame) -> DataFrame:

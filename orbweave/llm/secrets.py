@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm._io import cut, text_key
+from orbweave.llm._io import cut, fresh, text_key
 
 
 @dataclass(frozen=True)
@@ -179,21 +179,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     wanted = sorted({t for q in queries.values() if q is not None for a in q for t in a})
     keep = [c for c in docs.columns if c != "secret_spans"]
     docs = docs.select(*(F.col(f"`{c}`") for c in keep))
-    k1, k2 = text_key(text)
-    rows = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
+    may_, *own = fresh(docs, "may", "k1", "k2")
+    rows = docs.select("*", *(k.alias(c) for k, c in zip(text_key(text), own, strict=True)))
     if wanted:
-        may = cut(candidates(postings(docs, wanted, text), queries)).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-        rows = rows.join(may, ["_k1", "_k2"], "left")
+        may = cut(candidates(postings(docs, wanted, text), queries)).withColumnsRenamed(dict(zip(("k1", "k2", "may"), (*own, may_), strict=True)))
+        rows = rows.join(may, own, "left")
     else:
-        rows = rows.withColumn("may", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn(may_, F.lit(None).cast("array<string>"))
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     each = []
     for rank, rule in enumerate(rules):
         pattern = F.lit(("(?i)" if rule.any_case else "") + rule.pattern)
-        asked = F.array_contains("may", rule.kind) if queries[rule.kind] is not None else F.regexp_like(t, pattern)
+        asked = F.array_contains(may_, rule.kind) if queries[rule.kind] is not None else F.regexp_like(t, pattern)
         each.append(F.when(asked, _spans(t, rule, rank)).otherwise(none))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*each))).select(*keep, "secret_spans")
+    return rows.withColumn("secret_spans", F.array_sort(F.concat(*each))).select(*(F.col(f"`{c}`") for c in keep), "secret_spans")
 
 
 def written(spans: Column) -> Column:

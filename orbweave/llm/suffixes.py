@@ -208,13 +208,14 @@ def _shard(span: int):
         hit, of = repeated(context, n, span)
         edges = np.concatenate([[0], np.cumsum(n)])
         split = rows["split"].to_numpy(zero_copy_only=False)
-        first = np.zeros(len(of), bool)
+        first = np.zeros(len(of), bool)  # a string that the shard holds several times is found already; it is sent once, for the other shards
         first[np.unique(of, return_index=True)[1]] = True
         bits, strings = [], []
         for k, c in enumerate(context):
             bits.append(_bits(hit[edges[k] : edges[k + 1]]))
-            strings.append(b"".join(hashlib.blake2b(c[p : p + span], digest_size=16).digest() for p in range(n[k])) if split[k] else None)
-        return pa.table({"anchor": rows["anchor"], "digest": rows["digest"], "n": rows["n"], "copies": rows["copies"], "bits": pa.array(bits, pa.binary()), "strings": pa.array(strings, pa.binary()), "shard": pa.array(np.full(len(n), key[0].as_py(), np.int64))})
+            own = first[edges[k] : edges[k + 1]].tolist()
+            strings.append([hashlib.blake2b(c[p : p + span], digest_size=16).digest() if own[p] else None for p in range(n[k])] if split[k] else None)
+        return pa.table({"anchor": rows["anchor"], "digest": rows["digest"], "n": rows["n"], "copies": rows["copies"], "bits": pa.array(bits, pa.binary()), "strings": pa.array(strings, pa.list_(pa.binary())), "shard": pa.array(np.full(len(n), key[0].as_py(), np.int64))})
 
     return run
 
@@ -274,16 +275,16 @@ def repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: str = "d
     whole = cut(places.groupBy("anchor", "digest").agg(F.count("*").cast("int").alias("copies"), F.first("n").alias("n")).join(
         placed.groupBy("anchor", "digest").agg(F.first("context").alias("context"), F.max("twice").alias("twice")), ["anchor", "digest"]))
     # Contexts that are alone with an anchor that they hold once need no shard: their strings occur where they do.
-    varied = whole.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.length("context")).alias("bytes"), F.max("twice").alias("any_twice"))
-    rows = whole.join(varied, "anchor")
+    # Sizes are counted apart from the contexts, so that a common anchor's contexts are joined from parts of any size.
+    varied = cut(whole.select("anchor", F.length("context").alias("size"), "twice").groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes"), F.max("twice").alias("any_twice")))
+    rows = whole.join(varied.where("kinds > 1 OR any_twice"), "anchor")
     total = varied.where("kinds > 1 OR any_twice").agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     several = rows.where("kinds > 1 OR any_twice").withColumn("split", F.col("kinds") > many)
     sub = F.when(F.col("split"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("kinds") / many))).otherwise(0)
     several = several.withColumn("shard", F.when(F.col("split"), F.xxhash64("anchor", sub)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
-    done = cut(several.select("shard", "anchor", "digest", "context", "n", "copies", "split").groupBy("shard").applyInArrow(_shard(span), "anchor long, digest binary, n int, copies int, bits binary, strings binary, shard long"))
-    strings = done.where("strings IS NOT NULL").select("anchor", "digest", "shard", "strings", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place"))
-    strings = strings.select("anchor", "digest", "shard", "place", F.expr("substring(strings, place * 16 + 1, 16)").alias("string"))
+    done = cut(several.select("shard", "anchor", "digest", "context", "n", "copies", "split").groupBy("shard").applyInArrow(_shard(span), "anchor long, digest binary, n int, copies int, bits binary, strings array<binary>, shard long"))
+    strings = done.where("strings IS NOT NULL").select("anchor", "digest", "shard", F.posexplode("strings").alias("place", "string")).where("string IS NOT NULL")
     ranges = parts(spark, 8) * 8
     met = strings.groupBy(F.pmod(F.xxhash64("string"), F.lit(ranges)).alias("range")).applyInArrow(_meet, "anchor long, digest binary, place int")
     more = met.groupBy("anchor", "digest").agg(F.collect_list("place").alias("more"))

@@ -12,10 +12,15 @@ Candidates are dealt to shards of about ``shard_rows`` by a hash of the id, quer
 blocks of ``block_rows``; a task holds one block and one shard, whatever the table's size,
 and neither side is broadcast. A common vector is only equal weights: nothing groups by it.
 
+Components count up to the ends of 64-bit integers. Vectors with components so large that their
+products could leave 64 bits are scored one by one in whole numbers of any length, and a score
+beyond 64 bits counts as the nearest 64-bit integer.
+
 Defined cases: vectors that are null or hold null or non-finite components take no part,
 neither as queries nor as candidates; empty vectors score 0 with all; components beyond a
 shorter vector count as 0; ties go to the smaller id; rows that repeat an id are candidates
-each, but not for a query of that id; an empty table gives an empty result.
+each, but not for a query of that id; queries that repeat an id with other vectors have
+rankings of their own under that id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,36 +129,49 @@ class Postings:
         return at[top], partial[top]
 
 
+def _exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any length, held within 64 bits."""
+    q = [int(c) for c in query]
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * b for a, b in zip(r, q, strict=True)))) for r in rows], np.int64)
+
+
 def _search(k: int):
     def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "of": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
             q, x = _matrix(queries["v"]), _matrix(rows["v"])
             wide = max(q.shape[1], x.shape[1])
             q = np.pad(q, ((0, 0), (0, wide - q.shape[1])))
-            most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(wide, 1)
-            if most >= 2.0**63:
-                raise ArithmeticError("inner products of these vectors leave the range of 64-bit integers")
-            dtype = np.float64 if most < 2.0**53 else np.int64
-            shard = Postings(rows["id"].to_numpy(), x, wide, dtype)
-            for own, v in zip(queries["id"].to_numpy(), q.astype(dtype), strict=True):
-                at, score = shard.best(v, own, k)
-                out["query_id"].append(np.full(len(at), own))
-                out["vec_id"].append(shard.ids[at])
-                out["score"].append(score.astype(np.int64))
+            x_ids, x = rows["id"].to_numpy(), np.pad(x, ((0, 0), (0, wide - x.shape[1])))
+            most = 2.0**31 / max(wide, 1) ** 0.5  # products of components up to it stay within 62 bits together
+            large_x, large_q = ((np.abs(m.astype(np.float64)).max(1, initial=0) > most) for m in (x, q))
+            plain = float(np.abs(q[~large_q]).max(initial=0)) * float(np.abs(x[~large_x]).max(initial=0)) * max(wide, 1)
+            dtype = np.float64 if plain < 2.0**53 else np.int64
+            shard = Postings(x_ids[~large_x], x[~large_x], wide, dtype)
+            for own, of, v, large in zip(queries["id"].to_numpy(), queries["of"].to_numpy(), q, large_q, strict=True):
+                ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if not large:
+                    at, score = shard.best(v.astype(dtype), own, k)
+                    ids, score = shard.ids[at], score.astype(np.int64)
+                if (also := (large_x | large) & (x_ids != own)).any():
+                    ids, score = np.append(ids, x_ids[also]), np.append(score, _exact(x[also], v))
+                    best = np.lexsort((ids, ~score))[:k]  # ~ turns the order around at either end of 64 bits
+                    ids, score = ids[best], score[best]
+                for c, y in zip(out.values(), (np.full(len(ids), own), np.full(len(ids), of), ids, score), strict=True):
+                    c.append(y)
         return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in out.items()})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, shard_rows: int = 4096, block_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates other than itself."""
     one = lambda df: df.select(F.col(key).cast("long").alias("id"), quantized(vector, scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    x, q = one(vectors), one(queries).distinct()
+    x, q = one(vectors), one(queries).distinct().withColumn("of", F.xxhash64("v"))
     shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((x, shard_rows), (q, block_rows)))
     deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).cast("int")
     x = x.withColumn("shard", deal(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     q = q.withColumn("block", deal(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = q.groupBy("block", "shard").cogroup(x.groupBy("block", "shard")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = q.groupBy("block", "shard").cogroup(x.groupBy("block", "shard")).applyInArrow(_search(k), "query_id long, of long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -429,3 +429,83 @@ def test_pipeline(spark):
     assert secrets.scan(marked).where("size(secret_spans) > 0").count() == 0 and marked.columns == d.columns
     assert stages["benchmark"](spark, kept, SF).columns == d.columns
     assert corpus_pipeline.run(spark, SF).count() <= kept.count()
+
+
+CLASH = ("may", "_k1", "_k2", "k1", "k2", "score", "_rank", "class", "quality", "secret_spans", "flock", "anchor", "size", "of", "rank")
+
+
+def test_operators_take_clashing_columns(spark):
+    """Columns that bear the names of inner ones change nothing."""
+    plain = small(spark).select("doc_id", "text")
+    odd = plain.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASH)))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(17)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, words("base", 120))], "item_id long, text string")
+    path, pattern = queries.tokenizer()
+    for run in (
+        lambda d: secrets.digests(secrets.scan(d)), lambda d: secrets.redact(secrets.scan(d)).select("doc_id", "text"), lambda d: suffixes.digests(suffixes.remove(d)),
+        lambda d: jaccard.classes(d), lambda d: sharding.pack(d, shards=3), lambda d: quality.report(quality.score(d, labels)), lambda d: decontaminate.find(d, items),
+        lambda d: bpe.digests(bpe.encode_decode(d, path, pattern)), lambda d: mixing.score(d).select("doc_id", "n_known", "base_score"),
+        lambda d: counts.count(counts.redactions(d, (*secrets.RULES, queries.EMAIL), queries.MARKS), path, pattern).select("doc_id", "n_tokens", "edited"),
+    ):
+        a, b = (sorted(map(str, run(d).collect())) for d in (plain, odd))
+        assert a == b
+
+
+def test_pipeline_keeps_other_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, c), (7, None), (7, None), (8, "")]
+    for extra in ([], ["_rank", "score", "k1", "class"]):
+        d = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(k).alias(x) for k, x in enumerate(extra)))
+        got = corpus_pipeline.near_copies(spark, d, SF)
+        assert got.columns == d.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, None), (8, "")], key=str)
+        assert corpus_pipeline.near_copies(spark, d.limit(0), SF).count() == 0
+        assert corpus_pipeline.secret_marks(spark, d, SF).columns == d.columns
+    d = spark.createDataFrame([(1, "x", 0.25), (2, None, None)], "doc_id long, text string, score double")
+    kept = corpus_pipeline.quality(spark, d, SF)
+    assert kept.columns == d.columns and {r.score for r in kept.collect()} <= {0.25, None}
+
+
+def test_top_k_of_huge_components_and_repeated_ids(spark):
+    rows = [(50, [3e38, 1.0]), (100, [1.0, 2.0]), (100, [2.0, -1.0]), (100, [2.0, -1.0]), (1, [-3e38, 0.0]), (2, [0.5, 0.5]), (3, [1e15, 3.0]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    top = (1 << 63) - 1
+    fixed = [(i, [max(-top - 1, min(top, math.floor(256 * x))) for x in spark.createDataFrame([(v,)], "v array<float>").first()[0]]) for i, v in rows if i is not None and v is not None and v[0] == v[0]]
+    want = []
+    for i, q in dict.fromkeys((i, tuple(v)) for i, v in fixed if i % 50 == 0):
+        found = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(q, v)))), j) for j, v in fixed if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    got = topk.top_k(d, d.where("vec_id % 50 = 0"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_decontamination_of_null_and_string_items(spark):
+    d = docs(spark, [words("other", 80), "some words before " + words("leak", 60) + " and after", None, ""])
+    items = spark.createDataFrame([("a", words("leak", 60)), (None, words("other", 80)), ("b", None), ("c", "")], "item_id string, text string")
+    got = decontaminate.find(d, items)
+    assert sorted((r.doc_id, str(r.item_id)) for r in got.collect()) == [(0, "None"), (1, "a")]
+    assert sorted(r.doc_id for r in decontaminate.clean(d, items).collect()) == [2, 3]
+
+
+def test_token_counts_of_null_edits(spark):
+    path, pattern = queries.tokenizer()
+    d = spark.createDataFrame([(1, "one two", [None, (0, 3, "1"), None])], "doc_id long, text string, edits array<struct<start:int,end:int,new:string>>")
+    r = counts.count(d, path, pattern).first()
+    assert (r.n_edits, r.n_passed, r.edited) == (1, 0, "1 two")
+
+
+def test_jaccard_confronts_in_columns(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 60, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 200 - k], rng.integers(1, 1 << 60, k).astype(np.uint64)])) for k in range(0, 60, 3)]
+    t = pa.table({"sid": pa.array(range(len(sets)), pa.int64()), "component": pa.array(range(len(sets)), pa.int64()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b))}
+    for columns in (7, 1 << 15):
+        monkeypatch.setattr(jaccard, "COLUMNS", columns)
+        got = jaccard._confront(3, 4)((), t, t)
+        assert set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want
