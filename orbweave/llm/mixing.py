@@ -42,9 +42,9 @@ ORDERS = (2, 3, 5)  # and the word so far
 INPUTS = len(ORDERS) + 1
 FLOCK = 12 << 20
 BUCKET = 16 << 20  # bytes of the corpus for each bucket
-STRETCH = 4096
+STRETCH = 1024
 WORD = 64  # bytes of a word that a context holds
-BATCH = 3 << 19  # bytes of the stretches that move on together
+BATCH = 2 << 20  # bytes of the stretches that move on together
 PART = 1 << 16  # bytes of a batch whose predictions are looked up together
 HELD = 500_000  # pairs that a flock holds before it counts them
 RATE = 0.006
