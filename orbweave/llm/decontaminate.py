@@ -5,9 +5,9 @@ words (BITS bits). Fingerprints within RADIUS of an item's agree with it, but fo
 bits, in one of BLOCKS blocks at least (RADIUS < BLOCKS * (EACH + 1)), so tables from a
 block's value to the items nearby there find all of them. What is within the radius is
 compared exactly: the items' and the window's five-word shingles as multisets, the sum of
-the smaller counts over the sum of the larger. A window sharing no shingle with any item
-has similarity 0, so only windows around shared shingles are fingerprinted. The radius is a
-sketch's: of 240,000 simulated windows just at similarity 0.75 with all differing words at
+the smaller counts over the sum of the larger. A window and an item of similarity 0.75 share
+three sevenths of the shingles that they hold together, so only windows with as many places of
+known shingles are fingerprinted; no other can match. The radius is a sketch's: of 240,000 simulated windows just at similarity 0.75 with all differing words at
 one end (10 to 200 words, drawn alike or by Zipf's law) none left it; the farthest had 44
 bits.
 
@@ -17,7 +17,8 @@ most BLOCK_ITEMS items and BLOCK_BYTES of text (each block is one broadcast of p
 each a pass over the documents), so any size of benchmark works.
 
 Defined cases: null and empty texts and items have no words and match nothing; an item of
-fewer than five words is one shingle and matches its exact sequence; a document shorter than
+fewer than five words is one shingle and matches its exact sequence; items with null ids
+count and are found under null; a document shorter than
 an item is a window of its own; repeated rows each have their results; empty tables give an
 empty result; other columns are carried only by ``clean``.
 """
@@ -74,11 +75,22 @@ class Index:
 
     def _windows(self, h: np.ndarray, grams: dict[int, np.ndarray], hit: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, windows, start, similarity) of each item that a document holds, with its best window."""
-        total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(h), 0, dtype=np.int32)])
+        total = None
+        known = np.zeros(len(h) + 1, np.int64)
+        known[hit + 1] = 1
+        known = np.cumsum(known)
         for size in np.unique(self.sizes):
             items = np.flatnonzero(self.sizes == size)
             n = min(int(size), len(h))
-            starts = np.unique(np.concatenate([np.arange(max(0, p - n + 1), min(p, len(h) - n) + 1) for p in hit]))
+            # Both hold at most as many shingles as the window has places of known ones; fewer than this cannot reach 0.75.
+            width = min(self.width, int(size))
+            own = max(n - width + 1, 0)
+            starts = np.arange(len(h) - n + 1)
+            starts = starts[7 * (known[starts + own] - known[starts]) >= 3 * (own + int(size) - width + 1)]
+            if not len(starts):
+                continue
+            if total is None:
+                total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(h), 0, dtype=np.int32)])
             prints = np.packbits(total[starts + n] - total[starts] > 0, axis=1)
             near = reduce(np.logical_or, (t[prints[:, k]][:, items] for k, t in enumerate(self.tables)))
             w, i = np.nonzero(near)
