@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.functions.expressions import haversine
 from orbweave.sources.io import materialized
 
 
@@ -68,33 +69,35 @@ def within_distance(target: DataFrame, reference: DataFrame, distance: float, mo
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Each left row with all its nearest right rows (ties kept) and the distance.
+    """Each left row with all its nearest right rows (ties kept) and the distance; left rows with a null coordinate keep nulls; with no right rows the result is empty.
 
     Cells of growing size: a row is done when its best candidate in the 3 by 3 cells around it is
-    no further than a cell; the rows that are left look in cells of four times the size. Each round is
-    written to the shared folder, so that no round is computed again.
+    no further than a cell; the rows that are left look in cells of four times the size, until none is left. Each
+    round is written to the shared folder, so that no round is computed again.
     """
     from functools import reduce
 
-    todo, found = left, []
-    r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    edge = left.agg(F.min(x), F.max(x), F.min(y), F.max(y)).crossJoin(right.agg(F.min(x), F.max(x), F.min(y), F.max(y))).first()  # two rows of bounds
-    reach = max([edge[1] or 0, edge[5] or 0]) - min([edge[0] or 0, edge[4] or 0]) + max([edge[3] or 0, edge[7] or 0]) - min([edge[2] or 0, edge[6] or 0])
-    while True:
+    r = right.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    r = materialized(r)
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    nulls = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in r.columns]
+    if r.isEmpty():
+        return left.limit(0).select("*", F.lit(None).cast("double").alias("distance"), *nulls)
+    found = [left.where(~placed).select("*", F.lit(None).cast("double").alias("distance"), *nulls)]
+    todo = materialized(left.where(placed))
+    columns = [*left.columns, "distance", *r.columns]
+    while not todo.isEmpty():
         around = F.explode(F.array(*(F.struct((F.floor(F.col(f"r_{x}") / size) + i).alias("i"), (F.floor(F.col(f"r_{y}") / size) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        cells = r.withColumn("_c", around)
-        last = size > reach
         d = F.hypot(F.col(x) - F.col(f"r_{x}"), F.col(y) - F.col(f"r_{y}"))
         held = (F.floor(F.col(x) / size) == F.col("_c.i")) & (F.floor(F.col(y) / size) == F.col("_c.j"))
-        # Candidates are reduced to each row's least distance, then only pairs at that distance are made: none is sorted.
-        least = todo.join(cells, held).groupBy(key).agg(F.min(d).alias("distance"))
-        least = least if last else least.where(F.col("distance") <= size)
-        best = materialized(todo.join(least, key).join(cells, held & (d == F.col("distance"))).drop("_c"))
-        found.append(best)
-        if last:
-            return reduce(DataFrame.unionByName, found)
+        # One pass over the candidates: each row's least distance, and all right rows that are at it.
+        pairs = todo.select(key, x, y).join(r.withColumn("_c", around), held).select(key, d.alias("distance"), F.struct(*r.columns).alias("_r")).where(F.col("distance") <= size)
+        least = pairs.groupBy(key).agg(F.min("distance").alias("distance"))
+        best = materialized(pairs.join(least, [key, "distance"]).select(key, "distance", "_r.*"))
+        found.append(todo.join(best, key).select(*columns))
         todo = materialized(todo.join(best.select(key).distinct(), key, "left_anti"))
         size *= 4
+    return reduce(DataFrame.unionByName, found)
 
 
 def accessibility(d: Column, threshold: float) -> Column:
@@ -102,9 +105,127 @@ def accessibility(d: Column, threshold: float) -> Column:
 
 
 def moran(df: DataFrame, edges: DataFrame, key: str, value: str) -> DataFrame:
-    """Global Moran I over edges (a, b) in both directions, weights standardised by row."""
+    """Global Moran I over edges (a, b) in both directions, weights standardised by row, with expectation, z and p under normality."""
     mean = df.agg(F.avg(value).alias("m"))
     z = df.crossJoin(F.broadcast(mean)).select(F.col(key).alias("k"), (F.col(value) - F.col("m")).alias("z"))  # one row
     lag = edges.join(z.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.avg("z").alias("lag"))
     both = z.join(lag.withColumnRenamed("a", "k"), "k", "left")
-    return both.agg(F.count("*").alias("n"), (F.sum(F.col("z") * F.col("lag")) / F.count("lag") * F.count("*") / F.sum(F.col("z") * F.col("z"))).alias("moran_i"))
+    got = both.agg(F.count("*").alias("n"), (F.sum(F.col("z") * F.col("lag")) / F.count("lag") * F.count("*") / F.sum(F.col("z") * F.col("z"))).alias("moran_i"))
+    w = edges.join(edges.groupBy("a").agg((1 / F.count("*")).alias("w")), "a")
+    back = w.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w").alias("back"))
+    s1 = w.join(back, ["a", "b"], "left").agg(F.sum("w").alias("s0"), (F.sum(F.pow(F.col("w") + F.coalesce("back", F.lit(0.0)), 2)) / 2).alias("s1"))
+    ends = w.select(F.col("a").alias("k"), "w").unionAll(w.select(F.col("b"), "w")).groupBy("k").agg(F.pow(F.sum("w"), 2).alias("q")).agg(F.sum("q").alias("s2"))
+    one = got.crossJoin(s1).crossJoin(ends)  # three single rows
+    expected = -1 / (F.col("n") - 1)
+    variance = F.try_divide(F.col("n") * F.col("n") * F.col("s1") - F.col("n") * F.col("s2") + 3 * F.col("s0") * F.col("s0"), (F.col("n") * F.col("n") - 1) * F.col("s0") * F.col("s0")) - expected * expected
+    scored = one.select("n", "moran_i", expected.alias("expected"), F.try_divide(F.col("moran_i") - expected, F.sqrt(variance)).alias("z"))
+    return scored.withColumn("p", two_sided("z"))
+
+
+def two_sided(z: str) -> Column:
+    """Probability of a normal value as far from 0, by a rational approximation (error below 1.5e-7)."""
+    a = F.abs(F.col(z)) / 2**0.5
+    t = 1 / (1 + 0.3275911 * a)
+    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-a * a)
+
+
+def local_moran(df: DataFrame, edges: DataFrame, key: str, value: str) -> DataFrame:
+    """Each row with an edge: its deviation z in standard deviations, its neighbours' mean deviation, local I and quadrant (HH, LL, HL, LH)."""
+    m = df.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    z = df.crossJoin(F.broadcast(m)).select(F.col(key), F.try_divide(F.col(value) - F.col("_m"), F.col("_s")).alias("z"))  # one row
+    lag = edges.join(z.withColumnRenamed(key, "b"), "b").groupBy("a").agg(F.avg("z").alias("lag"))
+    both = z.join(lag.withColumnRenamed("a", key), key)
+    side = lambda c: F.when(F.col(c) > 0, "H").otherwise("L")
+    return both.select(key, "z", "lag", (F.col("z") * F.col("lag")).alias("local_i"), F.concat(side("z"), side("lag")).alias("quadrant"))
+
+
+def hot_spots(df: DataFrame, edges: DataFrame, key: str, value: str, significance: float = 0.05) -> DataFrame:
+    """Getis-Ord Gi* with binary weights, each row its own neighbour: z, p and whether it is a hot or a cold spot."""
+    g = df.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count(value).alias("_n"))
+    own = edges.select("a", "b").unionAll(df.select(F.col(key).alias("a"), F.col(key).alias("b")))
+    sums = own.join(df.select(F.col(key).alias("b"), F.col(value).cast("double").alias("v")), "b").groupBy("a").agg(F.sum("v").alias("sum"), F.count("v").alias("w"))
+    x = sums.crossJoin(F.broadcast(g))  # one row
+    spread = F.col("_s") * F.sqrt((F.col("_n") * F.col("w") - F.col("w") * F.col("w")) / (F.col("_n") - 1))
+    z = x.select(F.col("a").alias(key), F.try_divide(F.col("sum") - F.col("_m") * F.col("w"), spread).alias("z")).withColumn("p", two_sided("z"))
+    return z.withColumn("spot", F.when((F.col("p") <= significance) & (F.col("z") > 0), "hot").when((F.col("p") <= significance) & (F.col("z") < 0), "cold").otherwise("none"))
+
+
+def weights(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with weights that add up to one for each a."""
+    return edges.join(edges.groupBy("a").agg((1 / F.count("*")).alias("weight")), "a").select("a", "b", "weight")
+
+
+def to_mercator(lng: Column, lat: Column) -> tuple[Column, Column]:
+    """EPSG:4326 to EPSG:3857, metres; latitudes are held within the projection's square."""
+    r, held = 6378137.0, F.greatest(F.lit(-85.06), F.least(F.lit(85.06), lat))
+    return F.radians(lng) * r, F.log(F.tan(F.radians(held) / 2 + 0.7853981633974483)) * r
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """EPSG:3857 to EPSG:4326, degrees."""
+    r = 6378137.0
+    return F.degrees(x / r), F.degrees(2 * F.atan(F.exp(y / r)) - 1.5707963267948966)
+
+
+def near_points(points: DataFrame, lng: float, lat: float, radius_m: float, limit: int, key: str) -> DataFrame:
+    """At most ``limit`` points within a radius of a place, nearest first, with the distance in metres."""
+    d = haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
+    box = F.col("lat").between(lat - radius_m / 110_000, lat + radius_m / 110_000)  # reaches the scan
+    return points.where(box).withColumn("metres", d).where(F.col("metres") <= radius_m).orderBy("metres", key).limit(limit)
+
+
+def _edges(ring: str) -> Column:
+    """The edges of a ring column (array of (x, y) corners, first not repeated) as pairs of corners."""
+    r = F.col(ring)
+    return F.arrays_zip(r.alias("p"), F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)).alias("q"))
+
+
+def ring_area(ring: str) -> Column:
+    """Signed area of a ring column, positive when its corners run anticlockwise."""
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])) / 2
+
+
+def ring_length(ring: str) -> Column:
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]))
+
+
+def in_ring(x: Column, y: Column, ring: str) -> Column:
+    """Whether a point lies inside a ring column of any shape, by crossings."""
+    at = lambda e: (y - e["p"]["y"]) * F.try_divide(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]
+    crossed = F.filter(_edges(ring), lambda e: ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (x < at(e)))
+    return F.size(crossed) % 2 == 1
+
+
+def points_in_rings(points: DataFrame, shapes: DataFrame, size: float, ring: str = "ring", how: str = "inner", x: str = "x", y: str = "y") -> DataFrame:
+    """Points with the polygons (rings of any shape) that hold them; how may be left, left_semi or left_anti.
+
+    An equality join on grid cells, entered for the cells that a shape's bounds touch, then the exact predicate.
+    """
+    bound = lambda f, c: f(F.transform(ring, lambda p: p[c]))
+    s = shapes.withColumns({"_lx": bound(F.array_min, "x"), "_hx": bound(F.array_max, "x"), "_ly": bound(F.array_min, "y"), "_hy": bound(F.array_max, "y")})
+    s = s.withColumn("_cx", _cells("_lx", "_hx", size)).withColumn("_cy", _cells("_ly", "_hy", size))
+    p = points.withColumns({"_px": F.floor(F.col(x) / size), "_py": F.floor(F.col(y) / size)})
+    held = (p["_px"] == s["_cx"]) & (p["_py"] == s["_cy"]) & in_ring(F.col(x), F.col(y), ring)
+    return p.join(s, held, how).drop("_px", "_py", "_cx", "_cy", "_lx", "_hx", "_ly", "_hy")
+
+
+def clip(subject: str, window: tuple[float, float, float, float]) -> Column:
+    """A ring column cut to a box (minx, miny, maxx, maxy), side by side; convex rings give exact results, an empty ring where nothing is left."""
+    minx, miny, maxx, maxy = window
+    ring = F.col(subject)
+    for axis, other, edge, keep in (("x", "y", minx, 1), ("x", "y", maxx, -1), ("y", "x", miny, 1), ("y", "x", maxy, -1)):
+        ring = _cut_side(ring, axis, other, edge, keep)
+    return ring
+
+
+def _cut_side(ring: Column, axis: str, other: str, edge: float, keep: int) -> Column:
+    pairs = F.arrays_zip(ring.alias("p"), F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1)).alias("q"))
+    inside = lambda c: (c[axis] - edge) * keep >= 0
+
+    def crossing(e: Column) -> Column:
+        at = e["p"][other] + (e["q"][other] - e["p"][other]) * F.try_divide(edge - e["p"][axis], e["q"][axis] - e["p"][axis])
+        return F.struct(*((F.lit(float(edge)) if c == axis else at).alias(c) for c in ("x", "y")))
+
+    none = F.filter(ring, lambda c: F.lit(False))
+    step = lambda e: F.concat(F.when(inside(e["p"]) != inside(e["q"]), F.array(crossing(e))).otherwise(none), F.when(inside(e["q"]), F.array(e["q"])).otherwise(none))
+    return F.flatten(F.transform(pairs, step))

@@ -43,15 +43,3 @@ def what_if(df: DataFrame, column: str, scenarios: dict[str, float]) -> DataFram
 
 def ndvi(red: str, nir: str):
     return F.try_divide(F.col(nir) - F.col(red), F.col(nir) + F.col(red))
-
-
-def slope(pixels: DataFrame, value: str, cell: float = 1.0) -> DataFrame:
-    """Gradient in degrees of a pixel table (row, col, value): central differences, one-sided at the edges."""
-
-    def gradient(by: str, along: str):
-        w = Window.partitionBy(by).orderBy(along)
-        lo, hi, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        return F.when(lo.isNull() & hi.isNull(), 0.0).when(lo.isNull(), hi - here).when(hi.isNull(), here - lo).otherwise((hi - lo) / 2) / cell
-
-    g = pixels.withColumns({"_dx": gradient("row", "col"), "_dy": gradient("col", "row")})
-    return g.select("row", "col", F.degrees(F.atan(F.hypot("_dx", "_dy"))).alias("slope"))

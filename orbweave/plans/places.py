@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions import expressions as X
-from orbweave.operators import spatial, statistics
+from orbweave.operators import rasters, spatial, statistics
 from orbweave.plans.catalog import Catalog
 
 FOUND = Catalog()
@@ -93,17 +93,7 @@ def _pixels(t) -> DataFrame:
 SELECT row // 8 AS zr, col // 8 AS zc, count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM p GROUP BY 1, 2""")
 def j04_zonal_statistics(t):
     p = _pixels(t).select((F.col("row") / 8).cast("long").alias("zr"), (F.col("col") / 8).cast("long").alias("zc"), "red")
-    return p.groupBy("zr", "zc").agg(F.count("*").alias("n"), *(F.round(f("red"), 6).alias(n) for f, n in ((F.min, "low"), (F.max, "high"), (F.avg, "mean"))))
-
-
-@add("""WITH p AS (SELECT l_partkey % 64 AS "row", l_suppkey % 64 AS col, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
-g AS (SELECT "row", col,
- CASE WHEN lag(v) OVER x IS NULL AND lead(v) OVER x IS NULL THEN 0 WHEN lag(v) OVER x IS NULL THEN lead(v) OVER x - v WHEN lead(v) OVER x IS NULL THEN v - lag(v) OVER x ELSE (lead(v) OVER x - lag(v) OVER x) / 2 END AS dx,
- CASE WHEN lag(v) OVER y IS NULL AND lead(v) OVER y IS NULL THEN 0 WHEN lag(v) OVER y IS NULL THEN lead(v) OVER y - v WHEN lead(v) OVER y IS NULL THEN v - lag(v) OVER y ELSE (lead(v) OVER y - lag(v) OVER y) / 2 END AS dy
- FROM p WINDOW x AS (PARTITION BY "row" ORDER BY col), y AS (PARTITION BY col ORDER BY "row"))
-SELECT "row", col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope FROM g""")
-def j05_slope(t):
-    return statistics.slope(_pixels(t), "red").withColumn("slope", F.round("slope", 6))
+    return rasters.zonal(p, {"zr": F.col("zr"), "zc": F.col("zc")}, "red").select("zr", "zc", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean")))
 
 
 @add(f"""WITH b AS ({_BOXES}), e AS (SELECT l.k AS a, r.k AS b FROM b l JOIN b r ON l.k <> r.k AND least(l.maxx, r.maxx) >= greatest(l.minx, r.minx) AND least(l.maxy, r.maxy) >= greatest(l.miny, r.miny)),
@@ -113,7 +103,7 @@ def k01_moran(t):
     b = _boxes(t)
     e = spatial.box_pairs(b, 200.0, "k").select("a", "b")
     both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return spatial.moran(b, both, "k", "minx").withColumn("moran_i", F.round("moran_i", 6))
+    return spatial.moran(b, both, "k", "minx").select("n", F.round("moran_i", 6).alias("moran_i"))
 
 
 @add("SELECT c_custkey AS id, round(greatest(0, least(1, 1 - abs(c_acctbal) / 5000)), 9) AS access FROM customer")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.plans import analysis, places, tables
+from orbweave.plans import analysis, more, places, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**tables.FOUND.queries, **places.FOUND.queries, **analysis.FOUND.queries}
-ORACLES: dict[str, str] = {**tables.FOUND.oracles, **places.FOUND.oracles, **analysis.FOUND.oracles}
+QUERIES: dict[str, Query] = {**tables.FOUND.queries, **places.FOUND.queries, **analysis.FOUND.queries, **more.FOUND.queries}
+ORACLES: dict[str, str] = {**tables.FOUND.oracles, **places.FOUND.oracles, **analysis.FOUND.oracles, **more.FOUND.oracles}
 FLAGSHIP = "d05_summarize_within"

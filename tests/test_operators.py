@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import expressions as X
-from orbweave.operators import charts, graph, quality, relational as R, spatial, statistics, temporal
+from orbweave.operators import charts, graph, quality, rasters, relational as R, spatial, statistics, temporal
 from orbweave.sources import io
 from orbweave.streaming import windows
 
@@ -113,3 +113,67 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = windows.tumbling(stream, "ts", "30 minutes", "value", "device").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("w").collect()) == [2, 2]
+
+
+@pytest.mark.parametrize("sql", [
+    "WITH a AS (SELECT 1 AS x) INSERT INTO kept SELECT x FROM a", "FROM kept INSERT INTO kept SELECT a INSERT INTO kept SELECT a + 1", "USE default", "CACHE TABLE c AS SELECT 1",
+    "DROP TABLE kept", "INSERT INTO kept VALUES (1)", "CREATE TABLE u AS SELECT 1", "SET x = 1", "TRUNCATE TABLE kept", "CREATE TEMP VIEW v AS SELECT 1", "DELETE FROM kept",
+])
+def test_read_only_refuses(spark, sql):
+    spark.sql("CREATE TABLE IF NOT EXISTS kept (a INT) USING parquet")
+    with pytest.raises(PermissionError):
+        io.read_only(spark, sql)
+    assert spark.table("kept").count() == 0
+
+
+def test_read_only_reads(spark):
+    assert io.read_only(spark, "SELECT 'xCommand; DROP TABLE y' AS c, :v AS v", v=3).collect()[0].v == 3
+    assert io.read_only(spark, "WITH a AS (SELECT 1 AS x UNION ALL SELECT 2) SELECT count(*) AS n FROM a WHERE x IN (SELECT max(x) FROM a)").collect()[0].n == 1
+
+
+def test_nearest_keeps_every_left_row(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 1e6, 1e6)], "id int, x double, y double")
+    right = spark.createDataFrame([(7, 3.0, 4.0), (8, -3.0, -4.0), (9, None, None)], "rid int, x double, y double")
+    got = sorted((r.id, r.r_rid, r.distance) for r in spatial.nearest(left, right, "id", 2.0).where("id = 1").collect())
+    assert got == [(1, 7, 5.0), (1, 8, 5.0)]
+    rest = {r.id: r for r in spatial.nearest(left, right, "id", 2.0).where("id > 1").collect()}
+    assert rest[2].distance is None and rest[3].r_rid == 7 and len(rest) == 2
+
+
+def test_moran_z(spark):
+    n = 6
+    df = spark.createDataFrame([(i * n + j, float(i)) for i in range(n) for j in range(n)], "k int, v double")
+    near = [(i * n + j, a * n + b) for i in range(n) for j in range(n) for a, b in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)) if 0 <= a < n and 0 <= b < n]
+    r = spatial.moran(df, spark.createDataFrame(near, "a int, b int"), "k", "v").first()
+    w = {}
+    for a, b in near:
+        w[a, b] = 1 / sum(1 for x, _ in near if x == a)
+    s0, s1 = sum(w.values()), sum((w.get((a, b), 0) + w.get((b, a), 0)) ** 2 for a in range(36) for b in range(36)) / 2
+    s2 = sum((sum(w.get((a, b), 0) for b in range(36)) + sum(w.get((b, a), 0) for b in range(36))) ** 2 for a in range(36))
+    e = -1 / 35
+    var = (36**2 * s1 - 36 * s2 + 3 * s0**2) / ((36**2 - 1) * s0**2) - e * e
+    assert r.z == pytest.approx((r.moran_i - e) / var**0.5) and r.z > 2 and r.p < 0.01
+
+
+def test_terrain_does_not_reach_over_holes(spark):
+    p = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 3, 9.0)], "row int, col int, v double")
+    got = {r.col: (round(r.slope, 6), r.aspect) for r in rasters.terrain(p, "v").collect()}
+    assert got == {0: (45.0, 270.0), 1: (45.0, 270.0), 3: (0.0, None)}
+
+
+def test_rings(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    shapes = spark.createDataFrame([(1, ring), (2, [(9.0, 9.0), (10.0, 9.0), (9.0, 10.0)])], "z int, ring array<struct<x:double,y:double>>")
+    pts = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 2.0), (2, 3.5, 3.0), (3, 9.2, 9.2), (4, None, 1.0)], "id int, x double, y double")
+    assert sorted((r.id, r.z) for r in spatial.points_in_rings(pts, shapes, 1.5).collect()) == [(0, 1), (2, 1), (3, 2)]
+    assert sorted(r.id for r in spatial.points_in_rings(pts, shapes, 1.5, how="left_anti").collect()) == [1, 4]
+    cut = shapes.where("z = 2").withColumn("ring", spatial.clip("ring", (9.25, 0.0, 20.0, 20.0))).select(spatial.ring_area("ring").alias("a")).first()
+    assert cut.a == pytest.approx(0.75 * 0.75 / 2)
+    assert spatial.ring_area("ring") is not None and shapes.withColumn("ring", spatial.clip("ring", (50.0, 50.0, 60.0, 60.0))).select(F.size("ring").alias("n")).first().n == 0
+
+
+def test_two_sided(spark):
+    import math
+
+    for z in (-3.0, -1.0, 0.0, 0.5, 1.96, 4.0):
+        assert spark.range(1).select(F.lit(z).alias("z")).select(spatial.two_sided("z").alias("p")).first().p == pytest.approx(math.erfc(abs(z) / 2**0.5), abs=3e-7)
