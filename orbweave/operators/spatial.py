@@ -68,35 +68,49 @@ def within_distance(target: DataFrame, reference: DataFrame, distance: float, mo
     return target.join(r, close, "left_semi" if mode == "within" else "left_anti")
 
 
+SMALL = 20_000  # right rows, once a level, that nearest() sends to all tasks (nine times each)
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Each left row with all its nearest right rows (ties kept) and the distance; left rows with a null coordinate keep nulls; with no right rows the result is empty.
 
-    Cells of growing size: a row is done when its best candidate in the 3 by 3 cells around it is
-    no further than a cell; the rows that are left look in cells of four times the size, until none is left. Each
-    round is written to the shared folder, so that no round is computed again.
+    Cells of levels, each four times as wide as the one below: a row is done when its best candidate in the 3 by 3
+    cells around it is no further than a cell. A row begins at the level that its distance from the right rows' bounds
+    allows, so far rows waste no rounds; those that are left go one level up. Each round is written to the shared
+    folder, so that no round is computed again.
     """
     from functools import reduce
 
-    r = right.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    r = materialized(r)
-    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    there = F.col(x).isNotNull() & F.col(y).isNotNull()
+    r = right.where(there).select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     nulls = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in r.columns]
-    if r.isEmpty():
+    *bounds, n_right = r.agg(*(f(f"r_{c}").cast("double") for c in (x, y) for f in (F.min, F.max)), F.count("*")).first()  # one row
+    if bounds[0] is None:
         return left.limit(0).select("*", F.lit(None).cast("double").alias("distance"), *nulls)
-    found = [left.where(~placed).select("*", F.lit(None).cast("double").alias("distance"), *nulls)]
-    todo = materialized(left.where(placed))
+    found = [left.where(~there).select("*", F.lit(None).cast("double").alias("distance"), *nulls)]
+    off = [F.greatest(F.lit(lo) - F.col(c), F.lit(0.0), F.col(c) - F.lit(hi)) for c, lo, hi in ((x, *bounds[:2]), (y, *bounds[2:]))]
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.hypot(*off) / size, F.lit(1.0))) / F.log(F.lit(4.0)))).cast("int")
+    # Many left rows may share one wide cell, so they are dealt by key; few right rows (SMALL at most) go to all tasks.
+    todo = left.where(there).withColumn("_level", level).repartition(left.sparkSession.sparkContext.defaultParallelism, key)
     columns = [*left.columns, "distance", *r.columns]
-    while not todo.isEmpty():
-        around = F.explode(F.array(*(F.struct((F.floor(F.col(f"r_{x}") / size) + i).alias("i"), (F.floor(F.col(f"r_{y}") / size) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        d = F.hypot(F.col(x) - F.col(f"r_{x}"), F.col(y) - F.col(f"r_{y}"))
-        held = (F.floor(F.col(x) / size) == F.col("_c.i")) & (F.floor(F.col(y) / size) == F.col("_c.j"))
-        # One pass over the candidates: each row's least distance, and all right rows that are at it.
-        pairs = todo.select(key, x, y).join(r.withColumn("_c", around), held).select(key, d.alias("distance"), F.struct(*r.columns).alias("_r")).where(F.col("distance") <= size)
+    while levels := sorted(row[0] for row in todo.select("_level").distinct().collect()):  # as many as extent and size allow, some tens at most
+        cell = lambda c, by: F.floor(F.col(c) / by)
+        around = [
+            F.struct(F.lit(k).alias("level"), (cell(f"r_{x}", size * 4.0**k) + i).alias("i"), (cell(f"r_{y}", size * 4.0**k) + j).alias("j"))
+            for k in levels for i in (-1, 0, 1) for j in (-1, 0, 1)
+        ]
+        cells = r.withColumn("_c", F.explode(F.array(*around)))
+        cells = F.broadcast(cells) if n_right * len(levels) <= SMALL else cells
+        wide = F.pow(F.lit(4.0), F.col("_level")) * size
+        dx, dy = F.col(x) - F.col(f"r_{x}"), F.col(y) - F.col(f"r_{y}")
+        d = F.sqrt(dx * dx + dy * dy)
+        held = (F.col("_level") == F.col("_c.level")) & (cell(x, wide) == F.col("_c.i")) & (cell(y, wide) == F.col("_c.j"))
+        # Candidates are reduced to each row's least distance, then only pairs at that distance are made: none is sorted.
+        pairs = todo.select(key, x, y, "_level", wide.alias("_wide")).join(cells, held).select(key, "_wide", d.alias("distance"), *r.columns).where(F.col("distance") <= F.col("_wide"))
         least = pairs.groupBy(key).agg(F.min("distance").alias("distance"))
-        best = materialized(pairs.join(least, [key, "distance"]).select(key, "distance", "_r.*"))
-        found.append(todo.join(best, key).select(*columns))
-        todo = materialized(todo.join(best.select(key).distinct(), key, "left_anti"))
-        size *= 4
+        best = materialized(pairs.join(least, [key, "distance"]).drop("_wide"))
+        found.append(todo.drop("_level").join(best, key).select(*columns))
+        todo = materialized(todo.join(best.select(key).distinct(), key, "left_anti").withColumn("_level", F.col("_level") + 1))
     return reduce(DataFrame.unionByName, found)
 
 
