@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +38,24 @@ def radius(df: DataFrame, value: str, least: float = 3.0, most: float = 30.0) ->
     edge = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     part = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     return df.crossJoin(F.broadcast(edge)).withColumn("radius", least + part * (most - least)).drop("_lo", "_hi")  # one row
+
+
+def totals(df: DataFrame, by: list[str], amount: str) -> DataFrame:
+    """Sum, count and mean of an amount per group."""
+    return df.groupBy(*by).agg(F.sum(amount).alias("total"), F.count("*").alias("n"), F.avg(amount).alias("mean"))
+
+
+def decisions(df: DataFrame, state: str, groups: dict[str, list[str]], waited: str) -> DataFrame:
+    """One row: how many requests there are, how many ended in each group of states, and the mean wait."""
+    return df.agg(F.count("*").alias("n"), *(F.count_if(F.col(state).isin(states)).alias(name) for name, states in groups.items()), F.avg(waited).alias("mean"))
+
+
+def trend(df: DataFrame, time: str, score: str, days: int = 7) -> DataFrame:
+    """Per day the mean score, its count, and the mean of the last ``days`` days that have rows; days are few, rows are reduced first."""
+    day = df.groupBy(F.to_date(time).alias("day")).agg(F.avg(score).alias("score"), F.count("*").alias("n"))
+    return day.withColumn("week", F.avg("score").over(Window.orderBy("day").rowsBetween(-(days - 1), 0)))
+
+
+def overview(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table."""
+    return reduce(DataFrame.crossJoin, [df.agg(F.count("*").alias(n)) for n, df in tables.items()])  # single rows
