@@ -59,3 +59,10 @@ def trend(df: DataFrame, time: str, score: str, days: int = 7) -> DataFrame:
 def overview(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with the number of rows of each table."""
     return reduce(DataFrame.crossJoin, [df.agg(F.count("*").alias(n)) for n, df in tables.items()])  # single rows
+
+
+def tools(df: DataFrame, log: str) -> DataFrame:
+    """Per tool of a log column (JSON list of objects with tool, ok and seconds): calls, errors, success in percent, mean duration; logs that do not parse hold no calls."""
+    calls = df.select(F.explode(F.from_json(log, "array<struct<tool:string,ok:boolean,seconds:double>>")).alias("c")).select("c.*")
+    ok = F.coalesce("ok", F.lit(False))
+    return calls.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(~ok).alias("errors"), (F.avg(ok.cast("int")) * 100).alias("rate"), F.avg("seconds").alias("mean_s"))

@@ -84,3 +84,10 @@ def band_stats(pixels: DataFrame, bands: list[str]) -> DataFrame:
 def composite(stacks: list[DataFrame], value: str) -> DataFrame:
     """Pixels of several rasters of one grid as one: count and mean of what each has there."""
     return reduce(DataFrame.unionByName, (s.select("row", "col", value) for s in stacks)).groupBy("row", "col").agg(F.count(value).alias("n"), F.avg(value).alias(value))
+
+
+def cell_rings(pixels: DataFrame, origin: tuple[float, float], cell: float) -> DataFrame:
+    """Pixels with their square as a ring column, corners anticlockwise; origin is the upper left corner."""
+    x0, y1 = origin[0] + F.col("col") * cell, origin[1] - F.col("row") * cell
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return pixels.withColumn("ring", F.array(corner(x0, y1 - cell), corner(x0 + cell, y1 - cell), corner(x0 + cell, y1), corner(x0, y1)))

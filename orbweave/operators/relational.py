@@ -161,3 +161,9 @@ def skyline(df: DataFrame, key: str, maximise: list[str], minimise: list[str], s
 
     front = beaten(points, F.broadcast(strong))
     return df.join(beaten(front, front).select(key), key)
+
+
+def id_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side) of distinct ids: both, left or right; null ids are none."""
+    a, b = (d.select(key).where(F.col(key).isNotNull()).distinct().withColumn(s, F.lit(True)) for d, s in ((left, "_l"), (right, "_r")))
+    return a.join(b, key, "full").select(key, F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both").alias("side"))

@@ -243,3 +243,24 @@ def _cut_side(ring: Column, axis: str, other: str, edge: float, keep: int) -> Co
     none = F.filter(ring, lambda c: F.lit(False))
     step = lambda e: F.concat(F.when(inside(e["p"]) != inside(e["q"]), F.array(crossing(e))).otherwise(none), F.when(inside(e["q"]), F.array(e["q"])).otherwise(none))
     return F.flatten(F.transform(pairs, step))
+
+
+def boxes_meet(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float) -> DataFrame:
+    """(key, right_key) of boxes of two tables that share at least a boundary point, each pair once: in the cell that holds the lower corner of what they share."""
+    a, b = (
+        d.select(*(F.col(c).alias(f"{s}_{c}") for c in (k, "minx", "miny", "maxx", "maxy")), _cells("minx", "maxx", size).alias(f"{s}_cx")).withColumn(f"{s}_cy", _cells(f"{s}_miny", f"{s}_maxy", size))
+        for s, d, k in (("l", left, key), ("r", right, right_key))
+    )
+    x, y = F.greatest("l_minx", "r_minx"), F.greatest("l_miny", "r_miny")
+    met = (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy")) & (x <= F.least("l_maxx", "r_maxx")) & (y <= F.least("l_maxy", "r_maxy"))
+    once = (F.floor(x / size) == F.col("l_cx")) & (F.floor(y / size) == F.col("l_cy"))
+    return a.join(b, met & once).select(F.col(f"l_{key}").alias(key), F.col(f"r_{right_key}").alias(right_key))
+
+
+def changes_by_place(before: DataFrame, after: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, change): boxes of before that meet one of after are modified, others removed; boxes of after that meet none are added."""
+    new = after.withColumnRenamed(key, "_new")
+    met = materialized(boxes_meet(before, new, key, "_new", size))
+    old = before.select(key).join(met.select(key).distinct().withColumn("_m", F.lit(True)), key, "left").select(key, F.when(F.col("_m"), "modified").otherwise("removed").alias("change"))
+    added = new.select("_new").join(met.select("_new"), "_new", "left_anti").select(F.col("_new").alias(key), F.lit("added").alias("change"))
+    return old.unionAll(added)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.expressions import bearing, haversine, micros
@@ -61,3 +61,10 @@ def interpolate(df: DataFrame, keys: list[str], time: str, at: str, value: str)
     )
     part = F.try_divide((micros(u) - micros("t0")).cast("double"), (micros("t1") - micros("t0")).cast("double"))
     return g.select(*keys, F.coalesce(F.col("v0") + (F.col("v1") - F.col("v0")) * F.coalesce(part, F.lit(0.0)), "v0", "v1").alias(value))
+
+
+def exits(df: DataFrame, device: str, time: str, inside: Column) -> DataFrame:
+    """Fixes outside a fence whose device was inside at its fix before; a fix of unknown place counts as neither."""
+    known = df.withColumn("_in", inside).where(F.col("_in").isNotNull())
+    was = F.lag("_in").over(Window.partitionBy(device).orderBy(time))
+    return known.withColumn("_was", was).where(F.col("_was") & ~F.col("_in")).drop("_in", "_was")

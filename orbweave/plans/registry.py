@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.plans import analysis, more, places, shapes, shelves, tables
+from orbweave.plans import analysis, extras, more, places, shapes, shelves, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**tables.FOUND.queries, **places.FOUND.queries, **analysis.FOUND.queries, **more.FOUND.queries, **shapes.FOUND.queries, **shelves.FOUND.queries}
-ORACLES: dict[str, str] = {**tables.FOUND.oracles, **places.FOUND.oracles, **analysis.FOUND.oracles, **more.FOUND.oracles, **shapes.FOUND.oracles, **shelves.FOUND.oracles}
+QUERIES: dict[str, Query] = {**tables.FOUND.queries, **places.FOUND.queries, **analysis.FOUND.queries, **more.FOUND.queries, **shapes.FOUND.queries, **shelves.FOUND.queries, **extras.FOUND.queries}
+ORACLES: dict[str, str] = {**tables.FOUND.oracles, **places.FOUND.oracles, **analysis.FOUND.oracles, **more.FOUND.oracles, **shapes.FOUND.oracles, **shelves.FOUND.oracles, **extras.FOUND.oracles}
 FLAGSHIP = "d05_summarize_within"
