@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, counts, decontaminate, jaccard, mixing, oracles, quality, secrets, sharding, suffixes, topk
+from orbweave.llm import bpe, counts, decontaminate, infill, jaccard, mixing, oracles, quality, secrets, sharding, suffixes, topk
 from orbweave.llm._io import table
 
 
@@ -68,6 +68,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.invert(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), rate=90, spm=20)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_decontamination": op2_decontamination,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_infill": op11_infill,
 }
-ORACLES: dict[str, str] = {"op1_top_k": oracles.TOP_K, "op8_secret_scans": oracles.SECRETS}
+ORACLES: dict[str, str] = {"op1_top_k": oracles.TOP_K, "op8_secret_scans": oracles.SECRETS, "op11_infill": oracles.INFILL}
