@@ -57,5 +57,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def answered(rows: DataFrame, answers: DataFrame, key: str, value: str, often: int = 1000) -> DataFrame:
+    """rows with the ``value`` of their key; answers: one row for each key of rows, null included, with value and ``n``, its number of rows.
+
+    Keys with more than a part in ``often`` of all rows are fewer than ``often`` and go to every task; the others meet by
+    shuffle, so no key fills a task. Both tables are read twice: pass written ones.
+    """
+    many = F.col("n") > F.lit((answers.agg(F.sum("n")).first()[0] or 0) / often)
+    as_key = answers.withColumnRenamed(key, "own_key")
+    same = F.col(key).eqNullSafe(F.col("own_key"))
+    hot = rows.join(F.broadcast(as_key.where(many).select("own_key", value)), same)
+    rest = rows.join(F.broadcast(as_key.where(many).select("own_key")), same, "left_anti").join(as_key.where(~many).select("own_key", value), same)
+    return hot.drop("own_key").unionByName(rest.drop("own_key"))
+
+
 def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

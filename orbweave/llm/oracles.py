@@ -62,3 +62,35 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+def _codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def assigned(k: int) -> str:
+        """Each part's entry of codebook k and its distance: exact in doubles for integers of this size."""
+        far = "list_inner_product(p.v, p.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(p.v, b.v)"
+        return f"""a{k} AS MATERIALIZED (
+  SELECT row, part, min(struct_pack(far := {far}, entry := entry)) AS best FROM p JOIN b{k} b USING (part) GROUP BY row, part)"""
+
+    def moved(k: int) -> str:
+        return f"""m{k} AS (
+  SELECT part, entry, list(c ORDER BY place) AS v FROM (
+    SELECT part, a.best.entry AS entry, place, floor(sum(v[place]) / count(*)) AS c
+    FROM a{k} a JOIN p USING (row, part), unnest(range(1, len(v) + 1)) AS t(place) GROUP BY ALL) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+
+    steps = ",".join(f"\n{assigned(k)},\n{moved(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)),
+p AS MATERIALIZED (SELECT row, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v FROM kept, unnest(range({parts})) AS t(part)),
+b0 AS (SELECT part, row - 1 AS entry, v FROM p WHERE row <= {entries}),{steps},
+{assigned(rounds)},
+coded AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.far)::BIGINT AS error FROM a{rounds} GROUP BY row),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), book
+"""
+
+
+CODES = _codes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, counts, decontaminate, infill, jaccard, mixing, oracles, quality, secrets, sharding, suffixes, topk
+from orbweave.llm import bpe, codes, counts, decontaminate, infill, jaccard, mixing, oracles, quality, secrets, sharding, simhash, suffixes, topk
 from orbweave.llm._io import table
 
 
@@ -72,6 +72,15 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.invert(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), rate=90, spm=20)))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, radius=4, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_decontamination": op2_decontamination,
@@ -84,5 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_infill": op11_infill,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash": op13_simhash,
 }
-ORACLES: dict[str, str] = {"op1_top_k": oracles.TOP_K, "op8_secret_scans": oracles.SECRETS, "op11_infill": oracles.INFILL}
+ORACLES: dict[str, str] = {"op1_top_k": oracles.TOP_K, "op8_secret_scans": oracles.SECRETS, "op11_infill": oracles.INFILL, "op12_vector_codes": oracles.CODES}
