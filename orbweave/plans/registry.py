@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.plans import analysis, extras, more, places, shapes, shelves, tables
+from orbweave.plans import analysis, extras, more, places, polygons, shapes, shelves, tables
+from orbweave.plans.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**tables.FOUND.queries, **places.FOUND.queries, **analysis.FOUND.queries, **more.FOUND.queries, **shapes.FOUND.queries, **shelves.FOUND.queries, **extras.FOUND.queries}
-ORACLES: dict[str, str] = {**tables.FOUND.oracles, **places.FOUND.oracles, **analysis.FOUND.oracles, **more.FOUND.oracles, **shapes.FOUND.oracles, **shelves.FOUND.oracles, **extras.FOUND.oracles}
+_CATALOGS: list[Catalog] = [m.FOUND for m in (tables, places, analysis, more, shapes, shelves, extras, polygons)]
+QUERIES: dict[str, Query] = {name: q for c in _CATALOGS for name, q in c.queries.items()}
+ORACLES: dict[str, str] = {name: sql for c in _CATALOGS for name, sql in c.oracles.items()}
 FLAGSHIP = "d05_summarize_within"
