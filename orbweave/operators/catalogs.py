@@ -141,28 +141,6 @@ def governance(df: DataFrame) -> DataFrame:
     return df.withColumn("total", total).withColumn("grade", F.when(t >= 90, "A").when(t >= 80, "B").when(t >= 60, "C").when(t >= 40, "D").otherwise("F"))
 
 
-#: Levels of sensitivity from low to high, and what makes a text reach them.
-LEVELS = ["public", "internal", "confidential", "restricted"]
-SENSITIVE = {
-    "phone": (r"\b1[3-9]\d{9}\b", "confidential"),
-    "id_card": (r"\b\d{17}[\dXx]\b", "restricted"),
-    "email": (r"\b[\w.-]+@[\w.-]+\.\w{2,}\b", "internal"),
-    "bank_card": (r"\b(?:62|4|5)\d{15,18}\b", "restricted"),
-    "coordinate": (r"\b\d{2,3}\.\d{4,}\b", "internal"),
-}
-
-
-def sensitivity(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: how many of all its values match each kind, and the highest level that they reach; one pass."""
-    row = df.agg(*(F.count_if(F.rlike(F.col(c).cast("string"), F.lit(p))).alias(f"{c}|{k}") for c in columns for k, (p, _) in SENSITIVE.items()))
-
-    def one(c: str) -> Column:
-        ranks = [F.when(F.col(f"`{c}|{k}`") > 0, LEVELS.index(v)).otherwise(0) for k, (_, v) in SENSITIVE.items()]
-        return F.struct(F.lit(c).alias("column"), *(F.col(f"`{c}|{k}`").alias(k) for k in SENSITIVE), F.element_at(F.array(*map(F.lit, LEVELS)), F.greatest(*ranks) + 1).alias("level"))
-
-    return row.select(F.explode(F.array(*map(one, columns))).alias("x")).select("x.*")
-
-
 def names(df: DataFrame, names: list[str], longest: int = 30) -> DataFrame:
     """Field names that hold other characters than letters, digits, underscores and CJK, begin with a digit, or are too long; df lends its session."""
     n = df.sparkSession.createDataFrame([(x,) for x in names], "field string")

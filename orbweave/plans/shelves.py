@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators import audit, catalogs
+from orbweave.operators import audit, catalogs, privacy
 from orbweave.plans.catalog import Catalog
 from orbweave.plans.more import _bands, _BANDS
 
@@ -105,17 +105,36 @@ def l19_governance(t):
     return catalogs.governance(a.withColumn("crs_ok", F.col("k") % 2 == 0)).select("k", "total", "grade")
 
 
-def _contacts(t) -> DataFrame:
-    k = F.col("c_custkey")
-    mail = F.when(k % 3 == 0, F.concat(F.lit("a"), k.cast("string"), F.lit("@b.org"))).otherwise("none")
-    phone = F.when(k % 5 == 0, F.concat(F.lit("call 138"), F.lpad(k.cast("string"), 8, "0"))).otherwise(F.lpad(k.cast("string"), 18, "1"))
-    return t("customer").select(mail.alias("mail"), phone.alias("phone"), F.col("c_name").alias("name"))
+#: Runs of a text and their kinds, each validated.
+_LUHN = "list_sum(list_transform(range(1, length(v) + 1), lambda k: CASE WHEN k % 2 = 1 THEN reverse(v)[k]::INT WHEN reverse(v)[k]::INT > 4 THEN reverse(v)[k]::INT * 2 - 9 ELSE reverse(v)[k]::INT * 2 END))"
+_CHECK = "list_sum(list_transform(range(1, 18), lambda k: v[k]::INT * " + str(privacy.ID_WEIGHTS) + "[k]))"
+_PERSONAL = rf"""
+cut AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '{privacy.RUN}')), '{privacy.EDGES}') AS v FROM documents),
+held AS (SELECT * FROM cut WHERE length(v) >= 7 AND regexp_matches(v, '[0-9@]')),
+typed AS (SELECT *, CASE
+  WHEN regexp_matches(v, '^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}$') THEN 'email'
+  WHEN regexp_matches(v, '^(86)?1[3-9][0-9]{{9}}$') THEN 'phone'
+  WHEN CASE WHEN regexp_matches(v, '^[0-9]{{17}}[0-9Xx]$') THEN '{privacy.ID_LETTERS}'[({_CHECK} % 11 + 1)::INT] = upper(v[18]) AND v[7:10]::INT BETWEEN 1900 AND 2099 AND v[11:12]::INT BETWEEN 1 AND 12 AND v[13:14]::INT BETWEEN 1 AND 31 END THEN 'id_card'
+  WHEN CASE WHEN regexp_matches(v, '^[0-9]{{13,19}}$') THEN {_LUHN} % 10 = 0 END THEN 'bank_card'
+  WHEN CASE WHEN regexp_matches(v, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') THEN list_max(list_transform(string_split(v, '.'), lambda o: o::INT)) <= 255 END THEN 'ip'
+  WHEN CASE WHEN regexp_matches(v, '^[0-9]{{1,3}}\.[0-9]{{4,}}$') THEN v::DOUBLE <= 180 END THEN 'coordinate' END AS kind FROM held)"""
+
+
+@add(f"WITH {_PERSONAL} SELECT doc_id, kind, v AS value, count(*) AS n FROM typed WHERE kind IS NOT NULL GROUP BY ALL")
+def l24_personal_data(t):
+    return privacy.personal(t("documents"), "doc_id", "text")
+
+
+_LEVEL = "list_max([CASE WHEN id_card + bank_card > 0 THEN 3 END, CASE WHEN credential > 0 THEN 4 END, CASE WHEN phone > 0 THEN 2 END, CASE WHEN email + address + coordinate + ip > 0 THEN 1 END, 0])"
 
 
-@add("""SELECT 'mail' AS "column", 0 AS phone, 0 AS id_card, count(*) FILTER (c_custkey % 3 = 0) AS email, 0 AS bank_card, 0 AS coordinate, 'internal' AS level FROM customer
-UNION ALL SELECT 'phone', count(*) FILTER (c_custkey % 5 = 0), count(*) FILTER (c_custkey % 5 > 0), 0, 0, 0, 'restricted' FROM customer UNION ALL SELECT 'name', 0, 0, 0, 0, 0, 'public'""")
+@add(rf"""WITH {_PERSONAL}, kinds AS (
+  SELECT {", ".join(f"count(DISTINCT doc_id) FILTER (kind = '{k}') AS {k}" for k in privacy.KINDS)} FROM typed),
+words AS (SELECT count(*) FILTER (regexp_matches(text, '{"|".join(privacy.ADDRESS_WORDS)}')) AS address, count(*) FILTER (regexp_matches(text, '{privacy.CREDENTIAL.replace(chr(39), chr(39) * 2)}')) AS credential FROM documents)
+SELECT 'text' AS "column", phone, id_card, email, bank_card, address, coordinate, ip, credential, {privacy.LEVELS}[({_LEVEL} + 1)::INT] AS level FROM kinds, words
+UNION ALL SELECT 'lang', 0, 0, 0, 0, 0, 0, 0, 0, 'public'""")
 def l20_sensitivity(t):
-    return catalogs.sensitivity(_contacts(t), ["mail", "phone", "name"])
+    return privacy.sensitivity(t("documents"), ["text", "lang"])
 
 
 @add("SELECT * FROM (VALUES ('1st', 'characters'), ('a b', 'characters'), (repeat('n', 31), 'length')) v(field, issue)")

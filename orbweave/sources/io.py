@@ -31,7 +31,9 @@ def materialized(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not held.isDefined() and master != "local" and not master.startswith(("local[", "local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     out = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(out)
@@ -87,20 +89,66 @@ READING = frozenset(
 )
 
 
+#: Functions that Spark ships but that reach beyond the query: they call classes of the driver or end a task.
+REACHING = frozenset("reflect java_method try_reflect raise_error assert_true".split())
+
+
+def _each(seq: object):
+    for k in range(seq.size()):
+        yield seq.apply(k)
+
+
+def _kind(node: object) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _expressions(expression: object):
+    yield expression
+    for child in _each(expression.children()):
+        yield from _expressions(child)
+
+
 def _nodes(plan: object):
     yield plan
     for part in (plan.children(), plan.innerChildren(), plan.subqueries()):
-        for k in range(part.size()):
-            if hasattr(part.apply(k), "innerChildren"):
-                yield from _nodes(part.apply(k))
+        for node in _each(part):
+            if hasattr(node, "innerChildren"):
+                yield from _nodes(node)
+
+
+def _calls(node: object):
+    """Names of the functions that a node's expressions call."""
+    if _kind(node) == "UnresolvedTableValuedFunction":
+        yield ".".join(_each(node.name()))
+    for top in _each(node.expressions()):
+        for e in _expressions(top):
+            if _kind(e) == "UnresolvedFunction":
+                yield ".".join(_each(e.nameParts()))
+            elif _kind(e) == "UnresolvedGenerator":
+                yield e.name().funcName()
 
 
 def read_only(spark: SparkSession, sql: str, limit: int | None = 1000, **args: object) -> DataFrame:
-    """A query with named parameters. Every node of the parsed plan must be one that only reads (READING); no words of the text decide."""
+    """A query with named parameters. No words of its text decide, but its parsed plan.
+
+    Every node must be one that only reads (READING), every function one that Spark ships and that does not reach
+    beyond the query (REACHING), so neither user-defined functions nor reflection run; every relation must be a table,
+    a view or a name of the query's own WITH, so no path is opened.
+    """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    shipped = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    tables = spark._jvm.org.apache.spark.sql.catalyst.analysis.TableFunctionRegistry.builtin()
+    name_of = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
     for node in _nodes(plan):
-        name = node.getClass().getSimpleName().rstrip("$")
-        if name not in READING:
-            raise PermissionError(f"only queries are allowed, not {name}")
+        if _kind(node) not in READING:
+            raise PermissionError(f"only queries are allowed, not {_kind(node)}")
+        for name in _calls(node):
+            plain = name_of(name.lower())
+            if name.lower() in REACHING or not (shipped.functionExists(plain) or tables.functionExists(plain)):
+                raise PermissionError(f"the function {name} is not allowed")
+        if _kind(node) == "UnresolvedRelation" and (parts := list(_each(node.multipartIdentifier()))) and len(parts) > 1:
+            quoted = ".".join(f"`{p.replace('`', '``')}`" for p in parts)
+            if not spark.catalog.tableExists(quoted):
+                raise PermissionError(f"{quoted} is no table")
     df = spark.sql(sql, args=args)
     return df if limit is None else df.limit(limit)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import expressions as X
-from orbweave.operators import charts, graph, quality, rasters, relational as R, spatial, statistics, temporal
+from orbweave.operators import charts, graph, privacy, quality, rasters, relational as R, spatial, statistics, temporal
 from orbweave.sources import io
 from orbweave.streaming import windows
 
@@ -95,6 +95,21 @@ def test_effects(spark):
     assert rows(charts.shares(panel, "region")) == [(0, 6, 50.0), (1, 6, 50.0)]
 
 
+def test_personal_data(spark):
+    texts = [
+        "mail a.b@c.example.org, card 4111111111111111 (not 4111111111111112), phone +8613912345678.", "ids 11010519491231002X and 110105194912310021, ip 10.0.0.255 but 10.0.0.256, at 116.3974, 399.1234",
+        None, "", "x" * 300_000 + "@", "a@" * 50_000, "....@....", "order 1234567",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted((r.id, r.kind, r.value) for r in privacy.personal(df, "id", "text").collect())
+    assert got == [(0, "bank_card", "4111111111111111"), (0, "email", "a.b@c.example.org"), (0, "phone", "8613912345678"), (1, "coordinate", "116.3974"), (1, "id_card", "11010519491231002X"), (1, "ip", "10.0.0.255")]
+    clean = {r.id: r.c for r in df.select("id", privacy.redacted(F.col("text")).alias("c")).collect()}
+    assert clean[0] == "mail [EMAIL], card [BANK_CARD] (not 4111111111111112), phone +[PHONE]." and clean[2] is None and [clean[k] for k in range(3, 8)] == texts[3:]
+    levels = {r["column"]: (r.email, r.bank_card, r.id_card, r.level) for r in privacy.sensitivity(df, ["text", "id"]).collect()}
+    assert levels == {"text": (1, 1, 1, "restricted"), "id": (0, 0, 0, "public")}
+    assert privacy.personal(df.limit(0), "id", "text").count() == 0
+
+
 def test_io_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 116.4, 39.9)], "id int, lng double, lat double")
     io.save(df, str(tmp_path / "x.csv"))
@@ -118,6 +133,8 @@ def test_windows_on_a_stream(spark, tmp_path):
 @pytest.mark.parametrize("sql", [
     "WITH a AS (SELECT 1 AS x) INSERT INTO kept SELECT x FROM a", "FROM kept INSERT INTO kept SELECT a INSERT INTO kept SELECT a + 1", "USE default", "CACHE TABLE c AS SELECT 1",
     "DROP TABLE kept", "INSERT INTO kept VALUES (1)", "CREATE TABLE u AS SELECT 1", "SET x = 1", "TRUNCATE TABLE kept", "CREATE TEMP VIEW v AS SELECT 1", "DELETE FROM kept",
+    "SELECT reflect('java.lang.System', 'setProperty', 'orbweave.x', '1')", "SELECT 1 FROM range(2) WHERE java_method('java.util.UUID', 'randomUUID') > ''", "SELECT a FROM kept ORDER BY try_reflect('java.lang.System', 'nanoTime')",
+    "SELECT (SELECT max(reflect('java.util.UUID', 'randomUUID'))) AS x", "WITH w AS (SELECT reflect('java.util.UUID', 'randomUUID') AS x) SELECT * FROM w", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/tmp`", "SELECT own_function(1)", "SELECT 1 AS x WHERE EXISTS (SELECT * FROM csv.`/etc/passwd`)",
 ])
 def test_read_only_refuses(spark, sql):
     spark.sql("CREATE TABLE IF NOT EXISTS kept (a INT) USING parquet")
@@ -129,6 +146,8 @@ def test_read_only_refuses(spark, sql):
 def test_read_only_reads(spark):
     assert io.read_only(spark, "SELECT 'xCommand; DROP TABLE y' AS c, :v AS v", v=3).collect()[0].v == 3
     assert io.read_only(spark, "WITH a AS (SELECT 1 AS x UNION ALL SELECT 2) SELECT count(*) AS n FROM a WHERE x IN (SELECT max(x) FROM a)").collect()[0].n == 1
+    spark.sql("CREATE TABLE IF NOT EXISTS kept (a INT) USING parquet")
+    assert io.read_only(spark, "SELECT upper('a') AS u, explode(array(1, 2)) AS e, sum(id) OVER (PARTITION BY id % 2) AS s FROM range(3) LEFT JOIN default.kept ON a = id").count() == 6
 
 
 def test_nearest_keeps_every_left_row(spark):
