@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -509,3 +510,11 @@ def test_jaccard_confronts_in_columns(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "COLUMNS", columns)
         got = jaccard._confront(3, 4)((), t, t)
         assert set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want
+
+
+def test_address_rule_in_long_texts(spark):
+    d = docs(spark, ["x" * 1_000_000, "a@" * 200_000, "to a.b@c.org and " + "y" * 300_000 + "@d.example.net", "x@y", "@"])
+    began = time.perf_counter()
+    found = {r.doc_id: [s.kind for s in r.secret_spans] for r in secrets.scan(d, rules=(queries.EMAIL,)).collect()}
+    assert found == {0: [], 1: [], 2: ["email", "email"], 3: [], 4: []}
+    assert time.perf_counter() - began < 30
