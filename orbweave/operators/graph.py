@@ -15,14 +15,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
     """(id, hop) of what can be reached within k steps, with the fewest steps; start holds ids."""
-    both = undirected(edges)
-    seen = start.select("id").distinct().withColumn("hop", F.lit(0))
-    front = seen
-    for h in range(1, k + 1):
-        step = front.join(both, front["id"] == both["src"]).select(F.col("dst").alias("id")).distinct()
-        front = step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionAll(front)
-    return seen
+    return reach(materialized(undirected(edges)), start, k)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
