@@ -29,9 +29,9 @@ def micros(c: Column | str) -> Column:
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null where a coordinate is (the least of 1 and a null would be half way round)."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def bearing(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

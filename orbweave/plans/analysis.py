@@ -50,7 +50,7 @@ def f06_nearest_in_time(t):
 
 
 @add("""WITH p AS (SELECT user_id, ts, event_id, value % 90 AS lat, event_id % 180 AS lng FROM events), s AS (SELECT user_id, lat, lng, lag(lat) OVER w AS a, lag(lng) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-SELECT user_id, count(*) AS fixes, round(coalesce(sum(2 * 6371000 * asin(sqrt(least(1, sin(radians(lat - a) / 2) ** 2 + cos(radians(a)) * cos(radians(lat)) * sin(radians(lng - b) / 2) ** 2)))), 0), 2) AS metres FROM s GROUP BY 1""")
+SELECT user_id, count(*) AS fixes, round(coalesce(sum(2 * 6371000 * asin(sqrt(least(1, sin(radians(lat - a) / 2) ** 2 + cos(radians(a)) * cos(radians(lat)) * sin(radians(lng - b) / 2) ** 2)))) FILTER (a IS NOT NULL), 0), 2) AS metres FROM s GROUP BY 1""")
 def m01_trajectories(t):
     e = t("events").select("user_id", "ts", (F.col("value") % 90).alias("lat"), (F.col("event_id") % 180).cast("double").alias("lng"))
     return temporal.trajectories(e, "user_id", "ts", "lat", "lng").select("user_id", "fixes", F.round("metres", 2).alias("metres"))
