@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from orbweave.functions.expressions import bearing, haversine
+from orbweave.functions.expressions import bearing, haversine, micros
 
 RADIUS = 6371000.0
 _OUT = "device string, time timestamp, fixes long, metres double, heading double, exited boolean"
@@ -92,9 +92,9 @@ def tracks(df: DataFrame, device: str, time: str, lat: str, lng: str, inside: Co
     """
     fixes = _fixes(df, device, time, lat, lng, inside)
     if fixes.isStreaming:
-        return fixes.withWatermark("time", late).groupBy("device").transformWithStateInPandas(Track(idle_ms), _OUT, "append", "eventTime")
+        return fixes.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late).groupBy("device").transformWithStateInPandas(Track(idle_ms), _OUT, "append", "eventTime")
     order = Window.partitionBy("device").orderBy("time", "lat", "lng")
-    gap = F.unix_micros("time") - F.lag(F.unix_micros("time")).over(order)
+    gap = micros("time") - F.lag(micros("time")).over(order)
     part = fixes.withColumn("_new", F.when(gap.isNull() | (gap > idle_ms * 1000), 1).otherwise(0)).withColumn("_track", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy("device", "_track").orderBy("time", "lat", "lng")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
