@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.quantiles import quantiles
+from orbweave.sources.io import materialized
+
 
 def visible(df: DataFrame, owner: str, shared: str, user: str, admin: bool = False) -> DataFrame:
     """Rows that a user owns or that are shared; an administrator sees all."""
@@ -202,9 +205,9 @@ def distance_summary(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cosine distances of two vector columns: mean, largest, median, 95 % and deviation over all rows."""
     from orbweave.functions.expressions import cosine
 
-    d = pairs.select((1 - cosine(F.col(a), F.col(b))).alias("d"))
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.95)))
-    return d.agg(F.avg("d").alias("mean"), F.max("d").alias("largest"), q[0].alias("p50"), q[1].alias("p95"), F.stddev_pop("d").alias("sd"))
+    d = materialized(pairs.select((1 - cosine(F.col(a), F.col(b))).alias("d")))
+    one = d.agg(F.avg("d").alias("mean"), F.max("d").alias("largest"), F.stddev_pop("d").alias("sd")).crossJoin(F.broadcast(quantiles(d, "d", [0.5, 0.95])))  # single rows
+    return one.select("mean", "largest", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "sd")
 
 
 def matched_effect(df: DataFrame, key: str, treatment: str, score: str, outcome: str, caliper: float | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.quantiles import quantiles
+
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column, from one pass: null share, min, max, mean, distinct values."""
@@ -26,7 +28,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles with linear interpolation and whiskers at 1.5 interquartile ranges within the data."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    ends = df.groupBy(F.col(by).alias("_by")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75], [by]).join(ends, F.col(by).eqNullSafe(F.col("_by")))
     iqr = F.col("q")[2] - F.col("q")[0]
     return q.select(by, F.greatest("lo", F.col("q")[0] - 1.5 * iqr).alias("low"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.least("hi", F.col("q")[2] + 1.5 * iqr).alias("high"))
 
@@ -52,8 +55,7 @@ def equal_breaks(df: DataFrame, value: str, classes: int = 5) -> DataFrame:
 
 
 def quantile_breaks(df: DataFrame, value: str, classes: int = 5) -> DataFrame:
-    p = F.array(*(F.lit(k / classes) for k in range(classes + 1)))
-    return df.agg(F.percentile(value, p).alias("e")).select(F.posexplode("e").alias("k", "edge"))
+    return quantiles(df, value, [k / classes for k in range(classes + 1)]).select(F.posexplode("q").alias("k", "edge"))
 
 
 def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
@@ -68,5 +70,6 @@ def shares(df: DataFrame, by: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: str, ranks: dict[str, float]) -> DataFrame:
     """Percentiles by rank (the smallest value with at least that share at or below it), with count, mean, min and max."""
-    exact = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *(exact(p).alias(c) for c, p in ranks.items()))
+    one = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    q = quantiles(df, value, list(ranks.values()), nearest_rank=True)
+    return one.crossJoin(F.broadcast(q)).select("n", "mean", "low", "high", *(F.col("q")[k].alias(c) for k, c in enumerate(ranks)))  # single rows

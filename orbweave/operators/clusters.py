@@ -41,8 +41,9 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int, x: str = "x", y:
 
 def patches(pixels: DataFrame, value: str) -> DataFrame:
     """Pixels (row, col, value) with the patch they are in: equal values that touch by a side; patches have the least pixel number of their own."""
-    wide = F.max("col").alias("_w")
-    p = materialized(pixels.where(F.col(value).isNotNull()).crossJoin(F.broadcast(pixels.agg(wide))).withColumn("id", (F.col("row") * (F.col("_w") + 1) + F.col("col")).cast("long")))  # one row
+    bounds = pixels.agg(F.min("row").alias("_r0"), F.min("col").alias("_c0"), F.max("col").alias("_w"))  # one row
+    number = (F.col("row") - F.least("_r0", F.lit(0))) * (F.col("_w") - F.least("_c0", F.lit(0)) + 1) + F.col("col") - F.least("_c0", F.lit(0))
+    p = materialized(pixels.where(F.col(value).isNotNull()).crossJoin(F.broadcast(bounds)).withColumn("id", number.cast("long")).drop("_r0", "_c0", "_w"))
     there = p.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"), F.col("id").alias("dst"))
     next_to = p.select("id", value, F.explode(F.array(F.struct(F.col("row").alias("r"), (F.col("col") + 1).alias("c")), F.struct((F.col("row") + 1).alias("r"), F.col("col").alias("c")))).alias("n"))
     links = next_to.join(there, (F.col("n.r") == F.col("_r")) & (F.col("n.c") == F.col("_c")) & (F.col(value) == F.col("_v"))).select(F.col("id").alias("src"), "dst")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.expressions import fields
+from orbweave.operators.quantiles import quantiles
 
 STATS: dict[str, Callable[[str], Column]] = {
     "SUM": F.sum, "MEAN": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "STD": F.stddev_samp,
@@ -112,7 +113,7 @@ def fill_nulls(df: DataFrame, column: str, how: str, default: object = None) ->
     if how == "mode":
         stat = df.where(F.col(column).isNotNull()).groupBy(column).count().agg(F.min_by(column, F.struct(-F.col("count"), F.col(column))).alias("_s"))
     else:
-        stat = df.agg((F.avg(column) if how == "mean" else F.percentile(column, F.lit(0.5))).alias("_s"))
+        stat = df.agg(F.avg(column).alias("_s")) if how == "mean" else quantiles(df, column, [0.5]).select(F.col("q")[0].alias("_s"))
     return df.crossJoin(F.broadcast(stat)).withColumn(column, F.coalesce(column, "_s")).drop("_s")  # one row
 
 

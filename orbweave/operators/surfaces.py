@@ -82,10 +82,14 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
     """row, col, upstream: how many pixels drain into each, by pointers that double their length every round.
 
     Invariant: a pixel's sum covers all pixels fewer than 2^k steps up, its pointer leads 2^k steps down; so a
-    river of n pixels takes log2 n rounds, each written to the shared folder.
+    river of n pixels takes log2 n rounds, each written to the shared folder. Directions that go round in circles are an error.
     """
     now = materialized(directions.select("row", "col", "to_row", "to_col", F.lit(1).cast("long").alias("n")))
+    rounds = int(now.count()).bit_length() + 1
     while not now.where("to_row IS NOT NULL").isEmpty():
+        if not rounds:
+            raise ValueError("the directions go round in circles")
+        rounds -= 1
         gift = now.where("to_row IS NOT NULL").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("n").alias("_g"))
         ahead = now.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("_r"), F.col("to_col").alias("_c"))
         step = now.join(ahead, ["to_row", "to_col"], "left").join(gift, ["row", "col"], "left")

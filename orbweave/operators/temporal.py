@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.expressions import bearing, haversine, micros
+from orbweave.operators.quantiles import quantiles
+from orbweave.sources.io import materialized
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
@@ -33,9 +35,9 @@ def gaps(df: DataFrame, keys: list[str], time: str, times: float = 10.0) -> Data
     """Per key: nulls, repeated times, and steps longer than ``times`` the median step."""
     w = Window.partitionBy(*keys).orderBy(time)
     step = (micros(time) - micros(F.lag(time).over(w))) / 1e6
-    s = df.where(F.col(time).isNotNull()).withColumn("step", step)
-    median = s.groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("median_s"), F.count_if(F.col("step") == 0).alias("repeats"))
-    wide = s.join(median, keys).groupBy(*keys).agg(F.first("median_s").alias("median_s"), F.first("repeats").alias("repeats"), F.count_if(F.col("step") > times * F.col("median_s")).alias("n_gaps"))
+    s = materialized(df.where(F.col(time).isNotNull()).select(*keys, step.alias("step")))
+    median = quantiles(s, "step", [0.5], keys).select(*keys, F.col("q")[0].alias("median_s"))
+    wide = s.join(median, keys).groupBy(*keys).agg(F.first("median_s").alias("median_s"), F.count_if(F.col("step") == 0).alias("repeats"), F.count_if(F.col("step") > times * F.col("median_s")).alias("n_gaps"))
     return wide
 
 
