@@ -7,7 +7,7 @@ and bounds decide how often a shape is entered, so no side is broadcast or cross
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.expressions import haversine
@@ -68,6 +68,7 @@ def within_distance(target: DataFrame, reference: DataFrame, distance: float, mo
     return target.join(r, close, "left_semi" if mode == "within" else "left_anti")
 
 
+PARTS = 16
 SMALL = 20_000  # right rows, once a level, that nearest() sends to all tasks (nine times each)
 
 
@@ -76,8 +77,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "
 
     Cells of levels, each four times as wide as the one below: a row is done when its best candidate in the 3 by 3
     cells around it is no further than a cell. A row begins at the level that its distance from the right rows' bounds
-    allows, so far rows waste no rounds; those that are left go one level up. Each round is written to the shared
-    folder, so that no round is computed again.
+    allows, so far rows waste no rounds; those that are left go one level up. Within a cell a row first meets the bounds of
+    the right rows in each of its parts (PARTS by PARTS, however many rows there are), and then only the rows of parts
+    that may hold one as near as the nearest part surely does. Each round is written to the shared folder, so that none is computed again.
     """
     from functools import reduce
 
@@ -93,22 +95,28 @@ def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "
     # Many left rows may share one wide cell, so they are dealt by key; few right rows (SMALL at most) go to all tasks.
     todo = left.where(there).withColumn("_level", level).repartition(left.sparkSession.sparkContext.defaultParallelism, key)
     columns = [*left.columns, "distance", *r.columns]
+    rx, ry = F.col(f"r_{x}"), F.col(f"r_{y}")
     while levels := sorted(row[0] for row in todo.select("_level").distinct().collect()):  # as many as extent and size allow, some tens at most
-        cell = lambda c, by: F.floor(F.col(c) / by)
-        around = [
-            F.struct(F.lit(k).alias("level"), (cell(f"r_{x}", size * 4.0**k) + i).alias("i"), (cell(f"r_{y}", size * 4.0**k) + j).alias("j"))
-            for k in levels for i in (-1, 0, 1) for j in (-1, 0, 1)
-        ]
-        cells = r.withColumn("_c", F.explode(F.array(*around)))
-        cells = F.broadcast(cells) if n_right * len(levels) <= SMALL else cells
+        few = F.broadcast if n_right * len(levels) <= SMALL else (lambda df: df)
         wide = F.pow(F.lit(4.0), F.col("_level")) * size
-        dx, dy = F.col(x) - F.col(f"r_{x}"), F.col(y) - F.col(f"r_{y}")
-        d = F.sqrt(dx * dx + dy * dy)
-        held = (F.col("_level") == F.col("_c.level")) & (cell(x, wide) == F.col("_c.i")) & (cell(y, wide) == F.col("_c.j"))
-        # Candidates are reduced to each row's least distance, then only pairs at that distance are made: none is sorted.
-        pairs = todo.select(key, x, y, "_level", wide.alias("_wide")).join(cells, held).select(key, "_wide", d.alias("distance"), *r.columns).where(F.col("distance") <= F.col("_wide"))
-        least = pairs.groupBy(key).agg(F.min("distance").alias("distance"))
-        best = materialized(pairs.join(least, [key, "distance"]).drop("_wide"))
+        part = lambda c: F.floor(c / (wide / PARTS))
+        placed = r.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"_i": part(rx), "_j": part(ry)})
+        boxes = placed.groupBy("_level", "_i", "_j").agg(*(f(c).alias(n) for c, n, f in ((rx, "_lx", F.min), (rx, "_hx", F.max), (ry, "_ly", F.min), (ry, "_hy", F.max))))
+        around = F.array(*(F.struct((F.floor(F.col("_i") / PARTS) + i).alias("i"), (F.floor(F.col("_j") / PARTS) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        boxes = few(boxes.select("*", F.explode(around).alias("_c")).withColumnRenamed("_level", "_at"))
+        own = todo.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), "_level")
+        held = (F.col("_level") == F.col("_at")) & (F.floor(F.col("_x") / wide) == F.col("_c.i")) & (F.floor(F.col("_y") / wide) == F.col("_c.j"))
+        off = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.lit(0.0), F.col(p) - F.col(hi))
+        end = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
+        near, far = (F.hypot(f("_x", "_lx", "_hx"), f("_y", "_ly", "_hy")) for f in (off, end))
+        met = own.join(boxes, held).groupBy(key).agg(F.any_value("_x").alias("_x"), F.any_value("_y").alias("_y"), F.any_value("_level").alias("_level"), F.collect_list(F.struct(near.alias("near"), far.alias("far"), "_i", "_j")).alias("_p"))
+        bound = F.least(F.array_min("_p.far"), wide) * (1 + 1e-12)
+        open_ = met.withColumn("_b", bound).select(key, "_x", "_y", "_level", F.explode(F.filter("_p", lambda p: p["near"] <= F.col("_b"))).alias("_p"))
+        to = few(placed.withColumnRenamed("_level", "_at"))
+        dx, dy = F.col("_x") - rx, F.col("_y") - ry
+        pairs = open_.join(to, (F.col("_level") == F.col("_at")) & (F.col("_p._i") == F.col("_i")) & (F.col("_p._j") == F.col("_j"))).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+        first = F.rank().over(Window.partitionBy(key).orderBy("distance"))
+        best = materialized(pairs.where(F.col("distance") <= wide).withColumn("_r", first).where("_r = 1").select(key, "distance", *r.columns))
         found.append(todo.drop("_level").join(best, key).select(*columns))
         todo = materialized(todo.join(best.select(key).distinct(), key, "left_anti").withColumn("_level", F.col("_level") + 1))
     return reduce(DataFrame.unionByName, found)
