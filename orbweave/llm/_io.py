@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Gives memory that arrays have left back to the system: workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_key(col: str = "text") -> list[Column]:
     """Two 64-bit hashes that stand for a whole text; null is a text of its own."""
     return [F.xxhash64(F.lit(1), F.col(col), F.col(col).isNull()), F.xxhash64(F.lit(2), F.col(col), F.col(col).isNull())]

@@ -37,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbweave.llm._io import release
+
 MAX_VOCABULARY = 64 << 20
 #: Rows that one recursive query may make.
-QUERY_ROWS = 6_000_000
+QUERY_ROWS = 2_000_000
 #: Bytes of a word that the recursion takes.
 LONG = 1024
 #: Distinct text pieces whose results a worker keeps in each of two generations.
 CACHE = 200_000
 #: Bytes of texts that are put together at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
 
 #: A pair to merge is one number: its rank, then its place.
 _CODE = """
@@ -317,6 +319,7 @@ def _coded(held, pattern: str, text: str) -> Callable[[Iterator[pa.RecordBatch]]
                 part = batch.slice(at, n)
                 ids, raw, count = coder(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, count, ids, raw], [*part.schema.names, "n_tokens", "ids", "decoded"])
+        release()
 
     return run
 

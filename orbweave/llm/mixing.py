@@ -27,7 +27,6 @@ base score is null; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm import _text as tx
-from orbweave.llm._io import discard, parts, written
+from orbweave.llm._io import discard, parts, release, written
 
 ORDERS = (2, 3, 5)  # and the word so far
 INPUTS = len(ORDERS) + 1
@@ -479,7 +478,7 @@ def _learn(buckets: int):
         follows = np.bincount((last & np.uint64(0xFFFF)).astype(np.int64), n_last, 65536).astype(np.int64)
         row(SUMS, counts=_pack(follows), seen=np.array([train.sum()], np.int64).tobytes())
         del found
-        _release()
+        release()
         asked = Asked(last, long_words)
         pairs, seen = asked.pairs, asked.sums(n_last, n_long)
         edge = lambda b: np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
@@ -491,7 +490,7 @@ def _learn(buckets: int):
                 row(ASKS, b, words=_rising(word[w]), counts=_pack(n_word[w].astype(np.int32)), pairs=_pack_pairs(pairs[p]), seen=_pack(seen[p].astype(np.int32)))
         cols = [pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(np.full(len(rows["kind"]), flock)), *(pa.array(rows[c], pa.binary()) for c in ("words", "counts", "pairs", "seen", "docs"))]
         del asked, pairs, seen, last, long_words, word
-        _release()
+        release()
         yield pa.RecordBatch.from_arrays(cols, ["kind", "bucket", "flock", "words", "counts", "pairs", "seen", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,13 +510,6 @@ def _learn(buckets: int):
     return run
 
 
-def _release() -> None:
-    """Gives memory that arrays have left back to the system: workers live on between tasks, and two share an executor."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def _bucket(h: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """By the leading 32 of so many bits."""
     return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -559,7 +551,7 @@ def _answer(held):
         n = len(asked)
         first = np.zeros(n, np.int64)
         del pairs, pair_at, odds, odds_at, seen, steps
-        _release()
+        release()
         return pa.table({
             "bucket": rows["bucket"], "flock": rows["flock"], "counts": pa.array(got, pa.binary()), "known": pa.array(known, pa.binary()),
             "distinct": pa.array(np.append((total > 0).sum(), first)[:n].astype(np.int64)), "tokens": pa.array(np.append(total.sum(), first)[:n].astype(np.int64)),
@@ -587,11 +579,11 @@ def _scored(held, tokens: int, distinct_words: int, train_docs: int):
             n_known += np.bincount(found.of_doc, c > 0, n_docs)
             base += np.bincount(found.of_doc, np.log10((c + 0.1) / below), n_docs)
         del found, data
-        _release()
+        release()
         known = np.concatenate([_unpack(x.as_py(), np.int8) for x in answers["known"]])
         cost = costs(known, Begin(Asked(last, long_words), code, last, long_words), code, text, off)
         del known, last, long_words
-        _release()
+        release()
         size = np.diff(off)
         none = np.full(n_docs, tokens == 0)
         bits = np.divide(cost, np.log(2) * size, out=np.zeros(n_docs), where=size > 0)
