@@ -15,7 +15,20 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    oracle.same(registry.QUERIES[name](spark, SF), con, registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, SF)
+    if name in registry.ORACLES:
+        oracle.same(got, con, registry.ORACLES[name])
+    else:  # compared with brute force in tests of their own
+        assert got.count() > 0
+
+
+def test_recall_of_probed_lists(spark):
+    assert registry.QUERIES["g09_vector_index_recall"](spark, SF).first().recall >= 0.9
+
+
+def test_chunks_of_documents_are_bounded(spark):
+    got = registry.QUERIES["i13_paragraph_chunks"](spark, SF)
+    assert got.where("length(text) > 552 OR text = ''").count() == 0
 
 
 def test_entry_lists_them_all(spark):
