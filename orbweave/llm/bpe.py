@@ -41,13 +41,13 @@ from orbweave.llm._io import release
 
 MAX_VOCABULARY = 64 << 20
 #: Rows that one recursive query may make.
-QUERY_ROWS = 2_000_000
+QUERY_ROWS = 6_000_000
 #: Bytes of a word that the recursion takes.
 LONG = 1024
 #: Distinct text pieces whose results a worker keeps in each of two generations.
 CACHE = 200_000
 #: Bytes of texts that are put together at once.
-SLICE = 3 << 20
+SLICE = 6 << 20
 
 #: A pair to merge is one number: its rank, then its place.
 _CODE = """
