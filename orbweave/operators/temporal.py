@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.expressions import bearing, haversine, micros
 from orbweave.operators.quantiles import quantiles
+from orbweave.operators.spatial import nearest
 from orbweave.sources.io import materialized
 
 
@@ -21,14 +22,128 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value:
     return a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").withColumnRenamed("_v", f"asof_{value}").drop("_side")
 
 
+def _closest(points: DataFrame, others: DataFrame, reach: int) -> DataFrame:
+    """The points (t and whatever else) with u, the nearest of the others' distinct times within ``reach`` microseconds, the earlier of two as near.
+
+    Buckets as long as the reach; others stand in three of them and are carried to the points by windows, so no pairs are formed.
+    """
+    bucket = F.floor(F.col("t") / reach)
+    a = points.withColumns({"_b": bucket, "_at": F.col("t"), "_o": F.lit(None).cast("long")})
+    b = others.select("t").distinct().select(F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b"), F.col("t").alias("_at"), F.col("t").alias("_o"))
+    w = Window.partitionBy("_b").orderBy("_at")
+    sides = {"_lo": F.last("_o", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_hi": F.first("_o", True).over(w.rangeBetween(0, Window.unboundedFollowing))}
+    both = a.unionByName(b, allowMissingColumns=True).withColumns(sides).where("t IS NOT NULL")
+    down, up = F.col("t") - F.col("_lo"), F.col("_hi") - F.col("t")
+    u = F.when((down <= reach) & (up.isNull() | (down <= up)), F.col("_lo")).when(up <= reach, F.col("_hi"))
+    return both.withColumn("u", u).where("u IS NOT NULL").drop("_b", "_at", "_o", "_lo", "_hi")
+
+
 def event_pairs(left: DataFrame, right: DataFrame, time: str, key: str, window_s: int) -> DataFrame:
-    """Each left event with its nearest right event within the window: buckets of the window's length, each right event in three."""
-    bucket = F.floor(micros(F.col(time)) / (window_s * 1_000_000))
-    a = left.select(F.col(key).alias("left_id"), F.col(time).alias("_t"), bucket.alias("_b"))
-    b = right.select(F.col(key).alias("right_id"), F.col(time).alias("_u"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b"))
-    gap = F.abs(micros("_t") - micros("_u")) / 1e6
-    met = a.join(b, "_b").withColumn("gap_s", gap).where(F.col("gap_s") <= window_s)
-    return met.groupBy("left_id").agg(F.min(F.struct("gap_s", "right_id")).alias("m")).select("left_id", "m.right_id", "m.gap_s")
+    """Each left event with its nearest right event within the window, ties to the smaller right id; events without time are in no pair.
+
+    Distinct times meet instead of events, so a busy second is one row on either side.
+    """
+    a = left.where(F.col(time).isNotNull()).select(F.col(key).alias("left_id"), micros(time).alias("t"))
+    b = right.where(F.col(time).isNotNull()).groupBy(micros(time).alias("t")).agg(F.min(key).alias("right_id"))
+    reach = int(window_s * 1_000_000)
+    mirror = b.withColumn("u", F.col("t"))
+    times = a.select("t").distinct()
+    near = _closest(times, b, reach)
+    # Two times may be equally near; then the smaller id of both decides.
+    both = near.select("t", F.explode(F.array_distinct(F.array("u", 2 * F.col("t") - F.col("u")))).alias("u"))
+    best = both.join(mirror.select("u", "right_id"), "u").groupBy("t").agg(F.min("right_id").alias("right_id"), F.min(F.abs(F.col("u") - F.col("t"))).alias("g"))
+    return a.join(best, "t").select("left_id", "right_id", (F.col("g") / 1e6).alias("gap_s"))
+
+
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with _n, from 0 within the first of ``order``, by the rest: dealt by range, so that a value of many rows is many tasks."""
+    first = order[0]
+    dealt = materialized(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy(first, "_p").agg(F.count("*").alias("_s")).withColumn("_before", F.sum("_s").over(Window.partitionBy(first).orderBy("_p")) - F.col("_s"))
+    own = F.row_number().over(Window.partitionBy(first, "_p").orderBy(*order[1:])) - 1
+    return dealt.withColumn("_own", own).join(sums.drop("_s"), [first, "_p"]).withColumn("_n", F.col("_own") + F.col("_before")).drop("_own", "_before", "_p")
+
+
+def matched_times(left: DataFrame, right: DataFrame, time: str, key: str, window_s: float) -> DataFrame:
+    """left_id, right_id, gap_s: a one-to-one choice of pairs within the window, the closest first.
+
+    Pairs whose times are nearest to each other go first, then those nearest among the rest, and so on; of two times as near the earlier one,
+    and events of one time by their keys (which tell rows apart). Rows without a time are in no pair. Times are matched, all
+    events of a time at once, so many events of one time take one round; there are as many rounds as the longest run of ever closer neighbours.
+    """
+    reach = max(1, int(window_s * 1_000_000))
+    side = lambda df: _numbered(df.where(F.col(time).isNotNull()).select(micros(time).alias("t"), F.col(key).alias("id")), ["t", "id"])
+    rows = [materialized(side(df)) for df in (left, right)]
+    rest = [materialized(r.groupBy("t").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long"))) for r in rows]
+    found = None
+    while True:
+        a, b = (_closest(rest[i], rest[1 - i], reach) for i in (0, 1))
+        b = b.select(F.col("u").alias("t"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("used").alias("gone"))
+        both = materialized(a.join(b, ["t", "u"]).withColumn("take", F.least("n", "m")))
+        if both.isEmpty():
+            break
+        found = both if found is None else found.unionAll(both)
+        taken = (both.select("t", "take"), both.select(F.col("u").alias("t"), "take"))
+        less = [r.join(x, "t", "left").withColumn("take", F.coalesce("take", F.lit(0))) for r, x in zip(rest, taken)]
+        rest = [materialized(r.select("t", (F.col("n") - F.col("take")).alias("n"), (F.col("used") + F.col("take")).alias("used")).where("n > 0")) for r in less]
+    ids = [r.select(F.col("t").alias(c), F.col("_n").alias(f"_{c}"), F.col("id").alias(n)) for r, c, n in zip(rows, "tu", ("left_id", "right_id"))]
+    if found is None:
+        found = both
+    each = found.select("t", "u", "used", "gone", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("_k"))
+    each = each.select("t", "u", (F.col("used") + F.col("_k")).alias("_t"), (F.col("gone") + F.col("_k")).alias("_u"))
+    return each.join(ids[0], ["t", "_t"]).join(ids[1], ["u", "_u"]).select("left_id", "right_id", (F.abs(F.col("t") - F.col("u")) / 1e6).alias("gap_s"))
+
+
+def aligned_events(sources: list[DataFrame], time: str, keys: list[str], window_s: float) -> DataFrame:
+    """Events of many sources side by side: the time, and each source's other columns as ``src<i>_<name>``.
+
+    Sources are folded in order: an event of the next source joins at most one row so far (``matched_times``) whose time is within the
+    window, and the row keeps its own time; what matches nothing stays as a row of its own. Every row of every source is there once, those without a time too.
+    """
+    def named(df: DataFrame, i: int) -> DataFrame:
+        return df.select(F.col(time).alias("_time"), *(F.col(c).alias(f"src{i}_{c}") for c in df.columns if c != time))
+
+    out = named(sources[0], 0).withColumn("_id", F.array(F.struct(F.lit(0).alias("i"), F.col(f"src0_{keys[0]}").cast("string").alias("k"))))
+    for i, df in enumerate(sources[1:], 1):
+        out = materialized(out)
+        new = materialized(named(df, i).withColumn("_new", F.array(F.struct(F.lit(i).alias("i"), F.col(f"src{i}_{keys[i]}").cast("string").alias("k")))))
+        pairs = matched_times(out.select("_time", "_id"), new.select("_time", F.col("_new").alias("_id")), "_time", "_id", window_s)
+        pairs = pairs.select(F.col("left_id").alias("_id"), F.col("right_id").alias("_new"))
+        with_new = out.join(pairs, "_id", "left").join(new.withColumnRenamed("_time", "_other"), "_new", "full")
+        out = with_new.withColumn("_time", F.when(F.col("_id").isNull(), F.col("_other")).otherwise(F.col("_time"))).withColumn("_id", F.coalesce("_id", "_new")).drop("_other", "_new")
+    return out.drop("_id").withColumnRenamed("_time", time)
+
+
+def track_to_places(track: DataFrame, places: DataFrame, key: str, time: str, window_s: float, size: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Each fix with the place nearest to it (ties kept; the place's columns as ``r_<name>``, the distance), if both times lie within the window.
+
+    The place is chosen by distance alone and then held against the window, so a fix whose nearest place is at another time has no row; places
+    without a time column are kept whatever the time, and a null time on either side is within no window.
+    """
+    met = nearest(track, places, key, size, x, y)
+    if time not in track.columns or time not in places.columns:
+        return met
+    return met.where(F.abs(micros(time) - micros(f"r_{time}")) <= int(window_s * 1_000_000))
+
+
+#: Parts of a column's name that speak of time.
+TEMPORAL_NAMES = ("date", "time", "timestamp", "year", "month", "日期", "时间", "年份")
+
+
+def temporal_columns(df: DataFrame, share: float = 0.5) -> list[str]:
+    """Columns that hold times: dates and timestamps by type; text columns by name, if more than ``share`` of their values that are not null read as dates or times.
+
+    All rows are looked at, in one pass with one row of counts.
+    """
+    kinds = dict(df.dtypes)
+    typed = [c for c in df.columns if kinds[c] == "date" or kinds[c].startswith("timestamp")]
+    named = [c for c in df.columns if kinds[c] == "string" and any(n in c.lower() for n in TEMPORAL_NAMES)]
+    if not named:
+        return typed
+    q = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    counts = df.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(map(q, named)) for n, f in (("n", F.count), ("p", lambda c: F.count(F.try_to_timestamp(c))))), F.lit(1).alias("one")).first()
+    good = {c for i, c in enumerate(named) if counts[f"p{i}"] > share * counts[f"n{i}"]}
+    return [c for c in df.columns if c in typed or c in good]
 
 
 def gaps(df: DataFrame, keys: list[str], time: str, times: float = 10.0) -> DataFrame:
