@@ -213,26 +213,24 @@ def distance_summary(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def matched_effect(df: DataFrame, key: str, treatment: str, score: str, outcome: str, caliper: float | None = None) -> DataFrame:
     """Effect on the treated from pairs of each treated row with the other row of nearest score (with replacement): pairs, effect, standard error, 95 % interval.
 
-    Distinct scores of untreated rows are sorted once with the treated ones by bucket of score, and the nearest on
-    either side is carried over a bucket's end by each bucket's first and last score; rows at one score stand for
+    Distinct scores of both are dealt by range and sorted there once, so scores that crowd are many tasks, and the nearest on
+    either side is carried over a range's end by each range's first and last score; rows at one score stand for
     each other by the least key, so a hot score is one row. Two neighbours equally near: the lower score. Without
     untreated rows there are no pairs.
     """
     s = F.col(score)
     there = df.where(s.isNotNull() & F.col(outcome).isNotNull())
-    bucket = F.floor(s * 1024)
-    others = there.where(F.col(treatment) == 0).groupBy(score).agg(F.min_by(outcome, key).alias("_y"), F.min(key).alias("_k"))
-    others = others.select(bucket.alias("_b"), s.alias("_s"), F.struct(s.alias("s"), F.col("_y").alias("y")).alias("_c"))
-    ends = others.groupBy("_b").agg(F.min("_c").alias("_first"), F.max("_c").alias("_last"))  # at most 1,025 rows, as scores lie in 0 to 1
-    whole = Window.partitionBy(F.lit(0)).orderBy("_b")
-    buckets = F.broadcast(df.sparkSession.range(1025).select(F.col("id").alias("_b")).join(ends, "_b", "left"))
-    buckets = buckets.select("_b", F.last("_last", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    others = there.where(F.col(treatment) == 0).groupBy(score).agg(F.min_by(outcome, key).alias("_y"))
+    others = others.select(s.alias("_s"), F.struct(s.alias("s"), F.col("_y").alias("y")).alias("_c"))
     treated = there.where(F.col(treatment) == 1).groupBy(score).agg(F.count("*").alias("_n"), F.sum(outcome).alias("_t"), F.sum(F.col(outcome) * F.col(outcome)).alias("_t2"))
-    treated = treated.select(bucket.alias("_b"), s.alias("_s"), "_n", "_t", "_t2")
-    both = treated.unionByName(others, allowMissingColumns=True)
+    treated = treated.select(s.alias("_s"), "_n", "_t", "_t2")
+    both = materialized(treated.unionByName(others, allowMissingColumns=True).repartitionByRange("_s").withColumn("_b", F.spark_partition_id()))
+    ends = both.groupBy("_b").agg(F.min("_c").alias("_first"), F.max("_c").alias("_last"))  # a row for each range
+    whole = Window.orderBy("_b")
+    ends = ends.select("_b", F.last("_last", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     w = Window.partitionBy("_b").orderBy("_s")
     near = both.withColumns({"_lo": F.last("_c", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_hi": F.first("_c", True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where("_n IS NOT NULL")
-    near = near.join(F.broadcast(buckets), "_b").withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
+    near = near.join(ends, "_b").withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
     up, down = F.col("_hi.s") - F.col("_s"), F.col("_s") - F.col("_lo.s")
     c = F.when(F.col("_hi").isNull() | (down <= up), F.col("_lo")).otherwise(F.col("_hi"))
     pairs = near.withColumn("_c", c).where("_c IS NOT NULL")
