@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.quantiles import quantiles
+from orbweave.sources.io import materialized
+
 #: The usual formulas of spectral indices over bands named blue, green, red, rededge, nir, swir1, swir2.
 INDICES = {
     "ndvi": "try_divide(nir - red, nir + red)",
@@ -81,6 +86,34 @@ def band_stats(pixels: DataFrame, bands: list[str]) -> DataFrame:
     return row.select(F.explode(each).alias("x")).select("x.*")
 
 
+def band_percentiles(pixels: DataFrame, bands: list[str], shares: list[float]) -> DataFrame:
+    """band and ``q``, the exact percentiles of each band's values; nulls do not count."""
+    stacked = pixels.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands))).alias("x")).select("x.*")
+    return quantiles(stacked, "v", shares, ["band"])
+
+
+def cluster_pixels(pixels: DataFrame, bands: list[str], classes: int = 5, rounds: int = 40) -> DataFrame:
+    """Each pixel with ``class``, from 1 by rising mean of the first band (then the others): k-means of its bands; pixels with a null band have none."""
+    there = materialized(pixels.where(reduce(lambda a, b: a & b, (F.col(b).isNotNull() for b in bands))))
+    empty = pixels.withColumn("class", F.lit(None).cast("int"))
+    if there.isEmpty():
+        return empty
+    vectors = VectorAssembler(inputCols=bands, outputCol="_v").transform(there)
+    model = KMeans(k=classes, maxIter=rounds, seed=42, featuresCol="_v", predictionCol="_c").fit(vectors)
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))  # one row a class
+    number = F.array(*(F.lit(order.index(i) + 1) for i in range(len(order))))
+    found = model.transform(vectors).withColumn("class", F.get(number, F.col("_c"))).select(*pixels.columns, "class")
+    return found.unionByName(empty.where(reduce(lambda a, b: a | b, (F.col(b).isNull() for b in bands))))
+
+
+def class_statistics(classified: DataFrame, bands: list[str]) -> DataFrame:
+    """class, pixels, percent of all classified pixels, and the mean of each band."""
+    there = classified.where("class IS NOT NULL")
+    whole = there.agg(F.count("*").alias("_all"))
+    each = there.groupBy("class").agg(F.count("*").alias("pixels"), *(F.avg(b).alias(f"mean_{b}") for b in bands)).crossJoin(F.broadcast(whole))  # one row
+    return each.select("class", "pixels", (F.col("pixels") * 100 / F.col("_all")).alias("percent"), *(f"mean_{b}" for b in bands))
+
+
 def composite(stacks: list[DataFrame], value: str) -> DataFrame:
     """Pixels of several rasters of one grid as one: count and mean of what each has there."""
     return reduce(DataFrame.unionByName, (s.select("row", "col", value) for s in stacks)).groupBy("row", "col").agg(F.count(value).alias("n"), F.avg(value).alias(value))

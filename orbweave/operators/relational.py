@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.expressions import fields
 from orbweave.operators.quantiles import quantiles
+from orbweave.sources.io import materialized
 
 STATS: dict[str, Callable[[str], Column]] = {
     "SUM": F.sum, "MEAN": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "STD": F.stddev_samp,
@@ -143,25 +144,42 @@ def dataset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, [one(a, "old"), one(b, "new"), one(a.exceptAll(b), "removed"), one(b.exceptAll(a), "added")])
 
 
-def skyline(df: DataFrame, key: str, maximise: list[str], minimise: list[str], sample: int = 256) -> DataFrame:
-    """The rows that no other row beats in every goal.
+def skyline(df: DataFrame, key: str, maximise: list[str], minimise: list[str], sample: int = 256, block: int = 4096) -> DataFrame:
+    """The rows that no other row beats in every goal; rows of equal goals stay together, rows with a null goal go.
 
-    Points that a bounded set of strong points already dominates go first; the rest meet in a self join.
+    Distinct goals that one of ``sample`` strong ones beats go first. Up to ``block`` that are left meet at once; more are dealt by their
+    order, go against their own block and then, as what beats a row comes after it in that order, against the blocks behind. A task
+    compares two blocks at most; the whole is the square of the front.
     """
-    goals = [F.col(c).alias(c) for c in maximise] + [(-F.col(c)).alias(c) for c in minimise]
-    names = [*maximise, *minimise]
-    points = df.select(key, *goals).dropna()
-    rank = reduce(lambda a, b: a + b, (F.percent_rank().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(c)) for c in names))
-    strong = points.withColumn("_r", rank).orderBy(F.desc("_r"), key).limit(sample).drop("_r")
-
-    def beaten(left: DataFrame, right: DataFrame) -> DataFrame:
-        r = right.select(*(F.col(c).alias(f"r_{c}") for c in names))
-        ge = reduce(lambda a, b: a & b, (F.col(f"r_{c}") >= F.col(c) for c in names))
-        gt = reduce(lambda a, b: a | b, (F.col(f"r_{c}") > F.col(c) for c in names))
-        return left.join(r, ge & gt, "left_anti")
-
-    front = beaten(points, F.broadcast(strong))
-    return df.join(beaten(front, front).select(key), key)
+    names = [f"_g{i}" for i in range(len(maximise) + len(minimise))]
+    goals = dict(zip(names, [*(F.col(c) for c in maximise), *(-F.col(c) for c in minimise)]))
+    rows = df.withColumns(goals).dropna(subset=names)
+    vectors = rows.select(*names).distinct()
+    ends = vectors.agg(*(f(F.col(c).cast("double")) for c in names for f in (F.min, F.max))).first()  # one row
+    parts = [(F.col(c) - lo) / (hi - lo) for c, lo, hi in zip(names, ends[::2], ends[1::2]) if lo is not None and lo < hi]
+    strong = vectors.orderBy(F.desc(reduce(lambda a, b: a + b, parts, F.lit(0.0))), *names).limit(sample)
+
+    def beats(by: str = "r") -> Column:
+        ge = reduce(lambda a, b: a & b, (F.col(f"{by}{c}") >= F.col(c) for c in names))
+        return ge & reduce(lambda a, b: a | b, (F.col(f"{by}{c}") > F.col(c) for c in names))
+
+    def renamed(d: DataFrame, *more: Column) -> DataFrame:
+        return d.select(*(F.col(c).alias(f"r{c}") for c in names), *more)
+
+    front = materialized(vectors.join(F.broadcast(renamed(strong)), beats(), "left_anti"))
+    n = front.count()
+    if n <= block:
+        best = front.join(F.broadcast(renamed(front)), beats(), "left_anti")
+    else:
+        dealt = materialized(front.repartitionByRange(-(-n // block), *names).withColumn("_i", F.spark_partition_id()))
+        local = materialized(dealt.join(renamed(dealt, F.col("_i").alias("r_i")), (F.col("_i") == F.col("r_i")) & beats(), "left_anti"))
+        last = local.agg(F.max("_i")).first()[0]
+        behind = local.where(F.col("_i") < last).withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.lit(last))))
+        before = renamed(local.where("_i > 0"), F.col("_i").alias("r_j"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("r_i"))
+        beaten = behind.join(before, (F.col("_i") == F.col("r_i")) & (F.col("_j") == F.col("r_j")) & beats(), "left_semi").select(*names).distinct()
+        best = local.join(beaten, names, "left_anti")
+    held = renamed(best)
+    return rows.join(held, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"r{c}") for c in names)), "left_semi").drop(*names)
 
 
 def id_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
