@@ -80,6 +80,23 @@ def save(df: DataFrame, uri: str, mode: str = "errorifexists") -> None:
         writer.format(kind).save(uri)
 
 
+def tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """table, kind, temporary of the tables and views that the session sees, whose name matches a pattern with * and | ; only names come to the driver."""
+    found = [(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables(pattern=pattern)]
+    return spark.createDataFrame(found, "table string, kind string, temporary boolean").orderBy("table")
+
+
+def columns(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """table, position (from 1), column, type, nullable, description of every column of ``tables``, read from the catalog alone."""
+    found = [(t.name, i, c.name, c.dataType, c.nullable, c.description) for t in spark.catalog.listTables(pattern=pattern) for i, c in enumerate(spark.catalog.listColumns(f"`{t.name.replace('`', '``')}`"), 1)]
+    return spark.createDataFrame(found, "table string, position int, column string, type string, nullable boolean, description string").orderBy("table", "position")
+
+
+def query_to(spark: SparkSession, sql: str, uri: str, mode: str = "errorifexists", **args: object) -> None:
+    """The whole result of a query that only reads (``read_only``, without a limit) written by ``save``."""
+    save(read_only(spark, sql, None, **args), uri, mode)
+
+
 #: Nodes of a parsed plan that only read.
 READING = frozenset(
     "Project Filter Aggregate Join AsOfJoin LateralJoin Sort GlobalLimit LocalLimit LimitAll Limit Offset Tail Distinct Union Except Intersect SubqueryAlias UnresolvedRelation "

@@ -83,3 +83,19 @@ def test_temporal_columns(spark):
     df = spark.createDataFrame([("2024-01-01", "x", START, "2024"), ("2024-02-03 04:05:06", "y", START, "soon"), (None, None, None, "later")], "`start date` string, birthdate string, seen timestamp, kind string")
     assert temporal.temporal_columns(df) == ["start date", "seen"]
     assert temporal.temporal_columns(df.limit(0)) == ["seen"]
+
+
+def test_tables_columns_and_queries_to_files(spark, tmp_path):
+    import pytest
+
+    from orbweave.sources import io
+
+    spark.range(3).createOrReplaceTempView("seen_ids")
+    spark.sql("SELECT 1 AS a, 'x' AS `b c`").createOrReplaceTempView("seen_pair")
+    assert {(r.table, r.temporary) for r in io.tables(spark, "seen_*").collect()} == {("seen_ids", True), ("seen_pair", True)}
+    assert [(r.table, r.position, r.column, r.type) for r in io.columns(spark, "seen_*").collect()] == [("seen_ids", 1, "id", "bigint"), ("seen_pair", 1, "a", "int"), ("seen_pair", 2, "b c", "string")]
+    assert io.columns(spark, "nothing_like_it").count() == 0
+    io.query_to(spark, "SELECT id FROM seen_ids WHERE id > :least", f"{tmp_path}/out.parquet", least=0)
+    assert spark.read.parquet(f"{tmp_path}/out.parquet").count() == 2
+    with pytest.raises(PermissionError):
+        io.query_to(spark, "DROP VIEW seen_ids", f"{tmp_path}/no.parquet")
