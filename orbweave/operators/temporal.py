@@ -12,14 +12,24 @@ from orbweave.sources.io import materialized
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """Each left row with the last right value at or before its time: one sort by key and time, no range join.
+    """Each left row with the last right value (that is not null) at or before its time: no range join.
 
-    Rows of both sides run through one window; where both have one time the right row comes first.
+    Rows of both sides are dealt by range of key and time and run through one window a range, so a key of any size is many tasks; the last value of
+    a range is carried into the next ranges of its key, a row for each range. Where both sides have one time the right row comes first; null keys are one key.
     """
     a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
     b = right.select(*keys, time, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").withColumnRenamed("_v", f"asof_{value}").drop("_side")
+    both = a.unionByName(b, allowMissingColumns=True).repartitionByRange(*keys, time, "_side").withColumn("_p", F.spark_partition_id())
+    both = materialized(both)
+    ends = both.groupBy(*keys, "_p").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(time, "_side"))).alias("_end"))
+    before = F.last("_end", True).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_p").alias("_part"), before.alias("_before")).where("_before IS NOT NULL")
+    own = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys, "_p").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_p") == F.col("_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    found = both.withColumn("_v", own).where("_side = 1").join(carried, same, "left")
+    return found.select(*left.columns, F.coalesce("_v", "_before").alias(f"asof_{value}"))
 
 
 def _closest(points: DataFrame, others: DataFrame, reach: int) -> DataFrame:

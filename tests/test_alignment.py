@@ -33,6 +33,22 @@ def brute_matches(left, right, reach):
                 del a[i], b[j]
 
 
+def test_as_of_of_a_hot_key(spark):
+    rand = random.Random(9)
+    kind = "k long, ts timestamp, v double"
+    at = lambda t: START + datetime.timedelta(seconds=t)
+    right = [(rand.choice([1, 1, 1, 2, None]), t, None if rand.random() < 0.3 else float(i)) for i, t in enumerate(rand.sample(range(4000), 600))]
+    left = [(i, rand.choice([1, 1, 1, 2, 3, None]), rand.randrange(4000)) for i in range(500)]
+    got = temporal.as_of(spark.createDataFrame([(i, k, at(t)) for i, k, t in left], "id long, k long, ts timestamp"), spark.createDataFrame([(k, at(t), v) for k, t, v in right], kind), ["k"], "ts", "v")
+    assert got.columns == ["id", "k", "ts", "asof_v"]
+    want = {}
+    for i, k, t in left:
+        past = [(u, v) for j, u, v in right if j == k and u <= t and v is not None]
+        want[i] = max(past)[1] if past else None
+    assert {r.id: r.asof_v for r in got.collect()} == want
+    assert temporal.as_of(got.select("k", "ts").limit(0), spark.createDataFrame([], kind), ["k"], "ts", "v").count() == 0
+
+
 def test_matched_times(spark):
     rand = random.Random(5)
     for n, m, spread in ((40, 50, 400), (60, 20, 60), (30, 30, 5), (0, 5, 5), (5, 0, 5)):
