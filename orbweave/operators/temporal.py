@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +45,9 @@ def _closest(points: DataFrame, others: DataFrame, reach: int) -> DataFrame:
     bucket = F.floor(F.col("t") / reach)
     a = points.withColumns({"_b": bucket, "_at": F.col("t"), "_o": F.lit(None).cast("long")})
     b = others.select("t").distinct().select(F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b"), F.col("t").alias("_at"), F.col("t").alias("_o"))
-    w = Window.partitionBy("_b").orderBy("_at")
-    sides = {"_lo": F.last("_o", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_hi": F.first("_o", True).over(w.rangeBetween(0, Window.unboundedFollowing))}
+    # Both frames begin at the first row: one that ends at the last row would be gone through anew for each row.
+    w = lambda at: Window.partitionBy("_b").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    sides = {"_lo": F.last("_o", True).over(w(F.asc("_at"))), "_hi": F.last("_o", True).over(w(F.desc("_at")))}
     both = a.unionByName(b, allowMissingColumns=True).withColumns(sides).where("t IS NOT NULL")
     down, up = F.col("t") - F.col("_lo"), F.col("_hi") - F.col("t")
     u = F.when((down <= reach) & (up.isNull() | (down <= up)), F.col("_lo")).when(up <= reach, F.col("_hi"))
@@ -74,31 +80,107 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return dealt.withColumn("_own", own).join(sums.drop("_s"), [first, "_p"]).withColumn("_n", F.col("_own") + F.col("_before")).drop("_own", "_before", "_p")
 
 
+#: Remaining times that a task of ``matched_times`` holds at once.
+CHUNK = 50_000
+
+
+def _settled(t: np.ndarray, side: np.ndarray, n: np.ndarray, lo: float, hi: float, reach: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a stretch [lo, hi) of times that no time outside can undo, and what is left: rows kept, their counts, how many of each went.
+
+    t, side: in order; n: events of a time. The closest neighbours go first (of two as near the earlier ones). A pair that something outside
+    the stretch might break stays, and whoever would have been next to either of them stays too.
+    """
+    size = len(t)
+    before, after = list(range(-1, size - 1)), [*range(1, size), -1]
+    times, sides, left, gone = t.tolist(), side.tolist(), n.tolist(), [0] * size
+    held, pairs = [False] * size, []
+    heap = [(times[k + 1] - times[k], times[k], k, k + 1) for k in range(size - 1) if sides[k] != sides[k + 1]]
+    heapq.heapify(heap)
+    while heap:
+        d, _, a, b = heapq.heappop(heap)
+        if d > reach:
+            break
+        if not left[a] or not left[b] or after[a] != b:
+            continue
+        if held[a] or held[b] or d > times[a] - lo or d > hi - times[b]:
+            held[a] = held[b] = True
+            continue
+        take = min(left[a], left[b])
+        x, y = (a, b) if sides[a] == 0 else (b, a)
+        pairs.append((times[x], times[y], gone[x], gone[y], take))
+        for k in (a, b):
+            left[k] -= take
+            gone[k] += take
+            if not left[k]:
+                p, q = before[k], after[k]
+                if p >= 0:
+                    after[p] = q
+                if q >= 0:
+                    before[q] = p
+        a, b = a if left[a] else before[a], b if left[b] else after[b]
+        if a >= 0 and b >= 0 and sides[a] != sides[b]:
+            heapq.heappush(heap, (times[b] - times[a], times[a], a, b))
+    n, gone = np.array(left, np.int64), np.array(gone, np.int64)
+    alive = np.flatnonzero(n)
+    near = (t[alive] - lo < reach) | (hi - t[alive] <= reach)
+    for s in (0, 1):  # a time without a partner within reach, here or outside, is done
+        own, other = side[alive] == s, t[alive][side[alive] == 1 - s]
+        near[own] |= np.searchsorted(other, t[alive][own] - reach, "left") < np.searchsorted(other, t[alive][own] + reach, "right")
+    alive = alive[near]
+    return pairs, alive, n[alive], gone[alive]
+
+
+MATCHED = ("t", "u", "used", "gone", "n", "side")
+
+
+def _settler(bounds: list[float], reach: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Rows of a stretch to pairs of times (side is null) and the times that are left (u is null)."""
+
+    def settle(key: tuple, part: pa.Table) -> pa.Table:
+        t, side, n, used = (part[name].to_numpy() for name in ("t", "side", "n", "used"))
+        order = np.lexsort((side, t))
+        t, side, n, used = t[order], side[order], n[order], used[order]
+        k = key[0].as_py()
+        pairs, alive, m, gone = _settled(t, side, n, bounds[k], bounds[k + 1], reach)
+        first = {(s, x): w for s, x, w in zip(side.tolist(), t.tolist(), used.tolist()) if w}
+        rows = [(x, y, i + first.get((0, x), 0), j + first.get((1, y), 0), w, None) for x, y, i, j, w in pairs]
+        rows += zip(t[alive].tolist(), [None] * len(alive), (used[alive] + gone).tolist(), [None] * len(alive), m.tolist(), side[alive].tolist())
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(MATCHED))], names=MATCHED)
+
+    return settle
+
+
 def matched_times(left: DataFrame, right: DataFrame, time: str, key: str, window_s: float) -> DataFrame:
     """left_id, right_id, gap_s: a one-to-one choice of pairs within the window, the closest first.
 
     Pairs whose times are nearest to each other go first, then those nearest among the rest, and so on; of two times as near the earlier one,
     and events of one time by their keys (which tell rows apart). Rows without a time are in no pair. Times are matched, all
-    events of a time at once, so many events of one time take one round; there are as many rounds as the longest run of ever closer neighbours.
+    events of a time at once. A round deals the remaining times in stretches of about CHUNK and settles in each, one task a stretch, all that no time outside it
+    can undo, so what is left lies near the ends of stretches; the next round's ends lie elsewhere, and there are the fewer stretches the fewer times are left.
+    A round that settles nothing doubles the stretches.
     """
     reach = max(1, int(window_s * 1_000_000))
     side = lambda df: _numbered(df.where(F.col(time).isNotNull()).select(micros(time).alias("t"), F.col(key).alias("id")), ["t", "id"])
     rows = [materialized(side(df)) for df in (left, right)]
-    rest = [materialized(r.groupBy("t").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long"))) for r in rows]
-    found = None
+    each_side = [r.groupBy("t").agg(F.count("*").alias("n")).select("t", F.lit(i).cast("long").alias("side"), "n", F.lit(0).cast("long").alias("used")) for i, r in enumerate(rows)]
+    rest = materialized(each_side[0].unionAll(each_side[1]))
+    found, stretch, turn, before = None, CHUNK, 0, None
     while True:
-        a, b = (_closest(rest[i], rest[1 - i], reach) for i in (0, 1))
-        b = b.select(F.col("u").alias("t"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("used").alias("gone"))
-        both = materialized(a.join(b, ["t", "u"]).withColumn("take", F.least("n", "m")))
-        if both.isEmpty():
+        n, sides = rest.agg(F.count("*"), F.count_distinct("side")).first()
+        if found is not None and sides < 2:
             break
+        stretch, before = 2 * stretch if n == before else stretch, n
+        parts = -(-n // stretch)
+        shift = 0.5 * (turn % 2)
+        at = [(k + shift) / parts for k in range(parts + 1) if 0 < k + shift < parts] if parts > 1 else []
+        ends = sorted({int(x) for x in rest.approxQuantile("t", at, 0.1 / parts)}) if at else []
+        bounds, turn = [float("-inf"), *ends, float("inf")], turn + 1
+        stretch_of = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)).cast("array<bigint>"), lambda e: e <= F.col("t")))
+        out = materialized(rest.groupBy(stretch_of.alias("_k")).applyInArrow(_settler(bounds, reach), ", ".join(f"{c} long" for c in MATCHED)))
+        both = out.where("side IS NULL").select("t", "u", "used", "gone", F.col("n").alias("take"))
         found = both if found is None else found.unionAll(both)
-        taken = (both.select("t", "take"), both.select(F.col("u").alias("t"), "take"))
-        less = [r.join(x, "t", "left").withColumn("take", F.coalesce("take", F.lit(0))) for r, x in zip(rest, taken)]
-        rest = [materialized(r.select("t", (F.col("n") - F.col("take")).alias("n"), (F.col("used") + F.col("take")).alias("used")).where("n > 0")) for r in less]
+        rest = out.where("side IS NOT NULL").select("t", "side", "n", "used")
     ids = [r.select(F.col("t").alias(c), F.col("_n").alias(f"_{c}"), F.col("id").alias(n)) for r, c, n in zip(rows, "tu", ("left_id", "right_id"))]
-    if found is None:
-        found = both
     each = found.select("t", "u", "used", "gone", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("_k"))
     each = each.select("t", "u", (F.col("used") + F.col("_k")).alias("_t"), (F.col("gone") + F.col("_k")).alias("_u"))
     return each.join(ids[0], ["t", "_t"]).join(ids[1], ["u", "_u"]).select("left_id", "right_id", (F.abs(F.col("t") - F.col("u")) / 1e6).alias("gap_s"))

@@ -115,3 +115,30 @@ def test_tables_columns_and_queries_to_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out.parquet").count() == 2
     with pytest.raises(PermissionError):
         io.query_to(spark, "DROP VIEW seen_ids", f"{tmp_path}/no.parquet")
+
+
+def test_stretches_of_times_settle_what_nothing_outside_can_undo(spark, monkeypatch):
+    """Stretches of a few times, whose ends cut through runs of ties and of ever closer neighbours, give what one pass over all pairs gives."""
+    import datetime
+    import random
+
+    monkeypatch.setattr(temporal, "CHUNK", 7)
+    rng = random.Random(4)
+    for spread, window in ((40, 3), (400, 50)):
+        sides = [[(100 * k + s, rng.randrange(spread)) for k in range(n)] for s, n in ((0, 60), (1, 45))]
+        base = datetime.datetime(2024, 1, 1)
+        dfs = [spark.createDataFrame([(k, base + datetime.timedelta(seconds=t)) for k, t in rows], "id long, ts timestamp") for rows in sides]
+        pairs = sorted((abs(t - u), min(t, u), k, m) for k, t in sides[0] for m, u in sides[1] if abs(t - u) <= window)
+        want, gone = set(), set()
+        for d, _, k, m in pairs:
+            if k not in gone and m not in gone:
+                gone |= {k, m}
+                want.add((k, m, float(d)))
+        assert {tuple(r) for r in temporal.matched_times(*dfs, "ts", "id", window).collect()} == want
+
+
+def test_no_window_frame_ends_at_the_last_row(spark):
+    """A frame from a row to the last one is gone through anew for each row: the square of a bucket."""
+    e = spark.range(10).selectExpr("id", "timestamp_seconds(id) AS ts")
+    plan = temporal.event_pairs(e, e, "ts", "id", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
