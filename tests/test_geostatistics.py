@@ -66,3 +66,16 @@ def test_weighted_regression(spark):
     assert 900 not in got and got[901].coef_u is None and got[901].n == 1
     assert np.corrcoef([got[r[0]].coef_u for r in rows], [r[1] for r in rows])[0, 1] > 0.9
     assert G.best_bandwidth(df, "id", "v", ["u", "yy"], [3.0, 5.0, 40.0]) < 40
+
+
+def test_neighbours_are_never_broadcast(spark):
+    """Nine entries of every row must not go through the driver, however small the statistics say the table is."""
+    from orbweave.operators import causality, spatial
+
+    p = spark.range(40).selectExpr("id", "double(id % 7) AS x", "double(id % 5) AS y", "double(id % 3) AS v", "double(id % 4) AS u")
+    found = [
+        G.variogram(p, "id", "v", 1.0, 3), G.weighted_regression(p, "id", "v", ["u"], 3.0),
+        causality.ranked_neighbours(p, "id", 2, 2.0), spatial.within_distance(p, p.select("x", "y"), 1.0),
+    ]
+    for df in found:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
