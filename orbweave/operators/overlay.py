@@ -47,12 +47,16 @@ def _signed(ring: Column) -> Column:
     return F.aggregate(_ring_edges(ring), F.lit(0.0), lambda s, e: s + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])) / 2
 
 
-def boundary(shapes: DataFrame, keys: list[str], rings: str = "rings", digits: int = 7) -> DataFrame:
-    """keys and x1, y1, x2, y2: the directed edges, inside on the left."""
+def _turned(shapes: DataFrame, keys: list[str], rings: str, digits: int) -> DataFrame:
+    """keys and _r: each ring, rounded, with the inside on the left of its edges."""
     part = shapes.where(F.col(rings).isNotNull()).select(*keys, F.posexplode(F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y"))))).alias("_k", "_r"))
     part = part.where(F.size("_r") >= 3).withColumn("_a", _signed(F.col("_r"))).where("_a <> 0")
-    turned = F.when((F.col("_a") > 0) == (F.col("_k") == 0), F.col("_r")).otherwise(F.reverse("_r"))
-    edge = part.select(*keys, F.explode(_ring_edges(turned)).alias("_e"))
+    return part.select(*keys, F.when((F.col("_a") > 0) == (F.col("_k") == 0), F.col("_r")).otherwise(F.reverse("_r")).alias("_r"))
+
+
+def boundary(shapes: DataFrame, keys: list[str], rings: str = "rings", digits: int = 7) -> DataFrame:
+    """keys and x1, y1, x2, y2: the directed edges, inside on the left."""
+    edge = _turned(shapes, keys, rings, digits).select(*keys, F.explode(_ring_edges(F.col("_r"))).alias("_e"))
     return edge.select(*keys, F.col("_e.p.x").alias("x1"), F.col("_e.p.y").alias("y1"), F.col("_e.q.x").alias("x2"), F.col("_e.q.y").alias("y2")).where("x1 <> x2 OR y1 <> y2")
 
 
@@ -66,6 +70,8 @@ def pieces(edges: DataFrame, size: float, digits: int = 7) -> DataFrame:
         none = F.array().cast("array<struct<x:double,y:double>>")
         return F.when((F.col(a1) != F.col(a2)) & (first <= last), F.transform(F.sequence(first, last), point)).otherwise(none)
 
+    # A file of a few megabytes is one task, its edges are many: they are dealt first, since to cut an edge is the work.
+    edges = edges.repartition(*SEGMENT)
     ends = F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)))
     points = F.concat(ends, cuts("x1", "y1", "x2", "y2", False), cuts("y1", "x1", "y2", "x2", True))
     rest = [c for c in edges.columns if c not in SEGMENT]
@@ -81,9 +87,16 @@ def _chain(points: Column) -> Column:
     """Points on the segment (x1, y1) to (x2, y2), in its direction, as pairs of neighbours."""
     along = lambda p: (p["x"] - F.col("x1")) * (F.col("x2") - F.col("x1")) + (p["y"] - F.col("y1")) * (F.col("y2") - F.col("y1"))
     length = along({"x": F.col("x2"), "y": F.col("y2")})
-    there = F.filter(points, lambda p: (along(p) >= 0) & (along(p) <= length))
-    sorted_ = F.transform(F.array_sort(F.array_distinct(F.transform(there, lambda p: F.struct(along(p).alias("d"), p["x"].alias("x"), p["y"].alias("y"))))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
-    pairs = F.arrays_zip(F.slice(sorted_, 1, F.greatest(F.size(sorted_) - 1, F.lit(0))).alias("p"), F.slice(sorted_, 2, F.greatest(F.size(sorted_) - 1, F.lit(0))).alias("q"))
+    xy = lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))
+    # A value bound by a lambda is computed once; named twice in an expression like this one it would be computed twice.
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+
+    def ordered(ps: Column) -> Column:
+        there = F.filter(ps, lambda p: (along(p) >= 0) & (along(p) <= length))
+        return F.transform(F.array_sort(F.array_distinct(F.transform(there, lambda p: F.struct(along(p).alias("d"), p["x"].alias("x"), p["y"].alias("y"))))), xy)
+
+    linked = lambda s: F.arrays_zip(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))).alias("p"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("q"))
+    pairs = bound(bound(points, lambda ps: F.when(F.size(ps) == 2, ps).otherwise(ordered(ps))), linked)  # two: the ends alone
     return F.filter(pairs, lambda e: (e["p"]["x"] != e["q"]["x"]) | (e["p"]["y"] != e["q"]["y"]))
 
 
@@ -125,7 +138,8 @@ def arranged(cut: DataFrame, borders: DataFrame, group: list[str], size: float,
         """One row for equal segments, with the sum of the directions on each side."""
         return df.select(*where, *way, *(F.when(F.col("side") == s, d).otherwise(0).alias(f"d{s}") for s in (0, 1))).groupBy(*where, *SEGMENT).agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
 
-    one = merged(cut)
+    # Dealt by cell once, so that the steps up to the parts need no shuffle of their own. Segments whose directions cancel bound nothing.
+    one = merged(cut.repartition(*where)).where("d0 <> 0 OR d1 <> 0")
     other = one.select(*where, *(F.col(c).alias(f"o{c}") for c in SEGMENT))
     near = (F.greatest("x1", "x2") + q >= F.least("ox1", "ox2")) & (F.greatest("ox1", "ox2") + q >= F.least("x1", "x2")) & (F.greatest("y1", "y2") + q >= F.least("oy1", "oy2")) & (F.greatest("oy1", "oy2") + q >= F.least("y1", "y2"))
     met = one.select(*where, *SEGMENT).join(other, where).where(near & (_less(own, others) | _less(others, own)))
@@ -148,7 +162,7 @@ def arranged(cut: DataFrame, borders: DataFrame, group: list[str], size: float,
     # Rounding may turn a short part around; then its direction counts the other way.
     turn = F.when(first, 1).otherwise(-1)
     parts = parts.select(*where, *way, (F.col("d0") * turn).alias("d0"), (F.col("d1") * turn).alias("d1")).groupBy(*where, *SEGMENT).agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    parts = materialized(parts)  # both sides of the join below
+    parts = materialized(parts.where("d0 <> 0 OR d1 <> 0"))  # both sides of the join below
     # A point just left of each segment's middle, which lies in the segment's cell, and the pieces between it and the left border's reference.
     length = F.hypot(dx, dy)
     spot = parts.select("*", ((F.col("x1") + F.col("x2")) / 2 - dy / length * (q / 4)).alias("_px"), ((F.col("y1") + F.col("y2")) / 2 + dx / length * (q / 4)).alias("_py"))
@@ -243,6 +257,33 @@ def _capsules(shapes: DataFrame, key: str, distance: float, quarter: int, rings:
     return edges.select(key, F.array(ring).alias("rings"))
 
 
+def _rims(shapes: DataFrame, key: str, distance: float, quarter: int, rings: str, digits: int) -> DataFrame:
+    """key and rings: what the capsules around a shape's edges add to it: a rectangle outside each edge, and at each corner that juts out the chords of either edge's end.
+
+    The rest of a capsule lies within the shape or within its neighbours, and would only meet them piece by piece.
+    """
+    step = math.pi / (2 * quarter)
+    n = F.size("_r")
+    at = lambda i: F.get(F.col("_r"), (i + n) % n)
+    # Written, since a lambda would compute the ring anew for each of its corners.
+    plain = materialized(_turned(shapes, [key], rings, digits)).select(key, F.filter("_r", lambda p, i: (p["x"] != at(i - 1)["x"]) | (p["y"] != at(i - 1)["y"])).alias("_r"))
+    corner = materialized(plain).select(key, F.explode(F.transform("_r", lambda p, i: F.struct(at(i - 1).alias("o"), p.alias("p"), at(i + 1).alias("q")))).alias("_c"))
+    way = lambda a, b: F.atan2(F.col(f"_c.{b}.y") - F.col(f"_c.{a}.y"), F.col(f"_c.{b}.x") - F.col(f"_c.{a}.x")) - math.pi / 2
+    corner = corner.select(key, "_c", way("o", "p").alias("_in"), way("p", "q").alias("_out"))
+    turn = F.col("_out") - F.col("_in")
+    steps = F.when(turn <= -math.pi, turn + 2 * math.pi).when(turn > math.pi, turn - 2 * math.pi).otherwise(turn) / step
+    corner = materialized(corner.withColumn("_s", steps))
+    on = lambda c, a: F.struct((F.col(f"_c.{c}.x") + distance * F.cos(a)).alias("x"), (F.col(f"_c.{c}.y") + distance * F.sin(a)).alias("y"))
+    plain_point = lambda c: F.struct(F.col(f"_c.{c}.x").alias("x"), F.col(f"_c.{c}.y").alias("y"))
+    count = F.ceil(F.col("_s") - 1e-9).cast("int")
+    fan = lambda first, sign: F.concat(F.array(plain_point("p")), F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), lambda k: on("p", F.col(first) + sign * k * step)))
+    none = F.array().cast(RINGS)
+    side = F.array(F.array(plain_point("p"), on("p", F.col("_out")), on("q", F.col("_out")), plain_point("q")))
+    juts = F.col("_s") > 1e-9
+    ends = F.when(juts, F.array(fan("_in", 1))).otherwise(none), F.when(juts & (F.abs(F.col("_s") - F.round("_s")) > 1e-9), F.array(fan("_out", -1))).otherwise(none)
+    return corner.select(key, F.explode(F.concat(side, *ends)).alias("_ring")).select(key, F.array("_ring").alias("rings"))
+
+
 def buffered(shapes: DataFrame, key: str, distance: float, size: float, quarter: int = 8, rings: str = "rings", digits: int = 7) -> DataFrame:
     """key and the directed edges of all within ``distance`` of each shape, or, if it is negative, of all deeper inside than it.
 
@@ -250,9 +291,9 @@ def buffered(shapes: DataFrame, key: str, distance: float, size: float, quarter:
     and of it in area by the factor sin(t) / t with t = pi / (2 * quarter).
     """
     plain = shapes.select(key, F.col(rings).alias("rings"))
-    around = _capsules(shapes, key, abs(distance), quarter, rings, digits)
     if distance >= 0:
-        return dissolved(plain.unionByName(around), key, size, "rings", digits)
+        return dissolved(plain.unionByName(_rims(shapes, key, distance, quarter, rings, digits)), key, size, "rings", digits)
+    around = _capsules(shapes, key, -distance, quarter, rings, digits)
     parts = [materialized(pieces(boundary(df, [key], "rings", digits), size, digits)) for df in (plain, around)]
     cells = [cover(p, [key], size).select(key, "i", "j", F.col("w").alias(f"w{s}"), F.col("n").alias(f"n{s}")) for s, p in enumerate(parts)]
     borders = cells[0].join(cells[1], [key, "i", "j"], "full").na.fill(0)

@@ -122,3 +122,23 @@ def test_buffer(spark, quarter):
     assert abs(4 * sector - math.pi * 9) <= math.pi * 9 * (1 - math.sin(math.pi / 2 / quarter) / (math.pi / 2 / quarter)) + 1e-9
     inner = {k[0]: v for k, v in areas(overlay.measured(overlay.buffered(s, "k", -d, 5.0, quarter), ["k"]), "k").items()}
     assert abs(inner[1] - 24 * 14) < 1e-3
+
+
+def test_rims_add_what_capsules_add(spark):
+    """Shapes of any angles, with holes and inner corners, grow alike by rims and by whole capsules; rims make fewer pieces."""
+    star = [(0.0, 0.0), (5.0, 1.3), (9.0, -0.4), (7.5, 4.0), (9.5, 8.8), (4.2, 6.1), (0.3, 9.0), (2.0, 4.4)]
+    hole = [(3.0, 2.0), (3.5, 4.0), (5.5, 3.2)]
+    rings = lambda *r: [[{"x": x, "y": y} for x, y in ring] for ring in r]
+    shapes = spark.createDataFrame([(1, rings(star, hole)), (2, rings([(20.0, 0.0), (20.0, 0.0), (23.0, 0.5), (21.0, 2.0)]))], f"k int, rings {overlay.RINGS}")
+    capsules, rims = overlay._capsules(shapes, "k", 0.4, 4, "rings", 7), overlay._rims(shapes, "k", 0.4, 4, "rings", 7)
+    grown = [{r.k: r.area for r in overlay.measured(overlay.dissolved(shapes.unionByName(x), "k", 2.0), ["k"]).collect()} for x in (capsules, rims)]
+    assert grown[0].keys() == grown[1].keys() == {1, 2}
+    assert all(abs(grown[0][k] - grown[1][k]) < 1e-5 for k in (1, 2))
+    pieces = [overlay.boundary(x, ["k"]).count() for x in (capsules, rims)]
+    assert pieces[1] < pieces[0]
+
+
+def test_edges_of_one_file_are_cut_in_many_tasks(spark):
+    shapes = spark.createDataFrame([(1, [[{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 0.0, "y": 4.0}]])], f"k int, rings {overlay.RINGS}").coalesce(1)
+    plan = overlay.pieces(overlay.boundary(shapes, ["k"]), 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
