@@ -7,6 +7,10 @@ and bounds decide how often a shape is entered, so no side is broadcast or cross
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,58 +72,84 @@ def within_distance(target: DataFrame, reference: DataFrame, distance: float, mo
     return target.join(r, close, "left_semi" if mode == "within" else "left_anti")
 
 
-PARTS = 16
-SMALL = 20_000  # right rows, once a level, that nearest() sends to all tasks (nine times each)
+LEAF, FAN = 8, 16  # places in a box of the lowest level, boxes in a box of the next
+SMALL = 400_000  # places at most that nearest() sends to all tasks
+DEALT = 25_000  # left places a task
+
+
+def _along_curve(batches: Iterator[pa.RecordBatch], lows: tuple[float, float], wide: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """_px, _py and _d, where the place stands on Hilbert's curve of 31 bits a side, so that what is near in order is near in space."""
+    for batch in batches:
+        at = [np.asarray(batch.column(c), dtype=np.float64) for c in ("_px", "_py")]
+        x, y = (np.clip((v - lo) / (w or 1.0) * (2.0**31 - 1), 0, 2.0**31 - 1).astype(np.int64) for v, lo, w in zip(at, lows, wide))
+        d = np.zeros(len(x), dtype=np.int64)
+        for bit in range(30, -1, -1):
+            rx, ry = x >> bit & 1, y >> bit & 1
+            d = d * 4 + (3 * rx ^ ry)
+            flip = (ry == 0) & (rx == 1)
+            x, y = np.where(flip, 2**31 - 1 - x, x), np.where(flip, 2**31 - 1 - y, y)
+            x, y = np.where(ry == 0, y, x), np.where(ry == 0, x, y)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(d)], names=["_px", "_py", "_d"])
+
+
+def _numbered_places(places: DataFrame, n: int, bounds: list[float]) -> DataFrame:
+    """_px, _py and _n, the rank of each place along the curve, dealt by range of it."""
+    lows, wide = (bounds[0], bounds[2]), (bounds[1] - bounds[0], bounds[3] - bounds[2])
+    dealt = places.mapInArrow(lambda batches: _along_curve(batches, lows, wide), "_px double, _py double, _d long")
+    dealt = materialized(dealt.repartitionByRange(-(-n // 100_000), "_d").withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy("_p").agg(F.count("*").alias("_s")).withColumn("_before", F.sum("_s").over(Window.orderBy("_p")) - F.col("_s"))  # a row for each task
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_d", "_px", "_py")) - 1
+    return materialized(dealt.withColumn("_own", own).join(F.broadcast(sums.drop("_s")), "_p").select("_px", "_py", (F.col("_own") + F.col("_before")).alias("_n")))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Each left row with all its nearest right rows (ties kept) and the distance; left rows with a null coordinate keep nulls; with no right rows the result is empty.
+    """Each left row with all its nearest right rows (ties kept) and the distance; left rows with a coordinate that is null or not finite keep nulls; with no right rows the result is empty.
 
-    Cells of levels, each four times as wide as the one below: a row is done when its best candidate in the 3 by 3
-    cells around it is no further than a cell. A row begins at the level that its distance from the right rows' bounds
-    allows, so far rows waste no rounds; those that are left go one level up. Within a cell a row first meets the bounds of
-    the right rows in each of its parts (PARTS by PARTS, however many rows there are), and then only the rows of parts
-    that may hold one as near as the nearest part surely does. Each round is written to the shared folder, so that none is computed again.
+    Distinct places meet instead of rows. Those of the right side are ranked along Hilbert's curve: LEAF in a row make a box, FAN boxes in a row one of the next level,
+    up to FAN at the top, however the places lie. A left place begins at the top and goes down level by level, into the boxes only that may hold a place as
+    near as one surely is: a box is tight, so each of its sides touches a place. ``key`` and ``size`` have no part in this any more.
     """
-    from functools import reduce
-
-    there = F.col(x).isNotNull() & F.col(y).isNotNull()
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < F.lit(float("inf")), F.lit(False))
+    there = finite(x) & finite(y)
     r = right.where(there).select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     nulls = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in r.columns]
-    *bounds, n_right = r.agg(*(f(f"r_{c}").cast("double") for c in (x, y) for f in (F.min, F.max)), F.count("*")).first()  # one row
-    if bounds[0] is None:
-        return left.limit(0).select("*", F.lit(None).cast("double").alias("distance"), *nulls)
-    found = [left.where(~there).select("*", F.lit(None).cast("double").alias("distance"), *nulls)]
-    off = [F.greatest(F.lit(lo) - F.col(c), F.lit(0.0), F.col(c) - F.lit(hi)) for c, lo, hi in ((x, *bounds[:2]), (y, *bounds[2:]))]
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.hypot(*off) / size, F.lit(1.0))) / F.log(F.lit(4.0)))).cast("int")
-    # Many left rows may share one wide cell, so they are dealt by key; few right rows (SMALL at most) go to all tasks.
-    todo = left.where(there).withColumn("_level", level).repartition(left.sparkSession.sparkContext.defaultParallelism, key)
-    columns = [*left.columns, "distance", *r.columns]
-    rx, ry = F.col(f"r_{x}"), F.col(f"r_{y}")
-    while levels := sorted(row[0] for row in todo.select("_level").distinct().collect()):  # as many as extent and size allow, some tens at most
-        few = F.broadcast if n_right * len(levels) <= SMALL else (lambda df: df)
-        wide = F.pow(F.lit(4.0), F.col("_level")) * size
-        part = lambda c: F.floor(c / (wide / PARTS))
-        placed = r.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"_i": part(rx), "_j": part(ry)})
-        boxes = placed.groupBy("_level", "_i", "_j").agg(*(f(c).alias(n) for c, n, f in ((rx, "_lx", F.min), (rx, "_hx", F.max), (ry, "_ly", F.min), (ry, "_hy", F.max))))
-        around = F.array(*(F.struct((F.floor(F.col("_i") / PARTS) + i).alias("i"), (F.floor(F.col("_j") / PARTS) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        boxes = few(boxes.select("*", F.explode(around).alias("_c")).withColumnRenamed("_level", "_at"))
-        own = todo.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), "_level")
-        held = (F.col("_level") == F.col("_at")) & (F.floor(F.col("_x") / wide) == F.col("_c.i")) & (F.floor(F.col("_y") / wide) == F.col("_c.j"))
-        off = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.lit(0.0), F.col(p) - F.col(hi))
-        end = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
-        near, far = (F.hypot(f("_x", "_lx", "_hx"), f("_y", "_ly", "_hy")) for f in (off, end))
-        met = own.join(boxes, held).groupBy(key).agg(F.any_value("_x").alias("_x"), F.any_value("_y").alias("_y"), F.any_value("_level").alias("_level"), F.collect_list(F.struct(near.alias("near"), far.alias("far"), "_i", "_j")).alias("_p"))
-        bound = F.least(F.array_min("_p.far"), wide) * (1 + 1e-12)
-        open_ = met.withColumn("_b", bound).select(key, "_x", "_y", "_level", F.explode(F.filter("_p", lambda p: p["near"] <= F.col("_b"))).alias("_p"))
-        to = few(placed.withColumnRenamed("_level", "_at"))
-        dx, dy = F.col("_x") - rx, F.col("_y") - ry
-        pairs = open_.join(to, (F.col("_level") == F.col("_at")) & (F.col("_p._i") == F.col("_i")) & (F.col("_p._j") == F.col("_j"))).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-        first = F.rank().over(Window.partitionBy(key).orderBy("distance"))
-        best = materialized(pairs.where(F.col("distance") <= wide).withColumn("_r", first).where("_r = 1").select(key, "distance", *r.columns))
-        found.append(todo.drop("_level").join(best, key).select(*columns))
-        todo = materialized(todo.join(best.select(key).distinct(), key, "left_anti").withColumn("_level", F.col("_level") + 1))
-    return reduce(DataFrame.unionByName, found)
+    alone = left.where(~there).select("*", F.lit(None).cast("double").alias("distance"), *nulls)
+    at = lambda c: F.col(c).cast("double")
+    places = materialized(r.select(at(f"r_{x}").alias("_px"), at(f"r_{y}").alias("_py")).distinct())
+    *bounds, n = places.agg(*(f(c) for c in ("_px", "_py") for f in (F.min, F.max)), F.count("*")).first()  # one row
+    if not n:
+        return alone.limit(0)
+    few = F.broadcast if n <= SMALL else (lambda df: df)
+    places = _numbered_places(places, n, bounds)
+    low = places.withColumn("_c", F.floor(F.col("_n") / LEAF))
+    levels = [materialized(low.groupBy("_c").agg(*(f(c).alias(a) for c, a, f in (("_px", "_lx", F.min), ("_px", "_hx", F.max), ("_py", "_ly", F.min), ("_py", "_hy", F.max)))))]
+    boxes = -(-n // LEAF)
+    while boxes > FAN:
+        up = levels[-1].groupBy(F.floor(F.col("_c") / FAN).alias("_c"))
+        levels.append(materialized(up.agg(*(f(c).alias(c) for c, f in (("_lx", F.min), ("_hx", F.max), ("_ly", F.min), ("_hy", F.max))))))
+        boxes = -(-boxes // FAN)
+
+    own = materialized(left.where(there).select(at(x).alias("_x"), at(y).alias("_y")).distinct())
+    # Dealt by place once: joins with what goes to all tasks keep the rows of a place together and in order.
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-own.count() // DEALT))
+    open_ = own.repartition(tasks, "_x", "_y").crossJoin(F.broadcast(levels[-1])).withColumn("_b", F.lit(float("inf")))  # FAN boxes
+    one = Window.partitionBy("_x", "_y")
+    off = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.lit(0.0), F.col(p) - F.col(hi))
+    ends = lambda f, p, lo, hi: f(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
+    square = lambda a, b: a * a + b * b
+    for depth in range(len(levels) - 1, -1, -1):
+        wx, wy = ("_x", "_lx", "_hx"), ("_y", "_ly", "_hy")
+        sure = F.least(square(ends(F.least, *wx), ends(F.greatest, *wy)), square(ends(F.greatest, *wx), ends(F.least, *wy)))
+        near = square(off(*wx), off(*wy))
+        open_ = open_.select("_x", "_y", "_c", near.alias("_near"), F.least("_b", F.min(sure).over(one)).alias("_b")).where(F.col("_near") <= F.col("_b") * (1 + 1e-12)).drop("_near")
+        if depth:
+            below = levels[depth - 1].select(F.col("_c").alias("_d"), F.floor(F.col("_c") / FAN).alias("_c"), "_lx", "_hx", "_ly", "_hy")
+            open_ = open_.join(few(below), "_c").drop("_c").withColumnRenamed("_d", "_c")
+    pairs = open_.join(few(low.select("_c", "_px", "_py")), "_c").withColumn("distance", F.sqrt(square(F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py"))))
+    best = materialized(pairs.withColumn("_b", F.min("distance").over(one)).where("distance = _b").select("_x", "_y", "distance", "_px", "_py"))
+    met = left.where(there).withColumns({"_lx": at(x), "_ly": at(y)}).join(best, (F.col("_lx") == F.col("_x")) & (F.col("_ly") == F.col("_y")))
+    met = met.join(r, (F.col("_px") == at(f"r_{x}")) & (F.col("_py") == at(f"r_{y}")))
+    return met.select(*left.columns, "distance", *r.columns).unionByName(alone)
 
 
 def accessibility(d: Column, threshold: float) -> Column:
