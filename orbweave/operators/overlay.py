@@ -138,27 +138,33 @@ def arranged(cut: DataFrame, borders: DataFrame, group: list[str], size: float,
         """One row for equal segments, with the sum of the directions on each side."""
         return df.select(*where, *way, *(F.when(F.col("side") == s, d).otherwise(0).alias(f"d{s}") for s in (0, 1))).groupBy(*where, *SEGMENT).agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
 
-    # Dealt by cell once, so that the steps up to the parts need no shuffle of their own. Segments whose directions cancel bound nothing.
-    one = merged(cut.repartition(*where)).where("d0 <> 0 OR d1 <> 0")
-    other = one.select(*where, *(F.col(c).alias(f"o{c}") for c in SEGMENT))
+    # Dealt by cell; segments whose directions cancel bound nothing.
+    one = materialized(merged(cut.repartition(*where)).where("d0 <> 0 OR d1 <> 0"))
+    theirs = [f"o{c}" for c in SEGMENT]
+    other = one.select(*where, *(F.col(c).alias(o) for c, o in zip(SEGMENT, theirs)))
     near = (F.greatest("x1", "x2") + q >= F.least("ox1", "ox2")) & (F.greatest("ox1", "ox2") + q >= F.least("x1", "x2")) & (F.greatest("y1", "y2") + q >= F.least("oy1", "oy2")) & (F.greatest("oy1", "oy2") + q >= F.least("y1", "y2"))
-    met = one.select(*where, *SEGMENT).join(other, where).where(near & (_less(own, others) | _less(others, own)))
-    # The crossing is computed from the two segments in one order, so that both get the very same point.
-    swap = _less(own, others)
-    a, b = ([F.when(swap, m).otherwise(n) for m, n in zip(x, y)] for x, y in ((own, others), (others, own)))
-    ax, ay, bx, by = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
-    cross = ax * by - ay * bx
-    t = F.try_divide((b[0] - a[0]) * by - (b[1] - a[1]) * bx, cross)
-    u = F.try_divide((b[0] - a[0]) * ay - (b[1] - a[1]) * ax, cross)
-    flat = F.abs(cross) <= 1e-12 * F.hypot(ax, ay) * F.hypot(bx, by)
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    crossing = F.when(~flat & t.between(0, 1) & u.between(0, 1), point(F.round(a[0] + t * ax, digits), F.round(a[1] + t * ay, digits)))
+    # Each pair once, so that both get the very same point. Step by step: one expression of all this would be more code than the JVM compiles.
+    met = one.select(*where, *SEGMENT).join(other, where).where(near & _less(own, others))
+    both = [*where, *SEGMENT, *theirs]
+    met = met.select(*both, *(F.expr(f"{s}{c}2 - {s}{c}1").alias(f"{n}{c}") for s, n in (("", "_a"), ("o", "_b")) for c in "xy"))
+    ways = ["_ax", "_ay", "_bx", "_by"]
+    met = met.select(*both, *ways, F.expr("_ax * _by - _ay * _bx").alias("_cross"), F.hypot("_ax", "_ay").alias("_la"), F.hypot("_bx", "_by").alias("_lb"))
+    part = lambda c: F.expr(f"try_divide((ox1 - x1) * {c}y - (oy1 - y1) * {c}x, _cross)")
+    ends_on = [F.expr(f"abs(({s}x{k} - {o}x1) * {v}y - ({s}y{k} - {o}y1) * {v}x)") <= q * F.col(size_) for s, o, v, size_ in (("o", "", "_a", "_la"), ("", "o", "_b", "_lb")) for k in (1, 2)]
+    met = met.select(*both, "_ax", "_ay", F.when(F.abs("_cross") > 1e-12 * F.col("_la") * F.col("_lb"), part("_b")).alias("_t"), part("_a").alias("_u"), *(e.alias(f"_on{n}") for n, e in enumerate(ends_on)))
+    crossed = F.col("_t").between(0, 1) & F.col("_u").between(0, 1)
+    met = met.select(*both, *(F.when(crossed, F.round(F.col(f"{c}1") + F.col("_t") * F.col(f"_a{c}"), digits)).alias(f"_c{c}") for c in "xy"), *(f"_on{n}" for n in range(4)))
+    touch = ", ".join(f"{m}, IF(_on{n}, {s}x{k}, NULL), IF(_on{n}, {s}y{k}, NULL)" for n, (m, s, k) in enumerate((("true", "o", 1), ("true", "o", 2), ("false", "", 1), ("false", "", 2))))
+    spot = met.select(*both, F.expr(f"stack(6, true, _cx, _cy, false, _cx, _cy, {touch}) AS (_own, _qx, _qy)")).where("_qx IS NOT NULL")
+    spot = spot.select(*where, *(F.when(F.col("_own"), F.col(c)).otherwise(F.col(o)).alias(c) for c, o in zip(SEGMENT, theirs)), "_qx", "_qy")
+    # Only what lies between a segment's ends splits it: neighbours that share a corner or run on in its line, the most, split nothing.
+    inside = spot.where("NOT (_qx = x1 AND _qy = y1) AND NOT (_qx = x2 AND _qy = y2)")
+    inside = inside.where("(_qx - x1) * (x2 - x1) + (_qy - y1) * (y2 - y1) BETWEEN 0 AND (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)")
+    split = materialized(inside.groupBy(*where, *SEGMENT).agg(F.collect_set(F.struct(F.col("_qx").alias("x"), F.col("_qy").alias("y"))).alias("_p")))
+    whole = one.join(split, [*where, *SEGMENT], "left_anti").select(*where, "d0", "d1", *SEGMENT)
+    ends = F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)))
+    parts = one.join(split, [*where, *SEGMENT]).select(*where, "d0", "d1", F.explode(_chain(F.concat(ends, F.col("_p")))).alias("_e")).select(*where, "d0", "d1", *_segment("_e")).unionByName(whole)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    off = lambda x, y: F.abs((x - F.col("x1")) * dy - (y - F.col("y1")) * dx) <= q * F.hypot(dx, dy)
-    touch = [F.when(off(F.col(f"ox{k}"), F.col(f"oy{k}")), point(F.col(f"ox{k}"), F.col(f"oy{k}"))) for k in (1, 2)]
-    split = met.select(*where, *SEGMENT, F.array_compact(F.array(crossing, *touch)).alias("_p")).groupBy(*where, *SEGMENT).agg(F.flatten(F.collect_list("_p")).alias("_p"))
-    ends = F.array(*(point(F.col(f"x{k}"), F.col(f"y{k}")) for k in (1, 2)))
-    parts = one.join(split, [*where, *SEGMENT], "left").select(*where, "d0", "d1", F.explode(_chain(F.concat(ends, F.coalesce("_p", F.array().cast("array<struct<x:double,y:double>>"))))).alias("_e")).select(*where, "d0", "d1", *_segment("_e"))
     # Rounding may turn a short part around; then its direction counts the other way.
     turn = F.when(first, 1).otherwise(-1)
     parts = parts.select(*where, *way, (F.col("d0") * turn).alias("d0"), (F.col("d1") * turn).alias("d1")).groupBy(*where, *SEGMENT).agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
