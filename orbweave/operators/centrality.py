@@ -1,6 +1,7 @@
 """Betweenness and closeness by searches from many sources at once, communities by modularity.
 
-Every level of a search and every round of moves is an aggregation and a join over rows, written to the shared
+Searches from all vertices run in tasks that hold the edges (``allpairs``); from chosen sources, or where edges are more than a task
+may hold, every level of a search is an aggregation and a join over rows. Levels and rounds of moves are written to the shared
 folder; only emptiness tests and single numbers come to the driver.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators import allpairs
 from orbweave.operators.graph import undirected
 from orbweave.sources.io import materialized
 
@@ -37,8 +39,10 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
     Dependencies go back level by level. With chosen sources the sum is scaled up to all vertices. Normalized, a vertex on
     all paths has 1; otherwise pairs count once. Graphs of fewer than three vertices have 0.
     """
+    both = materialized(undirected(edges))
+    if sources is None and 0 < both.count() <= allpairs.EDGES:
+        return _betweenness_of_all(both, normalized)
     levels = searches(edges, sources)
-    both = undirected(edges)
     vertices = materialized(both.select(F.col("src").alias("id")).distinct())
     n, k = vertices.count(), levels[0].count()
     later, parts = None, []
@@ -60,8 +64,58 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
     return vertices.join(total, "id", "left").na.fill(0.0, ["betweenness"])
 
 
+#: Leaves are hung on their neighbours in so many rounds at most; those that stay are vertices like any other.
+ROUNDS = 12
+
+
+def _hung(both: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Edges without leaves, the vertices left (id, w, squares), and the leaves round by round (id, up, w, squares), each gone from the next round.
+
+    w counts a vertex and all that hang on it, squares adds up the squared w of what hangs on it directly. A last pair keeps its smaller vertex.
+    """
+    held = materialized(both.select(F.col("src").alias("id")).distinct().select("id", F.lit(1.0).alias("w"), F.lit(0.0).alias("squares")))
+    left, rounds = held.count(), []
+    while len(rounds) < ROUNDS:
+        ends = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n"), F.min("dst").alias("up")).where("_n = 1").select("id", "up")
+        pairs = ends.select(F.col("id").alias("up"), F.lit(True).alias("_pair"))
+        leaves = materialized(ends.join(pairs, "up", "left").where("_pair IS NULL OR id > up").join(held, "id").select("id", "up", "w", "squares"))
+        n = leaves.count()
+        if 50 * n < left or not n:
+            break
+        gone = leaves.select("id")
+        more = leaves.groupBy(F.col("up").alias("id")).agg(F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("w")).alias("_s"))
+        held = held.join(gone, "id", "left_anti").join(more, "id", "left")
+        held = materialized(held.select("id", (F.col("w") + F.coalesce("_w", F.lit(0.0))).alias("w"), (F.col("squares") + F.coalesce("_s", F.lit(0.0))).alias("squares")))
+        both = materialized(both.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left -= n
+        rounds.append(leaves)
+    return both, held, rounds
+
+
+def _betweenness_of_all(both: DataFrame, normalized: bool) -> DataFrame:
+    """Betweenness from all sources: the searches leave out what hangs on the rest as trees, where every pair's path is known."""
+    n = both.select("src").distinct().count()
+    core, held, rounds = _hung(both)
+    found = allpairs.passing(core.join(held.select(F.col("id").alias("src"), "w"), "src"), held.count())
+    w, size = F.col("w"), F.coalesce("size", "w")
+    inside = (w - 1) * (w - 1) - F.col("squares") + 2 * (w - 1) * (size - w)
+    got = materialized(held.join(found, "id", "left").select("id", size.alias("size"), (F.coalesce("passed", F.lit(0.0)) + inside).alias("pairs")))
+    for leaves in reversed(rounds):
+        size = F.col("size")
+        own = leaves.join(got.select(F.col("id").alias("up"), "size"), "up")
+        own = own.select("id", "size", ((size - 1) * (size - 1) - F.col("squares") - (size - w) * (size - w)).alias("pairs"))
+        got = materialized(got.unionAll(own))
+    scale = 1 / ((n - 1) * (n - 2)) if normalized and n > 2 else 0.0 if normalized else 0.5
+    return got.select("id", (F.col("pairs") * scale).alias("betweenness"))
+
+
 def closeness(edges: DataFrame) -> DataFrame:
     """(id, closeness): how many vertices each reaches over their mean distance, times the share of all vertices that it reaches."""
+    both = materialized(undirected(edges))
+    if 0 < both.count() <= allpairs.EDGES:
+        n = both.select("src").distinct().count()
+        reached = (F.col("reached") - 1).cast("double")
+        return allpairs.distances(both, n).select("id", F.coalesce(F.try_divide(reached * reached, F.col("far") * F.lit(max(n - 1, 1))), F.lit(0.0)).alias("closeness"))
     levels = searches(edges)
     n = levels[0].count()
     far = levels[0].select("id", F.lit(0).alias("hop"))

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from orbweave.operators import causality, centrality
+from orbweave.operators import allpairs, causality, centrality
 
 
 def graph(spark, edges):
@@ -53,6 +53,33 @@ def test_betweenness_and_closeness(spark):
     assert centrality.betweenness(graph(spark, [(1, 2)])).count() == 2 and centrality.betweenness(graph(spark, edges).limit(0)).count() == 0
 
 
+def test_betweenness_and_closeness_write_no_row_for_a_pair(spark, monkeypatch):
+    """Trees, a ring, hubs of many leaves and a lone edge: results of brute force, and rounds as small as the graph."""
+    rand = random.Random(8)
+    edges = [(k, k // 2) for k in range(2, 160)] + [(k, k // 3) for k in range(5, 160, 5)] + [(1, 1000 + k) for k in range(300)] + [(2000, 2001)]
+    edges += [(3000 + k, 3000 + (k + 1) % 9) for k in range(9)] + [(3000, 3100), (3100, 3101), (3100, 3102)] + [(4000, 4001), (4001, 4002), (4002, 4003)]
+    rand.shuffle(edges)
+    near, far, ways = brute_paths(edges)
+    held, kept = [], centrality.materialized
+    monkeypatch.setattr(centrality, "materialized", lambda df: held.append(kept(df)) or held[-1])
+    n, want = len(near), dict.fromkeys(near, 0.0)
+    for (s, t), d in far.items():
+        for v in near:
+            if v not in (s, t) and (s, v) in far and far[s, v] + far[v, t] == d:
+                want[v] += ways[s, v] * ways[v, t] / ways[s, t]
+    got = {r.id: r.betweenness for r in centrality.betweenness(graph(spark, edges), normalized=False).collect()}
+    assert got == pytest.approx({v: b / 2 for v, b in want.items()})
+    close = {r.id: r.closeness for r in centrality.closeness(graph(spark, edges)).collect()}
+    reached = {v: [d for (_, w), d in far.items() if w == v] for v in near}
+    assert close == pytest.approx({v: (len(d) - 1) ** 2 / (sum(d) * (n - 1)) for v, d in reached.items()})
+    assert max(df.count() for df in held) <= 2 * len(edges)
+    monkeypatch.setattr(allpairs, "HUB", 1)
+    assert {r.id: r.betweenness for r in centrality.betweenness(graph(spark, edges), normalized=False).collect()} == pytest.approx(got)
+    monkeypatch.setattr(allpairs, "EDGES", 0)
+    few = edges[:60]
+    assert {r.id: r.closeness for r in centrality.closeness(graph(spark, few)).collect()}.keys() == {v for e in few for v in e}
+
+
 def test_modular_communities(spark):
     rings = [(10 * c + i, 10 * c + j) for c in range(5) for i in range(6) for j in range(i)] + [(10 * c, 10 * c + 10) for c in range(4)]
     labels, history = centrality.modular_communities(graph(spark, rings))
