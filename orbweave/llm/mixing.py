@@ -28,6 +28,7 @@ base score is null; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -211,9 +212,14 @@ class Asked:
 
     def __init__(self, last: np.ndarray, long_words: np.ndarray) -> None:
         self.short, words = _short_words(last)
-        each = [*(_order_pairs(last, k) for k in ORDERS), words, long_words]
-        self.pairs, at = np.unique(np.concatenate(each), return_inverse=True)
-        self.at = np.split(at, np.cumsum([len(x) for x in each])[:-1])
+        held, own = [], []
+        for x in chain((_order_pairs(last, k) for k in ORDERS), (words, long_words)):  # each for itself first, so that no array is as long as all
+            distinct, at = np.unique(x, return_inverse=True)
+            held.append(distinct)
+            own.append(at.astype(np.int32))
+        self.pairs, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.astype(np.int32)
+        self.at = [part[x] for part, x in zip(np.split(at, np.cumsum([len(x) for x in held])[:-1]), own, strict=True)]
 
     def sums(self, n_last: np.ndarray, n_long: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.pairs), np.int64)
@@ -291,35 +297,42 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
     begin: for each input where each byte's predictions begin in ``known``; steps: of each byte's walk; start: of each stretch.
     """
     at = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
-    x = np.empty((at[-1], INPUTS), np.int8)
-    gate = np.empty(at[-1], np.int8)
-    for lo in range(0, len(steps), PART):
-        hi = min(lo + PART, len(steps))
-        a, z = at[lo], at[hi]
-        of = np.repeat(np.arange(hi - lo, dtype=np.int32), steps[lo:hi])
-        place = np.arange(a, z, dtype=np.int32)
-        for k, b in enumerate(begin):
-            x[a:z, k] = known.take((b[lo:hi] - at[lo:hi].astype(np.int32)).take(of) + place, mode="clip")
-        first = np.minimum(at[lo:hi], len(x) - 1)
-        gate[a:z] = ((x[first, INPUTS - 2] != 0) * 2 + (x[first, INPUTS - 1] != 0)).astype(np.int8).take(of)
     lo = at[start]
     size = np.diff(np.append(lo, at[-1]))
     by = np.argsort(-size, kind="stable")
-    size, lo = size[by], lo[by].astype(np.int32)
-    n = len(size)
-    active = n - np.cumsum(np.bincount(size, minlength=size[0] + 1))[: size[0]]  # stretches with a decision at each step
-    edges = np.concatenate([[0], np.cumsum(active)]).tolist()
-    order = np.empty(at[-1], np.int32)
-    for t, (a, b) in enumerate(zip(edges, edges[1:])):
-        np.add(lo[: b - a], t, out=order[a:b])
-    rows = x.view(np.int32).reshape(-1).take(order).view(np.int8).reshape(-1, INPUTS)
-    gate = gate.take(order)
-    del x, order
+    n, most = len(size), size[by[0]]
+    rank = np.empty(n, np.int32)
+    rank[by] = np.arange(n)
+    active = n - np.cumsum(np.bincount(size, minlength=most + 1))[:most]  # stretches with a decision at each step
+    edges = np.concatenate([[0], np.cumsum(active)]).astype(np.int32)
+    # All first decisions come before all second ones: each part of the bytes goes to its places at once.
+    rows, gate = np.empty((at[-1], INPUTS), np.int8), np.empty(at[-1], np.int8)
+    item, ends, lo = rows.view(np.int32).reshape(-1), np.append(lo, at[-1]), lo.astype(np.int32)
+    for low in range(0, len(steps), PART):
+        high = min(low + PART, len(steps))
+        a, z = at[low], at[high]
+        if a == z:
+            continue
+        of = np.repeat(np.arange(high - low, dtype=np.int32), steps[low:high])
+        place = np.arange(a, z, dtype=np.int32)
+        x = np.empty((z - a, INPUTS), np.int8)
+        for k, b in enumerate(begin):
+            x[:, k] = known.take((b[low:high] - at[low:high].astype(np.int32)).take(of) + place, mode="clip")
+        first = np.minimum(at[low:high] - a, len(x) - 1)
+        own = slice(np.searchsorted(ends[:-1], a, "right") - 1, np.searchsorted(ends[:-1], z))
+        many = np.diff(np.clip(ends[own.start : own.stop + 1], a, z))
+        place -= np.repeat(lo[own], many)
+        to = edges.take(place)
+        to += np.repeat(rank[own], many)
+        item[to] = x.view(np.int32).reshape(-1)
+        gate[to] = ((x[first, INPUTS - 2] != 0) * 2 + (x[first, INPUTS - 1] != 0)).astype(np.int8).take(of)
+    edges = edges.tolist()
+    del at, item, ends
     begin.clear()
     four = np.arange(n, dtype=np.int64) * 4
     weights = np.full((4 * n, INPUTS), START * SCALE, np.float32)
     whole = weights.view(np.complex128).reshape(-1)  # a row of weights as one item
-    z = np.empty(at[-1], np.float32)
+    z = np.empty(len(rows), np.float32)
     rate, one = np.float32(RATE * SCALE * SCALE), np.ones(INPUTS, np.float32)
     buffer = np.empty((n, INPUTS), np.float32)
     with np.errstate(over="ignore"):
