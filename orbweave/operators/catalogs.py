@@ -21,15 +21,22 @@ def under(df: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, (F.startswith(F.col(column), F.lit(p)) for p in prefixes), F.lit(False)))
 
 
+#: Roots that go to every task; more meet the codes by a shuffle.
+ROOTS = 100_000
+
+
 def expanded(terms: DataFrame, tree: DataFrame, term: str, name: str, code: str) -> DataFrame:
     """Each term with the codes of the tree's rows of that name and with all codes that begin with one of them, each once.
 
-    Prefixes meet codes by equality: a code is entered once for each of its own prefixes.
+    Prefixes meet codes by equality: a code is entered once for each of its own prefixes. Codes are dealt by value first, so a
+    task enters, and keeps apart, its share alone.
     """
     roots = terms.select(term).distinct().join(tree.select(F.col(name).alias(term), F.col(code).alias("_root")), term)
+    roots = materialized(roots.where(F.length("_root") > 0).distinct())
+    roots = F.broadcast(roots) if roots.count() <= ROOTS else roots
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length(code)), lambda n: F.substring(F.col(code), F.lit(1), n)))
-    below = tree.where(F.length(code) > 0).select(F.col(code), prefixes.alias("_root"))
-    return roots.join(below, "_root").select(term, code).distinct()
+    dealt = tree.where(F.length(code) > 0).select(code).repartition(int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")), code)
+    return dealt.select(F.col(code), prefixes.alias("_root")).join(roots, "_root").select(term, code).distinct()
 
 
 def grams(c: Column, n: int = 2) -> Column:

@@ -109,3 +109,16 @@ def test_expanded_prefixes(spark):
     tree = spark.createDataFrame([("a", "1"), ("b", "12"), (None, "123"), ("c", "2"), ("d", None)], "name string, code string")
     got = catalogs.expanded(spark.createDataFrame([("b",), ("c",), ("z",), ("d",)], "term string"), tree, "term", "name", "code")
     assert sorted(map(tuple, got.collect())) == [("b", "12"), ("b", "123"), ("c", "2")]
+
+
+def test_expanded_deals_codes_before_they_are_kept_apart(spark, monkeypatch):
+    """Repeated codes and nested roots give each row once, and no task keeps apart rows of codes that it was not dealt."""
+    tree = spark.createDataFrame([("a", "1"), ("a", "12"), (None, "123"), (None, "123"), ("b", "2"), ("b", None), ("b", "")], "name string, code string")
+    terms = spark.createDataFrame([("a",), ("a",), ("b",)], "term string")
+    want = [("a", "1"), ("a", "12"), ("a", "123"), ("b", "2")]
+    got = catalogs.expanded(terms, tree, "term", "name", "code")
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(term" not in plan
+    monkeypatch.setattr(catalogs, "ROOTS", 0)
+    assert sorted(map(tuple, catalogs.expanded(terms, tree, "term", "name", "code").collect())) == want
