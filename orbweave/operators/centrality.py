@@ -7,7 +7,7 @@ folder; only emptiness tests and single numbers come to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orbweave.operators import allpairs
@@ -164,23 +164,23 @@ def modular_communities(edges: DataFrame, levels: int = 10, rounds: int = 30) ->
         return members, history
     for _ in range(levels):
         k = materialized(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).join(inner, "id", "full").select("id", (F.coalesce("k", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("k")))
-        lab, moved = materialized(k.select("id", F.col("id").alias("c"))), False
+        lab, moved = k.select("id", F.col("id").alias("c"), "k"), False
         for _ in range(rounds):
-            total = k.join(lab, "id").groupBy("c").agg(F.sum("k").alias("total"))
-            links = e.join(lab.select(F.col("id").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("link"))
-            seen = links.join(lab, "id").join(k, "id")
-            stay = seen.where("to = c").select("id", F.col("link").alias("_stay"))
-            tried = seen.where("to <> c").join(stay, "id", "left")
-            tried = tried.join(total.select(F.col("c"), F.col("total").alias("_from")), "c").join(total.select(F.col("c").alias("to"), F.col("total").alias("_to")), "to")
-            gain = 2 * (F.col("link") - F.coalesce("_stay", F.lit(0.0))) / m2 - 2 * F.col("k") * (F.col("_to") - F.col("_from") + F.col("k")) / (m2 * m2)
+            # Vertices carry their degree and their community's, so that links meet them twice and nothing else.
+            held = lab.join(lab.groupBy("c").agg(F.sum("k").alias("total")), "c")
+            links = e.join(held.select(F.col("id").alias("dst"), F.col("c").alias("to"), F.col("total").alias("_to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("link"), F.any_value("_to").alias("_to"))
+            stay = F.max(F.when(F.col("to") == F.col("c"), F.col("link"))).over(Window.partitionBy("id"))
+            tried = links.join(held, "id").withColumn("_stay", stay).where("to <> c")
+            gain = 2 * (F.col("link") - F.coalesce("_stay", F.lit(0.0))) / m2 - 2 * F.col("k") * (F.col("_to") - F.col("total") + F.col("k")) / (m2 * m2)
             wish = tried.withColumn("gain", gain).where("gain > 1e-12")
-            best = materialized(wish.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("to").alias("to"), F.col("c").alias("c"))).alias("b")).select("id", "b.g", "b.to", "b.c"))
-            if best.isEmpty():
+            best = wish.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("to").alias("to"), F.col("c").alias("c"))).alias("b")).select("id", "b.g", "b.to", "b.c")
+            n = Observation()
+            best = materialized(best.observe(n, F.count("*").alias("n")))
+            if not n.get["n"]:
                 break
-            ends = best.select(F.col("c").alias("end"), F.struct("g", "id").alias("r")).unionAll(best.select(F.col("to").alias("end"), F.struct("g", "id").alias("r")))
-            chosen = ends.groupBy("end").agg(F.min("r").alias("r"))
+            chosen = best.select(F.explode(F.array("c", "to")).alias("end"), F.struct("g", "id").alias("r")).groupBy("end").agg(F.min("r").alias("r"))
             made = best.join(chosen.select(F.col("end").alias("c"), F.col("r.id").alias("_x")), "c").join(chosen.select(F.col("end").alias("to"), F.col("r.id").alias("_y")), "to").where("id = _x AND id = _y")
-            lab, moved = materialized(lab.join(made.select("id", F.col("to").alias("_n")), "id", "left").select("id", F.coalesce("_n", "c").alias("c"))), True
+            lab, moved = materialized(lab.join(made.select("id", F.col("to").alias("_n")), "id", "left").select("id", F.coalesce("_n", "c").alias("c"), "k")), True
         if not moved:
             break
         least = lab.groupBy("c").agg(F.min("id").alias("name"))

@@ -94,6 +94,19 @@ def test_modular_communities(spark):
     assert centrality.modular_communities(graph(spark, rings).limit(0))[0].count() == 0
 
 
+def test_a_round_of_moves_joins_few_tables(spark, monkeypatch):
+    joins, kept = [], centrality.materialized
+
+    def counted(df):
+        if "g" in df.columns:
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return kept(df)
+
+    monkeypatch.setattr(centrality, "materialized", counted)
+    assert centrality.modular_communities(graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4)]))[0].count() == 6
+    assert joins and max(joins) <= 4
+
+
 def test_granger(spark):
     rand = random.Random(6)
     x, y = [rand.gauss(0, 1) for _ in range(90)], [0.0, 0.0]
