@@ -7,7 +7,9 @@ value); without rows of both kinds there are no scores and no effects.
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -101,25 +103,37 @@ def exposure_response(df: DataFrame, exposure: str, outcome: str, confounders: l
     return every.join(F.broadcast(sums), "point", "left").select("point", "exposure", F.when(F.col("weight") > 1e-10, F.col("s") / F.col("weight")).alias("response"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+#: Models that learn side by side.
+TOGETHER = 3
+
+
 def effects_by_row(df: DataFrame, key: str, treatment: str, outcome: str, features: list[str], folds: int = 5, trees: int = 20, depth: int = 4) -> DataFrame:
     """Each row with ``fold`` and ``effect``: what a model of treated rows tells for it less what a model of untreated rows does.
 
     The models (boosted trees) of a fold learn from the other folds' rows alone; the fold is the key's crc32 modulo ``folds``. A row whose models would have no rows
     to learn from has a null effect.
     """
-    there = df.where(F.col(treatment).isin(0, 1) & F.col(outcome).isNotNull())
+    there = materialized(df.where(F.col(treatment).isin(0, 1) & F.col(outcome).isNotNull()))  # medians and folds read it many times
     x = filled(there, features).withColumns({"fold": (F.crc32(F.col(key).cast("string")) % folds).cast("int"), "_label": F.col(outcome).cast("double")})
     x = materialized(VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_features").transform(x))
     seen = {(r.fold, r[1]): r.n for r in x.groupBy("fold", treatment).agg(F.count("*").alias("n")).collect()}  # twice the folds
+    enough = [all(any(n for (f, t), n in seen.items() if f != fold and t == kind) for kind in (0, 1)) for fold in range(folds)]
+    names = {1: "_with", 0: "_without"}
+
+    def fitted(one: tuple[int, int]):
+        fold, kind = one
+        learn = x.where((F.col("fold") != fold) & (F.col(treatment) == kind))
+        return GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol=names[kind], maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42).fit(learn)
+
+    asked = [(fold, kind) for fold in range(folds) if enough[fold] for kind in names]
+    with ThreadPool(TOGETHER) as pool:  # a tree's level is a short job
+        models = dict(zip(asked, pool.map(inheritable_thread_target(x.sparkSession)(fitted), asked, chunksize=1)))
     parts = []
     for fold in range(folds):
         held = x.where(F.col("fold") == fold)
-        enough = all(any(n for (f, t), n in seen.items() if f != fold and t == kind) for kind in (0, 1))
-        for kind, name in ((1, "_with"), (0, "_without")) if enough else ():
-            learn = x.where((F.col("fold") != fold) & (F.col(treatment) == kind))
-            model = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol=name, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42).fit(learn)
-            held = model.transform(held)
-        effect: Column = F.col("_with") - F.col("_without") if enough else F.lit(None).cast("double")
+        for kind in names if enough[fold] else ():
+            held = models[fold, kind].transform(held)
+        effect: Column = F.col("_with") - F.col("_without") if enough[fold] else F.lit(None).cast("double")
         parts.append(held.select(*df.columns, "fold", effect.alias("effect")))
     return reduce(DataFrame.unionAll, parts)
 

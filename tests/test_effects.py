@@ -101,3 +101,11 @@ def test_cross_map(spark):
     assert causality.cross_map(places.limit(0), near, "id", "cause", "effect", [10], size).first().rho is None
     with pytest.raises(ValueError):
         causality.cross_map(places, near, "id", "cause", "effect", [10_000_000], size)
+
+
+def test_effects_by_row_read_their_input_once(spark, monkeypatch):
+    plans, kept = [], effects.filled
+    monkeypatch.setattr(effects, "filled", lambda df, columns: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, columns))
+    d = spark.range(400).selectExpr("id k", "id % 2 t", "id % 7 * 1.0 x").groupBy("k", "t").agg({"x": "max"}).toDF("k", "t", "x").selectExpr("k", "t", "x", "x + 3.0 * t y")
+    got = effects.effects_by_row(d, "k", "t", "y", ["x"], folds=2, trees=2, depth=2)
+    assert got.count() == 400 and "Aggregate" not in plans[0]
