@@ -4,9 +4,9 @@ Each task gathers the distinct pre-tokens of its texts. Their bytes become
 token-position rows; a recursive query joins neighbouring rows to the merge table,
 contracts every word's leftmost pair of minimum rank and stops at the fixpoint. A word that
 is a vocabulary entry is one finished row from the start, as the tiktoken library takes it.
-Ordered aggregation turns the rows of every word back into ids and, through a join with the
-vocabulary, into the bytes that the ids stand for: all decoded bytes come from ids. Texts are
-then put together from their words' results by Arrow's list functions.
+Rows in order are the ids of every word. Texts are put together from their words' ids by
+Arrow's list functions, and decoded by taking from the vocabulary what each id stands for:
+all decoded bytes come from ids.
 
 A round of the recursion makes one merge of each word and rewrites its rows, so its work for
 one word grows with the square of the length. Words over LONG bytes, which would not end,
@@ -29,6 +29,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,14 @@ from orbweave.llm._io import release
 
 MAX_VOCABULARY = 64 << 20
 #: Rows that one recursive query may make.
-QUERY_ROWS = 6_000_000
+QUERY_ROWS = 2_000_000
 #: Bytes of a word that the recursion takes.
 LONG = 1024
-#: Distinct text pieces whose results a worker keeps in each of two generations.
-CACHE = 200_000
+#: Distinct text pieces that a worker keeps; where they are more, those of the last texts stay.
+CACHE = 400_000
 #: Bytes of texts that are put together at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
+IDS = pa.list_(pa.int32())
 
 #: A pair to merge is one number: its rank, then its place.
 _CODE = """
@@ -70,8 +72,7 @@ WITH RECURSIVE step AS (
 done AS (
   SELECT w, pos, tok FROM step SEMI JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it)
   UNION ALL SELECT w, pos, tok FROM finished)
-SELECT w, string_agg(v.name, ' ' ORDER BY pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes, count(*) AS n
-FROM done JOIN vocabulary v ON v.id = done.tok GROUP BY w ORDER BY w
+SELECT w, tok::INT AS tok FROM done ORDER BY w, pos
 """
 
 
@@ -106,12 +107,15 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class WordCoder:
-    """Encodes and decodes pre-tokens in an in-memory DuckDB database of one task."""
+    """Encodes pre-tokens in an in-memory DuckDB database of one task. A token is its place in the order of ranks; ``tokens`` and ``ranked`` give its bytes and its rank."""
 
     def __init__(self, raw: bytes) -> None:
         import duckdb
 
-        self.ranks = read_ranks(raw)
+        given = read_ranks(raw)
+        self.tokens = sorted(given, key=given.__getitem__)
+        self.ranked = [given[t] for t in self.tokens]
+        self.ranks = {t: k for k, t in enumerate(self.tokens)}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs, made = [], []
         for token, rank in self.ranks.items():
@@ -123,8 +127,6 @@ class WordCoder:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = pa.table({"pair": pa.array(pairs, pa.int64()), "tok": pa.array(made, pa.int64())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
-        rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "name": [str(r) for r in self.ranks.values()], "hex": [t.hex() for t in self.ranks]})  # noqa: F841
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
 
     def _rows(self, words: list[bytes]) -> tuple[pa.Table, pa.Table]:
         """Token-position rows of the words: those still to be merged, and finished ones."""
@@ -146,19 +148,21 @@ class WordCoder:
         made = np.concatenate([np.array([entry[k] for k in whole], np.int32), *(np.array(x, np.int32) for x in long_.values())])
         return seed, pa.table({"w": w, "pos": pos, "tok": made})
 
-    def encode(self, words: list[bytes]) -> Iterator[tuple[list[str], list[bytes], list[int]]]:
-        """Of each word, batch by batch: its ids as decimals joined by a space, the bytes they decode to, and their number."""
-        lo, rows = 0, 0
+    def encode(self, words: list[bytes]) -> pa.ListArray:
+        """The tokens of each word."""
+        found, lo, rows = [pa.array([], IDS)], 0, 0
         for k in range(len(words) + 1):
             cost = 0 if k == len(words) else len(words[k]) * (len(words[k]) if len(words[k]) <= LONG else 1) // 2 + 1
             if lo < k and (k == len(words) or rows + cost > QUERY_ROWS):
                 seed, finished = self._rows(words[lo:k])  # noqa: F841
                 got = self.db.sql(_CODE).to_arrow_table()
-                if len(got) != k - lo:
+                edges = np.searchsorted(got["w"].to_numpy(), np.arange(k - lo + 1))
+                if not np.diff(edges).all():
                     raise RuntimeError("words without ids")  # no vocabulary lacks single bytes
-                yield got["ids"].to_pylist(), got["bytes"].to_pylist(), got["n"].to_pylist()
+                found.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), got["tok"].combine_chunks()))
                 lo, rows = k, 0
             rows += cost
+        return pa.concat_arrays(found)
 
 
 def _joined(values: pa.Array, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -167,28 +171,6 @@ def _joined(values: pa.Array, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[edges])), values.buffers()[2] if len(values) else pa.py_buffer(b"")])
 
 
-class _Results:
-    """Ids, bytes and number of ids of pieces, each kind in a list of its own."""
-
-    def __init__(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[str] = []
-        self.raw: list[bytes] = []
-        self.n: list[int] = []
-
-    def add(self, piece: str, ids: str, raw: bytes, n: int) -> None:
-        self.at[piece] = len(self.n)
-        self.ids.append(ids)
-        self.raw.append(raw)
-        self.n.append(n)
-
-    def extend(self, pieces: list[str], ids: list[str], raw: list[bytes], n: list[int]) -> None:
-        self.at.update(zip(pieces, range(len(self.n), len(self.n) + len(n)), strict=True))
-        self.ids += ids
-        self.raw += raw
-        self.n += n
-
-
 class TextCoder:
     """Texts through their distinct pieces.
 
@@ -201,35 +183,35 @@ class TextCoder:
         import regex
 
         self.find, self.coder = regex.compile(pattern).findall, WordCoder(raw)
-        #: Pieces and words met last, and those before them: where their results lie in the lists.
-        self.young, self.old = _Results(), _Results()
-
-    def _known(self, pieces: list[str], parted: bool) -> tuple[list[str], list[bytes], list[int]]:
-        """The results of distinct pieces; pieces that are single pre-tokens (not parted) are not matched again."""
-        young, old = self.young, self.old
-        here, before = young.at, old.at
-        new = []
-        for p in pieces:
-            if p not in here:
-                if (k := before.get(p)) is None:
-                    new.append(p)
-                else:
-                    young.add(p, old.ids[k], old.raw[k], old.n[k])
-        if new:
-            cut = [self.find(p) for p in new] if parted else [[p] for p in new]
-            words = list({w for ws in cut for w in ws} - here.keys())
-            at = 0
-            for ids, raw, n in self.coder.encode([w.encode() for w in words]):
-                young.extend(words[at : at + len(n)], ids, raw, n)
-                at += len(n)
-            for p, ws in zip(new, cut, strict=True):
-                if len(ws) != 1:
-                    own = [here[w] for w in ws]
-                    young.add(p, " ".join([young.ids[k] for k in own]), b"".join([young.raw[k] for k in own]), sum([young.n[k] for k in own]))
-        own = [here[p] for p in pieces]
-        out = [young.ids[k] for k in own], [young.raw[k] for k in own], [young.n[k] for k in own]
-        if len(here) > CACHE:
-            self.old, self.young = young, _Results()
+        self.names, self.bytes = pa.array(map(str, self.coder.ranked), pa.string()), pa.array(self.coder.tokens, pa.large_binary())
+        self.forget()
+
+    def forget(self) -> None:
+        """Keeps no pieces."""
+        #: Pieces and words that were met, each once, and their tokens: arrays, as lists of strings would take ten times their memory.
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], IDS)
+
+    def _known(self, pieces: pa.Array, parted: bool) -> pa.ListArray:
+        """The tokens of distinct pieces; pieces that are single pre-tokens (not parted) are not matched again."""
+        new = pieces.filter(pc.is_null(pc.index_in(pieces, value_set=self.pieces)))
+        if len(new):
+            cut = [self.find(p) for p in new.to_pylist()] if parted else [[p] for p in new.to_pylist()]
+            words = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+            at = pc.index_in(words.dictionary, value_set=self.pieces)
+            fresh = words.dictionary.filter(pc.is_null(at))
+            ids = pa.concat_arrays([self.ids, self.coder.encode([w.encode() for w in fresh.to_pylist()])])
+            where = at.fill_null(0).to_numpy().astype(np.int64)
+            where[at.is_null().to_numpy(zero_copy_only=False)] = len(self.ids) + np.arange(len(fresh))
+            n = np.array([len(ws) for ws in cut])
+            several = np.flatnonzero(n != 1)  # a piece of one word is that word
+            words_of = ids.take(pa.array(where[words.indices.to_numpy()[np.repeat(n != 1, n)]]))
+            edges = words_of.offsets.take(pa.array(np.concatenate([[0], np.cumsum(n[several])])))
+            self.ids = pa.concat_arrays([ids, pa.ListArray.from_arrays(edges, words_of.flatten())])
+            self.pieces = pa.concat_arrays([self.pieces, fresh, new.take(pa.array(several))])
+        at = pc.index_in(pieces, value_set=self.pieces)
+        out = self.ids.take(at)
+        if len(self.pieces) > CACHE:
+            self.pieces, self.ids = pieces, out
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -237,40 +219,40 @@ class TextCoder:
         cut = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
         edges = cut.offsets.to_numpy().astype(np.int64)
         flat = cut.flatten().dictionary_encode()
-        names, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        names, code = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
         edges = edges - edges[0]
         n = len(edges) - 1
         first = np.zeros(len(code), bool)
         first[edges[:-1]] = True
-        blank = np.array([not p or p[0].isspace() for p in names], bool)
+        initial = pc.utf8_slice_codeunits(names, 0, 1).dictionary_encode()
+        blank = np.array([not c or c.isspace() for c in initial.dictionary.to_pylist()], bool)[initial.indices.to_numpy()]
         odd = np.logical_or.reduceat(blank[code] & ~first, edges[:-1]) if n else np.zeros(0, bool)
         # Pieces after a space come with it; a text's first piece may be empty and then counts for nothing.
-        empty = np.array([not p for p in names], bool)
+        empty = pc.binary_length(names).to_numpy() == 0
         use = ~(np.repeat(odd, np.diff(edges)) | (first & empty[code]))
         key = code * 2 + first
         there = np.zeros(2 * len(names), bool)
         there[key[use]] = True
         there = np.flatnonzero(there)
-        ids, raw, n_ids = self._known([names[k >> 1] if k & 1 else " " + names[k >> 1] for k in there.tolist()], True)
+        space = pa.array([" ", ""], pa.large_string())
+        ids = self._known(pc.binary_join_element_wise(space.take(pa.array(there & 1)), names.take(pa.array(there >> 1)), space[1]), True)
         place = np.zeros(2 * len(names), np.int64)
         place[there] = np.arange(len(there))
         count = np.add.reduceat(use, edges[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
         order = place[key[use]]
         if odd.any():
             whole = [self.find(texts[k].as_py()) for k in np.flatnonzero(odd)]
-            distinct = list(dict.fromkeys(w for ws in whole for w in ws))
-            at = {w: len(ids) + k for k, w in enumerate(distinct)}
-            for have, more in zip((ids, raw, n_ids), self._known(distinct, False), strict=True):
-                have += more
+            words = pa.array(chain.from_iterable(whole), pa.large_string()).dictionary_encode()
             starts = np.cumsum(count) - count
-            order = np.insert(order, np.repeat(starts[odd], [len(ws) for ws in whole]), [at[w] for ws in whole for w in ws])
+            order = np.insert(order, np.repeat(starts[odd], [len(ws) for ws in whole]), len(ids) + words.indices.to_numpy())
+            ids = pa.concat_arrays([ids, self._known(words.dictionary, False)])
             count[odd] = [len(ws) for ws in whole]
-        edges = np.concatenate([[0], np.cumsum(count)])
-        taken = pa.array(order)
-        listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.string()).take(taken))
-        decoded = _joined(pa.array(raw, pa.large_binary()).take(taken), edges, pa.large_binary()).cast(pa.binary())
-        total = np.concatenate([[0], np.cumsum(np.array(n_ids, np.int64)[order])])
-        return pc.binary_join(listed, " "), decoded, pa.array(np.diff(total[edges]))
+        taken = ids.take(pa.array(order))
+        edges = taken.offsets.to_numpy()[np.concatenate([[0], np.cumsum(count)])]
+        tokens = taken.flatten()
+        listed = pa.ListArray.from_arrays(pa.array(edges), self.names.take(tokens))
+        decoded = _joined(self.bytes.take(tokens), edges, pa.large_binary()).cast(pa.binary())
+        return pc.binary_join(listed, " "), decoded, pa.array(np.diff(edges).astype(np.int64))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
