@@ -47,6 +47,7 @@ STRETCH = 1024
 WORD = 64  # bytes of a word that a context holds
 BATCH = 3 << 20  # bytes of the stretches that move on together
 PART = 1 << 16  # bytes of a batch whose predictions are looked up together
+TOGETHER = 16  # stretches whose decisions are put in their places together
 HELD = 500_000  # pairs that a flock holds before it counts them
 RATE = 0.006
 START = 0.3
@@ -207,6 +208,29 @@ class Counter:
         return self.keys[0], self.counts[0]
 
 
+class Distinct(Counter):
+    """Distinct numbers below 2^63 without counts."""
+
+    def add(self, x: np.ndarray, marked: np.ndarray | None = None) -> None:
+        self.held.append(x)
+        self.n += len(x)
+        if self.n >= HELD:
+            self._count()
+
+    def _count(self) -> None:
+        x = np.concatenate(self.held)
+        x.sort()
+        self.keys.append(x[_runs(x)])
+        self.held, self.n = [], 0
+        if sum(map(len, self.keys)) > max(4 * HELD, 3 * len(self.keys[0]) // 2):
+            self._merge()
+
+    def _merge(self) -> None:
+        x = np.concatenate(self.keys)
+        x.sort()
+        self.keys = [x[_runs(x)]]
+
+
 class Asked:
     """A flock's distinct pairs, in order, from its distinct last bytes and pairs of long words; ``at``: of each distinct value of each input where its pair lies."""
 
@@ -239,17 +263,23 @@ def predictions(code: Code, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.n
     steps = code.steps[leaf]
     at = np.cumsum(steps) - steps
     out = np.zeros(int(steps.sum()), np.int8)
-    seen = lambda which, j: total[np.searchsorted(sorted_, base[which] + code.above[j, leaf[which]])] - total[np.searchsorted(sorted_, base[which] + code.below[j, leaf[which]])]
+    edge = lambda which, leaves: np.searchsorted(sorted_, base[which] + leaves)
     for lo in range(0, len(order), PART * 4):
         which = order[lo : lo + PART * 4]
         which = which[steps[which] > 0]
-        all_, j = seen(which, 0), 0
-        while len(which):
-            right = seen(which, j + 1)
-            out[at[which] + j] = np.rint(np.clip(np.log((right + 0.05) / (all_ - right + 0.05)), -8, 8) / SCALE)
+        below = code.below[0, leaf[which]]
+        low, high, j = edge(which, below), edge(which, code.above[0, leaf[which]]), 0
+        all_ = total[high] - total[low]
+        while len(which):  # a step moves one end of the leaves below, the other stays
+            before, below = below, code.below[j + 1, leaf[which]]
+            right = below != before
+            middle = edge(which, np.where(right, below, code.above[j + 1, leaf[which]]))
+            low, high = np.where(right, middle, low), np.where(right, high, middle)
+            own = total[high] - total[low]
+            out[at[which] + j] = np.rint(np.clip(np.log((own + 0.05) / (all_ - own + 0.05)), -8, 8) / SCALE)
             j += 1
             more = steps[which] > j
-            which, all_ = which[more], right[more]
+            which, all_, below, low, high = (x[more] for x in (which, own, below, low, high))
     return out, at
 
 
@@ -301,33 +331,33 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
     size = np.diff(np.append(lo, at[-1]))
     by = np.argsort(-size, kind="stable")
     n, most = len(size), size[by[0]]
-    rank = np.empty(n, np.int32)
-    rank[by] = np.arange(n)
     active = n - np.cumsum(np.bincount(size, minlength=most + 1))[:most]  # stretches with a decision at each step
-    edges = np.concatenate([[0], np.cumsum(active)]).astype(np.int32)
-    # All first decisions come before all second ones: each part of the bytes goes to its places at once.
+    edges = np.concatenate([[0], np.cumsum(active)])
+    # All first decisions come before all second ones. Stretches of like length are put there together: what they write lies side by side.
     rows, gate = np.empty((at[-1], INPUTS), np.int8), np.empty(at[-1], np.int8)
-    item, ends, lo = rows.view(np.int32).reshape(-1), np.append(lo, at[-1]), lo.astype(np.int32)
-    for low in range(0, len(steps), PART):
-        high = min(low + PART, len(steps))
-        a, z = at[low], at[high]
-        if a == z:
-            continue
-        of = np.repeat(np.arange(high - low, dtype=np.int32), steps[low:high])
-        place = np.arange(a, z, dtype=np.int32)
-        x = np.empty((z - a, INPUTS), np.int8)
+    item, length = rows.view(np.int32).reshape(-1), np.diff(np.append(start, len(steps)))
+    for low in range(0, n, TOGETHER):
+        these = by[low : low + TOGETHER]
+        many, total = length[these], size[these]
+        if not total.any():
+            break
+        which = np.arange(many.sum()) + np.repeat(start[these] - (np.cumsum(many) - many), many)
+        walk = steps[which]
+        inside = np.cumsum(walk, dtype=np.int64) - walk
+        own, place = np.repeat(np.arange(len(walk)), walk), np.arange(total.sum())
+        x = np.empty((len(place), INPUTS), np.int8)
         for k, b in enumerate(begin):
-            x[:, k] = known.take((b[low:high] - at[low:high].astype(np.int32)).take(of) + place, mode="clip")
-        first = np.minimum(at[low:high] - a, len(x) - 1)
-        own = slice(np.searchsorted(ends[:-1], a, "right") - 1, np.searchsorted(ends[:-1], z))
-        many = np.diff(np.clip(ends[own.start : own.stop + 1], a, z))
-        place -= np.repeat(lo[own], many)
-        to = edges.take(place)
-        to += np.repeat(rank[own], many)
+            of = (b[which] - inside).take(own, mode="clip")
+            of += place
+            x[:, k] = known.take(of, mode="clip")
+        first = np.minimum(inside, len(x) - 1)
+        place -= np.repeat(np.cumsum(total) - total, total)
+        to = edges.take(place, mode="clip")
+        to += np.repeat(np.arange(low, low + len(these)), total)
         item[to] = x.view(np.int32).reshape(-1)
-        gate[to] = ((x[first, INPUTS - 2] != 0) * 2 + (x[first, INPUTS - 1] != 0)).astype(np.int8).take(of)
+        gate[to] = ((x[first, INPUTS - 2] != 0) * 2 + (x[first, INPUTS - 1] != 0)).astype(np.int8).take(own, mode="clip")
     edges = edges.tolist()
-    del at, item, ends
+    del at, item
     begin.clear()
     four = np.arange(n, dtype=np.int64) * 4
     weights = np.full((4 * n, INPUTS), START * SCALE, np.float32)
@@ -347,7 +377,7 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
                 pull = np.exp(got)
                 pull += 1
                 np.divide(rate, pull, out=pull)
-                v *= pull[:, None]
+                v *= np.dot(pull[:, None], one[None], out=buffer[: e - s])  # rows as long as all: a product by column is a loop for each row
                 w += v
                 whole[cell] = item
     out = np.zeros(n)
@@ -356,7 +386,10 @@ def _costs(known: np.ndarray, begin: list[np.ndarray], steps: np.ndarray, start:
         part = z[these[0] : these[-1]]
         held = np.maximum(part, -80)
         cost = np.log(1 + np.exp(-held)) + (held - part)
-        out += np.bincount(np.concatenate([np.arange(b - a, dtype=np.int32) for a, b in zip(these, these[1:])]), cost, n)
+        part = np.zeros(n)
+        for a, b in zip(these, these[1:]):
+            part[: b - a] += cost[a - these[0] : b - these[0]]
+        out += part
     back = np.empty(n)
     back[by] = out
     return back
@@ -369,15 +402,15 @@ class Begin:
         steps = code.walk[(asked.pairs & np.uint64(0xFFFF)).astype(np.int64)]
         begin = (np.cumsum(steps) - steps).astype(np.int32)
         self.last, self.words = Table(last), Table(long_words)
-        self.of_last = [begin[x] for x in asked.at[:-2]]
-        short = np.zeros(len(last), np.int32)
-        short[asked.short] = begin[asked.at[-2]]
-        self.of_last.append(short)
+        of_last = np.zeros((len(last), INPUTS), np.int32)
+        for k, x in enumerate(asked.at[:-2]):
+            of_last[:, k] = begin[x]
+        of_last[asked.short, -1] = begin[asked.at[-2]]
+        self.of_last = of_last.view(np.complex128).reshape(-1)  # all inputs of last bytes as one item
         self.of_words = begin[asked.at[-1]]
 
     def __call__(self, last: np.ndarray, at: np.ndarray, long_words: np.ndarray) -> list[np.ndarray]:
-        which = self.last(last)
-        out = [x[which] for x in self.of_last]
+        out = list(self.of_last.take(self.last(last)).view(np.int32).reshape(-1, INPUTS).T)
         if len(at):
             out[-1][at] = self.of_words[self.words(long_words)]
         return out
@@ -449,12 +482,14 @@ def _packed_docs(batches: list[pa.RecordBatch]) -> bytes:
 
 
 class Gathered:
-    """What a stream holds: distinct last bytes, pairs of long words and words, each with its count in training documents; and all words by document."""
+    """What a stream holds: distinct last bytes, pairs of long words and words, each with its count in training documents (where train is given); and all words by document."""
 
-    def __init__(self, text: np.ndarray, train: np.ndarray) -> None:
-        lasts, pairs, words = Counter(), Counter(), Counter()
+    def __init__(self, text: np.ndarray, train: np.ndarray | None = None) -> None:
+        kind = Distinct if train is None else Counter
+        lasts, pairs, words = kind(), kind(), kind()
         see, doc = Contexts(), 0
-        train = np.append(train, False).astype(np.uint64)
+        if train is not None:
+            train = np.append(train, False).astype(np.uint64)
         docs, every = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for lo in range(0, len(text), tx.BLOCK):
             block = text[lo : lo + tx.BLOCK]
@@ -462,11 +497,16 @@ class Gathered:
             ends = np.flatnonzero(block == END)
             own = np.repeat(np.arange(doc, doc + len(ends) + 1), np.diff(np.concatenate([[-1], ends, [len(block) - 1]])))
             doc += len(ends)
-            marked = train[own]
-            lasts.add(last, marked)
-            pairs.add(pair, marked[at])
             word >>= np.uint64(1)
-            words.add(word, marked[ended])
+            if train is None:
+                lasts.add(last)
+                pairs.add(pair)
+                words.add(word)
+            else:
+                marked = train[own]
+                lasts.add(last, marked)
+                pairs.add(pair, marked[at])
+                words.add(word, marked[ended])
             docs.append(own[ended])
             every.append(word)
         self.last, self.pairs, self.words = lasts.result(), pairs.result(), words.result()
@@ -581,7 +621,7 @@ def _scored(held, tokens: int, distinct_words: int, train_docs: int):
         data, off = tx.utf8(docs["text"])
         text = stream(data, off)
         n_docs = len(docs)
-        found = Gathered(text, np.zeros(n_docs, bool))
+        found = Gathered(text)
         last, long_words, word = found.last[0], found.pairs[0], found.words[0]
         count = np.concatenate([_unpack(x.as_py(), np.int64) for x in answers["counts"]])
         below = tokens + 0.1 * (distinct_words + 1)
