@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,10 @@ RINGS = "array<array<struct<x:double,y:double>>>"
 SEGMENT = ("x1", "y1", "x2", "y2")
 #: Where in a row of cells its line of reference runs, off the places that corners like.
 LINE = 0.3819660113
+#: Shapes whose buffer has at most so many edges are merged whole, each in one place; of larger ones each cell.
+WHOLE = 2048
+#: Edges of whole shapes that are merged at once, and pairs of them.
+AT_ONCE, PAIRS = 50_000, 500_000
 
 
 def _ring_edges(ring: Column) -> Column:
@@ -246,7 +252,12 @@ def masked(left: Layer, right: Layer, how: str = "difference") -> DataFrame:
 
 def dissolved(shapes: DataFrame, by: str, size: float, rings: str = "rings", digits: int = 7) -> DataFrame:
     """by and the directed edges of the union of its shapes; a group's cells are merged each on its own."""
-    cut = materialized(pieces(boundary(shapes, [by], rings, digits), size, digits))
+    return _united(boundary(shapes, [by], rings, digits), by, size, digits)
+
+
+def _united(edges: DataFrame, by: str, size: float, digits: int) -> DataFrame:
+    """by and the directed edges of what the given ones surround."""
+    cut = materialized(pieces(edges, size, digits))
     cells = cover(cut, [by], size).select(by, "i", "j", F.col("w").alias("w0"), F.lit(0).alias("w1"), "n").where("n > 0")
     return kept(arranged(cut.withColumn("side", F.lit(0)), cells, [by], size, digits), [by], "union")
 
@@ -290,15 +301,165 @@ def _rims(shapes: DataFrame, key: str, distance: float, quarter: int, rings: str
     return corner.select(key, F.explode(F.concat(side, *ends)).alias("_ring")).select(key, F.array("_ring").alias("rings"))
 
 
+def _outset(turned: DataFrame, key: str, distance: float, quarter: int, digits: int) -> DataFrame:
+    """key and the directed edges of shapes with their rims, from rings with the inside on the left: without those that rims and shapes share, which cancel.
+
+    Outside each edge runs its side; from side to side lead chords at corners that jut out, and ways by the corner itself elsewhere.
+    """
+    step = math.pi / (2 * quarter)
+    n = F.size("_r")
+    apart = turned.select(key, F.filter("_r", lambda p, i: (p["x"] != F.get(F.col("_r"), (i + n - 1) % n)["x"]) | (p["y"] != F.get(F.col("_r"), (i + n - 1) % n)["y"])).alias("_r"))
+    round_ = F.arrays_zip(F.concat(F.slice("_r", -1, 1), F.slice("_r", 1, n - 1)).alias("o"), F.col("_r").alias("p"), F.concat(F.slice("_r", 2, n), F.slice("_r", 1, 1)).alias("q"))
+    corner = apart.select(key, F.explode(round_).alias("_c"))
+    way = lambda a, b: F.atan2(F.col(f"_c.{b}.y") - F.col(f"_c.{a}.y"), F.col(f"_c.{b}.x") - F.col(f"_c.{a}.x")) - math.pi / 2
+    corner = corner.select(key, "_c", way("o", "p").alias("_in"), way("p", "q").alias("_out"))
+    turn = F.col("_out") - F.col("_in")
+    corner = corner.withColumn("_s", F.when(turn <= -math.pi, turn + 2 * math.pi).when(turn > math.pi, turn - 2 * math.pi).otherwise(turn) / step)
+    on = lambda c, a: F.struct(F.round(F.col(f"_c.{c}.x") + distance * F.cos(a), digits).alias("x"), F.round(F.col(f"_c.{c}.y") + distance * F.sin(a), digits).alias("y"))
+    own = F.struct(F.col("_c.p.x").alias("x"), F.col("_c.p.y").alias("y"))
+    first, last, side = on("p", F.col("_in")), on("p", F.col("_out")), on("q", F.col("_out"))
+    count = F.greatest(F.ceil(F.col("_s") - 1e-9).cast("int"), F.lit(1))
+    even = F.abs(F.col("_s") - F.round("_s")) <= 1e-9
+    # Chords lie at the incoming edge's angles; where they don't end at the outgoing edge's, both edges' chords run past each other.
+    chords = F.transform(F.sequence(F.lit(1), count), lambda k: on("p", F.col("_in") + k * step))
+    back = F.transform(F.sequence(count, F.lit(1)), lambda k: on("p", F.col("_out") - k * step))
+    path = F.when(F.col("_s") <= 1e-9, F.array(first, own, last, side)).when(even, F.concat(F.array(first), F.slice(chords, 1, count - 1), F.array(last, side))).otherwise(F.concat(F.array(first), chords, F.array(own), back, F.array(last, side)))
+    linked = F.arrays_zip(F.slice("_path", 1, F.size("_path") - 1).alias("p"), F.slice("_path", 2, F.size("_path")).alias("q"))
+    return corner.select(key, path.alias("_path")).select(key, F.explode(linked).alias("_e")).select(key, *_segment("_e")).where("x1 <> x2 OR y1 <> y2")
+
+
+def _one_way(c: np.ndarray, s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal segments of a shape as one, in order, with the sum of their directions; those that cancel bound nothing."""
+    back = (s[:, 2] < s[:, 0]) | ((s[:, 2] == s[:, 0]) & (s[:, 3] < s[:, 1]))
+    s, d = np.where(back[:, None], s[:, [2, 3, 0, 1]], s), np.where(back, -d, d)
+    order = np.lexsort((*s.T[::-1], c))
+    c, s, d = c[order], s[order], d[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(c), 1), bool), (c[1:] != c[:-1]) | (s[1:] != s[:-1]).any(axis=1)]))
+    d = np.add.reduceat(d, new) if len(new) else d
+    return c[new][d != 0], s[new][d != 0], d[d != 0]
+
+
+def _with(c: np.ndarray, later: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of pairs of segments of one shape: each with all, or with later ones only."""
+    start = np.arange(1, len(c) + 1) if later else np.searchsorted(c, c, "left")
+    count = np.searchsorted(c, c, "right") - start
+    total = np.concatenate([[0], np.cumsum(count)])
+    low = 0
+    while low < len(c):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + PAIRS, "right")) - 1)
+        a = np.repeat(np.arange(low, high), count[low:high])
+        yield a, np.arange(len(a)) + np.repeat(start[low:high] - total[low:high] + total[low], count[low:high])
+        low = high
+
+
+def _points_on(c: np.ndarray, s: np.ndarray, digits: int) -> np.ndarray:
+    """segment, x, y: where segments of one shape cross or touch within one of them; the same steps as in ``arranged``."""
+    q, found = 10.0**-digits, [np.empty((0, 3))]
+    for a, b in _with(c, True):
+        near = (s[a, 2] + q >= s[b, 0]) & (s[b, 2] + q >= s[a, 0])
+        a, b = a[near], b[near]
+        low, high = np.minimum(s[:, 1], s[:, 3]), np.maximum(s[:, 1], s[:, 3])
+        near = (high[a] + q >= low[b]) & (high[b] + q >= low[a])
+        a, b = a[near], b[near]
+        (x1, y1, x2, y2), (ox1, oy1, ox2, oy2) = s[a].T, s[b].T
+        ax, ay, bx, by = x2 - x1, y2 - y1, ox2 - ox1, oy2 - oy1
+        cross, la, lb = ax * by - ay * bx, np.hypot(ax, ay), np.hypot(bx, by)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = ((ox1 - x1) * by - (oy1 - y1) * bx) / cross, ((ox1 - x1) * ay - (oy1 - y1) * ax) / cross
+        met = (np.abs(cross) > 1e-12 * la * lb) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        x, y = (np.round(p[met] + t[met] * v[met], digits) for p, v in ((x1, ax), (y1, ay)))
+        found += [np.column_stack([k[met], x, y]) for k in (a, b)]
+        found += [np.column_stack([a, x, y])[np.abs((x - x1) * ay - (y - y1) * ax) <= q * la] for x, y in ((ox1, oy1), (ox2, oy2))]
+        found += [np.column_stack([b, x, y])[np.abs((x - ox1) * by - (y - oy1) * bx) <= q * lb] for x, y in ((x1, y1), (x2, y2))]
+    points = np.concatenate(found)
+    x1, y1, x2, y2 = s[points[:, 0].astype(int)].T
+    along = (points[:, 1] - x1) * (x2 - x1) + (points[:, 2] - y1) * (y2 - y1)
+    ends = ((points[:, 1] == x1) & (points[:, 2] == y1)) | ((points[:, 1] == x2) & (points[:, 2] == y2))
+    return points[~ends & (along >= 0) & (along <= (x2 - x1) ** 2 + (y2 - y1) ** 2)]
+
+
+def _union(c: np.ndarray, s: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directed edges (c: the shape of each, in order) of what those of each shape surround."""
+    c, s, d = _one_way(c, s, np.ones(len(c), np.int64))
+    points = _points_on(c, s, digits)
+    if len(points):
+        cut = np.unique(points[:, 0].astype(int))
+        points = np.concatenate([points, *(np.column_stack([cut, s[cut, k], s[cut, k + 1]]) for k in (0, 2))])
+        of = points[:, 0].astype(int)
+        along = (points[:, 1] - s[of, 0]) * (s[of, 2] - s[of, 0]) + (points[:, 2] - s[of, 1]) * (s[of, 3] - s[of, 1])
+        points = points[np.lexsort((points[:, 2], points[:, 1], along, of))]
+        next_ = (points[1:, 0] == points[:-1, 0]) & (points[1:, 1:] != points[:-1, 1:]).any(axis=1)
+        of, whole = points[:-1, 0].astype(int)[next_], np.ones(len(c), bool)
+        whole[cut] = False
+        parts = np.column_stack([points[:-1, 1:], points[1:, 1:]])[next_]
+        c, s, d = _one_way(np.concatenate([c[whole], c[of]]), np.concatenate([s[whole], parts]), np.concatenate([d[whole], d[of]]))
+    # How many times what is left of a segment's middle is surrounded: the segments between it and the far left.
+    x1, y1, x2, y2 = s.T
+    length = np.hypot(x2 - x1, y2 - y1)
+    px, py = (x1 + x2) / 2 - (y2 - y1) / length * (10.0**-digits / 4), (y1 + y2) / 2 + (x2 - x1) / length * (10.0**-digits / 4)
+    left = np.zeros(len(c))
+    for a, b in _with(c, False):
+        level = (y1[b] > py[a]) != (y2[b] > py[a])
+        a, b = a[level], b[level]
+        at = x1[b] + (py[a] - y1[b]) * (x2[b] - x1[b]) / (y2[b] - y1[b])
+        left += np.bincount(a, np.where(at < px[a], np.where(y1[b] > y2[b], d[b], -d[b]), 0), len(c))
+    inside, beyond = left > 0, left - d > 0
+    edge = inside != beyond
+    return c[edge], np.where(inside[:, None], s, s[:, [2, 3, 0, 1]])[edge]
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether a value differs from the one before it; nulls are alike."""
+    values = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return values[1:] != values[:-1]
+
+
+def _merged_whole(edges: DataFrame, key: str, digits: int) -> DataFrame:
+    """key and the directed edges of what those of each key surround. The edges of a key lie one after the other in one partition, and are merged without a grid."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, needed = [], 0, AT_ONCE
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            first = np.concatenate([[0], np.flatnonzero(_changes(table[key].combine_chunks())) + 1])
+            c = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(table))))
+            c, s = _union(c, np.column_stack([table[n].to_numpy() for n in SEGMENT]), digits)
+            columns = [table[key].take(pa.array(first[c])), *(pa.array(v) for v in s.T)]
+            yield from pa.table(columns, names=[key, *SEGMENT]).to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= needed:
+                table = pa.Table.from_batches(held)
+                ends = np.flatnonzero(_changes(table[key].combine_chunks())) + 1
+                end = int(ends[-1]) if len(ends) else 0  # the last key may go on in the next batch
+                if end:
+                    yield from done(table.slice(0, end))
+                held, rows = table.slice(end).to_batches(), len(table) - end
+                needed = max(AT_ONCE, 2 * rows)
+        if rows:
+            yield from done(pa.Table.from_batches(held))
+
+    return edges.select(key, *SEGMENT).mapInArrow(merged, T.StructType([edges.schema[key], *(T.StructField(n, T.DoubleType()) for n in SEGMENT)]))
+
+
 def buffered(shapes: DataFrame, key: str, distance: float, size: float, quarter: int = 8, rings: str = "rings", digits: int = 7) -> DataFrame:
     """key and the directed edges of all within ``distance`` of each shape, or, if it is negative, of all deeper inside than it.
 
     Round corners are chords, ``quarter`` to a right angle: inside the true arc by less than distance * (1 - cos(pi / (4 * quarter))),
     and of it in area by the factor sin(t) / t with t = pi / (2 * quarter).
     """
-    plain = shapes.select(key, F.col(rings).alias("rings"))
     if distance >= 0:
-        return dissolved(plain.unionByName(_rims(shapes, key, distance, quarter, rings, digits)), key, size, "rings", digits)
+        turned = _turned(shapes, [key], rings, digits)
+        large = materialized(turned.groupBy(key).agg(F.sum(F.size("_r")).alias("_n")).where(F.col("_n") * (quarter + 3) > WHOLE).select(key))
+        # Dealt as rings, a fraction of their edges, to as many tasks as are set, since few bytes are much work; what follows takes them in this order.
+        tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small = turned.join(large, key, "left_anti").repartition(tasks, key).sortWithinPartitions(key)
+        whole = _merged_whole(_outset(small, key, distance, quarter, digits), key, digits)
+        rest = _outset(turned.join(large, key, "left_semi").repartition(key, "_r"), key, distance, quarter, digits)
+        return whole.unionByName(_united(rest, key, size, digits))
+    plain = shapes.select(key, F.col(rings).alias("rings"))
     around = _capsules(shapes, key, -distance, quarter, rings, digits)
     parts = [materialized(pieces(boundary(df, [key], "rings", digits), size, digits)) for df in (plain, around)]
     cells = [cover(p, [key], size).select(key, "i", "j", F.col("w").alias(f"w{s}"), F.col("n").alias(f"n{s}")) for s, p in enumerate(parts)]
