@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbweave.operators.temporal import _numbered
 from orbweave.sources.io import materialized
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -43,6 +44,8 @@ LINE = 0.3819660113
 WHOLE = 2048
 #: Edges of whole shapes that are merged at once, and pairs of them.
 AT_ONCE, PAIRS = 50_000, 500_000
+#: Rounds in which chains of edges are linked; by then a tile is wider than any coordinates that keep their digits.
+LEVELS = 24
 
 
 def _ring_edges(ring: Column) -> Column:
@@ -498,60 +501,175 @@ def related(left: Layer, right: Layer) -> DataFrame:
     return out.select("a", "b", "shared_area", whole("a").alias("within"), whole("b").alias("contains"))
 
 
-def _traced(edges: list[tuple[float, float, float, float]]) -> list[list[list[tuple[float, float]]]]:
-    """Directed edges as parts, each an outline and its holes; at a corner of several rings the sharpest turn to the left is taken."""
+def _chained(edges: list[tuple]) -> list[tuple]:
+    """Directed edges of a tile as chains: (edge it comes from or none, edge it goes to or none, corners, whether it is closed).
+
+    An edge is (x1, y1, x2, y2, whether it begins in the tile, whether it ends there). What begins or ends elsewhere links the chain to one of another tile.
+    At a corner of several rings the sharpest turn to the left is taken; where an edge was lost to rounding, a chain begins or ends without a link.
+    """
     out = defaultdict(list)
-    for x1, y1, x2, y2 in sorted(edges):
-        out[x1, y1].append((x2, y2))
-    rings = []
-    for start in list(out):
-        while out[start]:
-            ring, at, before = [start], out[start].pop(), start
-            while at != start:
-                ring.append(at)
-                way = math.atan2(at[1] - before[1], at[0] - before[0])
-                ahead = out[at]
-                if not ahead:
-                    break  # an edge lost to rounding: the ring is closed here
-                k = max(range(len(ahead)), key=lambda k: (math.atan2(ahead[k][1] - at[1], ahead[k][0] - at[0]) - way + math.pi + 1e-9) % (2 * math.pi))
-                before, at = at, ahead.pop(k)
-            rings.append(_straightened(ring))
-    area = lambda r: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:] + r[:1])) / 2
-    parts = sorted(([r] for r in rings if len(r) > 2 and area(r) > 0), key=lambda p: area(p[0]))
-    for hole in (r for r in rings if len(r) > 2 and area(r) < 0):
-        (x, y), (x2, y2) = hole[0], hole[1]
-        x, y = (x + x2) / 2, (y + y2) / 2
-        inside = lambda r: sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in zip(r, r[1:] + r[:1])) % 2 == 1
-        for p in parts:
-            if inside(p[0]):
-                p.append(hole)
+    for k, e in enumerate(edges):
+        if e[4]:
+            out[e[:2]].append(k)
+    after, before = {}, {}
+    for k, (x1, y1, x2, y2, _, here) in enumerate(edges):
+        ahead = out.get((x2, y2)) if here else None
+        if ahead:
+            way = math.atan2(y2 - y1, x2 - x1)
+            n = ahead[0] if len(ahead) == 1 else max(ahead, key=lambda n: (math.atan2(edges[n][3] - y2, edges[n][2] - x2) - way + math.pi + 1e-9) % (2 * math.pi))
+            ahead.remove(n)
+            after[k], before[n] = n, k
+
+    def corner(k: int, n: int) -> bool:
+        """Not so where the grid cut an edge: there a corner lies between its neighbours."""
+        (x1, y1, x2, y2), (_, _, x3, y3) = edges[k][:4], edges[n][:4]
+        return abs((x2 - x1) * (y3 - y2) - (y2 - y1) * (x3 - x2)) > 1e-9 * math.hypot(x2 - x1, y2 - y1) * math.hypot(x3 - x2, y3 - y2)
+
+    chains, done = [], set()
+    for k in [*(k for k in range(len(edges)) if k not in before), *range(len(edges))]:
+        if k in done:
+            continue
+        points = [edges[k][:2]] if k not in before and edges[k][4] else []
+        at = k
+        while at not in done:
+            done.add(at)
+            n = after.get(at)
+            if n is None:
                 break
-    return parts
-
+            if corner(at, n):
+                points.append(edges[at][2:4])
+            at = n
+        if k in before:
+            chains.append((None, None, points, True))
+            continue
+        head, tail = (None if edges[e][4 + end] else edges[e][:4] for e, end in ((k, 0), (at, 1)))
+        points += [edges[at][2:4]] if edges[at][5] else []
+        chains.append((head, tail, points, head is None and tail is None))
+    return chains
+
+
+def _linked(chains: list[tuple]) -> list[tuple]:
+    """Chains as ``_chained`` gives them, those that meet within the tile as one."""
+    heads = {c[0]: k for k, c in enumerate(chains) if c[0] is not None}
+    tails = {c[1] for c in chains if c[1] is not None}
+    out, done = [], set()
+    for k in [*(k for k, c in enumerate(chains) if c[0] not in tails), *range(len(chains))]:
+        if k in done:
+            continue
+        points, at, closed = [], k, False
+        while True:
+            done.add(at)
+            points += chains[at][2]
+            n = heads.get(chains[at][1]) if chains[at][1] is not None else None
+            if n is None:
+                break
+            if n in done:
+                closed = True
+                break
+            at = n
+        head, tail = (None, None) if closed else (chains[k][0], chains[at][1])
+        out.append((head, tail, points, closed or (head is None and tail is None)))
+    return out
 
-def _straightened(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Without corners that lie between their neighbours, such as those where the grid cut an edge."""
-    keep = []
-    for k, q in enumerate(ring):
-        p, r = ring[k - 1], ring[(k + 1) % len(ring)]
-        cross = (q[0] - p[0]) * (r[1] - q[1]) - (q[1] - p[1]) * (r[0] - q[0])
-        if abs(cross) > 1e-9 * math.dist(p, q) * math.dist(q, r):
-            keep.append(q)
-    return keep
 
+def _rings_of(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """A closed chain from its least corner on; a ring that comes by there again is closed there."""
+    if not points:
+        return []
+    least = min(points)
+    first = points.index(least)
+    points = points[first:] + points[:first]
+    starts = [k for k, p in enumerate(points) if p == least]
+    return [points[a:b] for a, b in zip(starts, [*starts[1:], len(points)]) if b - a > 2]
 
-def outlines(edges: DataFrame, group: list[str]) -> DataFrame:
-    """group, part and rings: the parts that directed edges bound, ready to be shapes again. A task holds the outline of one result, as its row does."""
-    schema = T.StructType([*(edges.schema[g] for g in group), *T.StructType.fromDDL(f"part int, rings {RINGS}")])
 
-    def trace(key: tuple, rows: pa.Table) -> pa.Table:
-        parts = _traced(list(zip(*(rows[c].to_pylist() for c in SEGMENT))))
-        rings = [[[{"x": x, "y": y} for x, y in r] for r in p] for p in parts]
-        columns = [pa.array([k.as_py()] * len(parts), k.type) for k in key]
-        kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-        return pa.table([*columns, pa.array(range(len(parts)), pa.int32()), pa.array(rings, kind)], names=[*group, "part", "rings"])
+def _rings(edges: DataFrame, group: list[str], side: float) -> DataFrame:
+    """group, ring and area of all rings that directed edges bound, outlines above zero and holes below.
 
-    return edges.select(*group, *SEGMENT).groupBy(*group).applyInArrow(trace, schema)
+    Edges are chained tile by tile; chains that leave their tile are linked in tiles four times as wide, which lie elsewhere, until all are closed.
+    """
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    link = [(f"{e}{n}", pa.float64()) for e in "ht" for n in SEGMENT]
+    schema = T.StructType([*(edges.schema[g] for g in group), *T.StructType.fromDDL(", ".join(f"{n} double" for n, _ in link) + ", ring array<struct<x:double,y:double>>, area double")])
+
+    def table(key: tuple, chains: list[tuple]) -> pa.Table:
+        rows = []
+        for head, tail, points, closed in chains:
+            for ring in _rings_of(points) if closed else [points]:
+                area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) / 2 if closed else None
+                if area != 0:
+                    rows.append((*(head or (None,) * 4), *(tail or (None,) * 4), [{"x": x, "y": y} for x, y in ring], area))
+        kinds = [*link, ("ring", pa.list_(point)), ("area", pa.float64())]
+        own = [pa.array([k.as_py()] * len(rows), k.type) for k in key[: len(group)]]
+        return pa.table([*own, *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds))], names=[*group, *(n for n, _ in kinds)])
+
+    def chain(key: tuple, rows: pa.Table) -> pa.Table:
+        return table(key, _chained(sorted(zip(*(rows[c].to_pylist() for c in (*SEGMENT, "_s", "_e"))))))
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        links = list(zip(*(rows[n].to_pylist() for n, _ in link)))
+        rings = [[(p["x"], p["y"]) for p in r] for r in rows["ring"].to_pylist()]
+        return table(key, _linked([(k[:4] if k[0] is not None else None, k[4:] if k[4] is not None else None, r, False) for k, r in zip(links, rings)]))
+
+    def tile(x: Column, y: Column, level: int) -> Column:
+        # Shifted from level to level, so that what lies across a border of tiles does not do so for long.
+        return F.struct(*(F.floor(v / (side * 4.0**level) + (level + 1) * LINE % 1).alias(n) for n, v in (("i", x), ("j", y))))
+
+    tiles = F.array_distinct(F.array(tile(F.col("x1"), F.col("y1"), 0), tile(F.col("x2"), F.col("y2"), 0)))
+    dealt = edges.select(*group, *SEGMENT, F.explode(tiles).alias("_t"))
+    dealt = dealt.select("*", *((tile(F.col(f"x{k}"), F.col(f"y{k}"), 0) == F.col("_t")).alias(n) for k, n in ((1, "_s"), (2, "_e"))))
+    rounds = [materialized(dealt.groupBy(*group, "_t").applyInArrow(chain, schema))]
+    open_, level = rounds[0].where("area IS NULL"), 1
+    while not open_.isEmpty():
+        if level == LEVELS:  # edges that another should have met were lost: what is left is closed where it ends
+            open_ = open_.select(*group, *(F.lit(None).cast("double").alias(n) for n, _ in link), "ring", "area", F.monotonically_increasing_id().alias("_t"))
+            rounds.append(materialized(open_.groupBy(*group, "_t").applyInArrow(join, schema)))
+            break
+        ends = [tile(F.coalesce(f"{a}x1", f"{b}x1"), F.coalesce(f"{a}y1", f"{b}y1"), level) for a, b in ("ht", "th")]
+        placed = open_.select("*", ends[0].alias("_t"), (ends[0] == ends[1]).alias("_met"))
+        met = placed.where("_met").drop("_met").groupBy(*group, "_t").applyInArrow(join, schema)
+        rounds.append(materialized(met.unionByName(placed.where("NOT _met").drop("_t", "_met"))))
+        open_, level = rounds[-1].where("area IS NULL"), level + 1
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out.where("area IS NOT NULL").select(*group, "ring", "area")
+
+
+def _owners(outer: DataFrame, holes: DataFrame) -> DataFrame:
+    """_g, _o, ring: the holes, each with the smallest outline of its group that it lies in.
+
+    Boxes of outlines meet holes in cells as wide as the box; corners are looked at only where several boxes hold a hole, and never those of the largest.
+    """
+    box = outer.select("_g", "_o", "area", *(f(F.col(f"ring.{c}")).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))))
+    box = box.withColumn("_l", F.ceil(F.log2(F.greatest(F.expr("x1 - x0"), F.expr("y1 - y0")))))
+    cells = lambda c: F.sequence(F.floor(F.col(f"{c}0") / F.pow(F.lit(2.0), "_l")), F.floor(F.col(f"{c}1") / F.pow(F.lit(2.0), "_l")))
+    spread = box.withColumn("_i", F.explode(cells("x"))).withColumn("_j", F.explode(cells("y")))
+    middle = lambda c: ((F.col("ring")[0][c] + F.col("ring")[1][c]) / 2).alias(f"p{c}")
+    spot = holes.select("_g", F.col("_o").alias("_h"), (-F.col("area")).alias("_a"), middle("x"), middle("y"))
+    at = lambda c: F.floor(F.col(f"p{c}") / F.pow(F.lit(2.0), "_l"))
+    spot = spot.join(box.select("_g", "_l").distinct(), "_g").withColumn("_i", at("x")).withColumn("_j", at("y"))
+    met = spot.join(spread, ["_g", "_l", "_i", "_j"]).where("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 AND area > _a")
+    held = materialized(met.groupBy("_g", "_h", "px", "py").agg(F.array_sort(F.collect_list(F.struct("area", "_o"))).alias("_c")))
+    asked = held.where("size(_c) > 1").select("_g", "_h", "px", "py", F.explode(F.slice("_c", F.lit(1), F.size("_c") - 1)).alias("_x")).select("_g", "_h", "px", "py", "_x.area", "_x._o")
+    rises = lambda e: (e["p"]["y"] > F.col("py")) != (e["q"]["y"] > F.col("py"))
+    left = lambda e: F.col("px") < e["p"]["x"] + (F.col("py") - e["p"]["y"]) * F.try_divide(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"])
+    inside = F.size(F.filter(_ring_edges(F.col("ring")), lambda e: rises(e) & left(e))) % 2 == 1
+    least = asked.join(outer.select("_g", "_o", "ring"), ["_g", "_o"]).where(inside).groupBy("_g", "_h").agg(F.min_by("_o", "area").alias("_in"))
+    owner = held.join(least, ["_g", "_h"], "left").select("_g", "_h", F.coalesce("_in", F.element_at("_c", -1)["_o"]).alias("_o"))
+    return owner.join(holes.select("_g", F.col("_o").alias("_h"), "ring"), ["_g", "_h"]).select("_g", "_o", "ring")
+
+
+def outlines(edges: DataFrame, group: list[str], size: float | None = None) -> DataFrame:
+    """group, part and rings: the parts that directed edges bound, ready to be shapes again; parts are numbered by area. A task holds the edges of a tile of 64 cells of ``size`` (else of 64 mean edges) or one part, as its row does."""
+    if size is None:
+        edges = materialized(edges)
+        size = edges.agg(F.avg(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] or 1.0
+    rings = _rings(edges, group, 64 * size).select(F.struct(*group).alias("_g"), "ring", "area", F.struct(F.col("ring")[0].alias("p"), F.col("ring")[1].alias("q")).alias("_o"))
+    outer, holes = rings.where("area > 0"), rings.where("area < 0")
+    within = _owners(outer, holes).groupBy("_g", "_o").agg(F.array_sort(F.collect_list("ring")).alias("_holes"))
+    parts = outer.join(within, ["_g", "_o"], "left").select("_g", "_o", "area", F.concat(F.array("ring"), F.coalesce("_holes", F.array().cast(RINGS))).alias("rings"))
+    return _numbered(parts, ["_g", "area", "_o"]).select(*(F.col("_g")[g].alias(g) for g in group), F.col("_n").cast("int").alias("part"), "rings")
 
 
 def overlay(left: Layer, right: Layer, how: str = "intersection") -> DataFrame:

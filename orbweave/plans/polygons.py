@@ -91,7 +91,7 @@ def c15_dissolve(t):
 @add(f"""WITH {_MERGED}, c AS (SELECT g, x + i AS x, y + j AS y, count(*) AS n, count(DISTINCT (i + j) % 2) AS kinds FROM m, range(2) u(i), range(2) v(j) GROUP BY 1, 2, 3)
 SELECT g, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND kinds = 1 THEN 2 ELSE 0 END)::BIGINT AS corners FROM c GROUP BY 1""")
 def c16_outlines(t):
-    parts = overlay.outlines(overlay.dissolved(_parcels(t), "g", SIZE), ["g"])
+    parts = overlay.outlines(overlay.dissolved(_parcels(t), "g", SIZE), ["g"], SIZE)
     return parts.groupBy("g").agg(F.sum(F.size(F.flatten("rings"))).cast("long").alias("corners"))
 
 
